@@ -15,6 +15,9 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from oddsmill.llm.common import schema_of
 
 M64 = (1 << 64) - 1
 #: Pre-tokens remembered by a task, and the longest of them in characters.
@@ -134,8 +137,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], own], names=[*rest, ids])
 
     kept = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text).cast("string").alias("_encoded"))
-    schema = docs.select(*(F.col(f"`{c}`") for c in rest)).schema.add(ids, "array<int>")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema_of(docs, rest, **{ids: T.ArrayType(T.IntegerType())}))
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -169,7 +171,7 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", out: str = "byt
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], own], names=[*rest, out])
 
     kept = tokens.select(*(F.col(f"`{c}`") for c in rest), F.col(ids).cast("array<int>").alias("_decoded"))
-    return kept.mapInArrow(run, tokens.select(*(F.col(f"`{c}`") for c in rest)).schema.add(out, "binary"))
+    return kept.mapInArrow(run, schema_of(tokens, rest, **{out: T.BinaryType()}))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

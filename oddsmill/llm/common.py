@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 WORD_CHARS = r"[^\x20\x09-\x0D]+"
@@ -35,6 +36,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def schema_of(df: DataFrame, columns: list[str], **more: DataType) -> StructType:
+    """Schema of some columns, and further ones of the given types."""
+    return StructType([*(df.schema[c] for c in columns), *(StructField(c, t) for c, t in more.items())])
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Component of every node of an undirected graph.
 

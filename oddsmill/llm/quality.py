@@ -13,6 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from oddsmill.llm.common import schema_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -206,11 +209,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     # The rows travel with their statistics, so that no join by doc_id is needed.
     names, own = docs.columns, [f"_{c}" for c in COUNTS]
-    schema = docs.schema
-    for c in own:
-        schema = schema.add(c, "long")
     with_text = docs.select("*", F.col("text").cast("string").alias("_text"))
-    stats = with_text.mapInArrow(run, schema)
+    stats = with_text.mapInArrow(run, schema_of(docs, names, **{c: T.LongType() for c in own}))
     value = {c: F.col(f"_{c}") for c in COUNTS}
     shares = {k: F.when(value[b] > 0, value[a] / value[b]).otherwise(F.lit(0.0)) for k, (a, b) in RATIOS.items()}
     stats = stats.withColumns(shares)
