@@ -123,9 +123,13 @@ def disclosing_terms(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Da
     beside = materialise(rows.mapInArrow(run, "h string, entity string, near string"), "pii-contexts")
     n_docs = rows.count()
     n_entity = beside.groupBy("entity").agg(F.count_distinct("h").alias("n_e"))
-    pairs = beside.select("entity", "h", F.xxhash64("near").alias("c"), F.explode(terms(F.col("near"))).alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("h").alias("n_te"), F.count_distinct("c").alias("support"))
-    pairs = materialise(pairs.filter(F.col("support") >= SUPPORT), "pii-pairs")
+    near = materialise(beside.select("entity", "h", F.xxhash64("near").alias("c"), F.explode(terms(F.col("near"))).alias("term")), "pii-near")
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct("h").alias("n_te"), F.count_distinct("c").alias("support"))
+    # A term stands in as many documents, at least, as it has beside any entity: that alone rules common words out.
+    least = near.groupBy("term").agg(F.count_distinct("h").alias("n_near"))
+    pairs = pairs.filter(F.col("support") >= SUPPORT).join(n_entity, "entity").join(least, "term")
+    enough = F.col("n_te") * F.pow(F.lit(float(n_docs)) / F.col("n_e"), F.lit(1 - DISCLOSE)) * (1 + 1e-9)
+    pairs = materialise(pairs.filter(F.col("n_near") <= enough).select("entity", "term", "n_te", "n_e"), "pii-pairs")
     # Documents of each candidate term, over the whole corpus.
     known = pairs.select("term").distinct()
     seen = rows.select(F.sha2("t", 256).alias("h"), F.explode(terms(F.col("t"))).alias("term")).join(known, "term", "left_semi")
@@ -133,7 +137,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Da
     n_term = seen.groupBy("term").agg(F.count_distinct("h").alias("n_t"))
     content = F.log2(F.lit(float(n_docs)) / F.col("n_e"))
     told = F.log2(F.col("n_te") * F.lit(float(n_docs)) / (F.greatest("n_t", "n_te") * F.col("n_e").cast("double")))
-    risky = pairs.join(n_entity, "entity").join(n_term, "term").filter((told > 0) & (told >= DISCLOSE * content))
+    risky = pairs.join(n_term, "term").filter((told > 0) & (told >= DISCLOSE * content))
     risky = risky.groupBy("term").agg(F.max(told / content).alias("ratio"))
     return risky, seen
 
