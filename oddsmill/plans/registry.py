@@ -1,9 +1,176 @@
 """Named queries over the test tables, and DuckDB SQL with the same results."""
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from oddsmill.functions import grid, normal
+from oddsmill.operators import markets, panel, regimes, variance, venues
+from oddsmill.plans.market import View
+from oddsmill.plans.oracles import SQL
+from oddsmill.sources import store
+
+#: Floors for the small test tables, in both dialects.
+CELL, FIT = 20, 10
+FEATURES = ["log_rv", "still", "jump_share", "off_centre", "ar1", "terminal"]
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six digits (no negative zero), integers as long: engines add doubles in different orders."""
+    def one(name: str, kind: str):
+        c = F.col(f"`{name}`")
+        if kind == "double":
+            return (F.round(c, 6) + F.lit(0.0)).alias(name)
+        return c.cast("long").alias(name) if kind in ("int", "smallint", "tinyint") else c
+
+    return df.select(*(one(*x) for x in df.dtypes))
+
+
+def _fixture(v: View, rows: list[tuple], schema: str) -> DataFrame:
+    return v.spark.createDataFrame(rows, schema)
+
+
+RAW_MARKETS = [
+    ("Will it rain?", '["Yes", "No"]', '["1", "0"]', '["71321", "88420"]', True, "1200.5"),
+    ("Who wins?", '["Alpha", "Beta"]', '["0.003", "0.997"]', '["911", "912"]', True, "88"),
+    ("Open one", '["No", "YES"]', '["0.40", "0.60"]', '["11", "12"]', False, "7"),
+    ("Broken", '["Yes", "No"', '["1", "0"]', '["5", "6"]', True, "3"),
+    ("Short", '["Yes", "No"]', '["1", "0"]', '["5"]', True, "3"),
+]
+RAW_NUMBERS = [("new", "0.9700", None, "97", False), ("legacy", None, None, "97", False), ("string", None, None, "0.7200", True), ("fp", None, "249280.80", None, False), ("none", None, None, None, False), ("bad", "x", None, "50", False)]
+RAW_CANDLES = [("a", 1704067200, 0.3, 0.5, 0.2, 0.4, 0.38, 0.42), ("a", 1704070800, None, None, None, None, 0.40, 0.50), ("a", 1704074400, None, None, None, None, None, 0.5)]
+
+
+def _upsert(v: View) -> DataFrame:
+    bars = v.bars("day").select("key", "ts", "close")
+    new = bars.filter(F.col("close") > 0.5).withColumn("close", F.col("close") + 0.001)
+    return store.latest(bars, new, ["key", "ts"]).select("key", "ts", "close")
+
+
+def _catalog_upsert(v: View) -> DataFrame:
+    old = v.catalog().select("key", "venue", "volume")
+    new = old.filter("venue = 1").select("key", "venue", (F.col("volume") + 1).alias("volume"), F.lit("x").alias("slug"))
+    return store.latest(old, new, ["key"]).select("key", "venue", "volume", "slug")
+
+
+def _grid(v: View) -> DataFrame:
+    p = v.raw()
+    return p.select("key", "ts_days", grid.price_bucket(F.col("p")).alias("bucket"), grid.price_label(grid.price_bucket(F.col("p"))).alias("label"), grid.tau_band(F.col("tau")).alias("band"), grid.tau_label(grid.tau_band(F.col("tau"))).alias("tau_label"), grid.distance_bucket(F.col("p")).alias("di"), grid.folded_ticks(F.col("p"), F.col("dp"), 0.01).alias("ticks"))
+
+
+def _normal(v: View) -> DataFrame:
+    x = v.prices.select("close").distinct()
+    return x.select("close", normal.probit(F.col("close")).alias("z"), normal.cdf(F.col("close") * 4 - 2).alias("cdf"), normal.density(F.col("close")).alias("pdf"))
+
+
+def _budgets(v: View) -> DataFrame:
+    return variance.lifetime_budget(v.markets())
+
+
+def _units(v: View) -> DataFrame:
+    rows = variance.lifetime_budget(v.markets()).withColumn("bucket", grid.price_bucket(F.col("p0")))
+    return rows.select("bucket", F.col("rv").alias("num"), F.col("iv").alias("den"), F.col("key").cast("long").alias("ord"))
+
+
+def _clustered(v: View) -> DataFrame:
+    rows = v.moves().withColumn("bucket", grid.price_bucket(F.col("p")))
+    return rows.groupBy("bucket", F.col("key").cast("long").alias("ord")).agg(F.sum("dp2").alias("num"), F.sum("v_gauss").alias("den"))
+
+
+def _cells(v: View) -> DataFrame:
+    return regimes.map_cells(v.moves(), least=CELL, pairs=10)
+
+
+def _segments(v: View) -> DataFrame:
+    return panel.segments(v.moves(), 0.30, 0.85, 1.0)
+
+
+def _aligned(v: View) -> DataFrame:
+    return venues.aligned(v.pairs(), v.bars("day"))
+
+
+def _features(v: View) -> DataFrame:
+    return markets.fingerprints(v.raw(), v.markets())
+
+
+def _labels(v: View) -> DataFrame:
+    c = v.catalog()
+    return c.select("key", (F.col("key").cast("long") % 4).alias("a"), (F.col("key").cast("long") % 6).alias("b"))
+
+
+def _tags(v: View) -> DataFrame:
+    rows = v.events.select(F.col("event_id").alias("event"), F.array("event_type", F.concat(F.lit("k"), F.get_json_object("props", "$.k").cast("int") % 7)).alias("tags"))
+    return rows
+
+
+QUERIES: dict[str, Callable[[View], DataFrame]] = {
+    "a05_catalog_upsert": _catalog_upsert,
+    "a07_bars_upsert": _upsert,
+    "a08_safe_names": lambda v: v.prices.select("event_type").distinct().select("event_type", store.safe_name(F.concat("event_type", F.lit("/x y:1"))).alias("name")),
+    "a10_select_markets": lambda v: store.select_markets(v.catalog(), True, 100.0, 50).select("key", "volume"),
+    "a11_todo": lambda v: store.todo(store.select_markets(v.catalog(), True), v.catalog().filter("venue = 0")).select("key", "volume"),
+    "a13_long_lived": lambda v: store.long_lived(v.catalog().withColumn("start", F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss'Z'")).withColumn("end", F.date_format("end", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), 50.0, 27.5, 1000).select("key", "days"),
+    "a17_parse_markets": lambda v: store.parse_markets(_fixture(v, RAW_MARKETS, "question string, outcomes string, outcomePrices string, clobTokenIds string, closed boolean, volume string")),
+    "a19_numbers": lambda v: _fixture(v, RAW_NUMBERS, "name string, dollars string, fp string, legacy string, is_string boolean").select("name", store.number(F.col("dollars"), F.col("fp"), F.col("legacy"), F.col("is_string"), True).alias("value")),
+    "a20_candles": lambda v: store.candles(_fixture(v, RAW_CANDLES, "key string, end long, open double, high double, low double, close double, bid double, ask double")),
+    "a21_resample": lambda v: store.resample(v.prices.select("key", F.floor(F.unix_micros("ts") / 1000000).alias("t"), F.col("close").alias("p"), F.col("event_id").alias("seq")), 14400),
+    "a22_chunks": lambda v: store.chunks(v.catalog().select("key", F.date_trunc("day", "start").alias("t0"), F.date_trunc("day", "end").alias("t1")), 7),
+    "a31_vintage_diff": lambda v: store.vintage_diff(v.bars("day"), _upsert(v)),
+    "a32_violations": lambda v: store.violations(v.bars("day"), v.catalog()),
+    "b01_grid": _grid,
+    "b07_normal": _normal,
+    "c01_markets": lambda v: v.markets(),
+    "c02_raw_panel": lambda v: v.raw(),
+    "c03_move_panel": lambda v: v.moves().select("key", "ts_days", "p", "dp", "dt", "tau", "v_binom", "v_gauss", "v_wf", "z", "lam"),
+    "c04_hourly_pairs": lambda v: panel.hourly_pairs(v.bars("hour")),
+    "c05_segments": _segments,
+    "c09_start_states": lambda v: panel.start_states(v.markets()),
+    "c10_remaining_variance": lambda v: panel.remaining_variance(v.markets(), panel.start_states(v.markets())),
+    "c12_folds": lambda v: panel.folds(v.catalog()),
+    "d01_budget_slope": lambda v: variance.budget_slope(_budgets(v)),
+    "d02_lifetime_budget": _budgets,
+    "d03_budget_by_bucket": lambda v: variance.budget_by_bucket(_budgets(v)),
+    "d04_budget_bootstrap": lambda v: variance.bootstrap(_units(v), ["bucket"], 200),
+    "d05_local_slopes": lambda v: variance.local_slopes(v.moves()),
+    "d06_local_ratios": lambda v: variance.local_ratios(v.moves()),
+    "d07_clustered_bootstrap": lambda v: variance.bootstrap(_clustered(v), ["bucket"], 200),
+    "d08_power_cells": lambda v: variance.power_cells(v.moves(), least=FIT),
+    "d08_power_fit": lambda v: variance.power_fit(variance.power_cells(v.moves(), least=FIT)),
+    "d09_power_fit_bulk": lambda v: variance.power_fit(variance.power_cells(v.moves().filter("p >= 0.15 and p < 0.85"), least=FIT)),
+    "d10_kurtosis": lambda v: variance.kurtosis_by_bucket(v.moves()),
+    "d11_acf_z": lambda v: variance.acf(v.moves(), "z"),
+    "d11_acf_lam": lambda v: variance.acf(v.moves(), "lam"),
+    "e01_map_cells": _cells,
+    "e04_rectangle": lambda v: regimes.rectangle(_cells(v)),
+    "e05_regime_shares": lambda v: regimes.shares(_cells(v)),
+    "e07_pivot": lambda v: regimes.pivoted(_cells(v), "n"),
+    "h02_tick_histogram": lambda v: regimes.tick_histogram(regimes.tick_rows(v.raw(), None, 0.01)),
+    "h06_endgame_cells": lambda v: regimes.endgame_cells(v.raw(), 0.01, least=CELL),
+    "h10_spend_profile": lambda v: regimes.spend_profile(v.markets(), v.raw()),
+    "i02_cell_variances": lambda v: regimes.cell_variances(v.raw()),
+    "j03_aligned": _aligned,
+    "j04_gap_stats": lambda v: venues.gap_stats(_aligned(v)),
+    "j06_paired_budget": lambda v: venues.paired_budget(_aligned(v)),
+    "j06_paired_summary": lambda v: venues.paired_summary(venues.paired_budget(_aligned(v))),
+    "j07_paired_power": lambda v: venues.paired_power(_aligned(v), "p_k"),
+    "j08_cross_correlation": lambda v: venues.cross_correlation(_aligned(v)),
+    "j09_predictive": lambda v: venues.predictive(_aligned(v), "dm", "dk"),
+    "k01_fingerprints": _features,
+    "k03_standardised": lambda v: markets.standardised(_features(v), FEATURES),
+    "k07_adjusted_rand": lambda v: markets.adjusted_rand(_labels(v), "a", "b"),
+    "k08_categories": lambda v: markets.categories(_tags(v)),
+    "k12_intraday": lambda v: markets.intraday(panel.hourly_pairs(v.bars("hour"))),
+    "k13_signature": lambda v: markets.signature(v.bars("hour"), v.bars("day")),
+    "k17_ladder_bins": lambda v: markets.ladder_bins(v.strikes()),
+    "k18_strip_moments": lambda v: markets.strip_moments(markets.ladder_bins(v.strikes())),
+}
 
 
 def queries() -> dict:
-    return {}
+    return {name: (lambda spark, sf_dir, f=f: rounded(f(View(spark, sf_dir)))) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
