@@ -146,7 +146,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
                 own = pa.array([encoder.ids(t) for t in part.column(len(rest)).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], own], names=[*rest, ids])
 
-    kept = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text).cast("string").alias("_encoded"))
+    kept = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text).cast("string").alias("_bpe_text"))
     return kept.mapInArrow(run, schema_of(docs, rest, **{ids: T.ArrayType(T.IntegerType())}))
 
 
@@ -180,7 +180,7 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", out: str = "byt
             own = pa.array([b"".join(known[i] for i in x or ()) for x in b.column(len(rest)).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], own], names=[*rest, out])
 
-    kept = tokens.select(*(F.col(f"`{c}`") for c in rest), F.col(ids).cast("array<int>").alias("_decoded"))
+    kept = tokens.select(*(F.col(f"`{c}`") for c in rest), F.col(ids).cast("array<int>").alias("_bpe_ids"))
     return kept.mapInArrow(run, schema_of(tokens, rest, **{out: T.BinaryType()}))
 
 

@@ -47,6 +47,11 @@ def minhash(own: Column, p: int) -> Column:
     return F.array_min(F.transform(own, lambda x: F.xxhash64(x, F.lit(p))))
 
 
+def least_shingle(own: Column, p: int) -> Column:
+    """The shingle that gives minhash(own, p)."""
+    return F.array_min(F.transform(own, lambda x: F.struct(F.xxhash64(x, F.lit(p)).alias("h"), x.alias("s")))).getField("s")
+
+
 def bands(own: Column) -> Column:
     """Array of (band, key)."""
     return F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(*(minhash(own, b * ROWS + r) for r in range(ROWS))).alias("key")) for b in range(HASHES // ROWS)))
@@ -72,7 +77,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
     if not known:
         return docs.select(F.col(doc_id).alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("start_word"), F.lit(0).cast("long").alias("n_windows")).limit(0)
     # The shingles that give the templates' MinHashes: at most HASHES of each.
-    giving = F.array_distinct(F.array(*(F.array_min(F.transform(F.col("own"), lambda x, p=p: F.struct(F.xxhash64(x, F.lit(p)).alias("h"), x.alias("s")))).getField("s") for p in range(HASHES))))
+    giving = F.array_distinct(F.array(*(least_shingle(F.col("own"), p) for p in range(HASHES))))
     pivots = table.select(F.explode(giving).alias("pivot"), "n").distinct()
     at_most = sorted({r.pivot for r in pivots.select("pivot").collect()})
     first, last = sorted({p.split(" ")[0] for p in at_most}), sorted({p.split(" ")[-1] for p in at_most})

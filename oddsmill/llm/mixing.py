@@ -104,7 +104,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it, to the nearest whole copy (0 to 3)."""
-    copies = mix(docs).groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")).alias("_copies"))
-    copies = copies.filter("_copies > 0").withColumnRenamed("doc_id", "_doc_id")
-    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = mix(docs).groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")).alias("_mix_copies"))
+    copies = copies.filter("_mix_copies > 0").withColumnRenamed("doc_id", "_mix_doc_id")
+    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_mix_doc_id")))
+    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)

@@ -143,18 +143,16 @@ def disclosing_terms(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Da
 
 
 def with_terms(docs: DataFrame, text: str, action_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with _t, the text, and _risky, its disclosing terms: `-` before those to remove, `~` before those to generalise."""
+    """docs with _pii_text, the text, and _pii_terms, its disclosing terms: `-` before those to remove, `~` before those to generalise."""
     risky, seen = disclosing_terms(docs, text)
     flagged = risky.select("term", F.concat(F.when(F.col("ratio") >= REMOVE, "-").otherwise("~"), "term").alias("flag"))
-    hits = materialise(seen.join(flagged, "term").groupBy("h").agg(F.sort_array(F.collect_set("flag")).alias("_risky")), "pii-hits")
-    n, size = hits.agg(F.count("*"), F.sum(F.length(F.array_join("_risky", ",")) + 72)).first()
-    rows = docs.select("*", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
+    hits = materialise(seen.join(flagged, "term").groupBy("h").agg(F.sort_array(F.collect_set("flag")).alias("_pii_terms")), "pii-hits")
+    n, size = hits.agg(F.count("*"), F.sum(F.length(F.array_join("_pii_terms", ",")) + 72)).first()
+    rows = docs.select("*", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_pii_text"))
     if not n:
-        return rows.withColumn("_risky", F.lit(None).cast("array<string>"))
-    rows = rows.withColumn("h", F.sha2("_t", 256)) if "h" not in docs.columns else rows.withColumn("_h", F.sha2("_t", 256))
-    key = "h" if "h" not in docs.columns else "_h"
-    hits = hits.withColumnRenamed("h", key)
-    return rows.join(F.broadcast(hits) if size <= action_bytes else hits, key, "left").drop(key)
+        return rows.withColumn("_pii_terms", F.lit(None).cast("array<string>"))
+    rows, hits = rows.withColumn("_pii_key", F.sha2("_pii_text", 256)), hits.withColumnRenamed("h", "_pii_key")
+    return rows.join(F.broadcast(hits) if size <= action_bytes else hits, "_pii_key", "left").drop("_pii_key")
 
 
 def term_spans(t: str, risky: list[str] | None, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, bool]]:
@@ -193,7 +191,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    rows = with_terms(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "_t", "_risky")
+    rows = with_terms(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "_pii_text", "_pii_terms")
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
@@ -216,7 +214,7 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
                 out.append(None if whole is None else "".join([*parts, t[done:]]) if cuts else t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at else b.column(k) for k in range(len(names))], names=names)
 
-    return with_terms(docs, text).select(*(F.col(f"`{c}`") for c in names), "_t", "_risky").mapInArrow(run, docs.schema)
+    return with_terms(docs, text).select(*(F.col(f"`{c}`") for c in names), "_pii_text", "_pii_terms").mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

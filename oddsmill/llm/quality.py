@@ -95,8 +95,9 @@ class Condition:
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.feature] > self.cut if self.above else x[self.feature] <= self.cut
 
-    def column(self) -> Column:
-        return F.col(self.feature) > F.lit(self.cut) if self.above else F.col(self.feature) <= F.lit(self.cut)
+    def column(self, prefix: str = "") -> Column:
+        x = F.col(prefix + self.feature)
+        return x > F.lit(self.cut) if self.above else x <= F.lit(self.cut)
 
     def __str__(self) -> str:
         return f"{self.feature} {'>' if self.above else '<='} {self.cut:.6g}"
@@ -164,13 +165,13 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 7) -> list[Rule
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], prefix: str = "") -> Column:
     """False for rows that a rule covers, in order; true for the others."""
     out = F.lit(True)
     for rule in reversed(rules):
         hit = F.lit(True)
         for c in rule:
-            hit = hit & c.column()
+            hit = hit & c.column(prefix)
         out = F.when(hit, F.lit(False)).otherwise(out)
     return out
 
@@ -208,11 +209,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(rows[:, k]) for k in range(len(COUNTS)))], names=[*names, *own])
 
     # The rows travel with their statistics, so that no join by doc_id is needed.
-    names, own = docs.columns, [f"_{c}" for c in COUNTS]
-    with_text = docs.select("*", F.col("text").cast("string").alias("_text"))
+    names, own = docs.columns, [f"_quality_{c}" for c in COUNTS]
+    with_text = docs.select("*", F.col("text").cast("string").alias("_quality_text"))
     stats = with_text.mapInArrow(run, schema_of(docs, names, **{c: T.LongType() for c in own}))
-    value = {c: F.col(f"_{c}") for c in COUNTS}
-    shares = {k: F.when(value[b] > 0, value[a] / value[b]).otherwise(F.lit(0.0)) for k, (a, b) in RATIOS.items()}
+    value = {c: F.col(f"_quality_{c}") for c in COUNTS}
+    shares = {f"_quality_{k}": F.when(value[b] > 0, value[a] / value[b]).otherwise(F.lit(0.0)) for k, (a, b) in RATIOS.items()}
     stats = stats.withColumns(shares)
-    passed = (value["n_words"] >= 20) & (100 * value["n_repeat_words"] <= 30 * value["n_words"]) & verdict(rules)
+    passed = (value["n_words"] >= 20) & (100 * value["n_repeat_words"] <= 30 * value["n_words"]) & verdict(rules, "_quality_")
     return stats.filter(passed).select(*names)

@@ -30,6 +30,7 @@ ID = "urn:x-page:"
 
 def record(page_id, url: str | None, payload: bytes, sha1: str, refers_to) -> bytes:
     """A response record, or a revisit if refers_to is given: that keeps the HTTP head but not the payload."""
+    page_id = "null" if page_id is None else page_id
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
     fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<{ID}{page_id}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
