@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids of a block; bits of the order-2 and order-1 tables; sum of the order-0 frequencies as a power of two.
-BLOCK, BITS2, BITS1, SUM = 4096, 11, 10, 20
+BLOCK, BITS2, BITS1, SUM = 1024, 9, 8, 20
 #: Growth of a count, and the sum at which counts are halved.
 STEP, MOST = 24, 4000
 U = np.uint64

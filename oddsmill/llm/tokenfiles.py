@@ -6,7 +6,9 @@ a CRC-32; and the table's offset. A task writes one file or more, each of FILE_I
 """
 from __future__ import annotations
 
+import gc
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,13 +24,25 @@ from oddsmill.llm import files, rangecoder
 from oddsmill.llm.common import materialise, scratch
 
 MAGIC = b"OMTOK001"
-#: Ids after which a file is closed, text bytes that a task encodes, words whose ids a worker remembers, blocks coded at a time.
-FILE_IDS, TASK_BYTES, MEMO, LANES = 6_000_000, 24 << 20, 600_000, 2048
+#: Ids after which a file is closed, text bytes that a task encodes, chunks and pieces whose ids a worker remembers, blocks coded at a time.
+FILE_IDS, TASK_BYTES, MEMO, LANES = 6_000_000, 24 << 20, 600_000, 8192
+#: Pieces of letters that reach the tokenizer in one string.
+TOGETHER = 64
 NO_ID = -(1 << 63)  # stands for a null doc_id in a file's table
+#: Pieces of a chunk. Cuts lie between two ASCII characters only, at a change between letters, digits and other marks,
+#: and around each digit, where the pre-tokeniser cuts too; never after an apostrophe, which may start a contraction.
+PIECE = re.compile(
+    rb"[A-Za-z\x80-\xff]*[A-Za-z](?=[!-@\[-`{-~])|[A-Za-z\x80-\xff]+\Z|[0-9](?=[!-~]|\Z)|[!-&(-/:-@\[-`{-~]+(?=[0-9A-Za-z]|\Z)"
+    rb"|.+?(?:(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[0-9])(?=[!-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[0-9A-Za-z])|(?<=')(?=[0-9])|\Z)",
+    re.DOTALL,
+)
 
 
 class Tokens:
-    """Ids of texts by a tokenizers file whose pre-tokeniser never crosses ASCII white space: chunk by chunk, each chunk once."""
+    """Ids of texts by a tokenizers file whose pre-tokeniser never crosses ASCII white space: chunk by chunk, each chunk once.
+
+    A new chunk is cut into pieces that the pre-tokeniser separates as well, and only new pieces reach the tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,20 +51,53 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        self.memo: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str], end: int) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.final = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.size)])  # ids that end a pre-token
+        self.memo: dict[bytes, bytes] = {}  # chunks and their pieces
+
+    def learn(self, new: list[str]) -> None:
+        """Encode new pieces: those of letters many at a time, as each holds a pre-token or more, so that equal numbers mean one each."""
+        words = [w for w in new if w.isalpha()]
+        alone = [w for w in new if not w.isalpha()]
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.flatnonzero(self.final[ids]) + 1) * 4
+            if len(ends) != len(g):
+                alone += g
+                continue
+            packed, at = ids.tobytes(), 0
+            for w, to in zip(g, ends.tolist(), strict=True):
+                self.memo[w.encode()] = packed[at:to]
+                at = to
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            i = e.ids
+            self.memo[w.encode()] = struct.pack(f"<{len(i)}I", *i)
+
+    def ids(self, texts: list[bytes], end: int) -> list[bytes]:
+        """Ids of each text (UTF-8) and the end id, as little-endian unsigned 32-bit integers."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        parts = [[x.decode("utf-8", "surrogatepass") for x in t.encode("utf-8", "surrogatepass").split()] for t in texts]
-        new = list(set(chain.from_iterable(parts)).difference(self.memo))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memo[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        collecting = gc.isenabled()
+        gc.disable()  # nothing below is cyclic, and each collection would go through the memo
+        try:
+            return self._ids(texts, end)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _ids(self, texts: list[bytes], end: int) -> list[bytes]:
+        parts = [t.split() for t in texts]
+        cut = [(w, PIECE.findall(w)) for w in set(chain.from_iterable(parts)).difference(self.memo)]
+        unknown = list({x for _, c in cut for x in c}.difference(self.memo))
+        for at in range(0, len(unknown), 20_000):
+            self.learn([x.decode("utf-8", "replace") for x in unknown[at : at + 20_000]])
+        known = self.memo.__getitem__
+        for w, c in cut:
+            if len(c) > 1:
+                self.memo[w] = b"".join(map(known, c))
         last = struct.pack("<I", end)
-        return [b"".join([*map(self.memo.__getitem__, p), last]) for p in parts]
+        return [b"".join([*map(known, p), last]) for p in parts]
 
 
 WORKER: dict[str, Tokens] = {}
@@ -148,7 +195,7 @@ def write(docs: DataFrame, uri: str, tokenizer: str, end: int, text: str = "text
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 some = b.slice(at, 2000)
-                for i, x in zip(some.column(0).to_pylist(), own.ids(some.column(1).to_pylist(), end), strict=True):
+                for i, x in zip(some.column(0).to_pylist(), own.ids(some.column(1).cast(pa.binary()).to_pylist(), end), strict=True):
                     held.append((i, x))
                     size += len(x) // 4
                     if size >= FILE_IDS:
