@@ -50,3 +50,12 @@ def folded_ticks(p: Column, dp: Column, unit: float) -> Column:
 def rates(p: Column, dt: Column, tau: Column) -> dict[str, Column]:
     """Variance that three candidate local rates expect of a move."""
     return {"v_binom": p * (1 - p) / tau * dt, "v_gauss": F.pow(density(probit(p)), 2) / tau * dt, "v_wf": p * (1 - p) * dt}
+
+
+#: Edges 0.05, 0.10, ... 0.95 at which empirical rates are binned.
+RATE_EDGES = tuple(i / 20 for i in range(1, 20))
+
+
+def steps(x: Column, edges) -> Column:
+    """Number of edges that x has reached."""
+    return sum(((x >= e).cast("int") for e in edges), F.lit(0))

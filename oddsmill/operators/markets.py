@@ -104,3 +104,15 @@ def categories(tags: DataFrame, most: int = 4) -> DataFrame:
     best = rows.join(counts, "tag").groupBy("event").agg(F.max_by("tag", F.struct("n", -F.col("pos"))).alias("tag"))
     top = best.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(most).select("tag", F.lit(True).alias("top"))
     return best.join(F.broadcast(top), "tag", "left").select("event", F.when(F.col("top"), F.col("tag")).otherwise("other").alias("category"))
+
+
+def daily_variance(bars: DataFrame) -> DataFrame:
+    """Sum of the squared close-to-close moves of each key; 0 for a single bar."""
+    move = F.col("close") - F.lag("close").over(Window.partitionBy("key").orderBy("ts"))
+    return bars.select("key", F.coalesce(move * move, F.lit(0.0)).alias("m")).groupBy("key").agg(F.sum("m").alias("rv"))
+
+
+def summary(rows: DataFrame, by: str, unit: str, value: str) -> DataFrame:
+    """Different units, rows, median and quartiles (interpolated) of a value in each group."""
+    parts = [F.percentile(value, q).alias(n) for n, q in (("med", 0.5), ("q25", 0.25), ("q75", 0.75))]
+    return rows.groupBy(by).agg(F.countDistinct(unit).alias("units"), F.count("*").alias("n"), *parts)

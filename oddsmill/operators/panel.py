@@ -102,3 +102,9 @@ def folds(catalog: DataFrame, bounds=((0.0, 0.5, 0.75), (0.0, 0.75, 1.0))) -> Da
     rows = rows.withColumn("n", n)
     parts = [F.struct(F.lit(k).alias("fold"), F.when(F.col("i") < F.floor(F.lit(lo) * F.col("n")), "train").when(F.col("i") < F.floor(F.lit(hi) * F.col("n")), "test").alias("part")) for k, (_, lo, hi) in enumerate(bounds)]
     return rows.select("key", F.explode(F.array(*parts)).alias("f")).select("key", "f.fold", "f.part").filter("part is not null")
+
+
+def random_split(keys: DataFrame, share: float = 0.3, seed: int = 7) -> DataFrame:
+    """keys with is_test: a share of the keys by a hash of seed and key, so that reruns and added keys change no other key's side."""
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return keys.withColumn("is_test", u < share)

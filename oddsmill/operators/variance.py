@@ -138,3 +138,11 @@ def acf(moves: DataFrame, column: str, lags: int = 5) -> DataFrame:
     total = F.sum(F.col("v") * F.col("v"))
     got = rows.agg(*(ratio(F.sum(F.col("v") * F.col(f"l{k}")), total).alias(f"l{k}") for k in range(1, lags + 1)))
     return got.select(F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"l{k}").alias("acf")) for k in range(1, lags + 1)))).alias("x")).select("x.*")
+
+
+def rate_by_price(moves: DataFrame, alpha: float, least: int = 200) -> DataFrame:
+    """Mean of dp2 / dt * tau ** alpha by price step of 0.05, with its 95 % half-width: (bin, n, p, rate, half), `least` moves a bin at least."""
+    y = F.col("dp2") / F.col("dt") * F.pow("tau", F.lit(alpha))
+    rows = moves.select("p", y.alias("y"), grid.steps(F.col("p"), grid.RATE_EDGES).alias("bin"))
+    out = rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("y").alias("rate"), F.stddev_samp("y").alias("sd"))
+    return out.filter(F.col("n") >= least).select("bin", "n", "p", "rate", (1.96 * F.col("sd") / F.sqrt("n")).alias("half"))

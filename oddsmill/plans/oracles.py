@@ -1,7 +1,7 @@
 """DuckDB SQL with the results of the registered queries, written from the operators' definitions."""
 from __future__ import annotations
 
-from oddsmill.functions.grid import DISTANCE_EDGES, PRICE_EDGES, TAU_EDGES
+from oddsmill.functions.grid import DISTANCE_EDGES, PRICE_EDGES, RATE_EDGES, TAU_EDGES
 from oddsmill.functions.normal import CENTRE, HART, MIDDLE, TAIL
 
 
@@ -163,6 +163,9 @@ SELECT key, f AS "from", least(f + INTERVAL 7 DAY, t1) AS "to" FROM x1"""),
 SELECT count(*) AS keys, median(d) AS p50, quantile_cont(d, 0.95) AS p95, max(d) AS most FROM x0""", "p50 p95 most"),
     "a32_violations": _query("""x0 AS (SELECT key, max(close) AS top, count(*) FILTER (close NOT BETWEEN 0 AND 1) AS o FROM daily GROUP BY key)
 SELECT CAST(sum(o) AS BIGINT) AS out_of_range, median(top) AS median_top, (SELECT count(*) FROM cat WHERE final_price NOT IN (0, 1)) AS bad_finals FROM x0""", "median_top"),
+    "a38_window_end": _query("SELECT key, t_end + CASE WHEN venue = 1 THEN INTERVAL 3 DAY ELSE INTERVAL 1 DAY END AS until FROM cat"),
+    "a39_utc": "SELECT * FROM (VALUES ('2024-01-05T06:07:08Z', TIMESTAMP '2024-01-05 06:07:08'), ('2024-01-05T06:07:08', TIMESTAMP '2024-01-05 06:07:08'), ('2024-01-05T06:07:08+02:00', TIMESTAMP '2024-01-05 04:07:08'), ('2024-01-05', TIMESTAMP '2024-01-05 00:00:00'), ('', NULL), ('soon', NULL)) t(raw, ts)",
+    "a40_tier": _query("SELECT key, CASE WHEN closed AND t_end + CASE WHEN venue = 1 THEN INTERVAL 3 DAY ELSE INTERVAL 1 DAY END < TIMESTAMP '2024-01-20 00:00:00' THEN 'historical' ELSE 'live' END AS tier FROM cat"),
     "b01_grid": _query(f"SELECT key, ts_days, CAST({BUCKET} AS BIGINT) AS bucket, {_label(BUCKET, PRICE_LABELS)} AS label, CAST({BAND} AS BIGINT) AS band, {_label(BAND, TAU_LABELS)} AS tau_label, CAST({_steps('least(p, 1 - p)', DISTANCE_EDGES[1:-1])} AS BIGINT) AS di, CAST(round_even(CASE WHEN p <= 0.5 THEN dp ELSE -dp END / 0.01::DOUBLE, 0) AS BIGINT) AS ticks FROM raw"),
     "b07_normal": _query(f"x0 AS (SELECT DISTINCT close, close * 4 - 2 AS x FROM ev)\nSELECT close, {_probit('close')} AS z, {_cdf('x')} AS cdf, exp(-close * close / 2) / sqrt(2 * pi()) AS pdf FROM x0", "z cdf pdf"),
     "c01_markets": _query("SELECT key, ts_days, close, final, t_res FROM mk"),
@@ -180,6 +183,7 @@ SELECT x3.key, band, p0, sum(CASE WHEN abs(nx - close) < 0.02::DOUBLE THEN (nx -
     "c12_folds": _query("""x0 AS (SELECT key, row_number() OVER (ORDER BY t_end NULLS FIRST, key) - 1 AS i, count(*) OVER () AS n FROM cat),
 x1 AS (SELECT key, fold, CASE WHEN i < floor(lo * n) THEN 'train' WHEN i < floor(hi * n) THEN 'test' END AS part FROM x0, (VALUES (0::BIGINT, 0.5::DOUBLE, 0.75::DOUBLE), (1, 0.75, 1.0)) b(fold, lo, hi))
 SELECT * FROM x1 WHERE part IS NOT NULL"""),
+    "c13_random_split": _query("SELECT key, CAST('0x' || substr(md5('7:' || key), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.3::DOUBLE AS is_test FROM cat"),
     "d01_budget_slope": _query(f"SELECT {_iv[0]} AS slope, {_iv[1]} AS se, count(*) AS n FROM bud", "slope se"),
     "d02_lifetime_budget": _query("SELECT key, p0, rv, iv FROM bud", "rv iv"),
     "d03_budget_by_bucket": _query(f"SELECT CAST(bucket AS BIGINT) AS bucket, count(*) AS n, sum(rv) / nullif(sum(iv), 0) AS ratio, {_label('bucket', PRICE_LABELS)} AS label FROM bud GROUP BY bucket", "ratio"),
@@ -192,6 +196,7 @@ SELECT * FROM x1 WHERE part IS NOT NULL"""),
     "d09_power_fit_bulk": _query(_power("(SELECT * FROM mv WHERE p >= 0.15::DOUBLE AND p < 0.85::DOUBLE)") + _fit(), "c gamma alpha"),
     "d10_kurtosis": _query("SELECT CAST(pi AS BIGINT) AS bucket, count(*) AS n, kurtosis_pop(z) AS kurt FROM mv GROUP BY pi HAVING count(*) >= 30", "kurt"),
     **{f"d11_acf_{c}": _query(f"x0 AS (SELECT key, ts_days, {c} - avg({c}) OVER (PARTITION BY key) AS v FROM mv),\nx1 AS (SELECT *, " + ", ".join(f"lag(v, {k}) OVER (PARTITION BY key ORDER BY ts_days) AS l{k}" for k in range(1, 6)) + " FROM x0),\nx2 AS (SELECT " + ", ".join(f"sum(v * l{k}) / nullif(sum(v * v), 0) AS a{k}" for k in range(1, 6)) + " FROM x1)\nSELECT lag, acf FROM (" + " UNION ALL ".join(f"(select {k}::BIGINT AS lag, a{k} AS acf FROM x2)" for k in range(1, 6)) + ")", "acf") for c in ("z", "lam")},
+    "d14_rate_by_price": _query(f"SELECT CAST({_steps('p', RATE_EDGES)} AS BIGINT) AS bin, count(*) AS n, avg(p) AS p, avg(dp2 / dt * sqrt(tau)) AS rate, 1.96 * stddev_samp(dp2 / dt * sqrt(tau)) / sqrt(count(*)) AS half FROM mv GROUP BY 1 HAVING count(*) >= 20", "p rate half"),
     "e01_map_cells": _query("SELECT * REPLACE (CAST(pi AS BIGINT) AS pi, CAST(ti AS BIGINT) AS ti, CAST(regime AS BIGINT) AS regime) FROM cells", "still_frac excess_still kurt_z jump_share ratio_fit budget_share"),
     "e04_rectangle": _query("""x0 AS (SELECT pi FROM cells WHERE ti >= 2 GROUP BY pi HAVING avg(CASE WHEN regime = 1 THEN 1.0::DOUBLE ELSE 0 END) > 0.5),
 x1 AS (SELECT ti FROM cells JOIN x0 USING (pi) GROUP BY ti HAVING avg(CASE WHEN regime = 1 THEN 1.0::DOUBLE ELSE 0 END) > 0.5)
@@ -250,6 +255,8 @@ x1 AS (SELECT key, sum(d * d) AS rv FROM (SELECT key, close - lag(close) OVER (P
 x2 AS (SELECT key, close - lag(close) OVER (PARTITION BY key ORDER BY day) AS d FROM daily JOIN x0 USING (key) WHERE day BETWEEN t0 - INTERVAL 1 HOUR AND t1 + INTERVAL 1 HOUR),
 x3 AS (SELECT key, sum(d * d) AS rv FROM x2 GROUP BY key)
 SELECT key, x1.rv / x3.rv AS signature FROM x1 JOIN x3 USING (key) WHERE x3.rv > 0""", "signature"),
+    "k14_daily_variance": _query("x0 AS (SELECT key, close - lag(close) OVER (PARTITION BY key ORDER BY day) AS m FROM daily)\nSELECT key, coalesce(sum(m * m), 0) AS rv FROM x0 GROUP BY key", "rv"),
+    "k19_summary": _query("SELECT event, count(DISTINCT ts) AS units, count(*) AS n, quantile_cont(prob, 0.5) AS med, quantile_cont(prob, 0.25) AS q25, quantile_cont(prob, 0.75) AS q75 FROM lad GROUP BY event", "med q25 q75"),
     "k17_ladder_bins": _query("SELECT * FROM lad", "lo hi prob"),
     "k18_strip_moments": _query("""x0 AS (SELECT event, ts, sum(prob) AS total, sum(prob * (lo + hi) / 2) AS a, sum(prob * (lo + hi) / 2 * (lo + hi) / 2) AS b FROM lad GROUP BY ALL)
 SELECT event, ts, total, a / total AS mean, sqrt(greatest(b / total - a / total * a / total, 0)) AS std FROM x0 WHERE total BETWEEN 0.7 AND 1.3""", "total mean std"),

@@ -43,6 +43,16 @@ RAW_NUMBERS = [("new", "0.9700", None, "97", False), ("legacy", None, None, "97"
 RAW_CANDLES = [("a", 1704067200, 0.3, 0.5, 0.2, 0.4, 0.38, 0.42), ("a", 1704070800, None, None, None, None, 0.40, 0.50), ("a", 1704074400, None, None, None, None, None, 0.5)]
 
 
+RAW_TIMES = ["2024-01-05T06:07:08Z", "2024-01-05T06:07:08", "2024-01-05T06:07:08+02:00", "2024-01-05", "", "soon"]
+CUTOFF = "2024-01-20 00:00:00+00:00"
+
+
+def _spans(v: View) -> DataFrame:
+    """The catalog with settlement times for one venue."""
+    late = F.when(F.col("venue") == 1, F.col("end") + F.expr("INTERVAL 2 DAYS"))
+    return v.catalog().withColumn("until", store.window_end(F.col("end"), late))
+
+
 def _upsert(v: View) -> DataFrame:
     bars = v.bars("day").select("key", "ts", "close")
     new = bars.filter(F.col("close") > 0.5).withColumn("close", F.col("close") + 0.001)
@@ -119,6 +129,9 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "a22_chunks": lambda v: store.chunks(v.catalog().select("key", F.date_trunc("day", "start").alias("t0"), F.date_trunc("day", "end").alias("t1")), 7),
     "a31_vintage_diff": lambda v: store.vintage_diff(v.bars("day"), _upsert(v)),
     "a32_violations": lambda v: store.violations(v.bars("day"), v.catalog()),
+    "a38_window_end": lambda v: _spans(v).select("key", "until"),
+    "a39_utc": lambda v: _fixture(v, [(x,) for x in RAW_TIMES], "raw string").select("raw", store.utc(F.col("raw")).alias("ts")),
+    "a40_tier": lambda v: _spans(v).select("key", store.tier(F.col("closed"), F.col("until"), F.lit(CUTOFF).cast("timestamp")).alias("tier")),
     "b01_grid": _grid,
     "b07_normal": _normal,
     "c01_markets": lambda v: v.markets(),
@@ -129,6 +142,7 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "c09_start_states": lambda v: panel.start_states(v.markets()),
     "c10_remaining_variance": lambda v: panel.remaining_variance(v.markets(), panel.start_states(v.markets())),
     "c12_folds": lambda v: panel.folds(v.catalog()),
+    "c13_random_split": lambda v: panel.random_split(v.catalog().select("key")),
     "d01_budget_slope": lambda v: variance.budget_slope(_budgets(v)),
     "d02_lifetime_budget": _budgets,
     "d03_budget_by_bucket": lambda v: variance.budget_by_bucket(_budgets(v)),
@@ -142,6 +156,7 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "d10_kurtosis": lambda v: variance.kurtosis_by_bucket(v.moves()),
     "d11_acf_z": lambda v: variance.acf(v.moves(), "z"),
     "d11_acf_lam": lambda v: variance.acf(v.moves(), "lam"),
+    "d14_rate_by_price": lambda v: variance.rate_by_price(v.moves(), 0.5, CELL),
     "e01_map_cells": _cells,
     "e04_rectangle": lambda v: regimes.rectangle(_cells(v)),
     "e05_regime_shares": lambda v: regimes.shares(_cells(v)),
@@ -163,7 +178,9 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "k08_categories": lambda v: markets.categories(_tags(v)),
     "k12_intraday": lambda v: markets.intraday(panel.hourly_pairs(v.bars("hour"))),
     "k13_signature": lambda v: markets.signature(v.bars("hour"), v.bars("day")),
+    "k14_daily_variance": lambda v: markets.daily_variance(v.bars("day")),
     "k17_ladder_bins": lambda v: markets.ladder_bins(v.strikes()),
+    "k19_summary": lambda v: markets.summary(markets.ladder_bins(v.strikes()), "event", "ts", "prob"),
     "k18_strip_moments": lambda v: markets.strip_moments(markets.ladder_bins(v.strikes())),
 }
 

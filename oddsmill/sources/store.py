@@ -142,3 +142,19 @@ def resample(points: DataFrame, seconds: int) -> DataFrame:
     end = F.ceil(F.col("t") / seconds) * seconds
     out = rows.groupBy("key", end.alias("end")).agg(F.min_by("p", "t").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "t").alias("close"))
     return out.select("key", F.timestamp_seconds("end").alias("ts"), "open", "high", "low", "close")
+
+
+def utc(text: Column) -> Column:
+    """Timestamp of ISO 8601 text; text without a zone is in UTC; empty or malformed text gives null."""
+    s = F.trim(text)
+    return F.try_to_timestamp(F.when(s.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$") & s.contains(":"), s).when(s != "", F.concat(s, F.when(s.contains(":"), "Z").otherwise("T00:00:00Z"))))
+
+
+def window_end(end: Column, settlement: Column) -> Column:
+    """End of the span for which bars are wanted: a day after the later of end and settlement (either may be null)."""
+    return F.greatest(end, settlement) + F.expr("INTERVAL 1 DAY")
+
+
+def tier(closed: Column, until: Column, cutoff: Column) -> Column:
+    """Which archive is asked first: historical for closed markets that end before the cutoff; live otherwise and without a cutoff."""
+    return F.when(F.coalesce(closed & (until < cutoff), F.lit(False)), "historical").otherwise("live")
