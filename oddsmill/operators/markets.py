@@ -116,3 +116,16 @@ def summary(rows: DataFrame, by: str, unit: str, value: str) -> DataFrame:
     """Different units, rows, median and quartiles (interpolated) of a value in each group."""
     parts = [F.percentile(value, q).alias(n) for n, q in (("med", 0.5), ("q25", 0.25), ("q75", 0.75))]
     return rows.groupBy(by).agg(F.countDistinct(unit).alias("units"), F.count("*").alias("n"), *parts)
+
+
+def load_strips(catalog: DataFrame, bars: DataFrame, series: list[str], least: int = 5) -> DataFrame:
+    """Bars of the listed series' markets with a numeric floor or cap, in events with at least `least` of them: (event, series, key, ts, close, fs, cs)."""
+    rows = catalog.filter(F.col("series").isin(series)).withColumn("fs", F.expr("try_cast(floor AS double)")).withColumn("cs", F.expr("try_cast(cap AS double)"))
+    rows = rows.filter("fs is not null or cs is not null").withColumn("n", F.count("*").over(Window.partitionBy("event"))).filter(F.col("n") >= least)
+    return bars.join(rows.select("key", "event", "series", "fs", "cs"), "key").select("event", "series", "key", "ts", "close", "fs", "cs")
+
+
+def claims(quoted: DataFrame, computed: DataFrame) -> DataFrame:
+    """Quoted values (name, quoted, tol) against computed ones (name, value): ok where they differ by tol at most; a missing value is not ok."""
+    rows = quoted.join(computed, "name", "left")
+    return rows.select("name", "quoted", "value", F.coalesce(F.abs(F.col("value") - F.col("quoted")) <= F.col("tol"), F.lit(False)).alias("ok"))

@@ -163,6 +163,7 @@ SELECT key, f AS "from", least(f + INTERVAL 7 DAY, t1) AS "to" FROM x1"""),
 SELECT count(*) AS keys, median(d) AS p50, quantile_cont(d, 0.95) AS p95, max(d) AS most FROM x0""", "p50 p95 most"),
     "a32_violations": _query("""x0 AS (SELECT key, max(close) AS top, count(*) FILTER (close NOT BETWEEN 0 AND 1) AS o FROM daily GROUP BY key)
 SELECT CAST(sum(o) AS BIGINT) AS out_of_range, median(top) AS median_top, (SELECT count(*) FROM cat WHERE final_price NOT IN (0, 1)) AS bad_finals FROM x0""", "median_top"),
+    "a26_series_markets": _query("SELECT 'S' || (user_id % 3) || '-' || key AS key, 'S' || (user_id % 3) AS series, round(sum(value), 4) AS volume FROM ev GROUP BY key, user_id HAVING round(sum(value), 4) >= 100 AND epoch_us(max(ts)) - epoch_us(min(ts)) >= 5 * 86400000000", "volume"),
     "a38_window_end": _query("SELECT key, t_end + CASE WHEN venue = 1 THEN INTERVAL 3 DAY ELSE INTERVAL 1 DAY END AS until FROM cat"),
     "a39_utc": "SELECT * FROM (VALUES ('2024-01-05T06:07:08Z', TIMESTAMP '2024-01-05 06:07:08'), ('2024-01-05T06:07:08', TIMESTAMP '2024-01-05 06:07:08'), ('2024-01-05T06:07:08+02:00', TIMESTAMP '2024-01-05 04:07:08'), ('2024-01-05', TIMESTAMP '2024-01-05 00:00:00'), ('', NULL), ('soon', NULL)) t(raw, ts)",
     "a40_tier": _query("SELECT key, CASE WHEN closed AND t_end + CASE WHEN venue = 1 THEN INTERVAL 3 DAY ELSE INTERVAL 1 DAY END < TIMESTAMP '2024-01-20 00:00:00' THEN 'historical' ELSE 'live' END AS tier FROM cat"),
@@ -257,6 +258,11 @@ x3 AS (SELECT key, sum(d * d) AS rv FROM x2 GROUP BY key)
 SELECT key, x1.rv / x3.rv AS signature FROM x1 JOIN x3 USING (key) WHERE x3.rv > 0""", "signature"),
     "k14_daily_variance": _query("x0 AS (SELECT key, close - lag(close) OVER (PARTITION BY key ORDER BY day) AS m FROM daily)\nSELECT key, coalesce(sum(m * m), 0) AS rv FROM x0 GROUP BY key", "rv"),
     "k19_summary": _query("SELECT event, count(DISTINCT ts) AS units, count(*) AS n, quantile_cont(prob, 0.5) AS med, quantile_cont(prob, 0.25) AS q25, quantile_cont(prob, 0.75) AS q75 FROM lad GROUP BY event", "med q25 q75"),
+    "k16_load_strips": _query("""x0 AS (SELECT DISTINCT user_id, CASE WHEN user_id % 4 <> 0 THEN (user_id % 11) / 2.0::DOUBLE END AS fs, CASE WHEN user_id % 8 = 0 THEN 1.5::DOUBLE END AS cs FROM ev WHERE user_id % 3 <> 1),
+x1 AS (SELECT * FROM x0 WHERE fs IS NOT NULL OR cs IS NOT NULL),
+x2 AS (SELECT user_id % 9 AS e FROM x1 GROUP BY 1 HAVING count(*) >= 5)
+SELECT 'E' || e AS event, 'S' || (user_id % 3) AS series, 'S' || (user_id % 3) || '-' || key AS key, day AS ts, close, fs, cs FROM daily JOIN x1 USING (user_id) JOIN x2 ON e = user_id % 9""", "close fs cs"),
+    "k22_claims": _query("SELECT name, quoted, value, coalesce(abs(value - quoted) <= tol, false) AS ok FROM (VALUES ('markets of venue 0', 5.0::DOUBLE, 1e9), ('markets of venue 1', -5.0::DOUBLE, 1.0), ('markets of venue 2', 0.0::DOUBLE, 1.0)) q(name, quoted, tol) LEFT JOIN (SELECT 'markets of venue ' || venue AS name, CAST(count(*) AS DOUBLE) AS value FROM cat GROUP BY venue) c USING (name)"),
     "k17_ladder_bins": _query("SELECT * FROM lad", "lo hi prob"),
     "k18_strip_moments": _query("""x0 AS (SELECT event, ts, sum(prob) AS total, sum(prob * (lo + hi) / 2) AS a, sum(prob * (lo + hi) / 2 * (lo + hi) / 2) AS b FROM lad GROUP BY ALL)
 SELECT event, ts, total, a / total AS mean, sqrt(greatest(b / total - a / total * a / total, 0)) AS std FROM x0 WHERE total BETWEEN 0.7 AND 1.3""", "total mean std"),

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsmill.functions import grid, normal
@@ -47,6 +47,22 @@ RAW_TIMES = ["2024-01-05T06:07:08Z", "2024-01-05T06:07:08", "2024-01-05T06:07:08
 CUTOFF = "2024-01-20 00:00:00+00:00"
 
 
+QUOTED = [("markets of venue 0", 5.0, 1e9), ("markets of venue 1", -5.0, 1.0), ("markets of venue 2", 0.0, 1.0)]
+
+
+def _ticker() -> Column:
+    return F.concat(F.lit("S"), F.col("user_id") % 3, F.lit("-"), F.col("key"))
+
+
+def _tickers(v: View) -> DataFrame:
+    """The catalog under tickers of three series, with events and strikes as text, not all of them numeric."""
+    i = F.col("user_id")
+    rows = v.prices.groupBy("key", "user_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.round(F.sum("value"), 4).alias("volume"))
+    strike = F.when(i % 4 == 0, "above").otherwise((i % 11 / 2).cast("string"))
+    rows = rows.withColumn("series", F.concat(F.lit("S"), i % 3)).withColumn("event", F.concat(F.lit("E"), i % 9)).withColumn("floor", strike).withColumn("cap", F.when(i % 8 == 0, "1.5"))
+    return rows.withColumn("key", _ticker())
+
+
 def _spans(v: View) -> DataFrame:
     """The catalog with settlement times for one venue."""
     late = F.when(F.col("venue") == 1, F.col("end") + F.expr("INTERVAL 2 DAYS"))
@@ -129,6 +145,7 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "a22_chunks": lambda v: store.chunks(v.catalog().select("key", F.date_trunc("day", "start").alias("t0"), F.date_trunc("day", "end").alias("t1")), 7),
     "a31_vintage_diff": lambda v: store.vintage_diff(v.bars("day"), _upsert(v)),
     "a32_violations": lambda v: store.violations(v.bars("day"), v.catalog()),
+    "a26_series_markets": lambda v: store.series_markets(_tickers(v), 100.0, 5.0).select("key", "series", "volume"),
     "a38_window_end": lambda v: _spans(v).select("key", "until"),
     "a39_utc": lambda v: _fixture(v, [(x,) for x in RAW_TIMES], "raw string").select("raw", store.utc(F.col("raw")).alias("ts")),
     "a40_tier": lambda v: _spans(v).select("key", store.tier(F.col("closed"), F.col("until"), F.lit(CUTOFF).cast("timestamp")).alias("tier")),
@@ -179,8 +196,10 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "k12_intraday": lambda v: markets.intraday(panel.hourly_pairs(v.bars("hour"))),
     "k13_signature": lambda v: markets.signature(v.bars("hour"), v.bars("day")),
     "k14_daily_variance": lambda v: markets.daily_variance(v.bars("day")),
+    "k16_load_strips": lambda v: markets.load_strips(_tickers(v), v.bars("day").withColumn("key", _ticker()), ["S0", "S2"]),
     "k17_ladder_bins": lambda v: markets.ladder_bins(v.strikes()),
     "k19_summary": lambda v: markets.summary(markets.ladder_bins(v.strikes()), "event", "ts", "prob"),
+    "k22_claims": lambda v: markets.claims(_fixture(v, QUOTED, "name string, quoted double, tol double"), v.catalog().groupBy(F.concat(F.lit("markets of venue "), "venue").alias("name")).agg(F.count("*").cast("double").alias("value"))),
     "k18_strip_moments": lambda v: markets.strip_moments(markets.ladder_bins(v.strikes())),
 }
 

@@ -158,3 +158,9 @@ def window_end(end: Column, settlement: Column) -> Column:
 def tier(closed: Column, until: Column, cutoff: Column) -> Column:
     """Which archive is asked first: historical for closed markets that end before the cutoff; live otherwise and without a cutoff."""
     return F.when(F.coalesce(closed & (until < cutoff), F.lit(False)), "historical").otherwise("live")
+
+
+def series_markets(catalog: DataFrame, volume: float, days: float) -> DataFrame:
+    """Markets of a volume and lifetime at least, with series: what precedes the first dash of their ticker (key)."""
+    life = (F.unix_micros("end") - F.unix_micros("start")) / 86400e6
+    return catalog.filter((F.col("volume") >= volume) & (life >= days)).withColumn("series", F.substring_index("key", "-", 1))
