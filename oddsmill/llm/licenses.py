@@ -1,6 +1,7 @@
 """License scans by MinHash bands over overlapping word windows, then exact shingle containment. DataFrame operations only.
 
-A window has as many five-word shingles as the template it is tried for and starts at any word. Its MinHash of HASHES
+A template of fewer than WORDS words is one shingle of its own width, found by comparing each place's words with it.
+For the others, a window has as many five-word shingles as the template it is tried for and starts at any word. Its MinHash of HASHES
 values is cut into bands of ROWS; windows and templates that agree on a band are compared exactly. A window that holds
 a share c of a template's n shingles has Jaccard similarity of at least c / (2 - c), two thirds for c = 0.8, and so
 meets the template in a band with probability 1 - (1 - (2/3)**ROWS)**(HASHES / ROWS), over 0.9999.
@@ -29,6 +30,22 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "All-rights": "All rights reserved. No part of this publication may be reproduced",
+    "All-rights-reserved": "All rights reserved.",
+    "MIT-terms": "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "Apache-2.0-header": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License",
+    "GPL-2.0-or-later": "either version 2 of the License, or (at your option) any later version",
+    "GPL-3.0-or-later": "either version 3 of the License, or (at your option) any later version",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    "BSD-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "BSD-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "BSD-3-endorse": "may be used to endorse or promote products derived from this software without specific prior written permission",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
 }
 
 
@@ -58,24 +75,38 @@ def bands(own: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(license, own: distinct shingles, n). Templates have WORDS words at least; their number is small and fixed."""
+    """(license, own: distinct shingles, n) of templates of WORDS words or more; their number is small and fixed."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")
     rows = rows.select("license", F.array_distinct(shingles(words(F.col("text")))).alias("own"))
     return rows.select("license", "own", F.size("own").alias("n")).filter("n > 0")
 
 
+def short_templates(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """(license, phrase, width) of templates of fewer than WORDS words."""
+    rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").select("license", words(F.col("text")).alias("w"))
+    return rows.select("license", F.array_join("w", " ").alias("phrase"), F.size("w").alias("width")).filter(F.col("width").between(1, WORDS - 1))
+
+
+def brief_places(w: Column, places: Column, width: int, known: list[str]) -> Column:
+    """(start, phrase) where one of the known phrases of `width` words stands."""
+    firsts = sorted({p.split(" ")[0] for p in known})
+    held = F.filter(places, lambda i: F.get(w, i).isin(firsts) & F.array_join(F.slice(w, i + 1, width), " ").isin(known))
+    return F.transform(held, lambda i: F.struct(i.cast("int").alias("start"), F.array_join(F.slice(w, i + 1, width), " ").alias("phrase")))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = CONTAINED, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, license, containment, start_word, n_windows) for each template that a text holds to `contained` or more.
 
     containment is that of the best window, start_word its first word from 0 (the earliest of equal ones), n_windows
-    the number of windows that pass. Null, empty and short texts match nothing; equal rows count once; a template with
-    fewer than WORDS words is left out.
+    the number of windows that pass. Null and empty texts match nothing; equal rows count once; a template with fewer
+    than WORDS words is held where all its words follow each other.
     """
     spark = docs.sparkSession
     table = template_table(spark, templates or TEMPLATES)
-    known = table.collect()
-    if not known:
-        return docs.select(F.col(doc_id).alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).alias("start_word"), F.lit(0).cast("long").alias("n_windows")).limit(0)
+    brief = short_templates(spark, templates or TEMPLATES)
+    phrases: dict[int, list[str]] = {}
+    for r in brief.collect():
+        phrases.setdefault(r.width, []).append(r.phrase)
     # The shingles that give the templates' MinHashes: at most HASHES of each.
     giving = F.array_distinct(F.array(*(least_shingle(F.col("own"), p) for p in range(HASHES))))
     pivots = table.select(F.explode(giving).alias("pivot"), "n").distinct()
@@ -86,11 +117,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
         places = F.sequence(F.lit(0), F.greatest(F.size(w) - WORDS, F.lit(0)))
         return F.filter(places, lambda i: F.get(w, i).isin(first) & F.get(w, i + (WORDS - 1)).isin(last) & F.array_join(F.slice(w, i + 1, WORDS), " ").isin(at_most))
 
+    def brief_hits(w: Column) -> Column:
+        """(start, phrase) of the short templates."""
+        places = F.sequence(F.lit(0), F.size(w))
+        out = [F.array().cast("array<struct<start:int,phrase:string>>")]
+        for width, known in sorted(phrases.items()):
+            out.append(brief_places(w, places, width, known))
+        return F.concat(*out)
+
     # The words are bound as a lambda's variable, or they would be split anew for each place.
-    found = F.flatten(F.transform(F.array(words(F.col("t"))), hits))
+    found = F.transform(F.array(words(F.col("t"))), lambda w: F.struct(hits(w).alias("hits"), brief_hits(w).alias("brief")))[0]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).filter("t is not null")
-    rows = rows.select("doc_id", "t", found.alias("hits")).filter(F.size("hits") > 0)
-    rows = materialise(rows.select("doc_id", F.sha2("t", 256).alias("h"), words(F.col("t")).alias("w"), "hits").dropDuplicates(["doc_id", "h"]), "license-candidates")
+    rows = rows.select("doc_id", "t", found.alias("f")).select("doc_id", "t", "f.hits", "f.brief").filter((F.size("hits") > 0) | (F.size("brief") > 0))
+    rows = materialise(rows.select("doc_id", F.sha2("t", 256).alias("h"), words(F.col("t")).alias("w"), "hits", "brief").dropDuplicates(["doc_id", "h"]), "license-candidates")
     near = rows.select("doc_id", "h", "w", F.explode("hits").alias("i")).withColumn("pivot", F.array_join(F.slice("w", F.col("i") + 1, WORDS), " "))
     near = near.join(F.broadcast(pivots), "pivot")
     starts = F.sequence(F.greatest(F.col("i") - F.col("n") + 1, F.lit(0)), F.col("i"))
@@ -103,7 +142,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
     exact = met.withColumn("containment", F.size(F.array_intersect("own", "held")) / F.col("n")).filter(F.col("containment") >= contained)
     best = F.min(F.struct(-F.col("containment"), "start")).alias("best")
     out = exact.groupBy("doc_id", "h", "license").agg(best, F.count("*").alias("n_windows"))
-    return out.select("doc_id", "license", (-F.col("best.col1")).alias("containment"), F.col("best.start").alias("start_word"), "n_windows")
+    out = out.select("doc_id", "license", (-F.col("best.col1")).alias("containment"), F.col("best.start").alias("start_word"), "n_windows")
+    told = rows.select("doc_id", "h", F.explode("brief").alias("x")).select("doc_id", "h", "x.start", "x.phrase").join(F.broadcast(brief), "phrase")
+    told = told.groupBy("doc_id", "h", "license").agg(F.lit(1.0).alias("containment"), F.min("start").alias("start_word"), F.count("*").alias("n_windows"))
+    return out.unionByName(told.drop("h"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

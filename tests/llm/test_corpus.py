@@ -329,6 +329,21 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_short_and_usual_licenses(spark):
+    """The five licence lines of the tables, and headers within other words."""
+    lines = {
+        "MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+        "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "All-rights-reserved": "All rights reserved.",
+    }
+    lines |= {k: licenses.TEMPLATES[k] for k in ("MPL-2.0", "ISC", "Unlicense", "BSD-source")}
+    rows = [(k, f"one two {t} three") for k, t in enumerate(lines.values())] + [(100, "all rights"), (101, "All rights. Reserved all rights reserved"), (102, "all the rights reserved")]
+    got = {(r.doc_id, r.license): (r.containment, r.start_word, r.n_windows) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(k, x) for k, x in enumerate(lines)} <= set(got) and all(got[k, x][:2] == (1.0, 2) for k, x in enumerate(lines))
+    assert {k: v for k, v in got.items() if k[0] >= 100} == {(101, "All-rights-reserved"): (1.0, 0, 2)}
+    only = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), {"own": "All rights reserved"}).collect()
+    assert sorted(r.doc_id for r in only) == [4, 101]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
