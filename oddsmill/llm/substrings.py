@@ -116,16 +116,21 @@ class Automaton:
             v, n = (to, n + 1) if to is not None else (0, 0)
             yield n
 
-    def spans(self, words: list, window: int) -> list[list[int]]:
-        """Maximal [start, end) that windows found in the automaton cover."""
+    def known(self, words: list, window: int) -> tuple[list[list[int]], int]:
+        """Maximal [start, end) that windows found in the automaton cover, and the number of those windows."""
         out: list[list[int]] = []
+        found = 0
         for k, n in enumerate(self.statistics(words), 1):
             if n >= window:
+                found += 1
                 if out and out[-1][1] >= k - window:
                     out[-1][1] = k
                 else:
                     out.append([k - window, k])
-        return out
+        return out, found
+
+    def spans(self, words: list, window: int) -> list[list[int]]:
+        return self.known(words, window)[0]
 
 
 def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
@@ -149,10 +154,11 @@ def shard(passages: list[tuple[int, str, int]], window: int) -> Iterator[tuple[i
         return
     automaton = Automaton()
     for _, group in groupby(passages, key=lambda x: x[0]):
-        own = [(key, words, automaton.spans(words, window)) for _, p, key in group for words in (p.split(" "),)]
-        for key, words, covered in own:
+        own = [(key, words, *automaton.known(words, window)) for _, p, key in group for words in (p.split(" "),)]
+        for key, words, covered, found in own:
             yield key, covered
-            if covered != [[0, len(words)]]:
+            # Windows that overlap may cover all words while others between them are new.
+            if found < len(words) - window + 1:
                 automaton.add(words)
 
 

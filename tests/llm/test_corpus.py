@@ -277,6 +277,18 @@ def test_substrings(spark, docs, none):
     assert substrings.deduplicate(none).count() == 0
 
 
+def test_windows_between_covering_ones(spark):
+    """Document 3 is covered by windows of 1 and 2, and yet the first to hold the window of document 4."""
+    w = [f"w{k}" for k in range(15)]
+    texts = {1: w[0:13], 2: w[2:15], 3: w, 4: w[1:14]}
+    for order in (w, w[7:8] + w[:7] + w[8:]):  # wherever the anchor is
+        at = {x: k for k, x in enumerate(order)}
+        rows = spark.createDataFrame([(i, " ".join(f"v{at[x]}" for x in t)) for i, t in texts.items()], "doc_id long, text string")
+        assert {r.doc_id: r.n_removed for r in substrings.deduplicate(rows).collect()} == {1: 0, 2: 0, 3: 15, 4: 13}
+    passages = [(i, " ".join(t), i) for i, t in texts.items()]
+    assert dict(substrings.shard(passages, 13)) == {1: [], 2: [], 3: [[0, 15]], 4: [[0, 13]]}
+
+
 def test_automaton():
     rng = np.random.default_rng(4)
     for _ in range(200):
