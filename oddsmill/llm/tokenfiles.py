@@ -41,7 +41,8 @@ PIECE = re.compile(
 class Tokens:
     """Ids of texts by a tokenizers file whose pre-tokeniser never crosses ASCII white space: chunk by chunk, each chunk once.
 
-    A new chunk is cut into pieces that the pre-tokeniser separates as well, and only new pieces reach the tokenizer.
+    A new chunk is cut into pieces that the pre-tokeniser separates as well, and only new pieces reach the tokenizer. A
+    text that may hold an added token, such as <|endoftext|>, is encoded whole: the ids are the library's own.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,7 +50,9 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Added tokens stand for themselves wherever their text is, across white space and pieces; any case, as a normaliser may change it.
+        added = [re.escape(x.content.encode()) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(added), re.IGNORECASE) if added else None
         self.size = self.tokenizer.get_vocab_size()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.final = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.size)])  # ids that end a pre-token
@@ -87,7 +90,8 @@ class Tokens:
                 gc.enable()
 
     def _ids(self, texts: list[bytes], end: int) -> list[bytes]:
-        parts = [t.split() for t in texts]
+        whole = {k for k, t in enumerate(texts) if self.added and self.added.search(t)}
+        parts = [[] if k in whole else t.split() for k, t in enumerate(texts)]
         cut = [(w, PIECE.findall(w)) for w in set(chain.from_iterable(parts)).difference(self.memo)]
         unknown = list({x for _, c in cut for x in c}.difference(self.memo))
         for at in range(0, len(unknown), 20_000):
@@ -97,7 +101,11 @@ class Tokens:
             if len(c) > 1:
                 self.memo[w] = b"".join(map(known, c))
         last = struct.pack("<I", end)
-        return [b"".join([*map(known, p), last]) for p in parts]
+        out = [b"".join([*map(known, p), last]) for p in parts]
+        for k in whole:
+            ids = self.tokenizer.encode(texts[k].decode("utf-8", "replace"), add_special_tokens=False).ids
+            out[k] = struct.pack(f"<{len(ids)}I", *ids) + last
+        return out
 
 
 WORKER: dict[str, Tokens] = {}

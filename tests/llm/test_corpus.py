@@ -324,6 +324,17 @@ def test_token_files(spark, docs, none):
     assert tokenfiles.read(tokenfiles.write(none, common.scratch(spark, "tokens"), path, 2)).count() == 0
 
 
+def test_added_tokens_in_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known, own = Tokenizer.from_file(path), tokenfiles.Tokens(path)
+    texts = ["one <|endoftext|> two", "a<|startoftext|>b<|endoftext|>", "<|endoftext|>\u0338 c", "X <|ENDOFTEXT|> y", "<| endoftext |> plain", "<|endoftext|", "", " one  two "]
+    assert known.encode(texts[0], add_special_tokens=False).ids == [637, 49407, 1237]
+    for t, got in zip(texts, own.ids([t.encode() for t in texts], 2), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == [*known.encode(t, add_special_tokens=False).ids, 2], t
+
+
 def test_range_coder():
     rng = np.random.default_rng(0)
     for ids in (np.zeros(9000, int), rng.integers(0, 49408, 9000), rng.zipf(1.3, 9000) % 500, np.array([7])):
