@@ -348,10 +348,12 @@ def thumbnails(media: list[bytes | None]) -> list[list[tuple[int, int, np.ndarra
 
 
 def thumbnail_hash(thumb: np.ndarray) -> str:
-    """64 bits: whether a cell of an 8 x 8 grid (rows sampled, columns averaged) is lighter than their mean."""
-    rows = thumb[(np.arange(8) * len(thumb)) // 8].astype(np.float64)
-    edges = (np.arange(8) * thumb.shape[1]) // 8
-    cells = np.add.reduceat(rows, edges, axis=1) / np.maximum(1, np.diff([*edges, thumb.shape[1]]))
+    """64 bits: whether a cell of an 8 x 8 grid (all its samples averaged) is lighter than their mean; under 8 rows or columns repeat."""
+    cells = thumb
+    for axis, n in enumerate(thumb.shape):
+        edges = (np.arange(8) * n) // 8
+        share = np.maximum(1, np.diff([*edges, n]))
+        cells = np.add.reduceat(cells, edges, axis=axis, dtype=np.float64) / (share[:, None] if axis == 0 else share)
     return np.packbits(cells > cells.mean()).tobytes().hex()
 
 

@@ -233,6 +233,17 @@ def test_jpeg(spark, docs, none):
     assert b"".join(x[2].tobytes() for x in jpeg.thumbnails(jpeg.store([noise]))[0]) == noise
 
 
+def test_thumbnail_hash_sees_all_rows():
+    a = np.zeros((800, 192), np.uint8)
+    b = a.copy()
+    b[1:100, :24] = 255  # between the rows at multiples of 100
+    assert jpeg.thumbnail_hash(a) != jpeg.thumbnail_hash(b) == "80" + "00" * 7
+    for shape in ((1, 1), (3, 192), (1, 5), (9, 7)):
+        t = np.random.default_rng(1).integers(0, 256, shape, dtype=np.uint8)
+        cells = np.array([[t[k * shape[0] // 8 : max((k + 1) * shape[0] // 8, k * shape[0] // 8 + 1), j * shape[1] // 8 : max((j + 1) * shape[1] // 8, j * shape[1] // 8 + 1)].mean() for j in range(8)] for k in range(8)])
+        assert jpeg.thumbnail_hash(t) == np.packbits(cells > cells.mean()).tobytes().hex()
+
+
 def test_jpeg_with_ac_coefficients_and_colour():
     """Two components, 2 x 1 and 1 x 1, AC symbols in the stream, no restarts."""
     dc = {s: (c, n) for s, c, n in jpeg.codes(jpeg.DC_COUNTS, jpeg.DC_SYMBOLS)}
