@@ -4,6 +4,9 @@ A document's fingerprint has a bit set where over half of its shingle hashes hav
 cells by the population counts of their quarters; the counts of two fingerprints at Hamming distance d differ by d
 at most in total, so only cells within the radius are paired, and each pair of tiles is compared exactly with numpy.
 The cells are at most 17**4 whatever the corpus, so their list may be broadcast.
+
+near_duplicates() takes all links within the radius. similar() takes them as candidates only: within each class of
+candidates, pairs are confirmed by the exact Jaccard similarity of their shingles before they link anything.
 """
 from __future__ import annotations
 
@@ -25,6 +28,8 @@ STEP = 1 << 15
 TILE = 256
 #: Fingerprints of a cell that one block of a cell pair takes on each side.
 BLOCK = 1 << 15
+#: Shingles and texts of a class of candidates that one task takes on each side.
+CLASS_SHINGLES, CLASS_TEXTS = 1 << 21, 1 << 12
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -58,23 +63,29 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def set_key(h: np.ndarray) -> int:
+    """Signed 64-bit digest of a set of hashes in ascending order."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, distinct: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp array<long> of `parts` words of 64 bits, n distinct shingles or 0 if repeats count)."""
+    """(doc_id, fp array<long> of `parts` words of 64 bits, n distinct shingles or 0 if repeats count, key: their digest or 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, n = [], []
+            rows, n, keys = [], [], []
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(t, words)
                 if distinct:
                     h = np.unique(h)
                 rows.append(np.array([majority(mixed(h, k)) for k in range(parts)], np.uint64).view(np.int64))
                 n.append(len(h) if distinct else 0)
+                keys.append(set_key(h) if distinct else 0)
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             fp = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, parts), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), fp, pa.array(n, pa.int64())], names=["doc_id", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), fp, pa.array(n, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "fp", "n", "key"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp array<long>, n long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp array<long>, n long, key long")
 
 
 def popcount_cells(radius: int):
@@ -103,19 +114,19 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def compare(a: np.ndarray, b: np.ndarray, radius: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs at 1 to `radius` differing bits, and at most `first` in the first word. a, b: (n, parts)."""
+def compare(a: np.ndarray, b: np.ndarray, radius: int, first: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs at `least` to `radius` differing bits, and at most `first` in the first word. a, b: (n, parts)."""
     found, rows = [], max(1, (1 << 20) // max(1, len(b)))
     for at in range(0, len(a), rows):
         near = np.bitwise_count(a[at : at + rows, :1] ^ b[None, :, 0]) <= first
         i, j = np.nonzero(near)
         bits = np.bitwise_count(a[at + i] ^ b[j]).sum(axis=1, dtype=np.int64)
-        keep = (bits > 0) & (bits <= radius)
+        keep = (bits >= least) & (bits <= radius)
         found.append((at + i[keep], j[keep]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
-def tile_links(batches: Iterator[pa.RecordBatch], parts: int, radius: int, first: int) -> Iterator[pa.RecordBatch]:
+def tile_links(batches: Iterator[pa.RecordBatch], parts: int, radius: int, first: int, least: int = 1) -> Iterator[pa.RecordBatch]:
     """For rows (target tile, fingerprints and ids of a tile near it, those of the target): links that span, as (src, dst)."""
 
     def column(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +143,7 @@ def tile_links(batches: Iterator[pa.RecordBatch], parts: int, radius: int, first
             x = np.concatenate([av[ao[r] : ao[r + 1]] for r in rows]).view(np.uint64).reshape(-1, parts)
             xi = np.concatenate([iv[io[r] : io[r + 1]] for r in rows])
             y, yi = bv[bo[rows[0]] : bo[rows[0] + 1]].view(np.uint64).reshape(-1, parts), jv[jo[rows[0]] : jo[rows[0] + 1]]
-            i, j = compare(x, y, radius, first)
+            i, j = compare(x, y, radius, first, least)
             if len(i):
                 ids, nodes = np.unique(np.concatenate([xi[i], yi[j]]), return_inverse=True)
                 label = forest(nodes[: len(i)], nodes[len(i) :], len(ids))
@@ -146,9 +157,11 @@ def tile_links(batches: Iterator[pa.RecordBatch], parts: int, radius: int, first
 def links(fps: DataFrame, radius: int, first: int | None = None, parts: int = 1, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Representatives (fp, n, node: the smallest id with that fingerprint) and a spanning set of the links between them.
 
+    Texts with one fingerprint are one representative; with a similarity they must also have the same key, its column then.
     similarity: lays cells by shingle counts (for radii at which population counts rule nothing out), else by population counts.
     """
-    reps = materialise(fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "simhash-reps")
+    own = ["key"] if similarity else []
+    reps = materialise(fps.filter("doc_id is not null").groupBy("fp", *own).agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "simhash-reps")
     cell, offsets = size_cells(similarity) if similarity else popcount_cells(radius)
     reps = reps.withColumn("cell", cell)
     cells = reps.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -161,20 +174,109 @@ def links(fps: DataFrame, radius: int, first: int | None = None, parts: int = 1,
     near = near.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other") - 1))).select("target", "j", "off", F.col("tile").alias("from"), "fps", "ids")
     there = tiles.select(F.col("cell").alias("target"), (F.col("tile") % F.col("blocks")).alias("j"), "tile", F.col("fps").alias("fps2"), F.col("ids").alias("ids2"))
     met = near.join(there, ["target", "j"]).filter("off <> 0 or from <= tile")
-    run = lambda batches: tile_links(batches, parts, radius, radius if first is None else first)
+    run = lambda batches: tile_links(batches, parts, radius, radius if first is None else first, 0 if similarity else 1)
     edges = met.select("target", "tile", "fps", "ids", "fps2", "ids2").mapInArrow(run, "src long, dst long")
-    return reps.select("fp", "node", "n"), edges
+    return reps.select("fp", *own, "node", "n"), edges
+
+
+def confirm(fps: np.ndarray, sets: list[np.ndarray], nodes: np.ndarray, side: np.ndarray | None, radius: int, similarity: float) -> np.ndarray:
+    """Class of each text: the smallest index it reaches over pairs within the radius with a Jaccard similarity of at least `similarity`.
+
+    Pairs of one side are left out if sides are given, and so are pairs that are in one class by then.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    vocabulary, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = np.split(codes, np.cumsum(size)[:-1])
+    label, mark = np.unique(nodes, return_index=True)[1][np.unique(nodes, return_inverse=True)[1]], np.zeros(len(vocabulary), bool)
+    for i in range(len(sets) - 1):
+        maybe = label[i + 1 :] != label[i]
+        if side is not None:
+            maybe &= side[i + 1 :] != side[i]
+        js = i + 1 + np.flatnonzero(maybe & (np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]) - 1e-9))
+        if len(js):
+            js = js[np.bitwise_count(fps[js] ^ fps[i]).sum(axis=1, dtype=np.int64) <= radius]
+        if not len(js):
+            continue
+        mark[sets[i]] = True
+        common = np.add.reduceat(mark[np.concatenate([sets[j] for j in js])], np.concatenate(([0], np.cumsum(size[js])[:-1])), dtype=np.int64)
+        mark[sets[i]] = False
+        for j in js[common >= similarity * (size[i] + size[js] - common) - 1e-9]:
+            x, y = sorted((label[i], label[j]))
+            if x != y:
+                label[label == y] = x
+    return label
+
+
+def confirmed(docs: DataFrame, reps: DataFrame, classes: DataFrame, words: int, radius: int, parts: int, similarity: float, text: str, doc_id: str) -> DataFrame:
+    """Links (src, dst) that span what `confirm` links within the classes (node, component) of candidates.
+
+    A class of many shingles is cut into blocks, each pair of which is a group of rows of its own.
+    """
+    of = reps.filter("n > 0").join(classes, "node").groupBy("component").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    blocks = of.filter("texts > 1").select("component", F.greatest(F.ceil(F.col("n") / CLASS_SHINGLES), F.ceil(F.col("texts") / CLASS_TEXTS)).alias("blocks"))
+    members = classes.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(members, "doc_id")
+    rows = rows.select("doc_id", "text", "component", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("own"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(k, 500) for k in range(0, b.num_rows, 500)):
+                sets = [np.unique(shingle_hashes(t, words)) for t in part.column(1).to_pylist()]
+                fp = [np.array([majority(mixed(h, k)) for k in range(parts)], np.uint64).tobytes() for h in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(fp, pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["doc_id", "component", "blocks", "own", "fp", "h"])
+
+    sets = rows.mapInArrow(shingled, "doc_id long, component long, blocks long, own long, fp binary, h binary").filter("octet_length(h) > 0")
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = sets.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "fp", "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            fps = np.frombuffer(b"".join(x[2] for x in held), np.uint64).reshape(-1, parts)
+            nodes = np.array([x[1] for x in held], np.int64)
+            side = None if now[1] == now[2] else np.array([x[0] for x in held])
+            label = confirm(fps, [np.frombuffer(x[3], np.uint64) for x in held], nodes, side, radius, similarity)
+            own = np.flatnonzero(nodes != nodes[label])
+            return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=["src", "dst"])
+
+        for b in batches:
+            for part in (b.slice(k, 100) for k in range(0, b.num_rows, 100)):
+                for c, i, j, *row in zip(*(x.to_pylist() for x in part.columns), strict=True):
+                    if (c, i, j) != now:
+                        if len(held) > 1:
+                            yield done()
+                        now, held = (c, i, j), []
+                    held.append(row)
+        if len(held) > 1:
+            yield done()
+
+    return met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "src long, dst long")
+
 
+def similar(docs: DataFrame, words: int = 5, radius: int = 72, parts: int = 4, first: int = 24, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) by chains of texts with a Jaccard similarity of their shingles of `similarity` or more.
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: int = 1, first: int | None = None, similarity: float | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    component_id is the smallest doc_id of the class. Rows with a null doc_id are left out; texts without words are equal.
+    """
+    fps = materialise(fingerprints(docs, words, parts, True, text, doc_id).filter("doc_id is not null"), "simhash-fps")
+    reps, edges = links(fps, radius, first, parts, similarity)
+    candidates = materialise(connected_components(edges), "simhash-candidates")
+    edges = materialise(confirmed(docs, reps, candidates, words, radius, parts, similarity, text, doc_id), "simhash-confirmed")
+    classes = connected_components(edges)
+    classes = reps.join(classes, "node", "left").select("fp", "key", F.coalesce("component", "node").alias("component_id"))
+    return fps.select("doc_id", "fp", "key").join(classes, ["fp", "key"]).select("doc_id", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id): one row per input row, component_id being the smallest doc_id of its class.
 
     Null and empty texts have fingerprint zero, which links like any other. Rows with a null doc_id are returned with
     their fingerprint and the class of that fingerprint, if another row has it, else null. Repeated rows are returned
     as often as they come. Other columns are ignored.
     """
-    fps = materialise(fingerprints(docs, words, parts, similarity is not None, text, doc_id), "simhash-fps")
-    reps, edges = links(fps, radius, first, parts, similarity)
+    fps = materialise(fingerprints(docs, words, text=text, doc_id=doc_id), "simhash-fps")
+    reps, edges = links(fps, radius)
     classes = connected_components(edges)
     classes = reps.join(classes, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.select("doc_id", "fp").join(classes, "fp", "left")
@@ -189,10 +291,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: near copies by five-word shingles at a similarity of 0.8 or more; the smallest doc_id of each group stays.
 
-    256 bits: at Jaccard 0.8 about 39 differ (standard deviation under 6), of unrelated texts 128 (8). A link takes at
-    most 50 of the 256 and 20 of the first 64. Of rows with the same doc_id in one group, one stays.
+    256 bits: at Jaccard 0.8 about 39 differ (standard deviation under 6; up to 48 of texts with four or five shingles),
+    of unrelated texts 128 (8). Candidates differ in at most 72 of the 256 and 24 of the first 64; their exact
+    similarity decides. Of rows with the same doc_id in one group, one stays.
     """
-    found = near_duplicates(docs, words=5, radius=50, parts=4, first=20, similarity=0.8)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
+    keep = similar(docs).filter("doc_id = component_id").select("doc_id").distinct()
     rows = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rows.unionByName(docs.filter("doc_id is null"))

@@ -91,6 +91,31 @@ def test_near_dedup_stage(spark, docs):
     assert 1 in kept and 2 not in kept and 5 in kept and 10 not in kept and {6, 8, 11} <= set(kept) and 7 not in kept
 
 
+def test_near_dedup_stage_is_exact(spark):
+    """Pairs below and above 0.8 by one shingle set each: of n words, a pair shares `same` at its start."""
+    rows, expected, at = [], set(), 0
+    for target in (0.5, 0.65, 0.7, 0.79, 0.81, 0.9):
+        for k in range(15):
+            n = 300
+            same = round(2 * target * n / (1 + target))  # shingles in common, of n each
+            first = [f"p{at}w{x}" for x in range(n + 4)]
+            second = first[: same + 4] + [f"p{at}v{x}" for x in range(n - same)]
+            rows += [(at, " ".join(first), "s"), (at + 1, " ".join(second), "s")]
+            expected |= {at} if target > 0.8 else {at, at + 1}
+            at += 2
+    rows += [(at, "a b c d e f g h", "s"), (at + 1, "a b c d e f g h i", "s"), (at + 2, "", "s"), (at + 3, None, "s"), (None, "a b c d e f g h", "s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    assert {r.doc_id for r in simhash.stage(spark, table, "").collect()} == expected | {at, at + 2, None}
+
+
+def test_confirm_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CLASS_TEXTS", 5)
+    base = [f"w{x}" for x in range(400)]
+    rows = [(k, " ".join(base[:k * 8] + [f"o{k}"] + base[k * 8 + 1 :])) for k in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in simhash.similar(table).collect()} == {0}
+
+
 def test_bpe(spark, docs, none):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
