@@ -64,5 +64,18 @@ FROM placed LEFT JOIN taken USING (sid, e)
 """
 
 
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+starts AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13 AND doc_id IS NOT NULL),
+windows AS (SELECT r, doc_id, s, array_to_string(w[s:s + 12], ' ') AS g FROM starts),
+firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 13)) AS i FROM windows JOIN firsts USING (g) WHERE first < doc_id),
+places AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n FROM places ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC_SQL, "op8_mixing": MIXING_SQL}
+    return {"op6_substring_dedup": SUBSTRING_SQL, "op2_warc": WARC_SQL, "op8_mixing": MIXING_SQL}

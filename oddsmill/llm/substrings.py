@@ -3,29 +3,36 @@
 Every document is reference for those with larger ids, so the reference is the corpus itself and no automaton of it
 can be broadcast. It is cut into shards instead, and only what can match a shard is sent to it: every window of WINDOW
 words belongs to the shard of its anchor (the least hash of the GRAM-word sequences in it), which equal windows share.
-A first pass over the anchors leaves those that occur in several documents, as a bitmap of fixed size; a second ships
-the runs of windows with such anchors. A shard streams its distinct passages by their first document: each is matched
-against the automaton of all from smaller ids, then added to it. Only sequences of words decide; hashes but route.
-Anchors in more than HOT documents would make large shards; their windows go by the hash of the whole window.
+A first pass counts the anchors; a second ships the runs of windows whose anchor occurs more than once, with their
+words and once only, to the shard of the anchor, in ascending doc_id order. There each run is matched against the
+automaton of those from smaller ids, then added to it unless the automaton knew all of its windows.
+
+Anchors in more than HOT documents would make large shards. Their windows are compared by the 128-bit digest of their
+words instead: the least doc_id of each digest is aggregated map-side. All other removals are decided by words; hashes
+route, and tell apart rows with one doc_id (by the 64-bit hash of their text).
+
+Repeated anchors are known to all tasks as a bitmap with BITS_AN_ANCHOR bits each, up to BITS in all. A corpus with
+more of them ships all runs and drops those of other anchors by a semi join in the same shuffle.
 """
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.llm.common import materialise
 
 WINDOW, GRAM = 13, 7
-#: Bits of an anchor bitmap (fixed: 16 MB each), documents of an anchor that is hot, words of a broadcast reference at most and of one of its shards.
-BITS, HOT, REFERENCE_WORDS, SHARD_WORDS = 1 << 27, 1000, 4_000_000, 500_000
-#: Words whose hash a task remembers. Spans up to so many bytes are sent to every task, more are joined by shuffle.
+#: Bits of an anchor bitmap at most (16 MB), and for each anchor; documents of an anchor that is hot.
+BITS, BITS_AN_ANCHOR, HOT = 1 << 27, 16, 4000
+#: Words of a broadcast reference at most (a word takes some 600 bytes in an automaton) and of one of its shards.
+REFERENCE_WORDS, SHARD_WORDS = 400_000, 100_000
+#: Words whose hash a task remembers. Spans and digests up to so many bytes are sent to every task, more are joined by shuffle.
 MEMO, BROADCAST_BYTES = 1 << 19, 8 << 20
 
 
@@ -147,108 +154,138 @@ def is_set(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def shard(passages: list[tuple[int, str, int]], window: int) -> Iterator[tuple[int, list[list[int]]]]:
-    """For (first document, passage, key) by first document: key, and what earlier documents' passages cover of it."""
-    if len(passages) == 1:
-        yield passages[0][2], []
-        return
-    automaton = Automaton()
-    for _, group in groupby(passages, key=lambda x: x[0]):
-        own = [(key, words, *automaton.known(words, window)) for _, p, key in group for words in (p.split(" "),)]
-        for key, words, covered, found in own:
-            yield key, covered
-            # Windows that overlap may cover all words while others between them are new.
-            if found < len(words) - window + 1:
-                automaton.add(words)
+class Shard:
+    """Passages of one anchor by ascending document: what those of earlier documents cover of each."""
 
+    def __init__(self, window: int) -> None:
+        self.window, self.automaton = window, Automaton()
+        self.whole: set[str] = set()  # passages of earlier documents: an equal one is known whole
+        self.doc, self.new = None, {}
 
-def removals(docs: DataFrame, window: int = WINDOW, bits: int = BITS, hot: int = HOT) -> DataFrame:
-    """(doc_id, th: hash of the text, spans: array of [start, end) in words) of the documents that lose words."""
-    spark = docs.sparkSession
+    def take(self, doc: int, passage: str) -> list[list[int]]:
+        if doc != self.doc:
+            for words, found in self.new.values():
+                # Windows that overlap may cover all words while others between them are new.
+                if found < len(words) - self.window + 1:
+                    self.automaton.add(words)
+            self.whole.update(self.new)
+            self.doc, self.new = doc, {}
+        if passage in self.whole:
+            return [[0, passage.count(" ") + 1]]
+        words = passage.split(" ")
+        covered, found = self.automaton.known(words, self.window) if self.whole else ([], 0)
+        self.new[passage] = words, found
+        return covered
 
-    def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
-        for b in batches:
-            for part in (b.slice(k, 1000) for k in range(0, b.num_rows, 1000)):
-                own, ids = [], []
-                for t, i in zip(part.column(2).to_pylist(), part.column(0).to_pylist(), strict=True):
-                    a = np.unique(anchors(split(t), memo, window)[1])
-                    own.append(a)
-                    ids.append(np.full(len(a), i, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(np.concatenate(ids))], names=["anchor", "doc_id"])
-
-    rows = docs.filter("doc_id is not null and t is not null")
-    seen = rows.mapInArrow(anchor_rows, "anchor long, doc_id long").groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    seen = materialise(seen.filter("first < last").select(F.col("anchor").bitwiseAND(F.lit(bits - 1)).alias("slot"), "n"), "substring-anchors")
-    common = spark.sparkContext.broadcast(bitmap(seen, bits))
-    crowded = spark.sparkContext.broadcast(bitmap(seen.filter(F.col("n") > hot), bits))
 
-    def passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
-        for b in batches:
-            for part in (b.slice(k, 1000) for k in range(0, b.num_rows, 1000)):
-                out: list[tuple] = []
-                for i, th, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    words = split(t)
-                    h, a = anchors(words, memo, window)
-                    if not len(a):
-                        continue
-                    on = is_set(common.value, a)
-                    if not on.any():
-                        continue
-                    full = on & is_set(crowded.value, a)
-                    if full.any():
-                        a = np.where(full, rolled(h, window), a)
-                    at = np.flatnonzero(on)
-                    cut = np.flatnonzero((np.diff(at) != 1) | (a[at[1:]] != a[at[:-1]])) + 1
-                    keys = a.view(np.int64)
-                    for s, e in zip(at[np.concatenate(([0], cut))].tolist(), (at[np.concatenate((cut - 1, [len(at) - 1]))] + window).tolist(), strict=True):
-                        out.append((int(keys[s]), i, th, s, e, b" ".join(words[s:e]).decode("utf-8", "surrogatepass")))
-                columns = list(zip(*out, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 5 else pa.int64()) for k, c in enumerate(columns)], names=["anchor", "doc_id", "th", "s", "e", "passage"])
-
-    found = rows.select("doc_id", "th", "t").mapInArrow(passage_rows, "anchor long, doc_id long, th long, s long, e long, passage string")
-    found = materialise(found.withColumn("key", F.xxhash64("passage")), "substring-passages")
-    distinct = found.groupBy("anchor", "passage", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+def table(rows: list[tuple], names: list[str], strings: tuple[str, ...] = ()) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in strings else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, str, int]] = []
-        now, firsts, out = None, {}, []
 
-        def done() -> None:
-            for key, covered in shard(held, window):
-                first, last = firsts[key]
-                if covered or first < last:
-                    out.append((now, key, first, covered))
+def slots(seen: DataFrame, bits: int) -> np.ndarray:
+    return bitmap(seen.select(F.col("anchor").bitwiseAND(F.lit(bits - 1)).alias("slot")), bits)
 
-        def batch() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.list_(pa.int64())))], names=["anchor", "key", "first", "covered"])
 
+def removals(docs: DataFrame, window: int = WINDOW, bits: int = BITS, hot: int = HOT) -> DataFrame:
+    """(doc_id, th: hash of the text, spans: array of (s, e), [s, e) in words, apart and ascending) of the documents that lose words."""
+    spark = docs.sparkSession
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for anchor, passage, key, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if anchor != now and held:
-                    done()
-                    held, firsts = [], {}
-                now = anchor
-                held.append((first, passage, key))
-                firsts[key] = first, last
-            yield batch()
-            out = []
-        if held:
-            done()
-        yield batch()
+            yield from (b.slice(k, 1000) for k in range(0, b.num_rows, 1000))
 
-    sharded = distinct.repartition("anchor").sortWithinPartitions("anchor", "first", "passage").select("anchor", "passage", "key", "first", "last")
-    told = materialise(sharded.mapInArrow(shards, "anchor long, key long, first long, covered array<array<long>>"), "substring-shards")
-    met = found.select("anchor", "key", "doc_id", "th", "s", "e").join(told, ["anchor", "key"])
-    whole = F.array(F.array("s", "e"))
-    part = F.transform("covered", lambda x: F.array(x[0] + F.col("s"), x[1] + F.col("s")))
-    spans = met.select("doc_id", "th", F.when(F.col("doc_id") > F.col("first"), whole).otherwise(part).alias("spans")).filter(F.size("spans") > 0)
-    return spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHash()
+        for part in parts(batches):
+            own = [np.unique(anchors(split(t), memo, window)[1]) for t in part.column(0).to_pylist()]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["anchor"])
+
+    rows = docs.filter("doc_id is not null and t is not null").select("doc_id", "th", "t")
+    seen = rows.select("t").mapInArrow(anchor_rows, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
+    seen = materialise(seen.filter("n > 1"), "substring-anchors")
+    n, crowds = seen.agg(F.count("*"), F.count(F.when(F.col("n") > hot, 1))).first()
+    size = lambda k: min(bits, 1 << max(10, (k * BITS_AN_ANCHOR).bit_length()))
+    listed = n * BITS_AN_ANCHOR <= 4 * bits
+    common = spark.sparkContext.broadcast(slots(seen, size(n)) if listed else None)
+    crowded = spark.sparkContext.broadcast(slots(seen.filter(F.col("n") > hot), size(crowds)) if crowds else None)
+
+    def places(words: list[bytes], memo: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor of each window, which anchors may be repeated, which of those are hot."""
+        a = anchors(words, memo, window)[1]
+        on = np.ones(len(a), bool) if common.value is None else is_set(common.value, a)
+        return a, on, np.zeros(len(a), bool) if crowded.value is None else on & is_set(crowded.value, a)
 
+    def passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHash()
+        for part in parts(batches):
+            out: list[tuple] = []
+            for i, th, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                words = split(t)
+                a, on, full = places(words, memo)
+                at = np.flatnonzero(on & ~full)
+                if not len(at):
+                    continue
+                cut = np.flatnonzero((np.diff(at) != 1) | (a[at[1:]] != a[at[:-1]])) + 1
+                first, keys = at[np.concatenate(([0], cut))], a.view(np.int64)
+                last = at[np.concatenate((cut - 1, [len(at) - 1]))] + window
+                out += [(k, i, th, s, b" ".join(words[s:e]).decode("utf-8", "surrogatepass")) for k, s, e in zip(keys[first].tolist(), first.tolist(), last.tolist(), strict=True)]
+            yield table(out, ["anchor", "doc_id", "th", "s", "passage"], ("passage",))
 
-def kept_words(text: str | None, spans: list[list[int]] | None) -> tuple[int, int, bytes]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, Shard(window)
+        for part in parts(batches):
+            out: list[tuple] = []
+            for anchor, doc, th, s, passage in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if anchor != now:
+                    now, own = anchor, Shard(window)
+                out += [(doc, th, s + x, s + y) for x, y in own.take(doc, passage)]
+            yield table(out, ["doc_id", "th", "s", "e"])
+
+    found = rows.mapInArrow(passage_rows, "anchor long, doc_id long, th long, s long, passage string")
+    if not listed:
+        found = found.join(seen.select("anchor").hint("shuffle_merge"), "anchor", "left_semi")
+    sharded = found.repartition("anchor").sortWithinPartitions("anchor", "doc_id")
+    spans = sharded.mapInArrow(shards, "doc_id long, th long, s long, e long")
+    if crowds:
+        spans = spans.unionByName(hot_spans(rows, places, parts, window))
+    return islands(spans)
+
+
+def hot_spans(rows: DataFrame, places, parts, window: int) -> DataFrame:
+    """(doc_id, th, s, e) of the windows with a hot anchor whose digest a smaller doc_id has too."""
+
+    def hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHash()
+        for part in parts(batches):
+            out: list[tuple] = []
+            for i, th, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                words = split(t)
+                for s in np.flatnonzero(places(words, memo)[2]).tolist():
+                    digest = xxhash.xxh3_128_digest(b" ".join(words[s : s + window]))
+                    out.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), i, th, s))
+            yield table(out, ["hi", "lo", "doc_id", "th", "s"])
+
+    hot = materialise(rows.mapInArrow(hot_rows, "hi long, lo long, doc_id long, th long, s long"), "substring-hot")
+    first = hot.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    first = materialise(first.select("hi", "lo", "first"), "substring-first")
+    small = first.count() * 64 <= BROADCAST_BYTES
+    met = hot.join(F.broadcast(first) if small else first, ["hi", "lo"]).filter("doc_id > first")
+    return met.select("doc_id", "th", "s", (F.col("s") + window).alias("e"))
+
+
+def islands(spans: DataFrame) -> DataFrame:
+    """(doc_id, th, spans) with overlapping and touching spans merged."""
+    w = Window.partitionBy("doc_id", "th").orderBy("s", "e")
+    top = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.withColumn("new", F.coalesce(F.col("s") > top, F.lit(True)).cast("int"))
+    rows = rows.withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = rows.groupBy("doc_id", "th", "k").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return merged.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
+
+
+def kept_words(text: str | None, spans: list[tuple[int, int]] | None) -> tuple[int, int, bytes]:
     """Number of words, of those removed, and the kept ones joined by spaces."""
     words = split(text)
     if not spans:
@@ -260,27 +297,34 @@ def kept_words(text: str | None, spans: list[list[int]] | None) -> tuple[int, in
     return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
 
 
-def with_spans(docs: DataFrame, text: str, doc_id: str, window: int) -> DataFrame:
+def with_pairs(b: pa.RecordBatch) -> Iterator[tuple]:
+    """(text, spans) of the rows of with_spans()."""
+    spans = ([(x["s"], x["e"]) for x in s] if s else None for s in b.column(2).to_pylist())
+    return zip(b.column(1).to_pylist(), spans, strict=True)
+
+
+def with_spans(docs: DataFrame, text: str, doc_id: str, window: int, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """docs' ids and texts with their removed spans (null: none)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("t"))
-    spans = materialise(removals(rows, window), "substring-spans")
+    spans = materialise(removals(rows, window, bits, hot), "substring-spans")
     size = spans.agg(F.sum(F.size("spans") * 24 + 64)).first()[0] or 0
     return rows.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, ["doc_id", "th"], "left").select("doc_id", "t", "spans")
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, text): each text without the words of windows that a smaller doc_id also has.
 
     Null and empty texts have no words. A null doc_id loses nothing and takes nothing from others; rows with equal
-    doc_id do not count as smaller to each other. Kept words are joined by one space.
+    doc_id do not count as smaller to each other. Kept words are joined by one space. An empty table gives an empty
+    one; other columns are ignored. bits and hot change the route, not the result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [kept_words(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            out = [kept_words(t, s) for t, s in with_pairs(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2].decode("utf-8", "surrogatepass") for x in out], pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
-    return with_spans(docs, text, doc_id, window).mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+    return with_spans(docs, text, doc_id, window, bits, hot).mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
 
 
 def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -318,7 +362,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [kept_words(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            out = [kept_words(t, s) for t, s in with_pairs(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in out], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

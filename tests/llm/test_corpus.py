@@ -321,8 +321,46 @@ def test_windows_between_covering_ones(spark):
         at = {x: k for k, x in enumerate(order)}
         rows = spark.createDataFrame([(i, " ".join(f"v{at[x]}" for x in t)) for i, t in texts.items()], "doc_id long, text string")
         assert {r.doc_id: r.n_removed for r in substrings.deduplicate(rows).collect()} == {1: 0, 2: 0, 3: 15, 4: 13}
-    passages = [(i, " ".join(t), i) for i, t in texts.items()]
-    assert dict(substrings.shard(passages, 13)) == {1: [], 2: [], 3: [[0, 15]], 4: [[0, 13]]}
+    own = substrings.Shard(13)
+    assert [own.take(i, " ".join(t)) for i, t in texts.items()] == [[], [], [[0, 15]], [[0, 13]]]
+
+
+def brute_windows(rows, window):
+    """(doc_id, words, words removed, kept text) by definition."""
+    split = [(i, (t or "").split(" ") if t else []) for i, t in rows]
+    first = {}
+    for i, w in split:
+        for k in range(len(w) - window + 1):
+            g = tuple(w[k : k + window])
+            if i is not None:
+                first[g] = min(first.get(g, i), i)
+    out = []
+    for i, w in split:
+        gone = set()
+        for k in range(len(w) - window + 1):
+            if i is not None and first[tuple(w[k : k + window])] < i:
+                gone.update(range(k, k + window))
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("route", [{}, {"hot": 1}, {"hot": 3}, {"bits": 64}, {"bits": 64, "hot": 2}])
+def test_substrings_of_few_words(spark, route):
+    """Small vocabularies, stitched passages, repeated and null ids, by all routes."""
+    rng = np.random.default_rng(7)
+    vocabulary = ["a", "b", "c", "dé", "e"]
+    pool = [[str(x) for x in rng.choice(vocabulary, 30)] for _ in range(6)]
+    rows = [(None, " ".join(pool[0])), (5, None), (5, "")]
+    for i in range(120):
+        text = []
+        for _ in range(rng.integers(1, 4)):
+            p, at = pool[rng.integers(6)], rng.integers(0, 12)
+            text += p[at : at + rng.integers(5, 19)] + [f"own{i}"] * int(rng.integers(0, 2))
+        rows.append((int(rng.integers(0, 90)), " ".join(text)))
+    rows += rows[40:50]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = substrings.deduplicate(docs, **route).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_windows(rows, 13)
 
 
 def test_automaton():
