@@ -8,7 +8,7 @@ words and once only, to the shard of the anchor, in ascending doc_id order. Ther
 automaton of those from smaller ids, then added to it unless the automaton knew all of its windows.
 
 Anchors in more than HOT documents would make large shards. Their windows are compared by the 128-bit digest of their
-words instead: the least doc_id of each digest is aggregated map-side. All other removals are decided by words; hashes
+words instead: the least doc_id of each digest is aggregated, in the tasks that read the texts first. All other removals are decided by words; hashes
 route, and tell apart rows with one doc_id (by the 64-bit hash of their text).
 
 Repeated anchors are known to all tasks as a bitmap with BITS_AN_ANCHOR bits each, up to BITS in all. A corpus with
@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +34,10 @@ WINDOW, GRAM = 13, 7
 BITS, BITS_AN_ANCHOR, HOT = 1 << 27, 16, 4000
 #: Words of a broadcast reference at most (a word takes some 600 bytes in an automaton) and of one of its shards.
 REFERENCE_WORDS, SHARD_WORDS = 400_000, 100_000
-#: Words whose hash a task remembers. Spans and digests up to so many bytes are sent to every task, more are joined by shuffle.
-MEMO, BROADCAST_BYTES = 1 << 19, 8 << 20
+#: Words whose hash a task remembers, bytes of text that it takes at a time, hot windows that it combines before they are shuffled.
+MEMO, STEP_BYTES, COMBINE = 1 << 19, 2 << 20, 1 << 18
+#: Hot windows up to so many are sent to every task (24 bytes each), more are joined by shuffle.
+HOT_WINDOWS = 1 << 18
 
 
 class WordHash(dict):
@@ -60,19 +64,43 @@ def rolled(h: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
-def anchors(words: list[bytes], memo: WordHash, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes, and the anchor of the window at each place."""
-    if len(words) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    if len(memo) > MEMO:
-        memo.clear()
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    g = rolled(h, min(GRAM, window))
-    n = len(words) - window + 1
-    least = g[:n].copy()
-    for k in range(1, len(g) - n + 1):
-        np.minimum(least, g[k : k + n], out=least)
-    return h, least
+class Words:
+    """The words of several texts in one list, and what is known of the window that starts at each."""
+
+    def __init__(self, texts: list[bytes], memo: WordHash, window: int) -> None:
+        parts = [t.split() for t in texts]
+        counts = np.array([len(p) for p in parts], np.int64)
+        self.all = list(chain.from_iterable(parts))
+        self.start = np.cumsum(counts) - counts
+        if len(memo) > MEMO:
+            memo.clear()
+        n = max(0, len(self.all) - window + 1)
+        self.doc = np.repeat(np.arange(len(texts)), counts)[:n]
+        self.inside = np.arange(n) + window <= (self.start + counts)[self.doc]
+        self.anchor = np.zeros(n, np.uint64)
+        if n:
+            g = rolled(np.fromiter(map(memo.__getitem__, self.all), np.uint64, len(self.all)), min(GRAM, window))
+            self.anchor[:] = g[:n]
+            for k in range(1, len(g) - n + 1):
+                np.minimum(self.anchor, g[k : k + n], out=self.anchor)
+
+    def anchors(self) -> np.ndarray:
+        """Anchors of the windows, once a text."""
+        at = np.flatnonzero(self.inside)
+        a, d = self.anchor[at], self.doc[at]
+        if len(at):
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])))
+            a, d = a[new], d[new]
+            order = np.lexsort((a, d))
+            a, d = a[order], d[order]
+            a = a[np.concatenate(([True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])))]
+        return a
+
+    def runs(self, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last places of the runs of windows `on` with one anchor in one text."""
+        at = np.flatnonzero(on)
+        cut = np.flatnonzero((np.diff(at) != 1) | (self.anchor[at[1:]] != self.anchor[at[:-1]]) | (self.doc[at[1:]] != self.doc[at[:-1]])) + 1
+        return (at[np.concatenate(([0], cut))], at[np.concatenate((cut - 1, [len(at) - 1]))]) if len(at) else (at, at)
 
 
 class Automaton:
@@ -159,10 +187,10 @@ class Shard:
 
     def __init__(self, window: int) -> None:
         self.window, self.automaton = window, Automaton()
-        self.whole: set[str] = set()  # passages of earlier documents: an equal one is known whole
+        self.whole: set[bytes] = set()  # passages of earlier documents: an equal one is known whole
         self.doc, self.new = None, {}
 
-    def take(self, doc: int, passage: str) -> list[list[int]]:
+    def take(self, doc: int, passage: bytes) -> list[list[int]]:
         if doc != self.doc:
             for words, found in self.new.values():
                 # Windows that overlap may cover all words while others between them are new.
@@ -171,39 +199,43 @@ class Shard:
             self.whole.update(self.new)
             self.doc, self.new = doc, {}
         if passage in self.whole:
-            return [[0, passage.count(" ") + 1]]
-        words = passage.split(" ")
+            return [[0, passage.count(b" ") + 1]]
+        words = passage.split(b" ")
         covered, found = self.automaton.known(words, self.window) if self.whole else ([], 0)
         self.new[passage] = words, found
         return covered
 
 
-def table(rows: list[tuple], names: list[str], strings: tuple[str, ...] = ()) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n in strings else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
+def table(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "passage" else pa.int64()) for n, c in columns.items()], names=list(columns))
+
+
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(doc_id, th, t) of a bounded number of rows at a time."""
+    for b in batches:
+        ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
+        text = b.column(2).cast(pa.binary())
+        bound = np.cumsum(pc.binary_length(text).to_numpy(), dtype=np.int64) // STEP_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(bound)) + 1).tolist(), len(text)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield ids[lo:hi], hashes[lo:hi], text.slice(lo, hi - lo).to_pylist()
 
 
 def slots(seen: DataFrame, bits: int) -> np.ndarray:
     return bitmap(seen.select(F.col("anchor").bitwiseAND(F.lit(bits - 1)).alias("slot")), bits)
 
 
-def removals(docs: DataFrame, window: int = WINDOW, bits: int = BITS, hot: int = HOT) -> DataFrame:
+def removals(docs: DataFrame, window: int = WINDOW, bits: int = BITS, hot: int = HOT, hot_windows: int = HOT_WINDOWS) -> DataFrame:
     """(doc_id, th: hash of the text, spans: array of (s, e), [s, e) in words, apart and ascending) of the documents that lose words."""
     spark = docs.sparkSession
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from (b.slice(k, 1000) for k in range(0, b.num_rows, 1000))
-
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
-        for part in parts(batches):
-            own = [np.unique(anchors(split(t), memo, window)[1]) for t in part.column(0).to_pylist()]
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["anchor"])
+        for _, _, texts in steps(batches):
+            yield table(anchor=Words(texts, memo, window).anchors().view(np.int64))
 
     rows = docs.filter("doc_id is not null and t is not null").select("doc_id", "th", "t")
-    seen = rows.select("t").mapInArrow(anchor_rows, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
+    seen = rows.mapInArrow(anchor_rows, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
     seen = materialise(seen.filter("n > 1"), "substring-anchors")
     n, crowds = seen.agg(F.count("*"), F.count(F.when(F.col("n") > hot, 1))).first()
     size = lambda k: min(bits, 1 << max(10, (k * BITS_AN_ANCHOR).bit_length()))
@@ -211,67 +243,107 @@ def removals(docs: DataFrame, window: int = WINDOW, bits: int = BITS, hot: int =
     common = spark.sparkContext.broadcast(slots(seen, size(n)) if listed else None)
     crowded = spark.sparkContext.broadcast(slots(seen.filter(F.col("n") > hot), size(crowds)) if crowds else None)
 
-    def places(words: list[bytes], memo: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchor of each window, which anchors may be repeated, which of those are hot."""
-        a = anchors(words, memo, window)[1]
-        on = np.ones(len(a), bool) if common.value is None else is_set(common.value, a)
-        return a, on, np.zeros(len(a), bool) if crowded.value is None else on & is_set(crowded.value, a)
+    def places(own: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Windows whose anchor may be repeated and is not hot, and those whose anchor is."""
+        on = own.inside if common.value is None else own.inside & is_set(common.value, own.anchor)
+        full = np.zeros(len(on), bool) if crowded.value is None else on & is_set(crowded.value, own.anchor)
+        return on & ~full, full
 
     def passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
-        for part in parts(batches):
-            out: list[tuple] = []
-            for i, th, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                words = split(t)
-                a, on, full = places(words, memo)
-                at = np.flatnonzero(on & ~full)
-                if not len(at):
-                    continue
-                cut = np.flatnonzero((np.diff(at) != 1) | (a[at[1:]] != a[at[:-1]])) + 1
-                first, keys = at[np.concatenate(([0], cut))], a.view(np.int64)
-                last = at[np.concatenate((cut - 1, [len(at) - 1]))] + window
-                out += [(k, i, th, s, b" ".join(words[s:e]).decode("utf-8", "surrogatepass")) for k, s, e in zip(keys[first].tolist(), first.tolist(), last.tolist(), strict=True)]
-            yield table(out, ["anchor", "doc_id", "th", "s", "passage"], ("passage",))
+        for ids, hashes, texts in steps(batches):
+            own = Words(texts, memo, window)
+            first, last = own.runs(places(own)[0])
+            doc = own.doc[first]
+            passages = [b" ".join(own.all[s:e]) for s, e in zip(first.tolist(), (last + window).tolist(), strict=True)]
+            yield table(anchor=own.anchor[first].view(np.int64), doc_id=ids[doc], th=hashes[doc], s=first - own.start[doc], passage=passages)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, Shard(window)
-        for part in parts(batches):
+        for b in batches:
             out: list[tuple] = []
-            for anchor, doc, th, s, passage in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for anchor, doc, th, s, passage in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if anchor != now:
                     now, own = anchor, Shard(window)
                 out += [(doc, th, s + x, s + y) for x, y in own.take(doc, passage)]
-            yield table(out, ["doc_id", "th", "s", "e"])
+            yield table(**dict(zip(("doc_id", "th", "s", "e"), list(zip(*out, strict=True)) or [()] * 4, strict=True)))
 
-    found = rows.mapInArrow(passage_rows, "anchor long, doc_id long, th long, s long, passage string")
+    found = rows.mapInArrow(passage_rows, "anchor long, doc_id long, th long, s long, passage binary")
     if not listed:
         found = found.join(seen.select("anchor").hint("shuffle_merge"), "anchor", "left_semi")
     sharded = found.repartition("anchor").sortWithinPartitions("anchor", "doc_id")
     spans = sharded.mapInArrow(shards, "doc_id long, th long, s long, e long")
     if crowds:
-        spans = spans.unionByName(hot_spans(rows, places, parts, window))
+        spans = spans.unionByName(hot_spans(rows, places, window, hot_windows))
     return islands(spans)
 
 
-def hot_spans(rows: DataFrame, places, parts, window: int) -> DataFrame:
+def digests(own: Words, at: np.ndarray, window: int) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(b" ".join(own.all[s : s + window])) for s in at.tolist()]
+
+
+def halves(found: Iterable[bytes]) -> np.ndarray:
+    """Two signed 64-bit integers of each digest."""
+    return np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
+
+
+def hot_spans(rows: DataFrame, places, window: int, most: int) -> DataFrame:
     """(doc_id, th, s, e) of the windows with a hot anchor whose digest a smaller doc_id has too."""
 
-    def hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Least and largest doc_id of each digest that the task meets."""
+        memo, low, high = WordHash(), {}, {}
+
+        def flush() -> pa.RecordBatch:
+            h = halves(low)
+            out = table(hi=h[:, 0], lo=h[:, 1], first=list(low.values()), last=list(high.values()))
+            low.clear()
+            high.clear()
+            return out
+
+        for ids, _, texts in steps(batches):
+            own = Words(texts, memo, window)
+            at = np.flatnonzero(places(own)[1])
+            for d, i in zip(digests(own, at, window), ids[own.doc[at]].tolist(), strict=True):
+                if i < low.setdefault(d, i):
+                    low[d] = i
+                if i > high.setdefault(d, i):
+                    high[d] = i
+            if len(low) > COMBINE:
+                yield flush()
+        yield flush()
+
+    first = rows.mapInArrow(combined, "hi long, lo long, first long, last long").groupBy("hi", "lo").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    first = materialise(first.filter("first < last").select("hi", "lo", "first"), "substring-hot")
+    n = first.count()
+    got = first.toArrow() if n <= most else None
+    known = rows.sparkSession.sparkContext.broadcast(got and dict(zip((np.stack([got.column(c).to_numpy() for c in ("hi", "lo")], axis=1).astype(">i8").view("V16").ravel().tolist()), got.column("first").to_pylist(), strict=True)))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The places whose window a smaller doc_id has."""
         memo = WordHash()
-        for part in parts(batches):
-            out: list[tuple] = []
-            for i, th, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                words = split(t)
-                for s in np.flatnonzero(places(words, memo)[2]).tolist():
-                    digest = xxhash.xxh3_128_digest(b" ".join(words[s : s + window]))
-                    out.append((int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True), i, th, s))
-            yield table(out, ["hi", "lo", "doc_id", "th", "s"])
-
-    hot = materialise(rows.mapInArrow(hot_rows, "hi long, lo long, doc_id long, th long, s long"), "substring-hot")
-    first = hot.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    first = materialise(first.select("hi", "lo", "first"), "substring-first")
-    small = first.count() * 64 <= BROADCAST_BYTES
-    met = hot.join(F.broadcast(first) if small else first, ["hi", "lo"]).filter("doc_id > first")
+        for ids, hashes, texts in steps(batches):
+            own = Words(texts, memo, window)
+            at = np.flatnonzero(places(own)[1])
+            doc = ids[own.doc[at]]
+            least = np.array([known.value.get(d, i) for d, i in zip(digests(own, at, window), doc.tolist(), strict=True)], np.int64)
+            on = np.zeros(len(own.doc), bool)
+            on[at[least < doc]] = True
+            begin, end = own.runs(on)
+            d = own.doc[begin]
+            yield table(doc_id=ids[d], th=hashes[d], s=begin - own.start[d], e=end + window - own.start[d])
+
+    def all_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHash()
+        for ids, hashes, texts in steps(batches):
+            own = Words(texts, memo, window)
+            at = np.flatnonzero(places(own)[1])
+            h, d = halves(digests(own, at, window)), own.doc[at]
+            yield table(hi=h[:, 0], lo=h[:, 1], doc_id=ids[d], th=hashes[d], s=at - own.start[d])
+
+    if n <= most:
+        return rows.mapInArrow(spans, "doc_id long, th long, s long, e long")
+    met = rows.mapInArrow(all_places, "hi long, lo long, doc_id long, th long, s long").join(first, ["hi", "lo"]).filter("doc_id > first")
     return met.select("doc_id", "th", "s", (F.col("s") + window).alias("e"))
 
 
@@ -303,20 +375,20 @@ def with_pairs(b: pa.RecordBatch) -> Iterator[tuple]:
     return zip(b.column(1).to_pylist(), spans, strict=True)
 
 
-def with_spans(docs: DataFrame, text: str, doc_id: str, window: int, bits: int = BITS, hot: int = HOT) -> DataFrame:
+def with_spans(docs: DataFrame, text: str, doc_id: str, window: int, **route: int) -> DataFrame:
     """docs' ids and texts with their removed spans (null: none)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("t"))
-    spans = materialise(removals(rows, window, bits, hot), "substring-spans")
-    size = spans.agg(F.sum(F.size("spans") * 24 + 64)).first()[0] or 0
-    return rows.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, ["doc_id", "th"], "left").select("doc_id", "t", "spans")
+    spans = materialise(removals(rows, window, **route), "substring-spans")
+    # By shuffle at every size: the spans grow with the documents.
+    return rows.join(spans.hint("shuffle_merge"), ["doc_id", "th"], "left").select("doc_id", "t", "spans")
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, hot: int = HOT) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", **route: int) -> DataFrame:
     """(doc_id, n_words, n_removed, text): each text without the words of windows that a smaller doc_id also has.
 
     Null and empty texts have no words. A null doc_id loses nothing and takes nothing from others; rows with equal
     doc_id do not count as smaller to each other. Kept words are joined by one space. An empty table gives an empty
-    one; other columns are ignored. bits and hot change the route, not the result.
+    one; other columns are ignored. `route` (bits, hot, hot_windows of removals()) changes the way, not the result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +396,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_i
             out = [kept_words(t, s) for t, s in with_pairs(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2].decode("utf-8", "surrogatepass") for x in out], pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
-    return with_spans(docs, text, doc_id, window, bits, hot).mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
+    return with_spans(docs, text, doc_id, window, **route).mapInArrow(run, "doc_id long, n_words long, n_removed long, text string")
 
 
 def remove_known(docs: DataFrame, reference: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

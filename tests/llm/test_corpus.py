@@ -322,7 +322,7 @@ def test_windows_between_covering_ones(spark):
         rows = spark.createDataFrame([(i, " ".join(f"v{at[x]}" for x in t)) for i, t in texts.items()], "doc_id long, text string")
         assert {r.doc_id: r.n_removed for r in substrings.deduplicate(rows).collect()} == {1: 0, 2: 0, 3: 15, 4: 13}
     own = substrings.Shard(13)
-    assert [own.take(i, " ".join(t)) for i, t in texts.items()] == [[], [], [[0, 15]], [[0, 13]]]
+    assert [own.take(i, " ".join(t).encode()) for i, t in texts.items()] == [[], [], [[0, 15]], [[0, 13]]]
 
 
 def brute_windows(rows, window):
@@ -344,7 +344,7 @@ def brute_windows(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("route", [{}, {"hot": 1}, {"hot": 3}, {"bits": 64}, {"bits": 64, "hot": 2}])
+@pytest.mark.parametrize("route", [{}, {"hot": 1}, {"hot": 3, "hot_windows": 0}, {"bits": 64}, {"bits": 64, "hot": 2}])
 def test_substrings_of_few_words(spark, route):
     """Small vocabularies, stitched passages, repeated and null ids, by all routes."""
     rng = np.random.default_rng(7)
