@@ -34,16 +34,11 @@ WINDOW, GRAM = 13, 7
 BITS, BITS_AN_ANCHOR, HOT = 1 << 27, 16, 4000
 #: Words of a broadcast reference at most (a word takes some 600 bytes in an automaton) and of one of its shards.
 REFERENCE_WORDS, SHARD_WORDS = 400_000, 100_000
-#: Words whose hash a task remembers, bytes of text that it takes at a time, hot windows that it combines before they are shuffled.
-MEMO, STEP_BYTES, COMBINE = 1 << 19, 2 << 20, 1 << 18
+#: Bytes of text that a task takes at a time, hot windows that it combines before they are shuffled.
+STEP_BYTES, COMBINE = 1 << 19, 1 << 18
 #: Hot windows up to so many are sent to every task (24 bytes each), more are joined by shuffle.
 HOT_WINDOWS = 1 << 18
-
-
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+BYTE_HASH, PLACE_HASH = (np.random.default_rng(k).integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for k, n in ((1, 256), (2, 1024)))
 
 
 def split(text: str | None) -> list[bytes]:
@@ -64,26 +59,44 @@ def rolled(h: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+def word_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each of the words [start, end) of a byte buffer: a sum over its bytes, weighted by their places."""
+    out = np.zeros(len(start), np.uint64)
+    cuts = [*np.unique(np.searchsorted(start, np.arange(0, len(buffer), STEP_BYTES // 2))).tolist(), len(start)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if lo < hi:
+            at = start[lo:hi] - start[lo]
+            part = buffer[start[lo] : end[hi - 1]]
+            place = np.arange(len(part)) - np.repeat(at, np.diff(at, append=len(part)))
+            out[lo:hi] = np.add.reduceat(BYTE_HASH[part] * PLACE_HASH[place & 1023], at)
+    return mixed(out)
+
+
 class Words:
-    """The words of several texts in one list, and what is known of the window that starts at each."""
-
-    def __init__(self, texts: list[bytes], memo: WordHash, window: int) -> None:
-        parts = [t.split() for t in texts]
-        counts = np.array([len(p) for p in parts], np.int64)
-        self.all = list(chain.from_iterable(parts))
-        self.start = np.cumsum(counts) - counts
-        if len(memo) > MEMO:
-            memo.clear()
-        n = max(0, len(self.all) - window + 1)
+    """The words of several texts, one space between them, and what is known of the window that starts at each."""
+
+    def __init__(self, texts: list[bytes], window: int) -> None:
+        texts = [b" ".join(t.split()) for t in texts]
+        counts = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
+        self.buffer, self.window = b" ".join(t for t in texts if t), window
+        self.start = np.cumsum(counts) - counts  # first word of each text
+        raw = np.frombuffer(self.buffer, np.uint8)
+        gaps = np.flatnonzero(raw == 32)
+        self.begin, self.end = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(raw)]))
+        n = max(0, int(counts.sum()) - window + 1)
         self.doc = np.repeat(np.arange(len(texts)), counts)[:n]
         self.inside = np.arange(n) + window <= (self.start + counts)[self.doc]
         self.anchor = np.zeros(n, np.uint64)
         if n:
-            g = rolled(np.fromiter(map(memo.__getitem__, self.all), np.uint64, len(self.all)), min(GRAM, window))
+            g = rolled(word_hashes(raw, self.begin, self.end), min(GRAM, window))
             self.anchor[:] = g[:n]
             for k in range(1, len(g) - n + 1):
                 np.minimum(self.anchor, g[k : k + n], out=self.anchor)
 
+    def passages(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """The words of the windows that start at `first` to `last`."""
+        return [self.buffer[x:y] for x, y in zip(self.begin[first].tolist(), self.end[last + self.window - 1].tolist(), strict=True)]
+
     def anchors(self) -> np.ndarray:
         """Anchors of the windows, once a text."""
         at = np.flatnonzero(self.inside)
@@ -188,21 +201,26 @@ class Shard:
     def __init__(self, window: int) -> None:
         self.window, self.automaton = window, Automaton()
         self.whole: set[bytes] = set()  # passages of earlier documents: an equal one is known whole
+        self.waiting: list[tuple[bytes, int]] = []  # those that the automaton lacks, with the number of windows it knew
         self.doc, self.new = None, {}
 
     def take(self, doc: int, passage: bytes) -> list[list[int]]:
         if doc != self.doc:
-            for words, found in self.new.values():
-                # Windows that overlap may cover all words while others between them are new.
-                if found < len(words) - self.window + 1:
-                    self.automaton.add(words)
+            self.waiting += self.new.items()
             self.whole.update(self.new)
             self.doc, self.new = doc, {}
         if passage in self.whole:
             return [[0, passage.count(b" ") + 1]]
-        words = passage.split(b" ")
-        covered, found = self.automaton.known(words, self.window) if self.whole else ([], 0)
-        self.new[passage] = words, found
+        covered, found = [], 0
+        if self.whole:
+            for p, n in self.waiting:
+                words = p.split(b" ")
+                # Windows that overlap may cover all words while others between them are new.
+                if n < len(words) - self.window + 1:
+                    self.automaton.add(words)
+            self.waiting = []
+            covered, found = self.automaton.known(passage.split(b" "), self.window)
+        self.new[passage] = found
         return covered
 
 
@@ -230,9 +248,8 @@ def removals(docs: DataFrame, window: int = WINDOW, bits: int = BITS, hot: int =
     spark = docs.sparkSession
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for _, _, texts in steps(batches):
-            yield table(anchor=Words(texts, memo, window).anchors().view(np.int64))
+            yield table(anchor=Words(texts, window).anchors().view(np.int64))
 
     rows = docs.filter("doc_id is not null and t is not null").select("doc_id", "th", "t")
     seen = rows.mapInArrow(anchor_rows, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
@@ -250,13 +267,11 @@ def removals(docs: DataFrame, window: int = WINDOW, bits: int = BITS, hot: int =
         return on & ~full, full
 
     def passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for ids, hashes, texts in steps(batches):
-            own = Words(texts, memo, window)
+            own = Words(texts, window)
             first, last = own.runs(places(own)[0])
             doc = own.doc[first]
-            passages = [b" ".join(own.all[s:e]) for s, e in zip(first.tolist(), (last + window).tolist(), strict=True)]
-            yield table(anchor=own.anchor[first].view(np.int64), doc_id=ids[doc], th=hashes[doc], s=first - own.start[doc], passage=passages)
+            yield table(anchor=own.anchor[first].view(np.int64), doc_id=ids[doc], th=hashes[doc], s=first - own.start[doc], passage=own.passages(first, last))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, Shard(window)
@@ -278,8 +293,8 @@ def removals(docs: DataFrame, window: int = WINDOW, bits: int = BITS, hot: int =
     return islands(spans)
 
 
-def digests(own: Words, at: np.ndarray, window: int) -> list[bytes]:
-    return [xxhash.xxh3_128_digest(b" ".join(own.all[s : s + window])) for s in at.tolist()]
+def digests(own: Words, at: np.ndarray) -> list[bytes]:
+    return list(map(xxhash.xxh3_128_digest, own.passages(at, at)))
 
 
 def halves(found: Iterable[bytes]) -> np.ndarray:
@@ -292,7 +307,7 @@ def hot_spans(rows: DataFrame, places, window: int, most: int) -> DataFrame:
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Least and largest doc_id of each digest that the task meets."""
-        memo, low, high = WordHash(), {}, {}
+        low, high = {}, {}
 
         def flush() -> pa.RecordBatch:
             h = halves(low)
@@ -302,9 +317,9 @@ def hot_spans(rows: DataFrame, places, window: int, most: int) -> DataFrame:
             return out
 
         for ids, _, texts in steps(batches):
-            own = Words(texts, memo, window)
+            own = Words(texts, window)
             at = np.flatnonzero(places(own)[1])
-            for d, i in zip(digests(own, at, window), ids[own.doc[at]].tolist(), strict=True):
+            for d, i in zip(digests(own, at), ids[own.doc[at]].tolist(), strict=True):
                 if i < low.setdefault(d, i):
                     low[d] = i
                 if i > high.setdefault(d, i):
@@ -321,12 +336,11 @@ def hot_spans(rows: DataFrame, places, window: int, most: int) -> DataFrame:
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The places whose window a smaller doc_id has."""
-        memo = WordHash()
         for ids, hashes, texts in steps(batches):
-            own = Words(texts, memo, window)
+            own = Words(texts, window)
             at = np.flatnonzero(places(own)[1])
             doc = ids[own.doc[at]]
-            least = np.array([known.value.get(d, i) for d, i in zip(digests(own, at, window), doc.tolist(), strict=True)], np.int64)
+            least = np.array([known.value.get(d, i) for d, i in zip(digests(own, at), doc.tolist(), strict=True)], np.int64)
             on = np.zeros(len(own.doc), bool)
             on[at[least < doc]] = True
             begin, end = own.runs(on)
@@ -334,11 +348,10 @@ def hot_spans(rows: DataFrame, places, window: int, most: int) -> DataFrame:
             yield table(doc_id=ids[d], th=hashes[d], s=begin - own.start[d], e=end + window - own.start[d])
 
     def all_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for ids, hashes, texts in steps(batches):
-            own = Words(texts, memo, window)
+            own = Words(texts, window)
             at = np.flatnonzero(places(own)[1])
-            h, d = halves(digests(own, at, window)), own.doc[at]
+            h, d = halves(digests(own, at)), own.doc[at]
             yield table(hi=h[:, 0], lo=h[:, 1], doc_id=ids[d], th=hashes[d], s=at - own.start[d])
 
     if n <= most:
