@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from oddsmill.llm import files, rangecoder
 from oddsmill.llm.common import materialise, scratch
 
-MAGIC = b"OMTOK001"
+MAGIC = b"OMTOK002"
 #: Ids after which a file is closed, text bytes that a task encodes, chunks and pieces whose ids a worker remembers, blocks coded at a time.
 FILE_IDS, TASK_BYTES, MEMO, LANES = 6_000_000, 24 << 20, 600_000, 8192
 #: Pieces of letters that reach the tokenizer in one string.
@@ -92,7 +92,10 @@ class Tokens:
     def _ids(self, texts: list[bytes], end: int) -> list[bytes]:
         whole = {k for k, t in enumerate(texts) if self.added and self.added.search(t)}
         parts = [[] if k in whole else t.split() for k, t in enumerate(texts)]
-        cut = [(w, PIECE.findall(w)) for w in set(chain.from_iterable(parts)).difference(self.memo)]
+        chunks = list(chain.from_iterable(parts))
+        found = list(map(self.memo.get, chunks))
+        missing = [k for k, x in enumerate(found) if x is None]
+        cut = [(w, PIECE.findall(w)) for w in {chunks[k] for k in missing}]
         unknown = list({x for _, c in cut for x in c}.difference(self.memo))
         for at in range(0, len(unknown), 20_000):
             self.learn([x.decode("utf-8", "replace") for x in unknown[at : at + 20_000]])
@@ -100,8 +103,12 @@ class Tokens:
         for w, c in cut:
             if len(c) > 1:
                 self.memo[w] = b"".join(map(known, c))
-        last = struct.pack("<I", end)
-        out = [b"".join([*map(known, p), last]) for p in parts]
+        for k in missing:
+            found[k] = known(chunks[k])
+        last, out, at = struct.pack("<I", end), [], 0
+        for p in parts:
+            out.append(b"".join(found[at : at + len(p)]) + last)
+            at += len(p)
         for k in whole:
             ids = self.tokenizer.encode(texts[k].decode("utf-8", "replace"), add_special_tokens=False).ids
             out[k] = struct.pack(f"<{len(ids)}I", *ids) + last
@@ -120,7 +127,9 @@ def tokens(path: str) -> Tokens:
 
 
 def write_file(uri: str, docs: list[tuple[int | None, bytes]], vocabulary: int) -> int:
-    """Write documents' ids; returns their number."""
+    """Write documents' ids; returns their number. A vocabulary that the coder cannot hold is refused."""
+    if vocabulary > rangecoder.LIMIT:
+        raise ValueError(f"{vocabulary} ids; the coder takes {rangecoder.LIMIT} at most")
     ids = np.frombuffer(b"".join(x for _, x in docs), "<u4").astype(np.int32)
     freq = rangecoder.frequencies(np.bincount(ids, minlength=vocabulary))
     with files.write_stream(uri) as out:
@@ -201,8 +210,8 @@ def write(docs: DataFrame, uri: str, tokenizer: str, end: int, text: str = "text
             return pa.RecordBatch.from_arrays([pa.array([part * 1_000_000 + place], pa.int64()), pa.array([path]), pa.array([len(held)], pa.int64()), pa.array([count], pa.int64())], names=["place", "path", "n_docs", "n_ids"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                some = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 200):
+                some = b.slice(at, 200)
                 for i, x in zip(some.column(0).to_pylist(), own.ids(some.column(1).cast(pa.binary()).to_pylist(), end), strict=True):
                     held.append((i, x))
                     size += len(x) // 4
