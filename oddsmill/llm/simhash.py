@@ -69,12 +69,12 @@ def set_key(h: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, distinct: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp array<long> of `parts` words of 64 bits, n distinct shingles or 0 if repeats count, key: their digest or 0)."""
+    """(doc_id, th: hash of the text, fp array<long> of `parts` words of 64 bits, n distinct shingles or 0 if repeats count, key: their digest or 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, n, keys = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 h = shingle_hashes(t, words)
                 if distinct:
                     h = np.unique(h)
@@ -83,9 +83,9 @@ def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, distinct: bool
                 keys.append(set_key(h) if distinct else 0)
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             fp = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, parts), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), fp, pa.array(n, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "fp", "n", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array(n, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "th", "fp", "n", "key"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp array<long>, n long, key long")
+    return with_hash(docs, text, doc_id).mapInArrow(run, "doc_id long, th long, fp array<long>, n long, key long")
 
 
 def popcount_cells(radius: int):
@@ -155,13 +155,16 @@ def tile_links(batches: Iterator[pa.RecordBatch], parts: int, radius: int, first
 
 
 def links(fps: DataFrame, radius: int, first: int | None = None, parts: int = 1, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Representatives (fp, n, node: the smallest id with that fingerprint) and a spanning set of the links between them.
+    """Representatives (fp, n, least: the smallest id with that fingerprint, node: a number) and a spanning set of the links between nodes.
 
     Texts with one fingerprint are one representative; with a similarity they must also have the same key, its column then.
     similarity: lays cells by shingle counts (for radii at which population counts rule nothing out), else by population counts.
     """
     own = ["key"] if similarity else []
-    reps = materialise(fps.filter("doc_id is not null").groupBy("fp", *own).agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "simhash-reps")
+    # Numbers are given once, as the table is written; ids would not do, as different texts may have the same.
+    least = F.min(F.struct("doc_id", "th")) if similarity else F.min("doc_id")
+    reps = fps.filter("doc_id is not null").groupBy("fp", *own).agg(least.alias("least"), F.min("n").alias("n"))
+    reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()), "simhash-reps")
     cell, offsets = size_cells(similarity) if similarity else popcount_cells(radius)
     reps = reps.withColumn("cell", cell)
     cells = reps.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -176,7 +179,14 @@ def links(fps: DataFrame, radius: int, first: int | None = None, parts: int = 1,
     met = near.join(there, ["target", "j"]).filter("off <> 0 or from <= tile")
     run = lambda batches: tile_links(batches, parts, radius, radius if first is None else first, 0 if similarity else 1)
     edges = met.select("target", "tile", "fps", "ids", "fps2", "ids2").mapInArrow(run, "src long, dst long")
-    return reps.select("fp", *own, "node", "n"), edges
+    return reps.select("fp", *own, "least", "node", "n"), edges
+
+
+def classed(reps: DataFrame, components: DataFrame) -> DataFrame:
+    """reps with `first`, the smallest `least` of all nodes of their component."""
+    of = reps.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = of.groupBy("component").agg(F.min("least").alias("first"))
+    return of.join(first, "component").drop("component")
 
 
 def confirm(fps: np.ndarray, sets: list[np.ndarray], nodes: np.ndarray, side: np.ndarray | None, radius: int, similarity: float) -> np.ndarray:
@@ -214,9 +224,9 @@ def confirmed(docs: DataFrame, reps: DataFrame, classes: DataFrame, words: int,
     """
     of = reps.filter("n > 0").join(classes, "node").groupBy("component").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
     blocks = of.filter("texts > 1").select("component", F.greatest(F.ceil(F.col("n") / CLASS_SHINGLES), F.ceil(F.col("texts") / CLASS_TEXTS)).alias("blocks"))
-    members = classes.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(members, "doc_id")
-    rows = rows.select("doc_id", "text", "component", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("own"))
+    members = classes.join(blocks, "component").join(reps.select("node", "least"), "node").select("node", "component", "blocks", "least.*")
+    rows = with_hash(docs, text, doc_id).join(members, ["doc_id", "th"]).dropDuplicates(["node"])
+    rows = rows.select(F.col("node").alias("doc_id"), "text", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,18 +264,24 @@ def confirmed(docs: DataFrame, reps: DataFrame, classes: DataFrame, words: int,
     return met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "src long, dst long")
 
 
+def with_hash(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, th: hash of the text, text); an id and a text hash stand for a row."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"))
+
+
 def similar(docs: DataFrame, words: int = 5, radius: int = 72, parts: int = 4, first: int = 24, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, component_id) by chains of texts with a Jaccard similarity of their shingles of `similarity` or more.
+    """(doc_id, th, component_id, first_th) by chains of texts with a Jaccard similarity of their shingles of `similarity` or more.
 
-    component_id is the smallest doc_id of the class. Rows with a null doc_id are left out; texts without words are equal.
+    component_id and first_th are the smallest (doc_id, th) of the class, th being the hash of a text (null as empty).
+    Rows with a null doc_id are left out; texts without words are equal.
     """
     fps = materialise(fingerprints(docs, words, parts, True, text, doc_id).filter("doc_id is not null"), "simhash-fps")
     reps, edges = links(fps, radius, first, parts, similarity)
     candidates = materialise(connected_components(edges), "simhash-candidates")
     edges = materialise(confirmed(docs, reps, candidates, words, radius, parts, similarity, text, doc_id), "simhash-confirmed")
-    classes = connected_components(edges)
-    classes = reps.join(classes, "node", "left").select("fp", "key", F.coalesce("component", "node").alias("component_id"))
-    return fps.select("doc_id", "fp", "key").join(classes, ["fp", "key"]).select("doc_id", "component_id")
+    classes = classed(reps, connected_components(edges)).select("fp", "key", F.col("first.doc_id").alias("component_id"), F.col("first.th").alias("first_th"))
+    return fps.select("doc_id", "th", "fp", "key").join(classes, ["fp", "key"]).select("doc_id", "th", "component_id", "first_th")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -277,8 +293,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, text: str
     """
     fps = materialise(fingerprints(docs, words, text=text, doc_id=doc_id), "simhash-fps")
     reps, edges = links(fps, radius)
-    classes = connected_components(edges)
-    classes = reps.join(classes, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    classes = classed(reps, connected_components(edges)).select("fp", F.col("first").alias("component_id"))
     return fps.select("doc_id", "fp").join(classes, "fp", "left")
 
 
@@ -293,8 +308,12 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     256 bits: at Jaccard 0.8 about 39 differ (standard deviation under 6; up to 48 of texts with four or five shingles),
     of unrelated texts 128 (8). Candidates differ in at most 72 of the 256 and 24 of the first 64; their exact
-    similarity decides. Of rows with the same doc_id in one group, one stays.
+    similarity decides. Of each group the row with the smallest doc_id stays, of several with that id the one with the
+    smallest text hash, of equal rows one. Rows with a null doc_id all stay. Null and empty texts are equal; an empty
+    table gives an empty one. All columns are kept.
     """
-    keep = similar(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keep = similar(docs).filter("doc_id = component_id and th = first_th").select(F.col("doc_id").alias("_simhash_id"), F.col("th").alias("_simhash_th")).distinct()
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    met = (F.col("doc_id").cast("long") == F.col("_simhash_id")) & (F.col("_simhash_own") == F.col("_simhash_th"))
+    rows = docs.withColumn("_simhash_own", th).join(keep, met, "left_semi").dropDuplicates(["doc_id", "_simhash_own"]).drop("_simhash_own")
     return rows.unionByName(docs.filter("doc_id is null"))

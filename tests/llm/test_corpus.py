@@ -91,6 +91,20 @@ def test_near_dedup_stage(spark, docs):
     assert 1 in kept and 2 not in kept and 5 in kept and 10 not in kept and {6, 8, 11} <= set(kept) and 7 not in kept
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_near_dedup_with_repeated_ids(spark, parts):
+    """Texts with one id are judged by themselves, in any order of rows; equal rows, null ids, no rows, clashing columns."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(5, a, 0), (5, b, 1), (2, b, 2), (7, a + " more", 3), (7, c, 4), (7, c, 4), (None, a, 5), (9, None, 6), (8, "", 7)]
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, "doc_id long, text string, n long").repartition(parts)
+        got = sorted((tuple(r)[:2] for r in simhash.stage(spark, table, "").collect()), key=str)
+        assert got == sorted([(5, a), (2, b), (7, c), (None, a), (8, "")], key=str)
+    near = {(r.doc_id, r.fp[0], r.component_id) for r in simhash.near_duplicates(table).collect()}
+    assert {x for i, _, x in near if i == 5} == {2, 5} and len(near) == 8
+    assert simhash.stage(spark, table.limit(0), "").count() == 0
+
+
 def test_near_dedup_stage_is_exact(spark):
     """Pairs below and above 0.8 by one shingle set each: of n words, a pair shares `same` at its start."""
     rows, expected, at = [], set(), 0
