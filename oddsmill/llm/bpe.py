@@ -192,7 +192,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: doc_id, source, ids and their number for every row."""
+    """Pipeline stage, the last: doc_id, source, ids and their number for every row; null and empty texts have no ids, repeated rows stay."""
     import public_tokenizers
 
     out = encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)

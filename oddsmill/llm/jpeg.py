@@ -347,6 +347,22 @@ def thumbnails(media: list[bytes | None]) -> list[list[tuple[int, int, np.ndarra
     return [[(im.width, im.height, im.thumbnail()) for im in own] for own in images]
 
 
+#: What damaged bytes raise while they are parsed or decoded.
+DAMAGE = (ValueError, IndexError, KeyError, AttributeError, OverflowError, MemoryError, struct.error)
+
+
+def readable(media: list[bytes | None]) -> tuple[list[list[tuple[int, int, np.ndarray]]], list[str | None]]:
+    """thumbnails() of each value, and what is wrong with it: a value that is no baseline JPEG has none and spoils no other."""
+    try:
+        own = thumbnails(media)
+    except DAMAGE as e:
+        if len(media) == 1:
+            return [[]], [f"{type(e).__name__}: {e}"]
+        parts = [readable([m]) for m in media]
+        return [x[0] for x, _ in parts], [e[0] for _, e in parts]
+    return own, ["ValueError: no JPEG" if m is not None and not x else None for m, x in zip(media, own, strict=True)]
+
+
 def thumbnail_hash(thumb: np.ndarray) -> str:
     """64 bits: whether a cell of an 8 x 8 grid (all its samples averaged) is lighter than their mean; under 8 rows or columns repeat."""
     cells = thumb
@@ -387,11 +403,12 @@ IMAGES = T.ArrayType(T.StructType([T.StructField("width", T.IntegerType()), T.St
 
 
 def described(rows: DataFrame, media: str = "media") -> DataFrame:
-    """All rows and columns with images array<struct<width, height, hash>> and samples (the thumbnails' bytes) of a JPEG column.
+    """All rows and columns with images array<struct<width, height, hash>>, samples (the thumbnails' bytes) and error of a JPEG column.
 
-    A null has no images and null samples; bytes that are no baseline JPEG are an error.
+    A null has no images, null samples and no error. Bytes that are no baseline JPEG, or damaged ones, have null images,
+    null samples and the reason in error, and the other rows are not affected. Columns named as these are replaced.
     """
-    names = [c for c in rows.columns if c not in ("images", "samples")]
+    names = [c for c in rows.columns if c not in ("images", "samples", "error")]
     at = names.index(media)
     kind = pa.list_(pa.struct([("width", pa.int32()), ("height", pa.int32()), ("hash", pa.string())]))
 
@@ -399,12 +416,12 @@ def described(rows: DataFrame, media: str = "media") -> DataFrame:
         for b in batches:
             values = b.column(at).to_pylist()
             for s, e in batched([v or b"" for v in values]):
-                own = thumbnails(values[s:e])
-                images = pa.array([[{"width": w, "height": h, "hash": thumbnail_hash(t)} for w, h, t in x] for x in own], kind)
-                samples = pa.array([b"".join(t.tobytes() for _, _, t in x) if v is not None else None for x, v in zip(own, values[s:e], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(c.slice(s, e - s) for c in b.columns), images, samples], names=[*names, "images", "samples"])
+                own, wrong = readable(values[s:e])
+                images = pa.array([None if x else [{"width": w, "height": h, "hash": thumbnail_hash(t)} for w, h, t in i] for i, x in zip(own, wrong, strict=True)], kind)
+                samples = pa.array([b"".join(t.tobytes() for _, _, t in i) if v is not None and not x else None for i, v, x in zip(own, values[s:e], wrong, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(c.slice(s, e - s) for c in b.columns), images, samples, pa.array(wrong, pa.string())], names=[*names, "images", "samples", "error"])
 
-    return rows.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema_of(rows, names, images=IMAGES, samples=T.BinaryType()))
+    return rows.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema_of(rows, names, images=IMAGES, samples=T.BinaryType(), error=T.StringType()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -102,9 +102,33 @@ def query(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def copies(mixed: DataFrame, seed: int = 7) -> DataFrame:
+    """(doc_id, source, size, copies) of mix()'s rows: whole copies, the rounding of each carried to the next of its source.
+
+    Copies of a source, in the order of the MD5 of seed and doc_id, add up to taken / size to within half a copy at
+    every place; so its words come near its target however few documents it has. Shares are counted in millionths, by
+    source and bucket first, so that a large source is no single task's.
+    """
+    k = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    share = F.floor(F.col("taken") * 1_000_000 / F.col("size")).cast("long")
+    rows = mixed.filter("size > 0").select("doc_id", "source", "size", share.alias("share"), k.alias("k")).withColumn("bucket", F.substring("k", 1, DIGITS))
+    rows = rows.withColumn("named", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    before = rows.groupBy("named", "bucket").agg(F.sum("share").alias("own"))
+    before = before.withColumn("before", F.sum("own").over(Window.partitionBy("named").orderBy("bucket")) - F.col("own")).drop("own")
+    within = F.sum("share").over(Window.partitionBy("named", "bucket").orderBy("k", "doc_id", "size", "share").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(before, ["named", "bucket"]).withColumn("end", F.col("before") + within)
+    whole = lambda c: F.floor((c + 500_000) / 1_000_000)
+    return rows.select("doc_id", "source", "size", (whole(F.col("end")) - whole(F.col("end") - F.col("share"))).cast("int").alias("copies"))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it, to the nearest whole copy (0 to 3)."""
-    copies = mix(docs).groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")).alias("_mix_copies"))
-    copies = copies.filter("_mix_copies > 0").withColumnRenamed("doc_id", "_mix_doc_id")
-    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_mix_doc_id")))
+    """Pipeline stage: every document as often as the mix takes it, in whole copies (0 to 3).
+
+    Documents without words are not taken. Rows with one doc_id (null is one too) come as often as the most taken of
+    them. An empty table gives an empty one; all columns are kept.
+    """
+    most = copies(materialise(mix(docs), "mix-taken")).groupBy("doc_id").agg(F.max("copies").alias("_mix_copies"))
+    most = most.filter("_mix_copies > 0").withColumnRenamed("doc_id", "_mix_doc_id")
+    some = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD_CHARS)) > 0
+    rows = docs.filter(some).join(most, F.col("doc_id").eqNullSafe(F.col("_mix_doc_id")))
     return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)

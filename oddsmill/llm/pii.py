@@ -8,12 +8,13 @@ different contexts, is generalised wherever it stands; from REMOVE on it is remo
 """
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oddsmill.llm.common import materialise
@@ -31,7 +32,19 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-LETTERS = re.compile(r"[^\W\d_]+")
+
+@functools.cache
+def _letters(application: str) -> str:
+    spark = SparkSession.getActiveSession()
+    points = spark.range(0x40000).filter("id not between 55296 and 57343")  # beyond: private use, tags and nothing
+    own = points.select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c")).filter(F.col("c").rlike(r"^\p{L}$"))
+    runs = own.withColumn("run", F.col("id") - F.row_number().over(Window.orderBy("id"))).groupBy("run").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    return "".join(f"\\U{r.a:08x}-\\U{r.b:08x}" for r in runs.orderBy("a").collect())
+
+
+def letters(spark: SparkSession) -> str:
+    """Class of the letters by which SQL splits terms, for Python patterns: one definition, whatever Unicode version either has."""
+    return f"[{_letters(spark.sparkContext.applicationId)}]"
 
 
 def emails(t: str) -> Iterator[tuple[int, int]]:
@@ -80,8 +93,8 @@ def identifiers(t: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def contexts(t: str) -> list[tuple[str, str]]:
-    """(entity, the text beside it with identifiers blanked) of each identifier."""
+def contexts(t: str, letter: str) -> list[tuple[str, str]]:
+    """(entity, the text beside it with identifiers and cut terms blanked) of each identifier."""
     spans = identifiers(t)
     out = []
     for kind, start, end in spans:
@@ -92,10 +105,10 @@ def contexts(t: str) -> list[tuple[str, str]]:
             if s < high and e > low:
                 near[max(s, low) - low : min(e, high) - low] = " " * (min(e, high) - max(s, low))
         text = "".join(near)
-        if low and LETTERS.match(t[low - 1]):
-            text = LETTERS.sub(" ", text, count=1) if LETTERS.match(text) else text
-        if high < len(t) and LETTERS.match(t[high]):
-            text = re.sub(r"[^\W\d_]+\Z", " ", text)
+        if low and re.match(letter, t[low - 1]):
+            text = re.sub(rf"\A{letter}+", " ", text)
+        if high < len(t) and re.match(letter, t[high]):
+            text = re.sub(rf"{letter}+\Z", " ", text)
         out.append((f"{kind}:{value}", text))
     return out
 
@@ -111,11 +124,11 @@ def prepared(docs: DataFrame, text: str) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(term, ratio) of terms that give an entity away, and (h, term): their occurrences by the SHA-256 of the text."""
-    rows = prepared(docs, text)
+    rows, letter = prepared(docs, text), letters(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(k, *x) for k, t in enumerate(b.column(0).to_pylist()) if t for x in contexts(t)]
+            found = [(k, *x) for k, t in enumerate(b.column(0).to_pylist()) if t for x in contexts(t, letter)]
             if found:
                 ids = [hashlib.sha256(b.column(0)[k].as_py().encode("utf-8", "surrogatepass")).hexdigest() for k, _, _ in found]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x[1] for x in found]), pa.array([x[2] for x in found])], names=["h", "entity", "near"])
@@ -155,7 +168,7 @@ def with_terms(docs: DataFrame, text: str, action_bytes: int = BROADCAST_BYTES)
     return rows.join(F.broadcast(hits) if size <= action_bytes else hits, "_pii_key", "left").drop("_pii_key")
 
 
-def term_spans(t: str, risky: list[str] | None, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, bool]]:
+def term_spans(t: str, risky: list[str] | None, taken: list[tuple[str, int, int]], letter: str) -> list[tuple[str, int, int, bool]]:
     """(term, start, end, removed) of disclosing terms outside of the identifiers."""
     if not risky:
         return []
@@ -163,7 +176,7 @@ def term_spans(t: str, risky: list[str] | None, taken: list[tuple[str, int, int]
     inside = sorted((s, e) for _, s, e in taken)
     out, k = [], 0
     top = 0
-    for m in LETTERS.finditer(t):
+    for m in re.finditer(rf"{letter}+", t):
         while k < len(inside) and inside[k][0] < m.end():
             top = max(top, inside[k][1])
             k += 1
@@ -179,6 +192,8 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     so copies of a text add nothing to what it discloses.
     """
 
+    letter = letters(docs.sparkSession)
+
     def show(found) -> str:
         return ",".join(f"{k}:{s}:{e}" for k, s, e, *_ in found)
 
@@ -187,7 +202,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             out = []
             for t, risky in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 own = identifiers(t)
-                out.append((*(sum(x[0] == k for x in own) for k in KINDS), hashlib.sha256(show(own).encode()).hexdigest(), show([*own, *term_spans(t, risky, own)])))
+                out.append((*(sum(x[0] == k for x in own) for k in KINDS), hashlib.sha256(show(own).encode()).hexdigest(), show([*own, *term_spans(t, risky, own, letter)])))
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
@@ -196,8 +211,12 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with identifiers replaced by their kind in brackets, disclosing terms by [TERM] or by nothing; null texts stay null."""
-    names = docs.columns
+    """docs with identifiers replaced by their kind in brackets, disclosing terms by [TERM] or by nothing.
+
+    Null texts stay null, empty ones empty; repeated rows stay and change alike; an empty table gives an empty one. All
+    columns are kept, whatever their names.
+    """
+    names, letter = docs.columns, letters(docs.sparkSession)
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +224,7 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
             out = []
             for whole, t, risky in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
                 own = identifiers(t)
-                cuts = sorted([(s, e, f"[{k.upper()}]") for k, s, e in own] + [(s, e, "" if gone else "[TERM]") for _, s, e, gone in term_spans(t, risky, own)])
+                cuts = sorted([(s, e, f"[{k.upper()}]") for k, s, e in own] + [(s, e, "" if gone else "[TERM]") for _, s, e, gone in term_spans(t, risky, own, letter)])
                 parts, done = [], 0
                 for s, e, new in cuts:
                     if s >= done:
@@ -223,6 +242,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the text of every document is sanitised, n_chars counts it anew."""
+    """Pipeline stage: the text of every document is sanitised (see sanitise for null, empty and repeated rows), n_chars counts it anew."""
     out = sanitise(docs)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns) if "n_chars" in docs.columns else out

@@ -177,11 +177,15 @@ def verdict(rules: list[Rule], prefix: str = "") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Rules from at most `sample` labelled rows, the first by a hash of their id; labels that are null teach nothing."""
+    """Rules from at most `sample` labelled ids, the first by a hash of the id; labels that are null teach nothing.
+
+    Of rows with one id the first by its statistics teaches, so that no more than `sample` rows reach the driver.
+    """
     taught = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     taught = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     own = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id").select("doc_id", "text")
-    rows = ratios(statistics(own)).join(taught, "doc_id").orderBy("doc_id", *COUNTS).select("quality", *RATIOS).limit(2 * sample).toPandas()
+    one = statistics(own).groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("s")).select("doc_id", "s.*")
+    rows = ratios(one).join(taught, "doc_id").orderBy("doc_id").select("quality", *RATIOS).toPandas()
     return learn({k: rows[k].to_numpy(float) for k in RATIOS}, rows["quality"].to_numpy() == 0)
 
 
@@ -200,7 +204,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
+    """Pipeline stage: documents that the rules reject go.
+
+    Null and empty texts have no words and go. Repeated rows and rows with one or no doc_id are judged one by one. An
+    empty table gives an empty one; all columns are kept, whatever their names.
+    """
     rules = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,21 +1,7 @@
 """The corpus operators' queries over the test tables, and DuckDB SQL for those that SQL can express."""
 from __future__ import annotations
 
-import importlib
-
-#: Query name to (module, function).
-NAMES = {
-    "op1_pii": "pii",
-    "op2_warc": "warc",
-    "op3_byte_bpe": "bpe",
-    "op4_simhash": "simhash",
-    "op5_media": "jpeg",
-    "op6_substring_dedup": "substrings",
-    "op7_quality_rules": "quality",
-    "op8_mixing": "mixing",
-    "op9_token_files": "tokenfiles",
-    "op10_license_scan": "licenses",
-}
+from oddsmill.llm import bpe, jpeg, licenses, mixing, pii, quality, simhash, substrings, tokenfiles, warc
 
 
 def _pipeline(spark, sf_dir: str):
@@ -25,8 +11,19 @@ def _pipeline(spark, sf_dir: str):
 
 
 def queries() -> dict:
-    out = {name: importlib.import_module(f"oddsmill.llm.{module}").query for name, module in NAMES.items()}
-    return out | {"pipeline": _pipeline}
+    return {
+        "op1_pii": pii.query,
+        "op2_warc": warc.query,
+        "op3_byte_bpe": bpe.query,
+        "op4_simhash": simhash.query,
+        "op5_media": jpeg.query,
+        "op6_substring_dedup": substrings.query,
+        "op7_quality_rules": quality.query,
+        "op8_mixing": mixing.query,
+        "op9_token_files": tokenfiles.query,
+        "op10_license_scan": licenses.query,
+        "pipeline": _pipeline,
+    }
 
 
 WARC_SQL = """

@@ -185,6 +185,25 @@ def test_disclosing_terms(spark):
     assert "ZORBLAX" not in clean[901] and clean[900] is None and clean[100] == rows[6][1]
 
 
+def test_letters_are_those_of_sql(spark):
+    letter = re.compile(pii.letters(spark))
+    rows = spark.createDataFrame([(c, f"x{chr(c)}y") for c in range(0x34000) if not 0xD800 <= c < 0xE000], "c long, t string")
+    for r in rows.select("c", (F.size(F.split("t", r"\P{L}+")) == 1).alias("one"), F.lower("t").alias("low")).toLocalIterator():
+        assert (letter.fullmatch(chr(r.c)) is not None) == r.one, hex(r.c)
+        assert not r.one or r.low == f"x{chr(r.c)}y".lower(), hex(r.c)
+
+
+def test_terms_beside_marks_that_are_no_letters(spark, none):
+    """A term is found where superscripts, fractions and letter numerals stand beside it; repeated rows, empty tables."""
+    rows = [(k, f"{x} Zorblax a.b@mail.example.com wrote {'pqrstu'[k]}ly") for k, x in enumerate(["one", "two", "three", "four"])]
+    rows += [(9, "Zorblax\u00b2 and \u2167Zorblax and zorblax\u00bd."), (9, "Zorblax\u00b2 and \u2167Zorblax and zorblax\u00bd."), (10, None), (11, "")]
+    rows += [(20 + k, f"filler text number {k} here") for k in range(80)]
+    got = [(r.doc_id, r.text) for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert not [t for _, t in got if t and "zorblax" in t.lower()] and sum(i == 9 for i, _ in got) == 2
+    assert {i: t for i, t in got}[10] is None and {i: t for i, t in got}[11] == ""
+    assert pii.sanitise(none).count() == 0 and pii.spans(none).count() == 0
+
+
 def test_quality(spark, docs, none):
     def counted(t):
         w, seen, dups = WORD.findall(t or ""), set(), 0
@@ -242,6 +261,20 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_in_whole_copies(spark, none):
+    """Totals of small and large sources come near what mix() takes; rows without words, repeated and null ids, empty tables."""
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(["w"] * int(rng.integers(1, 60))), f"s{min(k % 40, 4)}", k) for k in range(1500)] + [(None, "x y", "s0", 0), (7, "x y", "s0", 1), (8, None, "s1", 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, _size long")
+    wanted = {r.source: (r.t, r.most) for r in mixing.mix(table).groupBy("source").agg(F.sum("taken").alias("t"), F.max("size").alias("most")).collect()}
+    got = mixing.stage(spark, table, "")
+    assert got.columns == table.columns
+    words = {r.source: r.n for r in got.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    for source, (taken, most) in wanted.items():
+        assert abs(words.get(source, 0) - taken) <= max(0.08 * taken, 3 * most), (source, words.get(source), taken)
+    assert got.groupBy("doc_id", "text").count().agg(F.max("count")).first()[0] <= 6 and mixing.stage(spark, none, "").count() == 0
+
+
 def test_warc(spark, none):
     big = "<p>" + "x" * 1200 + "</p>"
     pages = [(1, "http://a/1", big, 0), (2, "http://a/2\r\nX: y", big, 0), (5, None, big, 0), (3, "u", None, 0), (4, "u", "short", 0), (6, "u", "short", 0), (7, "u", "é\r\n\r\nWARC/1.1" * 200, 0), (None, "u", "no id", 0)]
@@ -283,6 +316,15 @@ def test_thumbnail_hash_sees_all_rows():
         assert jpeg.thumbnail_hash(t) == np.packbits(cells > cells.mean()).tobytes().hex()
 
 
+def test_damaged_media(spark):
+    whole = jpeg.store([jpeg.padded(b"some text " * 50)])[0]
+    rows = [(0, whole), (1, b"garbage"), (2, whole[:11]), (3, None), (4, whole[: len(whole) // 2]), (5, b""), (6, whole)]
+    got = {r.k: r for r in jpeg.described(spark.createDataFrame(rows, "k int, media binary").coalesce(1)).collect()}
+    assert got[0].images == got[6].images and got[0].error is None and len(got[0].images) == 1
+    assert all(got[k].images is None and got[k].samples is None and got[k].error for k in (1, 2, 5))
+    assert got[3].images == [] and got[3].samples is None and got[3].error is None
+
+
 def test_jpeg_with_ac_coefficients_and_colour():
     """Two components, 2 x 1 and 1 x 1, AC symbols in the stream, no restarts."""
     dc = {s: (c, n) for s, c, n in jpeg.codes(jpeg.DC_COUNTS, jpeg.DC_SYMBOLS)}
