@@ -45,6 +45,41 @@ TEMPLATES = {
     "BSD-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "BSD-3-endorse": "may be used to endorse or promote products derived from this software without specific prior written permission",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "MIT-whole": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+        and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+        PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC-whole": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
+    "BSD-2-whole": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+        of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
+        the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+        IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+        INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+        SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+        WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Zlib-whole": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the
+        original software. If you use this software in a product, an acknowledgment in the product documentation would be
+        appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+        distribution.""",
     "CC0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
 }
 
@@ -99,7 +134,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
 
     containment is that of the best window, start_word its first word from 0 (the earliest of equal ones), n_windows
     the number of windows that pass. Null and empty texts match nothing; equal rows count once; a template with fewer
-    than WORDS words is held where all its words follow each other.
+    than WORDS words is held where all its words follow each other. Rows with a null doc_id are scanned like others; an
+    empty table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
     table = template_table(spark, templates or TEMPLATES)
@@ -130,11 +166,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, contained: fl
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t")).filter("t is not null")
     rows = rows.select("doc_id", "t", found.alias("f")).select("doc_id", "t", "f.hits", "f.brief").filter((F.size("hits") > 0) | (F.size("brief") > 0))
     rows = materialise(rows.select("doc_id", F.sha2("t", 256).alias("h"), words(F.col("t")).alias("w"), "hits", "brief").dropDuplicates(["doc_id", "h"]), "license-candidates")
-    near = rows.select("doc_id", "h", "w", F.explode("hits").alias("i")).withColumn("pivot", F.array_join(F.slice("w", F.col("i") + 1, WORDS), " "))
-    near = near.join(F.broadcast(pivots), "pivot")
-    starts = F.sequence(F.greatest(F.col("i") - F.col("n") + 1, F.lit(0)), F.col("i"))
-    windows = near.select("doc_id", "h", "n", "w", F.explode(starts).alias("start"))
-    windows = windows.withColumn("part", F.slice("w", F.col("start") + 1, F.col("n") + WORDS - 1)).drop("w").dropDuplicates(["doc_id", "h", "n", "start"])
+    # Starts of the windows around the hits, once each, before any words are sliced: a hit's pivot tells the sizes tried.
+    near = rows.select("doc_id", "h", F.explode(F.transform("hits", lambda i: F.struct(i.alias("i"), F.array_join(F.slice(F.col("w"), i + 1, WORDS), " ").alias("pivot")))).alias("x"))
+    near = near.select("doc_id", "h", "x.*").join(F.broadcast(pivots), "pivot")
+    starts = near.select("doc_id", "h", "n", F.explode(F.sequence(F.greatest(F.col("i") - F.col("n") + 1, F.lit(0)), F.col("i"))).alias("start"))
+    starts = starts.groupBy("doc_id", "h").agg(F.collect_set(F.struct("n", "start")).alias("starts"))
+    # A place's words are cut out within the row, so that a text is never copied for each of its windows.
+    part = lambda x: F.struct(x.n.alias("n"), x.start.alias("start"), F.slice(F.col("w"), x.start + 1, x.n + WORDS - 1).alias("part"))
+    windows = rows.select("doc_id", "h", "w").join(starts, ["doc_id", "h"]).select("doc_id", "h", F.explode(F.transform("starts", part)).alias("x")).select("doc_id", "h", "x.*")
     windows = windows.select("doc_id", "h", "n", "start", F.array_distinct(shingles(F.col("part"))).alias("held")).filter(F.size("held") > 0)
     keyed = table.select("license", "own", "n", F.explode(bands(F.col("own"))).alias("b")).select("license", "own", F.col("n"), "b.band", "b.key")
     met = windows.select("*", F.explode(bands(F.col("held"))).alias("b")).select("doc_id", "h", "n", "start", "held", "b.band", "b.key")
