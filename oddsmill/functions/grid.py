@@ -54,8 +54,3 @@ def rates(p: Column, dt: Column, tau: Column) -> dict[str, Column]:
 
 #: Edges 0.05, 0.10, ... 0.95 at which empirical rates are binned.
 RATE_EDGES = tuple(i / 20 for i in range(1, 20))
-
-
-def steps(x: Column, edges) -> Column:
-    """Number of edges that x has reached."""
-    return sum(((x >= e).cast("int") for e in edges), F.lit(0))

@@ -5,7 +5,10 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from oddsmill.functions import grid
+from oddsmill.functions.normal import probit
 
+# Bounds of a tick's edges before their probit.
+EDGE_CLIP = (1e-4, 1 - 1e-4)
 
 
 def by_key() -> WindowSpec:
@@ -48,17 +51,42 @@ def standardised(moves: DataFrame) -> DataFrame:
     return moves.withColumn("z", z).withColumn("lam", F.col("z") * F.col("z"))
 
 
-def segments(moves: DataFrame, p_low: float, p_high: float, tau_low: float, gap: float = 3.0, least: int = 8) -> DataFrame:
-    """Runs of moves within a rectangle without a gap of over `gap` days: (key, run, pos, z, dt, taup), `least` long at least."""
-    ok = (F.col("p") >= p_low) & (F.col("p") < p_high) & (F.col("tau") >= tau_low)
-    step = F.col("ts_days") - F.lag("ts_days").over(in_time())
-    rows = moves.withColumn("ok", ok).withColumn("step", step).withColumn("brk", (~F.col("ok") | F.coalesce(F.col("step") > gap, F.lit(False))).cast("int"))
+def segments(markets: DataFrame, p_low: float, p_high: float, tau_low: float, gap: float = 3.0, least: int = 8, unit: float | None = None) -> DataFrame:
+    """Runs of closes within a rectangle without a gap of over `gap` days, `least` long at least: (key, run, pos, z, dt, taup).
+
+    z is the probit of the clipped close; dt and taup (days to resolution of the close before, a day at least) are null
+    at the start of a run. With a tick unit also zlo and zhi, the probits of the tick's edges, and isz: no tick moved.
+    """
+    tau = F.greatest(F.col("t_res") - F.col("ts_days"), F.lit(1.0))
+    rows = markets.withColumn("tau", tau).withColumn("ok", (F.col("close") >= p_low) & (F.col("close") < p_high) & (F.col("tau") >= tau_low))
+    step = F.coalesce(F.col("ts_days") - F.lag("ts_days").over(in_time()) > gap, F.lit(False))
+    rows = rows.withColumn("brk", (~F.col("ok") | step).cast("int"))
     rows = rows.withColumn("run", F.sum("brk").over(in_time().rowsBetween(Window.unboundedPreceding, 0))).filter("ok")
     within = Window.partitionBy("key", "run")
     rows = rows.withColumn("len", F.count("*").over(within)).filter(F.col("len") >= least)
     ordered = within.orderBy("ts_days")
-    before = F.lag("ts_days").over(ordered)
-    return rows.select("key", "run", (F.row_number().over(ordered) - 1).alias("pos"), "z", (F.col("ts_days") - before).alias("dt"), F.lag("tau").over(ordered).alias("taup"))
+    low, high = grid.PRICE_CLIP
+    clipped = F.least(F.greatest("close", F.lit(low)), F.lit(high))
+    out = [(F.row_number().over(ordered) - 1).alias("pos"), probit(clipped).alias("z"), (F.col("ts_days") - F.lag("ts_days").over(ordered)).alias("dt"), F.lag("tau").over(ordered).alias("taup")]
+    if unit is not None:
+        edge = lambda c: probit(F.least(F.greatest(c, F.lit(EDGE_CLIP[0])), F.lit(EDGE_CLIP[1])))
+        still = F.bround((F.col("close") - F.lag("close").over(ordered)) / unit) == 0
+        out += [edge(clipped - unit / 2).alias("zlo"), edge(clipped + unit / 2).alias("zhi"), F.coalesce(still, F.lit(False)).alias("isz")]
+    return rows.select("key", "run", *out)
+
+
+def subsample(segs: DataFrame, most: int, seed: int = 7) -> DataFrame:
+    """Whole segments in the order of a hash of seed, key and run, through the first that brings their steps to `most`.
+
+    The order is cut into chunks by the hash, so that no task numbers all segments.
+    """
+    u = F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"), F.lit(":"), F.col("run")))
+    sizes = segs.groupBy("key", "run").agg((F.count("*") - 1).alias("steps")).withColumn("u", u).withColumn("chunk", F.substring("u", 1, 3))
+    chunks = sizes.groupBy("chunk").agg(F.sum("steps").alias("own"))
+    chunks = chunks.withColumn("chunks_before", F.sum("own").over(Window.orderBy("chunk")) - F.col("own")).drop("own")  # 4096 rows at most
+    within = Window.partitionBy("chunk").orderBy("u", "key", "run").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.join(F.broadcast(chunks), "chunk").withColumn("before", F.col("chunks_before") + F.sum("steps").over(within) - F.col("steps"))
+    return segs.join(sizes.filter(F.col("before") < most).select("key", "run"), ["key", "run"], "left_semi")
 
 
 def hourly_pairs(bars: DataFrame) -> DataFrame:
@@ -95,13 +123,21 @@ def remaining_variance(markets: DataFrame, starts: DataFrame, jump: float = 0.02
     )
 
 
-def folds(catalog: DataFrame, bounds=((0.0, 0.5, 0.75), (0.0, 0.75, 1.0))) -> DataFrame:
-    """Keys in the order in which they end (null first), and walk-forward folds: train up to a share, test to the next."""
-    rows = catalog.withColumn("i", F.row_number().over(Window.orderBy(F.col("end").asc_nulls_first(), "key")) - 1)
-    n = F.count("*").over(Window.partitionBy())
-    rows = rows.withColumn("n", n)
+def folds(catalog: DataFrame, bounds=((0.0, 0.5, 0.75), (0.0, 0.75, 1.0)), most_test: int = 1500, seed: int = 7) -> DataFrame:
+    """Walk-forward folds of the keys in the order in which they end (null first): train up to a share, test to the next.
+
+    Of the test keys at most `most_test` stay, the first by a hash of seed and key. Keys are numbered by day of their
+    end: the days' counts are summed up first, so that no task sorts the whole catalog.
+    """
+    rows = catalog.select("key", "end", F.coalesce(F.unix_date(F.col("end").cast("date")), F.lit(-(1 << 31))).alias("day"))
+    days = rows.groupBy("day").agg(F.count("*").alias("own"))
+    days = days.withColumn("before", F.sum("own").over(Window.orderBy("day")) - F.col("own")).withColumn("n", F.sum("own").over(Window.partitionBy())).drop("own")  # a row a day
+    rows = rows.join(F.broadcast(days), "day").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy(F.col("end").asc_nulls_first(), "key")) - 1)
     parts = [F.struct(F.lit(k).alias("fold"), F.when(F.col("i") < F.floor(F.lit(lo) * F.col("n")), "train").when(F.col("i") < F.floor(F.lit(hi) * F.col("n")), "test").alias("part")) for k, (_, lo, hi) in enumerate(bounds)]
-    return rows.select("key", F.explode(F.array(*parts)).alias("f")).select("key", "f.fold", "f.part").filter("part is not null")
+    out = rows.select("key", F.explode(F.array(*parts)).alias("f")).select("key", "f.fold", "f.part").filter("part is not null")
+    drawn = F.row_number().over(Window.partitionBy("fold").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"))), "key"))
+    test = out.filter("part = 'test'").withColumn("r", drawn).filter(F.col("r") <= most_test).drop("r")
+    return out.filter("part = 'train'").unionByName(test)
 
 
 def random_split(keys: DataFrame, share: float = 0.3, seed: int = 7) -> DataFrame:

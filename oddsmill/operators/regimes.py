@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 from oddsmill.functions import grid
 from oddsmill.functions.normal import cdf
 from oddsmill.operators.panel import with_cells
-from oddsmill.operators.variance import quantile_bin, ratio
+from oddsmill.operators.variance import power_cells, power_fit, quantile_bin, ratio
 
-STILL = 0.005
+# A move that counts as still, and the price range of the bulk power fit.
+STILL, BULK = 0.005, (0.15, 0.85)
 
 
-def map_cells(moves: DataFrame, least: int = 200, excess: float = 0.3, kurt: float = 30.0, pairs: int = 50) -> DataFrame:
-    """Cell metrics by price bucket and time band, and the regime: 2 too still, 3 heavy-tailed, else 1."""
+def bulk_fit(moves: DataFrame, least: int = 50, low: float = BULK[0], high: float = BULK[1]) -> DataFrame:
+    return power_fit(power_cells(moves.filter((F.col("p") >= low) & (F.col("p") < high)), least=least))
+
+
+def map_cells(moves: DataFrame, fit: DataFrame, least: int = 200, excess: float = 0.3, kurt: float = 30.0, pairs: int = 50) -> DataFrame:
+    """Cell metrics by price bucket and time band, and the regime: 2 too still, 3 heavy-tailed, else 1.
+
+    fit: one row (c, gamma, alpha) of the power family; ratio_fit is the mean squared move a day over what it expects
+    at the cell's mean p(1-p) and tau.
+    """
     w = Window.partitionBy("key").orderBy("ts_days")
     rows = with_cells(moves)
     # Pairs of neighbouring daily moves, for the share of jumps by bipower variation.
@@ -26,22 +35,30 @@ def map_cells(moves: DataFrame, least: int = 200, excess: float = 0.3, kurt: flo
     cells = rows.groupBy("pi", "ti").agg(
         F.count("*").alias("n"), F.count_distinct("key").alias("n_mkts"),
         F.avg((F.abs("dp") < STILL).cast("double")).alias("still_frac"), F.avg(still).alias("still_exp"), F.kurtosis("z").alias("kurt_z"),
-        F.sum("dp2").alias("s"), F.sum("v_gauss").alias("v"),
+        F.sum("dp2").alias("s"), F.avg(F.col("dp2") / F.col("dt")).alias("my"), F.avg(F.col("p") * (1 - F.col("p"))).alias("mpq"), F.avg("tau").alias("mtau"),
         F.sum(F.when(paired, 1).otherwise(0)).alias("pairs"), F.sum(F.when(paired, F.abs(F.col("dp") * F.col("dp_next")))).alias("bipower"), F.sum(F.when(paired, F.col("dp2"))).alias("paired2"),
     ).filter(F.col("n") >= least)
     jump = F.when(F.col("pairs") >= pairs, F.greatest(F.lit(0.0), 1 - (math.pi / 2) * ratio(F.col("bipower"), F.col("paired2"))))
     out = cells.withColumn("excess_still", F.col("still_frac") - F.col("still_exp")).withColumn("jump_share", jump)
-    out = out.withColumn("ratio_fit", ratio(F.col("s"), F.col("v"))).withColumn("budget_share", ratio(F.col("s"), F.sum("s").over(Window.partitionBy())))
+    expected = F.col("c") * F.pow("mpq", "gamma") / F.pow("mtau", "alpha")
+    out = out.join(F.broadcast(fit.select("c", "gamma", "alpha"))).withColumn("ratio_fit", ratio(F.col("my"), expected)).withColumn("budget_share", ratio(F.col("s"), F.sum("s").over(Window.partitionBy())))
     regime = F.when(F.col("excess_still") >= excess, 2).when(F.col("kurt_z") >= kurt, 3).otherwise(1)
     return out.withColumn("regime", regime).select("pi", "ti", "n", "n_mkts", "still_frac", "excess_still", "kurt_z", "jump_share", "ratio_fit", "budget_share", "regime")
 
 
 def rectangle(cells: DataFrame) -> DataFrame:
-    """Least and largest price bucket and time band in which regime 1 has the majority of cells."""
+    """(p_lo, p_hi, tau_lo, p_buckets, tau_bands): edges and lists of the buckets and bands in which regime 1 has the majority.
+
+    Buckets are judged by their cells from 7 days on, then bands by the cells of the kept buckets; nothing asks them to
+    be neighbours. Without any the edges are null and the lists empty.
+    """
     one = (F.col("regime") == 1).cast("double")
     good = cells.filter("ti >= 2").groupBy("pi").agg(F.avg(one).alias("s")).filter("s > 0.5").select("pi")
-    bands = cells.join(F.broadcast(good), "pi").groupBy("ti").agg(F.avg(one).alias("s")).filter("s > 0.5")
-    return good.agg(F.min("pi").alias("p_lo"), F.max("pi").alias("p_hi")).join(F.broadcast(bands.agg(F.min("ti").alias("t_lo"), F.max("ti").alias("t_hi"))))
+    bands = cells.join(F.broadcast(good), "pi").groupBy("ti").agg(F.avg(one).alias("s")).filter("s > 0.5")  # 54 cells at most
+    edge = lambda edges, k: F.get(F.array(*map(F.lit, edges)), k.cast("int"))
+    p, t = F.sort_array(F.collect_list("pi")).alias("p_buckets"), F.sort_array(F.collect_list("ti")).alias("tau_bands")
+    both = good.agg(p, edge(grid.PRICE_EDGES, F.min("pi")).alias("p_lo"), edge(grid.PRICE_EDGES, F.max("pi") + 1).alias("p_hi"))
+    return both.join(F.broadcast(bands.agg(t, edge(grid.TAU_EDGES, F.min("ti")).alias("tau_lo")))).select("p_lo", "p_hi", "tau_lo", "p_buckets", "tau_bands")
 
 
 def shares(cells: DataFrame) -> DataFrame:
@@ -65,6 +82,7 @@ def tick_histogram(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("di", "ti", "k").agg(F.count("*").alias("n"))
 
 
+# Edges of the endgame's bands of days.
 BANDS = (1.0, 2.0, 3.0, 5.0, 8.0, 13.0, 21.0, 30.0)
 
 
@@ -89,5 +107,9 @@ def spend_profile(markets: DataFrame, raw: DataFrame, bands=(0.0, 1.0, 3.0, 7.0,
     return rows.select("band", ratio(F.col("s"), F.sum("s").over(Window.partitionBy())).alias("share"))
 
 
-def cell_variances(raw: DataFrame) -> DataFrame:
-    return with_cells(raw).groupBy("pi", "ti").agg(F.count("*").alias("n"), F.var_samp("dp").alias("var"))
+def cell_variances(raw: DataFrame, unit: float) -> DataFrame:
+    """(pi, ti, n, var) of the moves by cell, unit squared where nothing moved; and over all, as cell -1, -1, for cells that are not listed."""
+    var = F.var_samp("dp")
+    rows = with_cells(raw)
+    cells = rows.groupBy("pi", "ti").agg(F.count("*").alias("n"), F.when(var == 0, unit * unit).otherwise(var).alias("var"))
+    return cells.unionByName(rows.agg(F.lit(-1).alias("pi"), F.lit(-1).alias("ti"), F.count("*").alias("n"), var.alias("var")))

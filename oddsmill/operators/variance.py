@@ -1,10 +1,13 @@
 """Variance budgets, local rates, the power family and diagnostics. Everything reduces to sums by cell, combined map-side."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.functions import grid
+from oddsmill.functions.normal import density, probit
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -38,24 +41,31 @@ def budget_by_bucket(budgets: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.count("*").alias("n"), ratio(F.sum("rv"), F.sum("iv")).alias("ratio")).withColumn("label", grid.price_label(F.col("bucket")))
 
 
+def mixed(x: Column) -> Column:
+    """Well mixed integer below 2**31 of one below 2**31: multiplications and shifts that both engines have."""
+    for shift, factor in ((16, 0x21F0AAAD), (15, 0x35A2D97D)):
+        x = x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor).cast("long") % F.lit(1 << 31).cast("long")
+    return x.bitwiseXOR(F.shiftright(x, 15))
+
+
+# Cumulative Poisson(1) probabilities, e**-1 * sum(1 / k!), of 0 to 7.
+POISSON = tuple(sum(1 / math.factorial(j) for j in range(k + 1)) / math.e for k in range(8))
+
+
 def draws(units: DataFrame, cell: list[str], b: int, seed: int = 7) -> DataFrame:
-    """Bootstrap sums of the units (num, den, ord) of each cell: exact multinomial draws by portable integer mixing.
+    """Bootstrap sums of the units (num, den, ord: an integer of its own): each unit comes Poisson(1) times into each replicate.
 
-    Units of a cell are numbered by `ord`; draw j of replicate r takes unit mix(r, j) mod n. Costs units x b rows, so
-    it runs on sums per key, never on moves.
+    The times are a hash of seed, ord and replicate: no numbering, no join, and sums that combine map-side. Costs units
+    x b rows within the tasks, so it runs on sums per key, never on moves.
     """
-    w = Window.partitionBy(*cell)
-    rows = units.withColumn("i", F.row_number().over(w.orderBy("ord")) - 1).withColumn("n", F.count("*").over(w))
-    drawn = rows.select(*cell, "n", F.col("i").cast("long").alias("j"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(b).cast("long"))).alias("r"))
-    mixed = (F.col("r") * 7919 + F.col("j") * 104729 + seed * 1299709) % 2147483647
-    mixed = (mixed * 48271) % 2147483647
-    mixed = (mixed * 69621 + F.col("r") * 31 + F.col("j")) % 2147483647
-    drawn = drawn.withColumn("i", (mixed % F.col("n")).cast("int"))
-    met = drawn.join(rows.select(*cell, "i", "num", "den"), [*cell, "i"])
-    return met.groupBy(*cell, "r").agg(ratio(F.sum("num"), F.sum("den")).alias("ratio"))
+    u = mixed(mixed(F.pmod(F.col("ord").cast("long") + seed * 1299709, F.lit(1 << 31))) + F.col("r") * F.lit(40503).cast("long")) / float(1 << 31)
+    rows = units.select(*cell, "num", "den", "ord", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(b).cast("long"))).alias("r"))
+    rows = rows.withColumn("u", u).withColumn("w", grid.steps(F.col("u"), POISSON))
+    return rows.groupBy(*cell, "r").agg(ratio(F.sum(F.col("w") * F.col("num")), F.sum(F.col("w") * F.col("den"))).alias("ratio"))
 
 
 def bootstrap(units: DataFrame, cell: list[str], b: int = 1000, seed: int = 7) -> DataFrame:
+    """95 % interval of the ratio of sums in each cell; replicates without a denominator are left out."""
     ends = F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.975)))
     return draws(units, cell, b, seed).groupBy(*cell).agg(ends.alias("e")).select(*cell, F.col("e")[0].alias("ci_lo"), F.col("e")[1].alias("ci_hi"))
 
@@ -101,14 +111,17 @@ def solve3(s: dict[str, Column]) -> tuple[Column, Column, Column]:
 
 
 def power_cells(moves: DataFrame, by: list[str] | None = None, bins: int = 14, tau_bins: int = 6, least: int = 50) -> DataFrame:
-    """Cell means of squared moves per day over quantile bins of p(1-p) and even bins of log tau."""
+    """Cell means of squared moves per day over quantile bins of p(1-p) and even bins of log tau, up to log(max tau + 1).
+
+    Quantiles and span come from one aggregation; p lies on ticks, so that a group has few different p(1-p).
+    """
     by = by or []
-    rows = moves.withColumn("pq", F.col("p") * (1 - F.col("p"))).withColumn("y", F.col("dp2") / F.col("dt"))
-    rows = quantile_bin(rows, "pq", bins, by, "qi")
-    span = rows.groupBy(*by).agg(F.min("tau").alias("t0"), F.max("tau").alias("t1"))
-    rows = rows.join(F.broadcast(span), by) if by else rows.join(F.broadcast(span))
-    place = F.floor(ratio(F.log("tau") - F.log("t0"), F.log("t1") - F.log("t0")) * tau_bins + 1e-9)
-    rows = rows.withColumn("ti", F.coalesce(place, F.lit(0)).cast("int"))
+    rows = moves.select(*by, "tau", (F.col("p") * (1 - F.col("p"))).alias("pq"), (F.col("dp2") / F.col("dt")).alias("y"))
+    at = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
+    span = rows.groupBy(*by).agg(F.array_distinct(F.percentile("pq", at)).alias("edges"), F.min("tau").alias("t0"), F.max("tau").alias("t1"))
+    rows = rows.join(F.broadcast(span), by) if by else rows.join(F.broadcast(span))  # a row for each group
+    place = F.floor((F.log("tau") - F.log("t0")) / (F.log(F.col("t1") + 1) - F.log("t0")) * tau_bins + 1e-9).cast("int")
+    rows = rows.withColumn("qi", F.size(F.filter("edges", lambda e: e <= F.col("pq"))) - 1).withColumn("ti", place)
     cells = rows.groupBy(*by, "qi", "ti").agg(F.count("*").alias("n"), F.avg("y").alias("my"), F.avg("pq").alias("mpq"), F.avg("tau").alias("mtau"))
     return cells.filter((F.col("n") >= least) & (F.col("my") > 0))
 
@@ -129,15 +142,23 @@ def kurtosis_by_bucket(moves: DataFrame, least: int = 30) -> DataFrame:
     return rows.filter(F.col("n") >= least)
 
 
-def acf(moves: DataFrame, column: str, lags: int = 5) -> DataFrame:
-    """Autocorrelation pooled within keys, means of keys removed; lags by row."""
+def winsorised(moves: DataFrame) -> DataFrame:
+    """z clipped at its 0.005 and 0.995 quantiles and lam at its 0.99 quantile, over all moves."""
+    ends = moves.agg(F.percentile("z", F.array(F.lit(0.005), F.lit(0.995))).alias("_z"), F.percentile("lam", F.lit(0.99)).alias("_lam"))
+    rows = moves.join(F.broadcast(ends))  # one row
+    z = F.least(F.greatest("z", F.col("_z")[0]), F.col("_z")[1])
+    return rows.withColumns({"z": z, "lam": F.least("lam", "_lam")}).drop("_z", "_lam")
+
+
+def acf(moves: DataFrame, columns: list[str], lags: int = 5) -> DataFrame:
+    """(lag, acf_<column>): autocorrelations pooled within keys, means of keys removed; lags by row."""
     w = Window.partitionBy("key")
-    rows = moves.withColumn("v", F.col(column) - F.avg(column).over(w))
-    for k in range(1, lags + 1):
-        rows = rows.withColumn(f"l{k}", F.lag("v", k).over(w.orderBy("ts_days")))
-    total = F.sum(F.col("v") * F.col("v"))
-    got = rows.agg(*(ratio(F.sum(F.col("v") * F.col(f"l{k}")), total).alias(f"l{k}") for k in range(1, lags + 1)))
-    return got.select(F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"l{k}").alias("acf")) for k in range(1, lags + 1)))).alias("x")).select("x.*")
+    rows = moves.select("key", "ts_days", *((F.col(c) - F.avg(c).over(w)).alias(f"v_{c}") for c in columns))
+    rows = rows.select("*", *(F.lag(f"v_{c}", k).over(w.orderBy("ts_days")).alias(f"{c}_{k}") for c in columns for k in range(1, lags + 1)))
+    one = lambda c, k: ratio(F.sum(F.col(f"v_{c}") * F.col(f"{c}_{k}")), F.sum(F.col(f"v_{c}") * F.col(f"v_{c}")))
+    got = rows.agg(*(one(c, k).alias(f"{c}_{k}") for c in columns for k in range(1, lags + 1)))
+    found = [F.struct(F.lit(k).alias("lag"), *(F.col(f"{c}_{k}").alias(f"acf_{c}") for c in columns)) for k in range(1, lags + 1)]
+    return got.select(F.explode(F.array(*found)).alias("x")).select("x.*")
 
 
 def rate_by_price(moves: DataFrame, alpha: float, least: int = 200) -> DataFrame:
@@ -146,3 +167,33 @@ def rate_by_price(moves: DataFrame, alpha: float, least: int = 200) -> DataFrame
     rows = moves.select("p", y.alias("y"), grid.steps(F.col("p"), grid.RATE_EDGES).alias("bin"))
     out = rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("p"), F.avg("y").alias("rate"), F.stddev_samp("y").alias("sd"))
     return out.filter(F.col("n") >= least).select("bin", "n", "p", "rate", (1.96 * F.col("sd") / F.sqrt("n")).alias("half"))
+
+
+def ratios_with_floor(units: DataFrame, least: int, b: int) -> DataFrame:
+    """Per bucket of units (bucket, num, den, ord): n, ratio of sums and its bootstrap interval, null under `least` units."""
+    out = units.groupBy("bucket").agg(F.count("*").alias("n"), ratio(F.sum("num"), F.sum("den")).alias("ratio"))
+    enough = F.col("n") >= least
+    out = out.join(bootstrap(units, ["bucket"], b), "bucket", "left")
+    return out.select("bucket", "n", *(F.when(enough, F.col(c)).alias(c) for c in ("ratio", "ci_lo", "ci_hi")))
+
+
+def scalars(budgets: DataFrame, moves: DataFrame, least: int = 50) -> DataFrame:
+    """One row: sizes, budget slope, local slopes, power fits over all and over the bulk, lag-1 autocorrelations (winsorised)."""
+    named = lambda df, prefix: df.select(*(F.col(c).alias(f"{prefix}_{c}") for c in df.columns))
+    bulk = moves.filter("p >= 0.15 and p < 0.85")
+    parts = [
+        named(budget_slope(budgets), "budget"), named(local_slopes(moves), "local"), named(power_fit(power_cells(moves, least=least)), "power"),
+        named(power_fit(power_cells(bulk, least=least)), "bulk"), named(acf(winsorised(moves), ["z", "lam"], 1).drop("lag"), "lag1"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p))  # one row each
+    return out
+
+
+def level_match(cells: DataFrame, gamma: float) -> DataFrame:
+    """(curve, level): factor by which each candidate curve of p meets the cells (p, rate) in geometric mean."""
+    pq, z = F.col("p") * (1 - F.col("p")), probit(F.col("p"))
+    curves = {"arcsin": pq, "logit": pq * pq, "probit": F.pow(density(z), 2), "power": F.pow(pq, F.lit(gamma))}
+    got = cells.filter("rate > 0").agg(*(F.exp(F.avg(F.log("rate") - F.log(c))).alias(k) for k, c in curves.items()))
+    return got.select(F.explode(F.array(*(F.struct(F.lit(k).alias("curve"), F.col(k).alias("level")) for k in curves))).alias("x")).select("x.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from oddsmill.operators.variance import quantile_bin, ratio, solve3
+from oddsmill.operators.variance import ratio, solve3
 
 
 def by_pair() -> WindowSpec:
@@ -37,6 +37,12 @@ def gap_stats(panel: DataFrame) -> DataFrame:
     return out.withColumn("half_life", F.when((F.abs("ar1") < 1) & (F.col("ar1") != 0), F.log(F.lit(0.5)) / F.log(F.abs("ar1"))))
 
 
+def gap_by(panel: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
+    """Observations and mean absolute gap by a column of the pairs (domain, quality)."""
+    rows = panel.join(pairs.select("pair_id", column), "pair_id")
+    return rows.groupBy(column).agg(F.count("*").alias("n"), F.avg(F.abs(F.col("p_pm") - F.col("p_k"))).alias("mean_abs"))
+
+
 def paired_budget(panel: DataFrame, least: float = 1e-4) -> DataFrame:
     """Per pair: realised variance over p0 (1 - p0) of each venue and the ratio of the two."""
     rows = panel.withColumn("dk", F.col("p_k") - F.lag("p_k").over(in_time())).withColumn("dm", F.col("p_pm") - F.lag("p_pm").over(in_time()))
@@ -51,15 +57,15 @@ def paired_summary(budget: DataFrame) -> DataFrame:
     return budget.agg(F.count("*").alias("n"), F.median(r).alias("median_ratio"), F.avg((r > 1).cast("double")).alias("share_above"))
 
 
-def paired_power(panel: DataFrame, side: str, bins: int = 14) -> DataFrame:
-    """Slope of log mean squared move on log mean p(1-p) over quantile bins; the largest value joins the last bin."""
-    rows = panel.withColumn("dp", F.lead(side).over(in_time()) - F.col(side)).withColumn("pq", F.col(side) * (1 - F.col(side))).filter("dp is not null")
-    rows = quantile_bin(rows, "pq", bins, [], "qi")
-    top = F.max("qi").over(Window.partitionBy()) - 1
-    cells = rows.groupBy("qi").agg(F.sum("pq").alias("pq"), F.sum(F.col("dp") * F.col("dp")).alias("dp2"), F.count("*").alias("n"))
-    cells = cells.withColumn("qi", F.least("qi", top)).groupBy("qi").agg((F.sum("pq") / F.sum("n")).alias("level"), (F.sum("dp2") / F.sum("n")).alias("m"))
-    cells = cells.filter("level > 1e-6 and m > 0")
-    return cells.agg(F.count("*").alias("bins"), F.regr_slope(F.log("m"), F.log("level")).alias("gamma"))
+def paired_power(panel: DataFrame, side: str, bins: int = 14, least: float = 1e-6) -> DataFrame:
+    """(n_obs, bins, gamma): slope of log mean squared move on log mean p(1-p) over quantile bins of the moves that start above `least`; the largest value joins the last bin."""
+    rows = panel.withColumn("dp", F.lead(side).over(in_time()) - F.col(side)).withColumn("pq", F.col(side) * (1 - F.col(side))).filter((F.col("pq") > least) & F.col("dp").isNotNull())
+    at = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
+    rows = rows.join(F.broadcast(rows.agg(F.array_distinct(F.percentile("pq", at)).alias("edges"))))  # one row
+    rows = rows.withColumn("qi", F.least(F.size(F.filter("edges", lambda e: e <= F.col("pq"))) - 1, F.size("edges") - 2))
+    cells = rows.groupBy("qi").agg(F.avg("pq").alias("level"), F.avg(F.col("dp") * F.col("dp")).alias("m"), F.count("*").alias("n"))
+    used = F.col("m") > 0
+    return cells.agg(F.sum("n").alias("n_obs"), F.sum(used.cast("long")).alias("bins"), F.regr_slope(F.when(used, F.log("m")), F.when(used, F.log("level"))).alias("gamma"))
 
 
 def moves(panel: DataFrame) -> DataFrame:

@@ -38,7 +38,26 @@ class View:
     def pairs(self) -> DataFrame:
         """User 2i against user 2i + 1."""
         ids = self.prices.select(F.floor(F.col("user_id") / 2).alias("pair_id")).distinct()
-        return ids.select("pair_id", (2 * F.col("pair_id")).cast("string").alias("k_key"), (2 * F.col("pair_id") + 1).cast("string").alias("pm_key"))
+        kind = F.concat(F.lit("d"), F.col("pair_id") % 3).alias("domain"), F.when(F.col("pair_id") % 4 == 0, "approx").otherwise("exact").alias("quality")
+        return ids.select("pair_id", (2 * F.col("pair_id")).cast("string").alias("k_key"), (2 * F.col("pair_id") + 1).cast("string").alias("pm_key"), *kind)
+
+    def strips(self) -> DataFrame:
+        """Strips by event type, day and one of three forms: brackets with tails, ladders, and ladders that are too short."""
+        rows = self.prices.select(F.col("event_type").alias("type"), F.date_trunc("day", "ts").alias("ts"), "close").withColumn("form", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+        rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("form") == 2, 3).otherwise(9))))
+        lo, above = F.col("i") / 10.0, F.when(F.col("close") > F.col("i") / 10.0, 1.0).otherwise(0.0)
+        inside = F.when((F.col("close") > lo) & (F.col("close") <= (F.col("i") + 1) / 10.0), 1.0).otherwise(0.0)
+        bracket = (F.col("form") == 0) & F.col("i").between(2, 7)
+        kind = F.when(bracket, "between").when((F.col("form") == 0) & (F.col("i") < 2), "less").when(F.col("i") % 2 == 0, "greater").otherwise("greater_or_equal")
+        price = F.when(bracket, inside).when(kind == "less", 1.0 - above).otherwise(above)
+        rows = rows.select(F.concat("type", F.lit("-"), "form").alias("event"), "ts", "type", kind.alias("strike_type"), F.when(kind != "less", lo).alias("fs"), F.when(bracket, (F.col("i") + 1) / 10.0).when(kind == "less", lo).alias("cs"), price.alias("p"))
+        return rows.groupBy("event", "ts", "type", "strike_type", "fs", "cs").agg(F.round(F.avg("p"), 4).alias("close"))
+
+    def strip_ends(self) -> DataFrame:
+        """Every strip ends with its event's last day; the event type is its series."""
+        rows = self.strips()
+        last = rows.groupBy("event").agg(F.max("ts").alias("end"))
+        return rows.groupBy("event", "ts", F.col("type").alias("series")).agg(F.count("*").alias("n_strikes")).join(last, "event")
 
     def strikes(self) -> DataFrame:
         """A ladder for each event type and day: strikes 0.1 to 0.9, priced by the share of closes above them."""

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from oddsmill.functions.grid import DISTANCE_EDGES, PRICE_EDGES, RATE_EDGES, TAU_EDGES
 from oddsmill.functions.normal import CENTRE, HART, MIDDLE, TAIL
+from oddsmill.operators.variance import POISSON
 
 
 def _poly(coefficients, x: str) -> str:
@@ -65,47 +66,91 @@ hp AS (SELECT key, ts, dp, dm, p_prev, dp_next, dm_next, coalesce(ok_next, false
 al0 AS (SELECT a.user_id // 2 AS pair_id, a.day AS ts, a.close AS p_k, b.close AS p_pm FROM daily a JOIN daily b ON a.user_id % 2 = 0 AND b.user_id = a.user_id + 1 AND a.day = b.day),
 al AS (SELECT * FROM al0 QUALIFY count(*) OVER (PARTITION BY pair_id) >= 3),
 alm AS (SELECT pair_id, ts, p_k - lag(p_k) OVER w AS dk, p_pm - lag(p_pm) OVER w AS dm FROM al WINDOW w AS (PARTITION BY pair_id ORDER BY ts)),
-cells0 AS (SELECT *, lead(dp) OVER w AS dpn, lead(dt) OVER w AS dtn, 2 * ({_cdf("(0.005::DOUBLE / sqrt(greatest(v_gauss, 1e-12)))")}) - 1 AS sx FROM mv WINDOW w AS (PARTITION BY key ORDER BY ts_days)),
-cells1 AS (SELECT *, dt BETWEEN 0.9 AND 1.1 AND coalesce(dtn BETWEEN 0.9 AND 1.1, false) AS pr FROM cells0),
-cells2 AS (SELECT pi, ti, count(*) AS n, count(DISTINCT key) AS n_mkts, avg(CASE WHEN abs(dp) < 0.005 THEN 1.0::DOUBLE ELSE 0 END) AS still_frac, avg(sx) AS sx,
-           kurtosis_pop(z) AS kurt_z, sum(dp2) AS s, sum(v_gauss) AS v, count(*) FILTER (pr) AS np, sum(abs(dp * dpn)) FILTER (pr) AS bp, sum(dp2) FILTER (pr) AS p2
-           FROM cells1 GROUP BY pi, ti HAVING count(*) >= 20),
-cells3 AS (SELECT *, still_frac - sx AS excess_still, CASE WHEN np >= 10 THEN greatest(0, 1 - pi() / 2 * bp / nullif(p2, 0)) END AS jump_share,
-           s / nullif(v, 0) AS ratio_fit, s / nullif(sum(s) OVER (), 0) AS budget_share FROM cells2),
-cells AS (SELECT pi, ti, n, n_mkts, still_frac, excess_still, kurt_z, jump_share, ratio_fit, budget_share,
-          CASE WHEN excess_still >= 0.3 THEN 2 WHEN kurt_z >= 30 THEN 3 ELSE 1 END AS regime FROM cells3),
 st AS (SELECT event_type AS event, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, k.k AS k, avg(CASE WHEN close > k.k THEN 1.0::DOUBLE ELSE 0 END) AS p
        FROM ev, (SELECT i / 10.0::DOUBLE AS k FROM range(1, 10) r(i)) k GROUP BY ALL),
 lad0 AS (SELECT *, min(p) OVER (PARTITION BY event, ts ORDER BY k ROWS UNBOUNDED PRECEDING) AS s, k - lag(k) OVER (PARTITION BY event, ts ORDER BY k) AS width FROM st),
 lad1 AS (SELECT *, median(width) OVER (PARTITION BY event, ts) AS tail, lag(s) OVER w AS s0, lag(k) OVER w AS k0, max(k) OVER (PARTITION BY event, ts) AS kx FROM lad0 WINDOW w AS (PARTITION BY event, ts ORDER BY k)),
 lad AS (SELECT event, ts, coalesce(k0, k - tail) AS lo, k AS hi, coalesce(s0, 1) - s AS prob FROM lad1
         UNION ALL SELECT event, ts, k, k + tail, s FROM lad1 WHERE k = kx),
-fp0 AS (SELECT *, ts_days / nullif(max(ts_days + tau) OVER (PARTITION BY key), 0) AS frac, lead(dp) OVER (PARTITION BY key ORDER BY ts_days) AS nx FROM raw),
-fp1 AS (SELECT *, least(floor(5 * coalesce(frac, 0)), 4) AS f, CASE WHEN nx IS NOT NULL THEN dp END AS x FROM fp0),
-fp2 AS (SELECT key, count(*) AS n, ln(sum(dp2) + 1e-9) AS log_rv, avg(CASE WHEN abs(dp) < 0.005 THEN 1.0::DOUBLE ELSE 0 END) AS still,
-        coalesce(sum(CASE WHEN abs(dp) >= 0.02 THEN dp2 ELSE 0 END) / nullif(sum(dp2), 0), 0) AS jump_share, avg(abs(p - 0.5::DOUBLE)) AS off_centre,
-        CASE WHEN count(nx) >= 4 THEN least(greatest(coalesce((avg(x * nx) - avg(x) * avg(nx)) / nullif(sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0) * greatest(avg(nx * nx) - avg(nx) * avg(nx), 0)), 0), 0), -1), 1) ELSE 0 END AS ar1,
-        {", ".join(f"coalesce(sum(CASE WHEN f = {k} THEN dp2 ELSE 0 END) / nullif(sum(dp2), 0), 0) AS fifth{k}" for k in range(5))} FROM fp1 GROUP BY key),
-fp AS (SELECT fp2.*, t.terminal FROM fp2 JOIN (SELECT key, pow(max(final) - arg_max(close, ts_days), 2) AS terminal FROM mk GROUP BY key) t USING (key))
+sp0 AS (SELECT event_type AS typ, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, close, form, i, i / 10.0::DOUBLE AS lo, (i + 1) / 10.0::DOUBLE AS hi FROM ev, range(0, 3) f(form), range(0, 10) r(i) WHERE form <> 2 OR i <= 3),
+sp1 AS (SELECT typ || '-' || form AS event, ts, typ, CASE WHEN form = 0 AND i BETWEEN 2 AND 7 THEN 'between' WHEN form = 0 AND i < 2 THEN 'less' WHEN i % 2 = 0 THEN 'greater' ELSE 'greater_or_equal' END AS kind, lo, hi, close FROM sp0),
+sp AS (SELECT event, ts, typ, kind, CASE WHEN kind <> 'less' THEN lo END AS fs, CASE kind WHEN 'between' THEN hi WHEN 'less' THEN lo END AS cs,
+       round(avg(CASE WHEN kind = 'between' THEN CASE WHEN close > lo AND close <= hi THEN 1.0::DOUBLE ELSE 0 END WHEN kind = 'less' THEN CASE WHEN close > lo THEN 0.0::DOUBLE ELSE 1 END WHEN close > lo THEN 1.0::DOUBLE ELSE 0 END), 4) AS close FROM sp1 GROUP BY ALL),
+sb0 AS (SELECT event, ts, count(*) FILTER (kind = 'between') AS nb, count(fs) FILTER (kind LIKE 'greater%') AS na, median(cs - fs) FILTER (kind = 'between') AS width, max(fs) FILTER (kind LIKE 'greater%') AS top,
+        arg_max(close, fs) FILTER (kind LIKE 'greater%') AS top_p, min(cs) FILTER (kind LIKE 'less%') AS low, arg_min(close, cs) FILTER (kind LIKE 'less%') AS low_p FROM sp GROUP BY ALL),
+sb1 AS (SELECT event, ts, fs AS k, min(close) OVER w AS s, fs - lag(fs) OVER (PARTITION BY event, ts ORDER BY fs) AS step FROM sp JOIN sb0 USING (event, ts) WHERE nb < 3 AND na >= 5 AND kind LIKE 'greater%' AND fs IS NOT NULL WINDOW w AS (PARTITION BY event, ts ORDER BY fs ROWS UNBOUNDED PRECEDING)),
+sb2 AS (SELECT *, median(step) OVER (PARTITION BY event, ts) AS tail, lag(s) OVER w AS s0, lag(k) OVER w AS k0, max(k) OVER (PARTITION BY event, ts) AS kx FROM sb1 WINDOW w AS (PARTITION BY event, ts ORDER BY k)),
+sb AS (SELECT event, ts, fs AS lo, cs AS hi, close AS prob FROM sp JOIN sb0 USING (event, ts) WHERE nb >= 3 AND kind = 'between'
+       UNION ALL (select event, ts, top, top + width, top_p FROM sb0 WHERE nb >= 3 AND top_p IS NOT NULL) UNION ALL (select event, ts, low - width, low, low_p FROM sb0 WHERE nb >= 3 AND low_p IS NOT NULL)
+       UNION ALL (select event, ts, coalesce(k0, k - tail), k, coalesce(s0, 1) - s FROM sb2) UNION ALL (select event, ts, k, k + tail, s FROM sb2 WHERE k = kx)),
+sm0 AS (SELECT event, ts, sum(prob) AS total, sum(prob * (lo + hi) / 2) / sum(prob) AS mean FROM sb GROUP BY ALL),
+sm1 AS (SELECT sb.event, sb.ts, any_value(total) AS total, any_value(mean) AS mean, sum(prob / total * pow((lo + hi) / 2 - mean, 2)) AS var FROM sb JOIN sm0 ON sb.event = sm0.event AND sb.ts = sm0.ts GROUP BY ALL),
+sm2 AS (SELECT event, ts, any_value(typ) AS series, count(*) AS n_strikes FROM sp GROUP BY ALL),
+sm3 AS (SELECT event, max(ts) AS t_end FROM sp GROUP BY event),
+sm4 AS (SELECT *, date_diff('second', ts, t_end) / 86400.0::DOUBLE AS tau_days FROM sm1 JOIN sm2 USING (event, ts) JOIN sm3 USING (event)),
+sm AS (SELECT event, ts, series, n_strikes, total, mean, sqrt(var) AS std, tau_days, sqrt(var) / nullif(abs(mean), 0) / sqrt(tau_days / 365.25) AS iv_prop, sqrt(var) / sqrt(tau_days / 365.25) AS iv_norm
+       FROM sm4 WHERE total BETWEEN 0.7 AND 1.3 AND var > 1e-15 AND tau_days >= 2),
+iv AS (SELECT *, CASE series WHEN 'click' THEN 'prop' WHEN 'view' THEN 'norm' WHEN 'purchase' THEN 'norm' END AS kind, CASE WHEN series = 'click' THEN iv_prop ELSE iv_norm END AS iv FROM sm),
+fp0 AS (SELECT key, greatest(max(t_res), 1.0::DOUBLE) AS life, arg_min(close, ts_days) AS p0 FROM mk GROUP BY key),
+fp1 AS (SELECT raw.*, life, p0, least(greatest(p, 0.005::DOUBLE), 0.995::DOUBLE) AS pc, (life - tau) / life AS frac FROM raw JOIN fp0 USING (key)),
+fp2 AS (SELECT *, {_probit("pc")} AS z0 FROM fp1),
+fp3 AS (SELECT *, sqrt(greatest(pow({PDF}, 2) / greatest(tau, 1) * dt, 1e-12)) AS sig FROM fp2),
+fp4 AS (SELECT *, dp / sig AS z, CASE WHEN abs(dp) < 0.005 THEN 1.0::DOUBLE ELSE 0 END AS still, CASE WHEN 0.005 / sig < 7 THEN 2 * ({_cdf("least(0.005::DOUBLE / sig, 7)")}) - 1 ELSE 1 END AS sx, least(greatest(floor(5 * frac), 0), 4) AS f FROM fp3),
+fp5 AS (SELECT *, lead(dp) OVER w AS dn, lead(z) OVER w AS zn FROM fp4 WINDOW w AS (PARTITION BY key ORDER BY ts_days)),
+fp AS (SELECT key, count(*) AS n_moves, sum(dp2) AS tot2, max(dp2) AS max2, any_value(life) AS t_res, any_value(p0) AS p0, avg(still - sx) AS xstill, ln(avg(z * z) + 1e-9) AS lam,
+       ln(3 + greatest(avg(z * z * z * z) / pow(greatest(avg(z * z), 1e-12), 2) - 3, -2.9)) AS kz, coalesce(ln(avg(z * z) FILTER (frac > 0.5) + 1e-9) - ln(avg(z * z) FILTER (frac <= 0.5) + 1e-9), 0) AS dlam,
+       {{ar1z}} AS ar1z, ln(count(*)) AS log_moves, ln(any_value(life)) AS log_tres, ln(avg(dt) + 1e-12) AS log_mdt, avg(still) AS still, avg(abs(p - 0.5::DOUBLE)) AS p_ext, max(p) - min(p) AS p_range,
+       ln((sum(dp2) + 1e-12) / (any_value(p0) * (1 - any_value(p0)) + 1e-12)) AS spend_lr, {", ".join(f"coalesce(sum(dp2) FILTER (f = {k}), 0) / (sum(dp2) + 1e-12) AS f{k + 1}" for k in range(4))}, ln((max(dp2) + 1e-12) / (sum(dp2) / count(*) + 1e-12)) AS lump, {{ar1}} AS ar1 FROM fp5 GROUP BY key)
 """
 
 
-def _power(rows: str, least: int = 10, bins: int = 14) -> str:
+def _lag_one(x: str, n: str) -> str:
+    a, b = f"avg({x}) FILTER ({n} IS NOT NULL)", f"avg({n})"
+    return f"CASE WHEN count({n}) >= 4 THEN least(greatest((avg({x} * {n}) - {a} * {b}) / (sqrt(var_pop({x}) FILTER ({n} IS NOT NULL) * var_pop({n})) + 1e-12), -1), 1) ELSE 0 END"
+
+
+BASE = BASE.format(ar1=_lag_one("dp", "dn"), ar1z=_lag_one("z", "zn"))
+FEATURES = "xstill lam kz dlam ar1z log_moves log_tres log_mdt still p_ext p_range spend_lr f1 f2 f3 f4 lump ar1"
+
+
+
+def _power(rows: str, least: int = 10, bins: int = 14, p: str = "pw", by: str = "") -> str:
+    """Cells of the power fit as CTE {p}c."""
+    g, on = (f"{by}, ", f" USING ({by})") if by else ("", "")
     return f"""
-pw0 AS (SELECT *, p * (1 - p) AS pq, dp2 / dt AS y FROM {rows}),
-pwe AS (SELECT list_distinct(quantile_cont(pq, [{", ".join(f"{k}/{bins}.0" for k in range(bins + 1))}])) AS e, min(tau) AS t0, max(tau) AS t1 FROM pw0),
-pw1 AS (SELECT pw0.*, len(list_filter(e, lambda x: x <= pq)) - 1 AS qi, CAST(coalesce(floor((ln(tau) - ln(t0)) / nullif(ln(t1) - ln(t0), 0) * 6 + 1e-9), 0) AS INTEGER) AS tq FROM pw0, pwe),
-pwc AS (SELECT qi, tq AS ti, count(*) AS n, avg(y) AS my, avg(pq) AS mpq, avg(tau) AS mtau FROM pw1 GROUP BY ALL HAVING count(*) >= {least} AND avg(y) > 0)"""
+{p}0 AS (SELECT *, p * (1 - p) AS pq, dp2 / dt AS y FROM {rows}),
+{p}e AS (SELECT {g}list_distinct(quantile_cont(pq, [{", ".join(f"{k}/{bins}.0" for k in range(bins + 1))}])) AS e, min(tau) AS t0, max(tau) AS t1 FROM {p}0 {f"GROUP BY {by}" if by else ""}),
+{p}1 AS (SELECT {p}0.*, len(list_filter(e, lambda x: x <= pq)) - 1 AS qi, CAST(floor((ln(tau) - ln(t0)) / (ln(t1 + 1) - ln(t0)) * 6 + 1e-9) AS INTEGER) AS tq FROM {p}0 {"JOIN" if by else ","} {p}e{on}),
+{p}c AS (SELECT {g}qi, tq AS ti, count(*) AS n, avg(y) AS my, avg(pq) AS mpq, avg(tau) AS mtau FROM {p}1 GROUP BY ALL HAVING count(*) >= {least} AND avg(y) > 0)"""
+
+
+def _fitted(p: str = "pw", f: str = "f", least: int = 8, by: str = "") -> str:
+    """The fit as CTE {f}: weighted least squares by centred moments, unlike the operator's Cramer form."""
+    g, on = (f"{by}, ", f"JOIN {f}1 USING ({by})") if by else ("", f", {f}1")
+    u = f"USING ({by})" if by else ""
+    return f""",
+{f}0 AS (SELECT {g}n::DOUBLE AS w, ln(mpq) AS a, ln(mtau) AS b, ln(my) AS y FROM {p}c),
+{f}1 AS (SELECT {g}sum(w * a) / sum(w) AS am, sum(w * b) / sum(w) AS bm, sum(w * y) / sum(w) AS ym, count(*) AS cells FROM {f}0 {f"GROUP BY {by}" if by else ""}),
+{f}2 AS (SELECT {g}sum(w * (a - am) * (a - am)) AS saa, sum(w * (a - am) * (b - bm)) AS sab, sum(w * (b - bm) * (b - bm)) AS sbb, sum(w * (a - am) * (y - ym)) AS say, sum(w * (b - bm) * (y - ym)) AS sby FROM {f}0 {on} {f"GROUP BY {by}" if by else ""}),
+{f}3 AS (SELECT {g}(say * sbb - sby * sab) / (saa * sbb - sab * sab) AS g, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS t FROM {f}2),
+{f} AS (SELECT {g}cells, CASE WHEN cells >= {least} THEN exp(ym - g * am - t * bm) END AS c, CASE WHEN cells >= {least} THEN g END AS gamma, CASE WHEN cells >= {least} THEN -t END AS alpha FROM {f}1 {"JOIN" if by else ","} {f}3 {u})"""
 
 
-def _fit() -> str:
-    """Weighted least squares by centred moments, unlike the operator's Cramer form."""
-    return """,
-f0 AS (SELECT n::DOUBLE AS w, ln(mpq) AS a, ln(mtau) AS b, ln(my) AS y FROM pwc),
-f1 AS (SELECT sum(w * a) / sum(w) AS am, sum(w * b) / sum(w) AS bm, sum(w * y) / sum(w) AS ym, count(*) AS cells FROM f0),
-f2 AS (SELECT sum(w * (a - am) * (a - am)) AS saa, sum(w * (a - am) * (b - bm)) AS sab, sum(w * (b - bm) * (b - bm)) AS sbb, sum(w * (a - am) * (y - ym)) AS say, sum(w * (b - bm) * (y - ym)) AS sby FROM f0, f1),
-f3 AS (SELECT (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS g, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS t FROM f2)
-SELECT cells, CASE WHEN cells >= 8 THEN exp(ym - g * am - t * bm) END AS c, CASE WHEN cells >= 8 THEN g END AS gamma, CASE WHEN cells >= 8 THEN -t END AS alpha FROM f1, f3"""
+def _fit(least: int = 8) -> str:
+    return _fitted(least=least) + "\nSELECT * FROM f"
+
+
+BULK_ROWS = "(SELECT * FROM mv WHERE p >= 0.15::DOUBLE AND p < 0.85::DOUBLE)"
+CELLS = _power(BULK_ROWS) + _fitted() + f""",
+cells0 AS (SELECT *, lead(dp) OVER w AS dpn, lead(dt) OVER w AS dtn, 2 * ({_cdf("(0.005::DOUBLE / sqrt(greatest(v_gauss, 1e-12)))")}) - 1 AS sx FROM mv WINDOW w AS (PARTITION BY key ORDER BY ts_days)),
+cells1 AS (SELECT *, dt BETWEEN 0.9 AND 1.1 AND coalesce(dtn BETWEEN 0.9 AND 1.1, false) AS pr FROM cells0),
+cells2 AS (SELECT pi, ti, count(*) AS n, count(DISTINCT key) AS n_mkts, avg(CASE WHEN abs(dp) < 0.005 THEN 1.0::DOUBLE ELSE 0 END) AS still_frac, avg(sx) AS sx,
+           kurtosis_pop(z) AS kurt_z, sum(dp2) AS s, avg(dp2 / dt) AS my, avg(p * (1 - p)) AS mpq, avg(tau) AS mtau, count(*) FILTER (pr) AS np, sum(abs(dp * dpn)) FILTER (pr) AS bp, sum(dp2) FILTER (pr) AS p2
+           FROM cells1 GROUP BY pi, ti HAVING count(*) >= 20),
+cells3 AS (SELECT cells2.*, still_frac - sx AS excess_still, CASE WHEN np >= 10 THEN greatest(0, 1 - pi() / 2 * bp / nullif(p2, 0)) END AS jump_share,
+           my / nullif(c * pow(mpq, gamma) / pow(mtau, alpha), 0) AS ratio_fit, s / nullif(sum(s) OVER (), 0) AS budget_share FROM cells2, f),
+cells AS (SELECT pi, ti, n, n_mkts, still_frac, excess_still, kurt_z, jump_share, ratio_fit, budget_share,
+          CASE WHEN excess_still >= 0.3 THEN 2 WHEN kurt_z >= 30 THEN 3 ELSE 1 END AS regime FROM cells3)"""
 
 
 def _slope(x: str, y: str = "dp2") -> str:
@@ -113,17 +158,27 @@ def _slope(x: str, y: str = "dp2") -> str:
     return b, f"sqrt(greatest(sum({x}*{x}*{y}*{y}) - 2 * {b} * sum({x}*{x}*{x}*{y}) + {b} * {b} * sum({x}*{x}*{x}*{x}), 0)) / nullif(sum({x} * {x}), 0)"
 
 
-def _boot(units: str) -> str:
+def _mixed(source: str, x: str, out: str, names: str) -> str:
+    """CTEs that mix an integer x of a source as the operator does; the last one has it as {out}."""
+    return f"""{names}a AS (SELECT *, xor({x}, {x} >> 16) * 569420461 % 2147483648 AS xa FROM {source}),
+{names}b AS (SELECT *, xor(xa, xa >> 15) * 899864957 % 2147483648 AS xb FROM {names}a),
+{names} AS (SELECT * EXCLUDE (xa, xb), xor(xb, xb >> 15) AS {out} FROM {names}b)"""
+
+
+def _boot(units: str, b: int = 1000, name: str = "boot") -> str:
     return f"""
-u0 AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY bucket) AS n FROM ({units})),
-u1 AS (SELECT bucket, n, i AS j, r, (((((r * 7919 + i * 104729 + 9097963) % 2147483647) * 48271) % 2147483647) * 69621 + r * 31 + i) % 2147483647 AS m FROM u0, range(1, 201) t(r)),
-u2 AS (SELECT u1.bucket, r, sum(num) / nullif(sum(den), 0) AS ratio FROM u1 JOIN u0 ON u0.bucket = u1.bucket AND u0.i = u1.m % u1.n GROUP BY ALL)
-SELECT bucket, quantile_cont(ratio, 0.025) AS ci_lo, quantile_cont(ratio, 0.975) AS ci_hi FROM u2 GROUP BY bucket"""
+u0 AS (SELECT *, (ord + 9097963) % 2147483648 AS x FROM ({units})),
+{_mixed("u0", "x", "m", "u1")},
+u2 AS (SELECT u1.*, r, m + r * 40503 AS y FROM u1, range(1, {b + 1}) t(r)),
+{_mixed("u2", "y", "h", "u3")},
+u4 AS (SELECT bucket, r, num, den, {_steps("(h / 2147483648.0::DOUBLE)", POISSON)} AS w FROM u3),
+u5 AS (SELECT bucket, r, sum(w * num) / nullif(sum(w * den), 0) AS ratio FROM u4 GROUP BY ALL),
+{name} AS (SELECT bucket, quantile_cont(ratio, 0.025) AS ci_lo, quantile_cont(ratio, 0.975) AS ci_hi FROM u5 GROUP BY bucket)"""
 
 
 def _query(body: str, doubles: str = "") -> str:
     """The base, then ctes and a select; `doubles` are rounded as the queries round them."""
-    *ctes, select = body.rsplit("\nSELECT", 1) if body.lstrip().startswith(("pw0", "u0", "f0", "x0")) else ["", body]
+    *ctes, select = body.rsplit("\nSELECT", 1) if body.lstrip().startswith(("pw0", "u0", "f0", "x0", "al2")) else ["", body]
     head = f"WITH {BASE}" + (f", {ctes[0]}" if ctes[0] else "")
     select = f"SELECT{select}" if ctes[0] else select
     if not doubles:
@@ -137,6 +192,32 @@ def _label(x: str, names: list[str]) -> str:
 
 _b = {c: _slope(c) for c in ("v_binom", "v_gauss", "v_wf")}
 _iv = _slope("iv", "rv")
+SEGMENTS = """x0 AS (SELECT *, greatest(t_res - ts_days, 1.0::DOUBLE) AS tau, least(greatest(close, 0.005::DOUBLE), 0.995::DOUBLE) AS pc, ts_days - lag(ts_days) OVER (PARTITION BY key ORDER BY ts_days) AS step FROM mk),
+x1 AS (SELECT *, close >= 0.30::DOUBLE AND close < 0.85::DOUBLE AND tau >= 1 AS ok FROM x0),
+x2 AS (SELECT *, CAST(sum(CASE WHEN NOT ok OR coalesce(step > 3, false) THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts_days ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM x1),
+x3 AS (SELECT * FROM x2 WHERE ok QUALIFY count(*) OVER (PARTITION BY key, run) >= 8)"""
+UNITS = "SELECT CAST(bucket AS BIGINT) AS bucket, rv AS num, iv AS den, CAST(key AS BIGINT) AS ord FROM bud"
+CLIPPED = """x0 AS (SELECT quantile_cont(z, 0.005) AS z0, quantile_cont(z, 0.995) AS z1, quantile_cont(lam, 0.99) AS l1 FROM mv),
+wv AS (SELECT key, ts_days, least(greatest(z, z0), z1) AS z, least(lam, l1) AS lam FROM mv, x0)"""
+
+
+def _acf(rows: str, lags: int = 5, name: str = "acf") -> str:
+    own = "(PARTITION BY key)"
+    return f""",
+ac0 AS (SELECT key, ts_days, z - avg(z) OVER {own} AS z, lam - avg(lam) OVER {own} AS lam FROM {rows}),
+ac1 AS (SELECT *, {", ".join(f"lag({c}, {k}) OVER (PARTITION BY key ORDER BY ts_days) AS {c}{k}" for c in ("z", "lam") for k in range(1, lags + 1))} FROM ac0),
+{name} AS ({" UNION ALL ".join(f"(select {k}::BIGINT AS lag, sum(z * z{k}) / nullif(sum(z * z), 0) AS acf_z, sum(lam * lam{k}) / nullif(sum(lam * lam), 0) AS acf_lam FROM ac1)" for k in range(1, lags + 1))})"""
+
+
+def _edge(values) -> str:
+    return "[" + ", ".join(f"{e!r}::DOUBLE" for e in values) + "]"
+
+
+RATES = f"SELECT CAST({_steps('p', RATE_EDGES)} AS BIGINT) AS bin, count(*) AS n, avg(p) AS p, avg(dp2 / dt * sqrt(tau)) AS rate, 1.96 * stddev_samp(dp2 / dt * sqrt(tau)) / sqrt(count(*)) AS half FROM mv GROUP BY 1 HAVING count(*) >= 20"
+ENDGAME = f"""x0 AS (SELECT *, p * (1 - p) AS pq, CASE WHEN abs(round_even(dp / 0.01::DOUBLE, 0)) >= 2 THEN 1.0::DOUBLE ELSE 0 END AS m FROM raw WHERE tau <= 30 AND dt <= 1.5 AND dt > 0),
+x1 AS (SELECT list_distinct(quantile_cont(pq, [{", ".join(f"{k}/10.0" for k in range(11))}])) AS e FROM x0),
+x2 AS (SELECT x0.*, len(list_filter(e, lambda x: x <= pq)) - 1 AS qi, {_steps("tau", (1.0, 2.0, 3.0, 5.0, 8.0, 13.0, 21.0))} - 1 AS tj FROM x0, x1),
+eg AS (SELECT CAST(qi AS BIGINT) AS qi, CAST(tj AS BIGINT) AS tj, count(*) AS n, avg(pq) AS mpq, avg(tau) AS mtau, avg(m) AS move_rate, avg(dp2 / dt) AS tot FROM x2 GROUP BY ALL HAVING count(*) >= 20)"""
 STARTS = """x0 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_days) - 1 AS idx, count(*) OVER (PARTITION BY key) - 1 AS last, t_res - ts_days AS tau FROM mk),
 x1 AS (SELECT x0.*, band FROM x0, (VALUES (30.0::DOUBLE), (14.0::DOUBLE), (7.0::DOUBLE), (3.0::DOUBLE)) b(band)),
 x2 AS (SELECT * FROM x1 QUALIFY row_number() OVER (PARTITION BY key, band ORDER BY abs(tau - band), idx) = 1),
@@ -173,47 +254,72 @@ SELECT CAST(sum(o) AS BIGINT) AS out_of_range, median(top) AS median_top, (SELEC
     "c02_raw_panel": _query("SELECT key, ts_days, p, dp, dp2, dt, tau FROM raw", "dp dp2"),
     "c03_move_panel": _query("SELECT key, ts_days, p, dp, dt, tau, v_binom, v_gauss, v_wf, z, lam FROM mv", "dp v_binom v_gauss v_wf z lam"),
     "c04_hourly_pairs": _query("SELECT * FROM hp", "dp dm dp_next dm_next"),
-    "c05_segments": _query("""x0 AS (SELECT *, p >= 0.30::DOUBLE AND p < 0.85::DOUBLE AND tau >= 1 AS ok, ts_days - lag(ts_days) OVER (PARTITION BY key ORDER BY ts_days) AS step FROM mv),
-x1 AS (SELECT *, CAST(sum(CASE WHEN NOT ok OR coalesce(step > 3, false) THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts_days ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM x0),
-x2 AS (SELECT * FROM x1 WHERE ok QUALIFY count(*) OVER (PARTITION BY key, run) >= 8)
-SELECT key, run, row_number() OVER w - 1 AS pos, z, ts_days - lag(ts_days) OVER w AS dt, lag(tau) OVER w AS taup FROM x2 WINDOW w AS (PARTITION BY key, run ORDER BY ts_days)""", "z"),
+    "c05_segments": _query(SEGMENTS + f"""
+SELECT key, run, row_number() OVER w - 1 AS pos, {_probit("pc")} AS z, ts_days - lag(ts_days) OVER w AS dt, lag(tau) OVER w AS taup, {_probit("least(greatest(pc - 0.01::DOUBLE / 2, 1e-4), 1 - 1e-4)")} AS zlo, {_probit("least(greatest(pc + 0.01::DOUBLE / 2, 1e-4), 1 - 1e-4)")} AS zhi,
+coalesce(round_even((close - lag(close) OVER w) / 0.01::DOUBLE, 0) = 0, false) AS isz FROM x3 WINDOW w AS (PARTITION BY key, run ORDER BY ts_days)""", "z zlo zhi"),
+    "c08_subsample": _query(SEGMENTS + """,
+x4 AS (SELECT key, run, count(*) AS n, md5('7:' || key || ':' || run) AS u FROM x3 GROUP BY ALL),
+x5 AS (SELECT *, sum(n - 1) OVER (ORDER BY u, key, run ROWS UNBOUNDED PRECEDING) - (n - 1) AS before FROM x4)
+SELECT key, run, n FROM x5 WHERE before < 300"""),
     "c09_start_states": _query(STARTS + "\nSELECT * FROM x3"),
     "c10_remaining_variance": _query(STARTS + """,
 x4 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_days) - 1 AS i FROM raw0)
 SELECT x3.key, band, p0, sum(CASE WHEN abs(nx - close) < 0.02::DOUBLE THEN (nx - close) * (nx - close) ELSE 0 END) AS small, sum(CASE WHEN abs(nx - close) >= 0.02::DOUBLE THEN (nx - close) * (nx - close) ELSE 0 END) AS jumps, pow(max(final) - arg_max(close, i), 2) AS terminal FROM x3 JOIN x4 ON x3.key = x4.key AND i >= idx GROUP BY ALL""", "small jumps terminal"),
     "c12_folds": _query("""x0 AS (SELECT key, row_number() OVER (ORDER BY t_end NULLS FIRST, key) - 1 AS i, count(*) OVER () AS n FROM cat),
 x1 AS (SELECT key, fold, CASE WHEN i < floor(lo * n) THEN 'train' WHEN i < floor(hi * n) THEN 'test' END AS part FROM x0, (VALUES (0::BIGINT, 0.5::DOUBLE, 0.75::DOUBLE), (1, 0.75, 1.0)) b(fold, lo, hi))
-SELECT * FROM x1 WHERE part IS NOT NULL"""),
+SELECT * FROM x1 WHERE part IS NOT NULL QUALIFY part = 'train' OR row_number() OVER (PARTITION BY fold, part ORDER BY md5('7:' || key), key) <= 7"""),
     "c13_random_split": _query("SELECT key, CAST('0x' || substr(md5('7:' || key), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.3::DOUBLE AS is_test FROM cat"),
     "d01_budget_slope": _query(f"SELECT {_iv[0]} AS slope, {_iv[1]} AS se, count(*) AS n FROM bud", "slope se"),
     "d02_lifetime_budget": _query("SELECT key, p0, rv, iv FROM bud", "rv iv"),
     "d03_budget_by_bucket": _query(f"SELECT CAST(bucket AS BIGINT) AS bucket, count(*) AS n, sum(rv) / nullif(sum(iv), 0) AS ratio, {_label('bucket', PRICE_LABELS)} AS label FROM bud GROUP BY bucket", "ratio"),
-    "d04_budget_bootstrap": _query(_boot("SELECT CAST(bucket AS BIGINT) AS bucket, rv AS num, iv AS den, CAST(key AS BIGINT) AS ord FROM bud"), "ci_lo ci_hi"),
+    "d04_budget_bootstrap": _query(_boot(UNITS) + "\nSELECT * FROM boot", "ci_lo ci_hi"),
     "d05_local_slopes": _query("SELECT " + ", ".join(f"{b} AS {c}_slope, {se} AS {c}_se" for c, (b, se) in _b.items()) + ", count(*) AS n FROM mv", " ".join(f"{c}_slope {c}_se" for c in _b)),
     "d06_local_ratios": _query("SELECT CAST(pi AS BIGINT) AS bucket, count(*) AS n, sum(dp2) / nullif(sum(v_binom), 0) AS ratio_binom, sum(dp2) / nullif(sum(v_gauss), 0) AS ratio_gauss, sum(dp2) / nullif(sum(v_wf) * (SELECT sum(v_wf * dp2) / sum(v_wf * v_wf) FROM mv), 0) AS ratio_wf FROM mv GROUP BY pi", "ratio_binom ratio_gauss ratio_wf"),
-    "d07_clustered_bootstrap": _query(_boot("SELECT CAST(pi AS BIGINT) AS bucket, CAST(key AS BIGINT) AS ord, sum(dp2) AS num, sum(v_gauss) AS den FROM mv GROUP BY ALL"), "ci_lo ci_hi"),
+    "d07_clustered_bootstrap": _query(_boot("SELECT CAST(pi AS BIGINT) AS bucket, CAST(key AS BIGINT) AS ord, sum(dp2) AS num, sum(v_gauss) AS den FROM mv GROUP BY ALL") + "\nSELECT * FROM boot", "ci_lo ci_hi"),
     "d08_power_cells": _query(_power("mv") + "\nSELECT CAST(qi AS BIGINT) AS qi, CAST(ti AS BIGINT) AS ti, n, my, mpq, mtau FROM pwc", "my mpq mtau"),
     "d08_power_fit": _query(_power("mv") + _fit(), "c gamma alpha"),
-    "d09_power_fit_bulk": _query(_power("(SELECT * FROM mv WHERE p >= 0.15::DOUBLE AND p < 0.85::DOUBLE)") + _fit(), "c gamma alpha"),
+    "d09_power_fit_bulk": _query(_power(BULK_ROWS) + _fit(), "c gamma alpha"),
     "d10_kurtosis": _query("SELECT CAST(pi AS BIGINT) AS bucket, count(*) AS n, kurtosis_pop(z) AS kurt FROM mv GROUP BY pi HAVING count(*) >= 30", "kurt"),
-    **{f"d11_acf_{c}": _query(f"x0 AS (SELECT key, ts_days, {c} - avg({c}) OVER (PARTITION BY key) AS v FROM mv),\nx1 AS (SELECT *, " + ", ".join(f"lag(v, {k}) OVER (PARTITION BY key ORDER BY ts_days) AS l{k}" for k in range(1, 6)) + " FROM x0),\nx2 AS (SELECT " + ", ".join(f"sum(v * l{k}) / nullif(sum(v * v), 0) AS a{k}" for k in range(1, 6)) + " FROM x1)\nSELECT lag, acf FROM (" + " UNION ALL ".join(f"(select {k}::BIGINT AS lag, a{k} AS acf FROM x2)" for k in range(1, 6)) + ")", "acf") for c in ("z", "lam")},
-    "d14_rate_by_price": _query(f"SELECT CAST({_steps('p', RATE_EDGES)} AS BIGINT) AS bin, count(*) AS n, avg(p) AS p, avg(dp2 / dt * sqrt(tau)) AS rate, 1.96 * stddev_samp(dp2 / dt * sqrt(tau)) / sqrt(count(*)) AS half FROM mv GROUP BY 1 HAVING count(*) >= 20", "p rate half"),
-    "e01_map_cells": _query("SELECT * REPLACE (CAST(pi AS BIGINT) AS pi, CAST(ti AS BIGINT) AS ti, CAST(regime AS BIGINT) AS regime) FROM cells", "still_frac excess_still kurt_z jump_share ratio_fit budget_share"),
-    "e04_rectangle": _query("""x0 AS (SELECT pi FROM cells WHERE ti >= 2 GROUP BY pi HAVING avg(CASE WHEN regime = 1 THEN 1.0::DOUBLE ELSE 0 END) > 0.5),
-x1 AS (SELECT ti FROM cells JOIN x0 USING (pi) GROUP BY ti HAVING avg(CASE WHEN regime = 1 THEN 1.0::DOUBLE ELSE 0 END) > 0.5)
-SELECT CAST(min(pi) AS BIGINT) AS p_lo, CAST(max(pi) AS BIGINT) AS p_hi, (SELECT CAST(min(ti) AS BIGINT) FROM x1) AS t_lo, (SELECT CAST(max(ti) AS BIGINT) FROM x1) AS t_hi FROM x0"""),
-    "e05_regime_shares": _query("SELECT CAST(regime AS BIGINT) AS regime, count(*) AS cells, sum(budget_share) AS share FROM cells GROUP BY regime", "share"),
-    "e07_pivot": _query("SELECT CAST(ti AS BIGINT) AS ti, " + ", ".join(f"max(CASE WHEN pi = {k} THEN n END) AS p{k}" for k in range(9)) + " FROM cells GROUP BY ti"),
+    "b13_winsorised": _query(CLIPPED + "\nSELECT * FROM wv", "z lam"),
+    "d11_acf": _query("x0 AS (SELECT 1 AS one)" + _acf("mv") + "\nSELECT * FROM acf", "acf_z acf_lam"),
+    "d12_acf_winsorised": _query(CLIPPED + _acf("wv") + "\nSELECT * FROM acf", "acf_z acf_lam"),
+    "d15_ratios_with_floor": _query(_boot(UNITS, 2000) + f""",
+u6 AS (SELECT CAST(bucket AS BIGINT) AS bucket, count(*) AS n, sum(rv) / nullif(sum(iv), 0) AS ratio FROM bud GROUP BY ALL)
+SELECT bucket, n, CASE WHEN n >= 10 THEN ratio END AS ratio, CASE WHEN n >= 10 THEN ci_lo END AS ci_lo, CASE WHEN n >= 10 THEN ci_hi END AS ci_hi FROM u6 LEFT JOIN boot USING (bucket)""", "ratio ci_lo ci_hi"),
+    "d17_scalars": _query(CLIPPED + _acf("wv", 1) + "," + _power("mv", p="pa") + _fitted("pa", "fa") + "," + _power(BULK_ROWS, p="pb") + _fitted("pb", "fb") + f""",
+x7 AS (SELECT {_iv[0]} AS budget_slope, {_iv[1]} AS budget_se, count(*) AS budget_n FROM bud),
+x8 AS (SELECT {", ".join(f"{b} AS local_{c}_slope, {se} AS local_{c}_se" for c, (b, se) in _b.items())}, count(*) AS local_n FROM mv)
+SELECT x7.*, x8.*, fa.cells AS power_cells, fa.c AS power_c, fa.gamma AS power_gamma, fa.alpha AS power_alpha, fb.cells AS bulk_cells, fb.c AS bulk_c, fb.gamma AS bulk_gamma, fb.alpha AS bulk_alpha, acf_z AS lag1_acf_z, acf_lam AS lag1_acf_lam FROM x7, x8, fa, fb, acf""",
+        "budget_slope budget_se power_c power_gamma power_alpha bulk_c bulk_gamma bulk_alpha lag1_acf_z lag1_acf_lam " + " ".join(f"local_{c}_slope local_{c}_se" for c in _b)),
+    "d18_level_match": _query(f"""x0 AS ({RATES.replace("SELECT", "select")}),
+x1 AS (SELECT *, p * (1 - p) AS pq, {_probit("p")} AS z0 FROM x0 WHERE rate > 0),
+x2 AS (SELECT exp(avg(ln(rate) - ln(pq))) AS a, exp(avg(ln(rate) - ln(pq * pq))) AS b, exp(avg(ln(rate) - ln(pow({PDF}, 2)))) AS c, exp(avg(ln(rate) - ln(pow(pq, 1.3::DOUBLE)))) AS d FROM x1)
+SELECT * FROM (select 'arcsin' AS curve, a AS level FROM x2 UNION ALL select 'logit', b FROM x2 UNION ALL select 'probit', c FROM x2 UNION ALL select 'power', d FROM x2) q""", "level"),
+    "d14_rate_by_price": _query(RATES, "p rate half"),
+    "e01_map_cells": _query(CELLS + "\nSELECT * REPLACE (CAST(pi AS BIGINT) AS pi, CAST(ti AS BIGINT) AS ti, CAST(regime AS BIGINT) AS regime) FROM cells", "still_frac excess_still kurt_z jump_share ratio_fit budget_share"),
+    "e04_rectangle": _query(CELLS + f""",
+x0 AS (SELECT pi FROM cells WHERE ti >= 2 GROUP BY pi HAVING avg(CASE WHEN regime = 1 THEN 1.0::DOUBLE ELSE 0 END) > 0.5),
+x1 AS (SELECT ti FROM cells JOIN x0 USING (pi) GROUP BY ti HAVING avg(CASE WHEN regime = 1 THEN 1.0::DOUBLE ELSE 0 END) > 0.5),
+x2 AS (SELECT {_edge(PRICE_EDGES)}[min(pi) + 1] AS p_lo, {_edge(PRICE_EDGES)}[max(pi) + 2] AS p_hi, coalesce(string_agg(pi, ',' ORDER BY pi), '') AS p_buckets FROM x0),
+x3 AS (SELECT {_edge(TAU_EDGES)}[min(ti) + 1] AS tau_lo, coalesce(string_agg(ti, ',' ORDER BY ti), '') AS tau_bands FROM x1)
+SELECT p_lo, p_hi, tau_lo, p_buckets, tau_bands FROM x2, x3"""),
+    "e05_regime_shares": _query(CELLS + "\nSELECT CAST(regime AS BIGINT) AS regime, count(*) AS cells, sum(budget_share) AS share FROM cells GROUP BY regime", "share"),
+    "e07_pivot": _query(CELLS + "\nSELECT CAST(ti AS BIGINT) AS ti, " + ", ".join(f"max(CASE WHEN pi = {k} THEN n END) AS p{k}" for k in range(9)) + " FROM cells GROUP BY ti"),
+    "h01_regime_ticks": _query(CELLS + f""",
+x0 AS (SELECT *, CAST({BUCKET} AS BIGINT) AS pi, CAST({BAND} AS BIGINT) AS ti FROM raw WHERE dt <= 1.5)
+SELECT CAST({_steps('least(p, 1 - p)', DISTANCE_EDGES[1:-1])} AS BIGINT) AS di, ti, CAST(round_even(CASE WHEN p <= 0.5 THEN dp ELSE -dp END / 0.01::DOUBLE, 0) AS BIGINT) AS k, count(*) AS n FROM x0 WHERE (pi, ti) IN (select (pi, ti) FROM cells WHERE regime = 1 AND pi % 2 = 0) GROUP BY ALL"""),
     "h02_tick_histogram": _query(f"SELECT CAST({_steps('least(p, 1 - p)', DISTANCE_EDGES[1:-1])} AS BIGINT) AS di, CAST({BAND} AS BIGINT) AS ti, CAST(round_even(CASE WHEN p <= 0.5 THEN dp ELSE -dp END / 0.01::DOUBLE, 0) AS BIGINT) AS k, count(*) AS n FROM raw WHERE dt <= 1.5 GROUP BY ALL"),
-    "h06_endgame_cells": _query(f"""x0 AS (SELECT *, p * (1 - p) AS pq, CASE WHEN abs(round_even(dp / 0.01::DOUBLE, 0)) >= 2 THEN 1.0::DOUBLE ELSE 0 END AS m FROM raw WHERE tau <= 30 AND dt <= 1.5 AND dt > 0),
-x1 AS (SELECT list_distinct(quantile_cont(pq, [{", ".join(f"{k}/10.0" for k in range(11))}])) AS e FROM x0),
-x2 AS (SELECT x0.*, len(list_filter(e, lambda x: x <= pq)) - 1 AS qi, {_steps("tau", (1.0, 2.0, 3.0, 5.0, 8.0, 13.0, 21.0))} - 1 AS tj FROM x0, x1)
-SELECT CAST(qi AS BIGINT) AS qi, CAST(tj AS BIGINT) AS tj, count(*) AS n, avg(pq) AS mpq, avg(tau) AS mtau, avg(m) AS move_rate, avg(dp2 / dt) AS tot FROM x2 GROUP BY ALL HAVING count(*) >= 20""", "mpq mtau move_rate tot"),
+    "h06_endgame_cells": _query(ENDGAME + "\nSELECT * FROM eg", "mpq mtau move_rate tot"),
+    "h09_wls": _query(ENDGAME + ",\npwc AS (SELECT n, mpq, mtau, tot AS my FROM eg WHERE tot > 0)" + _fit(6), "c gamma alpha"),
     "h10_spend_profile": _query("""x0 AS (SELECT CASE WHEN tau > 0 AND tau <= 1 THEN '(0,1]' WHEN tau > 1 AND tau <= 3 THEN '(1,3]' WHEN tau > 3 AND tau <= 7 THEN '(3,7]' WHEN tau > 7 AND tau <= 30 THEN '(7,30]' WHEN tau > 30 THEN '>30' END AS band, dp2 AS s FROM raw
  UNION ALL (select 'terminal', jump FROM bud0) UNION ALL (select b, 0 FROM (VALUES ('(0,1]'), ('(1,3]'), ('(3,7]'), ('(7,30]'), ('>30')) v(b))),
 x1 AS (SELECT band, sum(s) AS s FROM x0 WHERE band IS NOT NULL GROUP BY band)
 SELECT band, s / nullif(sum(s) OVER (), 0) AS share FROM x1""", "share"),
-    "i02_cell_variances": _query(f"SELECT CAST({BUCKET} AS BIGINT) AS pi, CAST({BAND} AS BIGINT) AS ti, count(*) AS n, var_samp(dp) AS var FROM raw GROUP BY 1, 2", "var"),
+    "i02_cell_variances": _query(f"SELECT CAST({BUCKET} AS BIGINT) AS pi, CAST({BAND} AS BIGINT) AS ti, count(*) AS n, CASE WHEN var_samp(dp) = 0 THEN 0.01::DOUBLE * 0.01::DOUBLE ELSE var_samp(dp) END AS var FROM raw GROUP BY 1, 2 UNION ALL (select -1, -1, count(*), var_samp(dp) FROM raw)", "var"),
+    "j03_aligned_hourly": _query("""x0 AS (SELECT a.user_id // 2 AS pair_id, a.hour + INTERVAL 1 HOUR AS ts, a.close AS p_k, b.close AS p_pm FROM hourly a JOIN hourly b ON a.user_id % 2 = 0 AND b.user_id = a.user_id + 1 AND a.hour + INTERVAL 1 HOUR = b.hour)
+SELECT * FROM x0 QUALIFY count(*) OVER (PARTITION BY pair_id) >= 3"""),
+    "j04_gap_by_domain": _query("SELECT 'd' || (pair_id % 3) AS domain, count(*) AS n, avg(abs(p_pm - p_k)) AS mean_abs FROM al GROUP BY 1", "mean_abs"),
+    "j04_gap_by_quality": _query("SELECT CASE WHEN pair_id % 4 = 0 THEN 'approx' ELSE 'exact' END AS quality, count(*) AS n, avg(abs(p_pm - p_k)) AS mean_abs FROM al GROUP BY 1", "mean_abs"),
     "j03_aligned": _query("SELECT pair_id, ts, p_k, p_pm FROM al"),
     "j04_gap_stats": _query("""x0 AS (SELECT *, p_k - p_pm AS g FROM al),
 x1 AS (SELECT *, g - avg(g) OVER (PARTITION BY pair_id) AS d FROM x0),
@@ -227,20 +333,28 @@ SELECT *, ss_k / bud_k AS ratio_k, ss_pm / bud_pm AS ratio_pm, ss_k / bud_k / nu
     "j06_paired_summary": _query("""x0 AS (SELECT *, p_k - lag(p_k) OVER w AS dk, p_pm - lag(p_pm) OVER w AS dm FROM al WINDOW w AS (PARTITION BY pair_id ORDER BY ts)),
 x1 AS (SELECT sum(dk * dk) / (arg_min(p_k, ts) * (1 - arg_min(p_k, ts))) / nullif(sum(dm * dm) / (arg_min(p_pm, ts) * (1 - arg_min(p_pm, ts))), 0) AS r FROM x0 GROUP BY pair_id)
 SELECT count(*) AS n, median(r) AS median_ratio, avg(CASE WHEN r > 1 THEN 1.0::DOUBLE WHEN r <= 1 THEN 0 END) AS share_above FROM x1""", "median_ratio share_above"),
-    "j07_paired_power": _query("""x0 AS (SELECT p_k * (1 - p_k) AS pq, lead(p_k) OVER (PARTITION BY pair_id ORDER BY ts) - p_k AS dp FROM al),
-x1 AS (SELECT * FROM x0 WHERE dp IS NOT NULL),
-x2 AS (SELECT list_distinct(quantile_cont(pq, [""" + ", ".join(f"{k}/14.0" for k in range(15)) + """])) AS e FROM x1),
+    **{f"j07_paired_power{name}": _query(f"""x0 AS (SELECT {c} * (1 - {c}) AS pq, lead({c}) OVER (PARTITION BY pair_id ORDER BY ts) - {c} AS dp FROM al),
+x1 AS (SELECT * FROM x0 WHERE dp IS NOT NULL AND pq > 1e-6),
+x2 AS (SELECT list_distinct(quantile_cont(pq, [{", ".join(f"{k}/14.0" for k in range(15))}])) AS e FROM x1),
 x3 AS (SELECT pq, dp, least(len(list_filter(e, lambda x: x <= pq)) - 1, len(e) - 2) AS qi FROM x1, x2),
-x4 AS (SELECT avg(pq) AS level, avg(dp * dp) AS m FROM x3 GROUP BY qi)
-SELECT count(*) AS bins, regr_slope(ln(m), ln(level)) AS gamma FROM x4 WHERE level > 1e-6 AND m > 0""", "gamma"),
+x4 AS (SELECT avg(pq) AS level, avg(dp * dp) AS m, count(*) AS n FROM x3 GROUP BY qi)
+SELECT CAST(sum(n) AS BIGINT) AS n_obs, count(*) FILTER (m > 0) AS bins, regr_slope(ln(m), ln(level)) FILTER (m > 0) AS gamma FROM x4""", "gamma") for name, c in (("", "p_k"), ("_pm", "p_pm"))},
     "j08_cross_correlation": _query("x0 AS (SELECT * FROM alm WHERE dk IS NOT NULL),\nx1 AS (SELECT *, " + ", ".join(f"lag(dm, {k}) OVER w AS m{k}, lag(dk, {k}) OVER w AS k{k}" for k in (1, 2, 3)) + " FROM x0 WINDOW w AS (PARTITION BY pair_id ORDER BY ts))\nSELECT * FROM (" + " UNION ALL ".join(f"(select {k}::BIGINT AS lag, corr({f'k{-k}' if k < 0 else 'dk'}, {f'm{k}' if k > 0 else 'dm'}) AS corr FROM x1)" for k in range(-3, 4)) + ")", "corr"),
     "j09_predictive": _query("""x0 AS (SELECT dm AS y, lag(dm) OVER w AS a, lag(dk) OVER w AS b FROM alm WHERE dk IS NOT NULL WINDOW w AS (PARTITION BY pair_id ORDER BY ts)),
 x1 AS (SELECT * FROM x0 WHERE a IS NOT NULL AND b IS NOT NULL),
 x2 AS (SELECT count(*) AS n, avg(a) AS am, avg(b) AS bm, avg(y) AS ym, covar_pop(a, a) AS saa, covar_pop(a, b) AS sab, covar_pop(b, b) AS sbb, covar_pop(a, y) AS say, covar_pop(b, y) AS sby, covar_pop(y, y) AS syy FROM x1),
 x3 AS (SELECT *, (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS own, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS cross_ FROM x2)
 SELECT n, ym - own * am - cross_ * bm AS const, own, cross_ AS "cross", cross_ / sqrt((syy - own * say - cross_ * sby) / (n - 3) * saa / (saa * sbb - sab * sab)) AS t_cross FROM x3""", 'const own "cross" t_cross'),
-    "k01_fingerprints": _query("SELECT * FROM fp", "log_rv still jump_share off_centre ar1 fifth0 fifth1 fifth2 fifth3 fifth4 terminal"),
-    "k03_standardised": _query("SELECT key, " + ", ".join(f"({c} - avg({c}) OVER ()) / greatest(stddev_pop({c}) OVER (), 1e-9) AS {c}" for c in ("log_rv", "still", "jump_share", "off_centre", "ar1", "terminal")) + " FROM fp", "log_rv still jump_share off_centre ar1 terminal"),
+    "k01_fingerprints": _query("SELECT * FROM fp", "tot2 max2 p0 " + FEATURES),
+    "k03_standardised": _query("SELECT key, " + ", ".join(f"({c} - avg({c}) OVER ()) / greatest(stddev_pop({c}) OVER (), 1e-9) AS {c}" for c in FEATURES.split()[:5]) + " FROM fp", " ".join(FEATURES.split()[:5])),
+    "k09_cluster_cards": _query(f"""x0 AS (SELECT key, pow(max(final) - arg_max(close, ts_days), 2) AS term FROM mk GROUP BY key),
+x1 AS (SELECT fp.*, term, CAST(key AS BIGINT) % 3 AS cluster, 'c' || (CAST(key AS BIGINT) % 4) AS category, p0 * (1 - p0) AS x, tot2 + term AS y FROM fp JOIN x0 USING (key)),
+x2 AS (SELECT cluster, category, count(*) AS n FROM x1 GROUP BY ALL),
+x3 AS (SELECT cluster, max(n) / sum(n) AS top_cat_frac FROM x2 GROUP BY cluster),
+x4 AS (SELECT cluster, category AS top_cat FROM x2 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, category) = 1),
+x5 AS (SELECT cluster, count(*) AS n_mkts, {", ".join(f"avg({c}) AS {c}" for c in FEATURES.split())}, {_slope("x", "y")[0]} AS budget_slope, {_slope("x", "y")[1]} AS budget_se, sum(term) / (sum(tot2) + sum(term) + 1e-12) AS term_share FROM x1 GROUP BY cluster)
+SELECT x5.*, n_mkts / sum(n_mkts) OVER () AS share, top_cat, top_cat_frac FROM x5 JOIN x3 USING (cluster) JOIN x4 USING (cluster)""", FEATURES + " budget_slope budget_se term_share share top_cat_frac"),
+    "k10_power_by_cluster": _query(_power("(SELECT *, CAST(key AS BIGINT) % 3 AS cluster FROM mv)", 5, by="cluster") + _fitted(by="cluster") + "\nSELECT * FROM f", "c gamma alpha"),
     "k07_adjusted_rand": _query("""x0 AS (SELECT CAST(key AS BIGINT) % 4 AS a, CAST(key AS BIGINT) % 6 AS b, count(*) AS n FROM cat GROUP BY ALL),
 x1 AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM x0) AS ij, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM x0 GROUP BY a)) AS i, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM x0 GROUP BY b)) AS j, (SELECT sum(n) * (sum(n) - 1) / 2 FROM x0) AS t)
 SELECT (ij - i * j / t) / nullif((i + j) / 2 - i * j / t, 0) AS ari FROM x1""", "ari"),
@@ -250,20 +364,29 @@ x2 AS (SELECT event, tag FROM x1 QUALIFY row_number() OVER (PARTITION BY event O
 x3 AS (SELECT tag FROM x2 GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 4)
 SELECT event, CASE WHEN tag IN (FROM x3) THEN tag ELSE 'other' END AS category FROM x2"""),
     "k12_intraday": _query(f"""x0 AS (SELECT *, {BUCKET.replace("p >=", "p_prev >=")} AS b FROM hp)
-SELECT CAST(coalesce(b, -1) AS BIGINT) AS bucket, count(*) AS n, (sum(dp * dp) - sum(dm * dm)) / nullif(sum(dp * dp), 0) AS bounce_quote, -2 * (sum(dp * dp_next) FILTER (ok_next) / nullif(count(*) FILTER (ok_next), 0)) * count(*) / nullif(sum(dp * dp), 0) AS bounce_roll, sum(CASE WHEN abs(dm) >= 0.02::DOUBLE THEN dm * dm ELSE 0 END) / nullif(sum(dm * dm), 0) AS jump_share_mid, avg(CASE WHEN dp = 0 THEN 1.0::DOUBLE ELSE 0 END) AS frac_zero FROM x0 GROUP BY ROLLUP (b)""", "bounce_quote bounce_roll jump_share_mid frac_zero"),
+SELECT CAST(coalesce(b, -1) AS BIGINT) AS bucket, count(*) AS n, (sum(dp * dp) - sum(dm * dm)) / nullif(sum(dp * dp), 0) AS bounce_quote, -2 * (sum(dp * dp_next) FILTER (ok_next) / nullif(count(*) FILTER (ok_next), 0)) * count(*) / nullif(sum(dp * dp), 0) AS bounce_roll, 1 - pi() / 2 * sum(abs(dm * dm_next)) FILTER (ok_next) / nullif(sum(dm * dm) FILTER (ok_next), 0) AS jump_share_mid, avg(CASE WHEN dp = 0 THEN 1.0::DOUBLE ELSE 0 END) AS frac_zero FROM x0 GROUP BY ROLLUP (b)""", "bounce_quote bounce_roll jump_share_mid frac_zero"),
     "k13_signature": _query("""x0 AS (SELECT key, min(hour) AS t0, max(hour) AS t1 FROM hourly GROUP BY key),
 x1 AS (SELECT key, sum(d * d) AS rv FROM (SELECT key, close - lag(close) OVER (PARTITION BY key ORDER BY hour) AS d FROM hourly) GROUP BY key),
 x2 AS (SELECT key, close - lag(close) OVER (PARTITION BY key ORDER BY day) AS d FROM daily JOIN x0 USING (key) WHERE day BETWEEN t0 - INTERVAL 1 HOUR AND t1 + INTERVAL 1 HOUR),
 x3 AS (SELECT key, sum(d * d) AS rv FROM x2 GROUP BY key)
 SELECT key, x1.rv / x3.rv AS signature FROM x1 JOIN x3 USING (key) WHERE x3.rv > 0""", "signature"),
     "k14_daily_variance": _query("x0 AS (SELECT key, close - lag(close) OVER (PARTITION BY key ORDER BY day) AS m FROM daily)\nSELECT key, coalesce(sum(m * m), 0) AS rv FROM x0 GROUP BY key", "rv"),
+    "k15_signature_quartiles": _query("""x0 AS (SELECT * FROM hourly QUALIFY count(*) OVER (PARTITION BY key) >= 8),
+x1 AS (SELECT key, sum(d * d) AS rv, min(hour) AS t0, max(hour) AS t1 FROM (select *, close - lag(close) OVER (PARTITION BY key ORDER BY hour) AS d FROM x0) GROUP BY key),
+x2 AS (SELECT key, close - lag(close) OVER (PARTITION BY key ORDER BY day) AS d FROM daily JOIN x1 USING (key) WHERE day BETWEEN t0 - INTERVAL 1 HOUR AND t1 + INTERVAL 1 HOUR),
+x3 AS (SELECT key, x1.rv / q.rv AS s FROM x1 JOIN (select key, sum(d * d) AS rv FROM x2 GROUP BY key) q USING (key) WHERE q.rv > 0)
+SELECT count(*) AS n, quantile_cont(s, 0.25) AS q25, median(s) AS med, quantile_cont(s, 0.75) AS q75 FROM x3""", "q25 med q75"),
+    "k17_strip_bins": _query("SELECT * FROM sb", "lo hi prob"),
+    "k20_iv_terms": _query(f"""x0 AS (SELECT series, list_distinct(quantile_cont(tau_days, [{", ".join(f"{k}/12.0" for k in range(13))}])) AS e FROM iv GROUP BY series),
+x1 AS (SELECT iv.*, len(list_filter(e, lambda x: x <= tau_days)) AS bin FROM iv JOIN x0 USING (series))
+SELECT series, bin, count(*) AS n, median(tau_days) AS tau, median(iv) AS med, quantile_cont(iv, 0.25) AS q25, quantile_cont(iv, 0.75) AS q75 FROM x1 GROUP BY ALL""", "tau med q25 q75"),
+    "k26_iv_summary": _query("SELECT series, any_value(kind) AS kind, count(DISTINCT event) AS events, count(*) AS days, median(iv) AS med_iv, quantile_cont(iv, 0.25) AS q25, quantile_cont(iv, 0.75) AS q75, median(tau_days) AS med_tau, median(total) AS med_total_prob FROM iv GROUP BY series", "med_iv q25 q75 med_tau med_total_prob"),
     "k19_summary": _query("SELECT event, count(DISTINCT ts) AS units, count(*) AS n, quantile_cont(prob, 0.5) AS med, quantile_cont(prob, 0.25) AS q25, quantile_cont(prob, 0.75) AS q75 FROM lad GROUP BY event", "med q25 q75"),
     "k16_load_strips": _query("""x0 AS (SELECT DISTINCT user_id, CASE WHEN user_id % 4 <> 0 THEN (user_id % 11) / 2.0::DOUBLE END AS fs, CASE WHEN user_id % 8 = 0 THEN 1.5::DOUBLE END AS cs FROM ev WHERE user_id % 3 <> 1),
 x1 AS (SELECT * FROM x0 WHERE fs IS NOT NULL OR cs IS NOT NULL),
 x2 AS (SELECT user_id % 9 AS e FROM x1 GROUP BY 1 HAVING count(*) >= 5)
-SELECT 'E' || e AS event, 'S' || (user_id % 3) AS series, 'S' || (user_id % 3) || '-' || key AS key, day AS ts, close, fs, cs FROM daily JOIN x1 USING (user_id) JOIN x2 ON e = user_id % 9""", "close fs cs"),
+SELECT 'E' || e AS event, 'S' || (user_id % 3) AS series, 'S' || (user_id % 3) || '-' || key AS key, CASE WHEN user_id % 2 = 0 THEN 'greater' ELSE 'between' END AS strike_type, t_end AS "end", day AS ts, close, fs, cs FROM daily JOIN x1 USING (user_id) JOIN x2 ON e = user_id % 9 JOIN (select key AS k2, t_end FROM cat) c ON k2 = key""", "close fs cs"),
     "k22_claims": _query("SELECT name, quoted, value, coalesce(abs(value - quoted) <= tol, false) AS ok FROM (VALUES ('markets of venue 0', 5.0::DOUBLE, 1e9), ('markets of venue 1', -5.0::DOUBLE, 1.0), ('markets of venue 2', 0.0::DOUBLE, 1.0)) q(name, quoted, tol) LEFT JOIN (SELECT 'markets of venue ' || venue AS name, CAST(count(*) AS DOUBLE) AS value FROM cat GROUP BY venue) c USING (name)"),
     "k17_ladder_bins": _query("SELECT * FROM lad", "lo hi prob"),
-    "k18_strip_moments": _query("""x0 AS (SELECT event, ts, sum(prob) AS total, sum(prob * (lo + hi) / 2) AS a, sum(prob * (lo + hi) / 2 * (lo + hi) / 2) AS b FROM lad GROUP BY ALL)
-SELECT event, ts, total, a / total AS mean, sqrt(greatest(b / total - a / total * a / total, 0)) AS std FROM x0 WHERE total BETWEEN 0.7 AND 1.3""", "total mean std"),
+    "k18_strip_moments": _query("SELECT * FROM sm", "total mean std tau_days iv_prop iv_norm"),
 }

@@ -14,7 +14,7 @@ from oddsmill.sources import store
 
 #: Floors for the small test tables, in both dialects.
 CELL, FIT = 20, 10
-FEATURES = ["log_rv", "still", "jump_share", "off_centre", "ar1", "terminal"]
+KINDS = {"click": "prop", "view": "norm", "purchase": "norm"}
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def _ticker() -> Column:
 def _tickers(v: View) -> DataFrame:
     """The catalog under tickers of three series, with events and strikes as text, not all of them numeric."""
     i = F.col("user_id")
-    rows = v.prices.groupBy("key", "user_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.round(F.sum("value"), 4).alias("volume"))
+    rows = v.prices.groupBy("key", "user_id").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.round(F.sum("value"), 4).alias("volume")).withColumn("strike_type", F.when(i % 2 == 0, "greater").otherwise("between"))
     strike = F.when(i % 4 == 0, "above").otherwise((i % 11 / 2).cast("string"))
     rows = rows.withColumn("series", F.concat(F.lit("S"), i % 3)).withColumn("event", F.concat(F.lit("E"), i % 9)).withColumn("floor", strike).withColumn("cap", F.when(i % 8 == 0, "1.5"))
     return rows.withColumn("key", _ticker())
@@ -106,11 +106,11 @@ def _clustered(v: View) -> DataFrame:
 
 
 def _cells(v: View) -> DataFrame:
-    return regimes.map_cells(v.moves(), least=CELL, pairs=10)
+    return regimes.map_cells(v.moves(), regimes.bulk_fit(v.moves(), FIT), least=CELL, pairs=10)
 
 
 def _segments(v: View) -> DataFrame:
-    return panel.segments(v.moves(), 0.30, 0.85, 1.0)
+    return panel.segments(v.markets(), 0.30, 0.85, 1.0, unit=0.01)
 
 
 def _aligned(v: View) -> DataFrame:
@@ -121,6 +121,23 @@ def _features(v: View) -> DataFrame:
     return markets.fingerprints(v.raw(), v.markets())
 
 
+def _listed(df: DataFrame, *names: str) -> DataFrame:
+    """Arrays of numbers as text."""
+    return df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in names})
+
+
+def _moments(v: View) -> DataFrame:
+    return markets.strip_moments(markets.strip_bins(v.strips()), v.strip_ends())
+
+
+def _clusters(v: View) -> DataFrame:
+    return v.catalog().select("key", (F.col("key").cast("long") % 3).alias("cluster"))
+
+
+def _venues(v: View) -> DataFrame:
+    return v.catalog().select("key", F.concat(F.lit("c"), F.col("key").cast("long") % 4).alias("category"))
+
+
 def _labels(v: View) -> DataFrame:
     c = v.catalog()
     return c.select("key", (F.col("key").cast("long") % 4).alias("a"), (F.col("key").cast("long") % 6).alias("b"))
@@ -158,49 +175,66 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "c05_segments": _segments,
     "c09_start_states": lambda v: panel.start_states(v.markets()),
     "c10_remaining_variance": lambda v: panel.remaining_variance(v.markets(), panel.start_states(v.markets())),
-    "c12_folds": lambda v: panel.folds(v.catalog()),
+    "c08_subsample": lambda v: panel.subsample(panel.segments(v.markets(), 0.30, 0.85, 1.0), 300).groupBy("key", "run").agg(F.count("*").alias("n")),
+    "c12_folds": lambda v: panel.folds(v.catalog(), most_test=7),
     "c13_random_split": lambda v: panel.random_split(v.catalog().select("key")),
     "d01_budget_slope": lambda v: variance.budget_slope(_budgets(v)),
     "d02_lifetime_budget": _budgets,
     "d03_budget_by_bucket": lambda v: variance.budget_by_bucket(_budgets(v)),
-    "d04_budget_bootstrap": lambda v: variance.bootstrap(_units(v), ["bucket"], 200),
+    "d04_budget_bootstrap": lambda v: variance.bootstrap(_units(v), ["bucket"]),
     "d05_local_slopes": lambda v: variance.local_slopes(v.moves()),
     "d06_local_ratios": lambda v: variance.local_ratios(v.moves()),
-    "d07_clustered_bootstrap": lambda v: variance.bootstrap(_clustered(v), ["bucket"], 200),
+    "d07_clustered_bootstrap": lambda v: variance.bootstrap(_clustered(v), ["bucket"]),
     "d08_power_cells": lambda v: variance.power_cells(v.moves(), least=FIT),
     "d08_power_fit": lambda v: variance.power_fit(variance.power_cells(v.moves(), least=FIT)),
     "d09_power_fit_bulk": lambda v: variance.power_fit(variance.power_cells(v.moves().filter("p >= 0.15 and p < 0.85"), least=FIT)),
     "d10_kurtosis": lambda v: variance.kurtosis_by_bucket(v.moves()),
-    "d11_acf_z": lambda v: variance.acf(v.moves(), "z"),
-    "d11_acf_lam": lambda v: variance.acf(v.moves(), "lam"),
+    "b13_winsorised": lambda v: variance.winsorised(v.moves()).select("key", "ts_days", "z", "lam"),
+    "d11_acf": lambda v: variance.acf(v.moves(), ["z", "lam"]),
+    "d12_acf_winsorised": lambda v: variance.acf(variance.winsorised(v.moves()), ["z", "lam"]),
+    "d15_ratios_with_floor": lambda v: variance.ratios_with_floor(_units(v), 10, 2000),
+    "d17_scalars": lambda v: variance.scalars(_budgets(v), v.moves(), FIT),
+    "d18_level_match": lambda v: variance.level_match(variance.rate_by_price(v.moves(), 0.5, CELL), 1.3),
     "d14_rate_by_price": lambda v: variance.rate_by_price(v.moves(), 0.5, CELL),
     "e01_map_cells": _cells,
-    "e04_rectangle": lambda v: regimes.rectangle(_cells(v)),
+    "e04_rectangle": lambda v: _listed(regimes.rectangle(_cells(v)), "p_buckets", "tau_bands"),
     "e05_regime_shares": lambda v: regimes.shares(_cells(v)),
     "e07_pivot": lambda v: regimes.pivoted(_cells(v), "n"),
     "h02_tick_histogram": lambda v: regimes.tick_histogram(regimes.tick_rows(v.raw(), None, 0.01)),
     "h06_endgame_cells": lambda v: regimes.endgame_cells(v.raw(), 0.01, least=CELL),
+    "h09_wls": lambda v: variance.power_fit(regimes.endgame_cells(v.raw(), 0.01, least=CELL).filter("tot > 0").withColumnRenamed("tot", "my"), least=6),
+    "h01_regime_ticks": lambda v: regimes.tick_histogram(regimes.tick_rows(v.raw(), _cells(v).filter("regime = 1 and pi % 2 = 0"), 0.01)),
     "h10_spend_profile": lambda v: regimes.spend_profile(v.markets(), v.raw()),
-    "i02_cell_variances": lambda v: regimes.cell_variances(v.raw()),
+    "i02_cell_variances": lambda v: regimes.cell_variances(v.raw(), 0.01),
     "j03_aligned": _aligned,
+    "j03_aligned_hourly": lambda v: venues.aligned(v.pairs(), v.bars("hour"), "hour", "1 hour"),
     "j04_gap_stats": lambda v: venues.gap_stats(_aligned(v)),
+    "j04_gap_by_domain": lambda v: venues.gap_by(_aligned(v), v.pairs(), "domain"),
+    "j04_gap_by_quality": lambda v: venues.gap_by(_aligned(v), v.pairs(), "quality"),
     "j06_paired_budget": lambda v: venues.paired_budget(_aligned(v)),
     "j06_paired_summary": lambda v: venues.paired_summary(venues.paired_budget(_aligned(v))),
     "j07_paired_power": lambda v: venues.paired_power(_aligned(v), "p_k"),
+    "j07_paired_power_pm": lambda v: venues.paired_power(_aligned(v), "p_pm"),
     "j08_cross_correlation": lambda v: venues.cross_correlation(_aligned(v)),
     "j09_predictive": lambda v: venues.predictive(_aligned(v), "dm", "dk"),
     "k01_fingerprints": _features,
-    "k03_standardised": lambda v: markets.standardised(_features(v), FEATURES),
+    "k03_standardised": lambda v: markets.standardised(_features(v), list(markets.CLUSTER_FEATURES)),
     "k07_adjusted_rand": lambda v: markets.adjusted_rand(_labels(v), "a", "b"),
     "k08_categories": lambda v: markets.categories(_tags(v)),
+    "k09_cluster_cards": lambda v: markets.cluster_cards(_features(v), v.markets(), _clusters(v), _venues(v)),
+    "k10_power_by_cluster": lambda v: variance.power_fit(variance.power_cells(v.moves().join(_clusters(v), "key"), ["cluster"], least=5), ["cluster"]),
     "k12_intraday": lambda v: markets.intraday(panel.hourly_pairs(v.bars("hour"))),
     "k13_signature": lambda v: markets.signature(v.bars("hour"), v.bars("day")),
+    "k15_signature_quartiles": lambda v: markets.quartiles(markets.signature(markets.long_enough(v.bars("hour"), 8), v.bars("day")), "signature"),
     "k14_daily_variance": lambda v: markets.daily_variance(v.bars("day")),
     "k16_load_strips": lambda v: markets.load_strips(_tickers(v), v.bars("day").withColumn("key", _ticker()), ["S0", "S2"]),
     "k17_ladder_bins": lambda v: markets.ladder_bins(v.strikes()),
+    "k17_strip_bins": lambda v: markets.strip_bins(v.strips()),
     "k19_summary": lambda v: markets.summary(markets.ladder_bins(v.strikes()), "event", "ts", "prob"),
     "k22_claims": lambda v: markets.claims(_fixture(v, QUOTED, "name string, quoted double, tol double"), v.catalog().groupBy(F.concat(F.lit("markets of venue "), "venue").alias("name")).agg(F.count("*").cast("double").alias("value"))),
-    "k18_strip_moments": lambda v: markets.strip_moments(markets.ladder_bins(v.strikes())),
+    "k18_strip_moments": _moments,
+    "k20_iv_terms": lambda v: markets.iv_terms(markets.with_iv(_moments(v), KINDS)),
+    "k26_iv_summary": lambda v: markets.iv_summary(markets.with_iv(_moments(v), KINDS)),
 }
 
 
