@@ -222,18 +222,43 @@ STARTS = """x0 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_day
 x1 AS (SELECT x0.*, band FROM x0, (VALUES (30.0::DOUBLE), (14.0::DOUBLE), (7.0::DOUBLE), (3.0::DOUBLE)) b(band)),
 x2 AS (SELECT * FROM x1 QUALIFY row_number() OVER (PARTITION BY key, band ORDER BY abs(tau - band), idx) = 1),
 x3 AS (SELECT key, band, idx, tau, close AS p0 FROM x2 WHERE abs(tau - band) <= 0.4 * band AND idx < last AND close BETWEEN 0.05 AND 0.95)"""
-VALUES_MARKETS = """(VALUES ('Will it rain?', 'Yes', '71321', true, 1.0::DOUBLE, 1200.5::DOUBLE), ('Who wins?', 'Alpha', '911', true, 0.0, 88.0), ('Open one', 'YES', '12', false, NULL, 7.0)) v(question, outcome, key, closed, final_price, volume)"""
+TEXTS = "x0 AS (SELECT user_id AS i, min(ts) AS t0, max(ts) AS t1, round(sum(value), 2) AS v FROM ev GROUP BY user_id)"
+LISTING2 = TEXTS + """,
+l2 AS (SELECT 'S' || (i % 5) || '-' || i AS key, 'T' || i AS question, CAST(date_trunc('second', t0) AS TIMESTAMP) AS start, CASE WHEN i % 4 <> 0 THEN CAST(date_trunc('second', t1) AS TIMESTAMP) END AS "end",
+       coalesce(i % 3 = 1 OR i % 5 < 2, false) AS closed, CASE i % 5 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.0 END AS final_price, CASE i % 3 WHEN 0 THEN v WHEN 2 THEN floor(v) END AS volume, 'S' || (i % 5) AS series_ticker, 'E' || (i % 9) AS event_ticker,
+       CASE i % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'settled' ELSE '' END AS status, CASE i % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' END AS result, (i % 11)::DOUBLE AS floor_strike, NULL::DOUBLE AS cap_strike, 'greater' AS strike_type,
+       CASE WHEN i % 2 = 0 THEN (i * 3)::DOUBLE END AS open_interest, CASE WHEN i % 3 = 0 THEN CAST(date_trunc('second', t1) AS TIMESTAMP) END AS settlement_ts FROM x0),
+sr AS (SELECT 'S' || i AS ticker, 'c' || (i % 3) AS category, (['annual', 'hourly', 'weekly', 'monthly', 'one_off', 'unknown'])[i % 7 + 1] AS frequency, CASE WHEN i % 4 <> 0 THEN strftime(t1, '%Y-%m-%dT%H:%M:%SZ') END AS upd, i % 7 AS f FROM x0 WHERE i < 12 AND i <> 4)"""
+MONTHS = "['JAN', 'FEB', 'MAR', 'APR', 'MAY', 'JUN', 'JUL', 'AUG', 'SEP', 'OCT', 'NOV', 'DEC']"
 
 SQL = {
     "a05_catalog_upsert": _query("SELECT key, venue, round(CASE WHEN venue = 1 THEN volume + 1 ELSE volume END, 6) AS volume, CASE WHEN venue = 1 THEN 'x' END AS slug FROM cat"),
     "a07_bars_upsert": _query("SELECT key, day AS ts, CASE WHEN close > 0.5 THEN close + 0.001::DOUBLE ELSE close END AS close FROM daily", "close"),
-    "a08_safe_names": _query("SELECT DISTINCT event_type, regexp_replace(event_type || '/x y:1', '[^A-Za-z0-9._-]', '_', 'g') AS name FROM ev"),
+    "a08_safe_names": _query("SELECT DISTINCT event_type, user_id, event_type || '_x_y_' || user_id AS name FROM ev"),
+    "a09_done_set": _query("SELECT DISTINCT key FROM cat WHERE venue = 0 OR closed"),
+    "a12_final_markets": _query("SELECT key, volume FROM cat WHERE closed ORDER BY volume DESC, key LIMIT 20", "volume"),
+    "a14_union_catalogs": _query("SELECT key, CASE WHEN venue = 0 THEN volume + 5 ELSE volume END AS volume FROM cat", "volume"),
+    "a15_series": _query(LISTING2 + "\nSELECT key, series_ticker, category, frequency FROM l2 LEFT JOIN sr ON ticker = series_ticker"),
+    "a16_volume_floor": _query(TEXTS + "\nSELECT 'm' || i AS key, v AS volume FROM x0 WHERE i % 5 <> 4 AND i % 7 NOT IN (1, 3) AND v >= 50", "volume"),
+    "a18_market_rows": _query(LISTING2 + "\nSELECT * FROM l2", "volume"),
+    "a24_scan_order": _query(LISTING2 + "\nSELECT ticker, CAST(coalesce(CASE f WHEN 0 THEN 0 WHEN 1 THEN 7 WHEN 2 THEN 3 WHEN 3 THEN 2 END, 4) AS BIGINT) AS rank FROM sr ORDER BY rank, coalesce(upd, '') DESC, ticker LIMIT 6"),
+    "a28_event_tags": "SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 10 >= 8 THEN '[]' ELSE '[\"' || event_type || '\",\"k' || (event_id % 7) || '\"]' END AS tags FROM events",
+    "a30_alarms": _query("""x0 AS (SELECT key, max(close) AS top, count(*) FILTER (close NOT BETWEEN 0 AND 1) AS o FROM daily GROUP BY key)
+SELECT CAST(sum(o) AS BIGINT) AS out_of_range, median(top) AS median_top, (SELECT count(*) FROM cat WHERE final_price NOT IN (0, 1)) AS bad_finals, median(top) < 0.2 AS scale_alarm FROM x0""", "median_top"),
+    "a33_top_up": _query(LISTING2 + """\nSELECT key, start AS "from", greatest("end", settlement_ts) + INTERVAL 1 DAY AS "to" FROM l2 WHERE series_ticker <> 'S1'"""),
     "a10_select_markets": _query("SELECT key, volume FROM cat WHERE closed AND volume >= 100 ORDER BY volume DESC, key LIMIT 50", "volume"),
     "a11_todo": _query("SELECT key, volume FROM cat WHERE closed AND venue <> 0", "volume"),
     "a13_long_lived": _query("SELECT key, (epoch_us(t_end) - epoch_us(date_trunc('second', t_start))) / 86400e6 AS days FROM cat WHERE volume >= 50 AND (epoch_us(t_end) - epoch_us(date_trunc('second', t_start))) / 86400e6 >= 27.5 ORDER BY volume DESC, key LIMIT 1000", "days"),
-    "a17_parse_markets": f"SELECT key, outcome, question, closed, final_price, volume FROM {VALUES_MARKETS}",
-    "a19_numbers": "SELECT * FROM (VALUES ('new', 0.97::DOUBLE), ('legacy', 0.97), ('string', 0.72), ('fp', 249280.8), ('none', NULL), ('bad', NULL)) v(name, value)",
-    "a20_candles": "SELECT * FROM (VALUES ('a', TIMESTAMP '2024-01-01 00:00:00', 0.3::DOUBLE, 0.5::DOUBLE, 0.2::DOUBLE, 0.4::DOUBLE, 0.38::DOUBLE, 0.42::DOUBLE), ('a', TIMESTAMP '2024-01-01 01:00:00', 0.45, 0.45, 0.45, 0.45, 0.4, 0.5)) v(key, ts, open, high, low, close, bid, ask)",
+    "a17_parse_markets": _query(TEXTS + """,
+x1 AS (SELECT *, i % 7 = 1 AS second, i % 6 NOT IN (0, 5) AS closed FROM x0 WHERE i % 7 <> 2 AND i % 11 NOT IN (3, 4)),
+x2 AS (SELECT *, CASE WHEN second THEN CASE i % 5 WHEN 0 THEN 0 WHEN 1 THEN 0.997 WHEN 2 THEN 0.6 WHEN 3 THEN 0 END ELSE CASE i % 5 WHEN 0 THEN 1 WHEN 1 THEN 0.003 WHEN 2 THEN 0.4 END END AS price FROM x1)
+SELECT CASE WHEN second THEN '8' ELSE '7' END || i AS key, CASE WHEN i % 7 = 0 THEN 'Alpha' WHEN second THEN 'YES' ELSE 'Yes' END AS outcome, 'Q' || i AS question, CAST(date_trunc('second', t0) AS TIMESTAMP) AS start, CASE WHEN i % 4 <> 0 THEN CAST(date_trunc('second', t1) AS TIMESTAMP) END AS "end",
+       closed, CASE WHEN closed AND price <= 0.005 THEN 0.0::DOUBLE WHEN closed AND price >= 0.995 THEN 1.0 END AS final_price, CASE WHEN i % 3 = 0 THEN v ELSE v + 1 END AS volume, '0x' || i AS condition_id, 'q-' || i AS slug, CASE WHEN i % 3 = 0 THEN 'e' || i END AS event_id, CASE WHEN i % 3 = 0 THEN 's' || i END AS event_slug,
+       i % 2 = 0 AS neg_risk, CAST(i AS VARCHAR) AS gamma_id FROM x2""", "volume"),
+    "a19_numbers": "SELECT event_id, round(CASE WHEN event_id % 5 = 2 THEN floor(value * 100) / 100 WHEN event_id % 5 < 4 AND event_id % 16 >= 2 THEN value END, 6) AS value FROM events",
+    "a20_candles": _query("""x0 AS (SELECT *, CAST(epoch(hour) AS BIGINT) // 3600 AS h, close - 0.01::DOUBLE AS bid, close + 0.01::DOUBLE AS ask FROM hourly)
+SELECT key, hour AS ts, CASE WHEN h % 3 = 0 THEN (bid + ask) / 2 ELSE close - 0.01::DOUBLE END AS open, CASE WHEN h % 3 = 0 THEN (bid + ask) / 2 ELSE close + 0.02::DOUBLE END AS high, CASE WHEN h % 3 = 0 THEN (bid + ask) / 2 ELSE close - 0.02::DOUBLE END AS low,
+       CASE WHEN h % 3 = 0 THEN (bid + ask) / 2 ELSE close END AS close, bid, CASE WHEN h % 6 <> 0 THEN ask END AS ask FROM x0 WHERE h % 6 <> 0""", "open high low close bid ask"),
     "a21_resample": _query("""x0 AS (SELECT key, epoch_us(ts) // 1000000 AS t, close AS p FROM ev QUALIFY row_number() OVER (PARTITION BY key, epoch_us(ts) // 1000000 ORDER BY event_id) = 1),
 x1 AS (SELECT *, (t + 14399) // 14400 * 14400 AS e FROM x0)
 SELECT key, make_timestamp(e * 1000000) AS ts, arg_min(p, t) AS open, max(p) AS high, min(p) AS low, arg_max(p, t) AS close FROM x1 GROUP BY key, e"""),
@@ -246,7 +271,7 @@ SELECT count(*) AS keys, median(d) AS p50, quantile_cont(d, 0.95) AS p95, max(d)
 SELECT CAST(sum(o) AS BIGINT) AS out_of_range, median(top) AS median_top, (SELECT count(*) FROM cat WHERE final_price NOT IN (0, 1)) AS bad_finals FROM x0""", "median_top"),
     "a26_series_markets": _query("SELECT 'S' || (user_id % 3) || '-' || key AS key, 'S' || (user_id % 3) AS series, round(sum(value), 4) AS volume FROM ev GROUP BY key, user_id HAVING round(sum(value), 4) >= 100 AND epoch_us(max(ts)) - epoch_us(min(ts)) >= 5 * 86400000000", "volume"),
     "a38_window_end": _query("SELECT key, t_end + CASE WHEN venue = 1 THEN INTERVAL 3 DAY ELSE INTERVAL 1 DAY END AS until FROM cat"),
-    "a39_utc": "SELECT * FROM (VALUES ('2024-01-05T06:07:08Z', TIMESTAMP '2024-01-05 06:07:08'), ('2024-01-05T06:07:08', TIMESTAMP '2024-01-05 06:07:08'), ('2024-01-05T06:07:08+02:00', TIMESTAMP '2024-01-05 04:07:08'), ('2024-01-05', TIMESTAMP '2024-01-05 00:00:00'), ('', NULL), ('soon', NULL)) t(raw, ts)",
+    "a39_utc": _query("SELECT event_id, CAST(CASE event_id % 6 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) WHEN 2 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 3 THEN date_trunc('day', ts) END AS TIMESTAMP) AS ts FROM ev"),
     "a40_tier": _query("SELECT key, CASE WHEN closed AND t_end + CASE WHEN venue = 1 THEN INTERVAL 3 DAY ELSE INTERVAL 1 DAY END < TIMESTAMP '2024-01-20 00:00:00' THEN 'historical' ELSE 'live' END AS tier FROM cat"),
     "b01_grid": _query(f"SELECT key, ts_days, CAST({BUCKET} AS BIGINT) AS bucket, {_label(BUCKET, PRICE_LABELS)} AS label, CAST({BAND} AS BIGINT) AS band, {_label(BAND, TAU_LABELS)} AS tau_label, CAST({_steps('least(p, 1 - p)', DISTANCE_EDGES[1:-1])} AS BIGINT) AS di, CAST(round_even(CASE WHEN p <= 0.5 THEN dp ELSE -dp END / 0.01::DOUBLE, 0) AS BIGINT) AS ticks FROM raw"),
     "b07_normal": _query(f"x0 AS (SELECT DISTINCT close, close * 4 - 2 AS x FROM ev)\nSELECT close, {_probit('close')} AS z, {_cdf('x')} AS cdf, exp(-close * close / 2) / sqrt(2 * pi()) AS pdf FROM x0", "z cdf pdf"),
@@ -320,6 +345,17 @@ SELECT band, s / nullif(sum(s) OVER (), 0) AS share FROM x1""", "share"),
 SELECT * FROM x0 QUALIFY count(*) OVER (PARTITION BY pair_id) >= 3"""),
     "j04_gap_by_domain": _query("SELECT 'd' || (pair_id % 3) AS domain, count(*) AS n, avg(abs(p_pm - p_k)) AS mean_abs FROM al GROUP BY 1", "mean_abs"),
     "j04_gap_by_quality": _query("SELECT CASE WHEN pair_id % 4 = 0 THEN 'approx' ELSE 'exact' END AS quality, count(*) AS n, avg(abs(p_pm - p_k)) AS mean_abs FROM al GROUP BY 1", "mean_abs"),
+    "j01_bar_backed": _query("SELECT key, volume FROM cat WHERE key IN (select key FROM daily WHERE close > 0.5)", "volume"),
+    "j02_pairs": _query(TEXTS + f""",
+x1 AS (SELECT *, i % 5 AS kind, i % 12 AS m, i // 60 % 4 AS b, (i // 5 % 4 + 9) * 10000 AS strike, {MONTHS}[i % 12 + 1] AS mon FROM x0),
+kf AS (SELECT m, b, mon, max(v) AS v FROM x1 WHERE kind = 0 GROUP BY ALL),
+x2 AS (SELECT 'fed_decision' AS domain, x1.mon || '25-' || (['H0', 'C25', 'C26', 'H25PLUS'])[x1.b + 1] AS unit, 'KXFEDDECISION-25' || x1.mon || '-' || (['H0', 'C25', 'C26', 'H25'])[x1.b + 1] AS k_key, 'p' || i AS pm_key, kf.v AS k_vol, x1.v + i % 3 AS pm_vol, CASE WHEN x1.b = 3 THEN 'approx' ELSE 'exact' END AS quality FROM x1 JOIN kf ON x1.m = kf.m AND x1.b = kf.b WHERE kind = 0
+ UNION ALL (select 'fed_chair_nom', 'Person ' || (p.i // 10), 'NOM-' || k.i, 'p' || p.i, k.v, p.v + p.i % 3, 'exact' FROM x1 p JOIN x1 k ON p.kind = 1 AND k.kind = 1 AND p.i // 10 = k.i // 10)
+ UNION ALL (select 'btc_monthly', p.mon || '25-' || (p.strike // 10 * 10), 'KXBTCMAXMON-BTC-25' || p.mon || '31-' || p.strike, 'p' || p.i, k.v, p.v + p.i % 3, 'exact' FROM x1 p JOIN (select m, strike, max(v) AS v FROM x1 WHERE kind = 2 GROUP BY ALL) k ON p.kind = 2 AND p.m = k.m AND p.strike = k.strike)
+ UNION ALL (select 'btc_yearly', 'Y25-' || p.strike, 'KXBTCMAXY-25-DEC31-' || k.i, 'p' || p.i, k.v, p.v + p.i % 3, 'approx' FROM x1 p JOIN x1 k ON p.kind = 3 AND k.kind = 3 AND p.strike = k.strike)
+ UNION ALL (select 'election', (['PRES24-Harris', 'PRES24-Trump', 'POPVOTE24-D', 'POPVOTE24-R', 'NYC25-Mamdani/D', 'NYC25-Cuomo', 'NYC25-Sliwa/R'])[h + 1], (['PRES-2024-KH', 'PRES-2024-DJT', 'POPVOTE-24-D', 'POPVOTE-24-R', 'KXMAYORNYCPARTY-25-D', 'KXMAYORNYCPARTY-25-AC', 'KXMAYORNYCPARTY-25-R'])[h + 1],
+   arg_min('p' || i, (-(v + i % 3), 'p' || i)), max(v), max(v + i % 3), CASE WHEN h < 4 THEN 'exact' ELSE 'approx' END FROM (select *, i // 5 % 7 AS h FROM x1 WHERE kind = 4) GROUP BY h))
+SELECT row_number() OVER (ORDER BY domain, unit, k_key, pm_key) - 1 AS pair_id, * FROM x2""", "k_vol pm_vol"),
     "j03_aligned": _query("SELECT pair_id, ts, p_k, p_pm FROM al"),
     "j04_gap_stats": _query("""x0 AS (SELECT *, p_k - p_pm AS g FROM al),
 x1 AS (SELECT *, g - avg(g) OVER (PARTITION BY pair_id) AS d FROM x0),

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsmill.functions import grid, normal
-from oddsmill.operators import markets, panel, regimes, variance, venues
+from oddsmill.operators import markets, matching, panel, regimes, variance, venues
 from oddsmill.plans.market import View
 from oddsmill.plans.oracles import SQL
 from oddsmill.sources import store
@@ -32,19 +32,42 @@ def _fixture(v: View, rows: list[tuple], schema: str) -> DataFrame:
     return v.spark.createDataFrame(rows, schema)
 
 
-RAW_MARKETS = [
-    ("Will it rain?", '["Yes", "No"]', '["1", "0"]', '["71321", "88420"]', True, "1200.5"),
-    ("Who wins?", '["Alpha", "Beta"]', '["0.003", "0.997"]', '["911", "912"]', True, "88"),
-    ("Open one", '["No", "YES"]', '["0.40", "0.60"]', '["11", "12"]', False, "7"),
-    ("Broken", '["Yes", "No"', '["1", "0"]', '["5", "6"]', True, "3"),
-    ("Short", '["Yes", "No"]', '["1", "0"]', '["5"]', True, "3"),
-]
-RAW_NUMBERS = [("new", "0.9700", None, "97", False), ("legacy", None, None, "97", False), ("string", None, None, "0.7200", True), ("fp", None, "249280.80", None, False), ("none", None, None, None, False), ("bad", "x", None, "50", False)]
-RAW_CANDLES = [("a", 1704067200, 0.3, 0.5, 0.2, 0.4, 0.38, 0.42), ("a", 1704070800, None, None, None, None, 0.40, 0.50), ("a", 1704074400, None, None, None, None, None, 0.5)]
+CUTOFF = "2024-01-20 00:00:00+00:00"
 
 
-RAW_TIMES = ["2024-01-05T06:07:08Z", "2024-01-05T06:07:08", "2024-01-05T06:07:08+02:00", "2024-01-05", "", "soon"]
-CUTOFF = "2024-01-20 00:00:00+00:00"
+def _numbers(v: View) -> DataFrame:
+    """A number of each event in one of its generations, some unparsable."""
+    i, x = F.col("event_id"), F.when(F.col("event_id") % 16 < 2, "bad").otherwise(F.col("value").cast("string"))
+    cents = F.floor(F.col("value") * 100).cast("string")
+    rows = v.events.select("event_id", F.when(i % 5 == 0, x).alias("dollars"), F.when(i % 5 == 1, x).alias("fp"), F.when(i % 5 == 2, cents).when(i % 5 == 3, x).when(i % 5 == 0, "97").alias("legacy"), (i % 5 == 3).alias("is_string"))
+    return rows.select("event_id", store.number(F.col("dollars"), F.col("fp"), F.col("legacy"), F.col("is_string"), True).alias("value"))
+
+
+def _candles(v: View) -> DataFrame:
+    """Candles of the hourly bars: none traded in every third hour, and some of those have no ask."""
+    hour = F.floor(F.unix_micros("ts") / 3600000000)
+    traded = hour % 3 != 0
+    rows = v.bars("hour").withColumn("hour", hour)
+    part = lambda x: F.when(F.col("hour") % 3 != 0, x)
+    raw = rows.select("key", (F.col("hour") * 3600).alias("end"), part(F.col("close") - 0.01).alias("open"), part(F.col("close") + 0.02).alias("high"), part(F.col("close") - 0.02).alias("low"), F.when(traded, F.col("close")).alias("close"), "bid", F.when(F.col("hour") % 6 != 0, F.col("ask")).alias("ask"))
+    return store.candles(raw)
+
+
+def _times(v: View) -> DataFrame:
+    """Event times as ISO text in several forms."""
+    i, text = F.col("event_id"), lambda form: F.date_format("ts", form)
+    raw = F.when(i % 6 == 0, text("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(i % 6 == 1, text("yyyy-MM-dd'T'HH:mm:ss")).when(i % 6 == 2, text("yyyy-MM-dd'T'HH:mm:ss'+02:00'")).when(i % 6 == 3, text("yyyy-MM-dd")).when(i % 6 == 4, "").otherwise("soon")
+    return v.prices.select("event_id", raw.alias("raw")).select("event_id", store.utc(F.col("raw")).alias("ts"))
+
+
+def _lines(v: View) -> DataFrame:
+    i, line = F.col("i"), F.to_json(F.struct(F.concat(F.lit("m"), "i").alias("ticker"), F.when(F.col("i") % 7 != 1, F.col("v")).alias("volume")))
+    return v.catalog_texts().select(F.when(i % 5 == 4, "").when(i % 7 == 3, '{"ticker": "m').otherwise(line).alias("value"))
+
+
+def _tag_objects(v: View) -> DataFrame:
+    own = F.concat(F.lit('{"tags": [{"label": "'), "event_type", F.lit('"}, {"label": ""}, {"slug": "z"}, {"label": "k'), F.col("event_id") % 7, F.lit('"}]}'))
+    return v.events.select(F.col("event_id").cast("string").alias("event_id"), F.when(F.col("event_id") % 10 == 9, '{"tags": [').when(F.col("event_id") % 10 == 8, "{}").otherwise(own).alias("json"))
 
 
 QUOTED = [("markets of venue 0", 5.0, 1e9), ("markets of venue 1", -5.0, 1.0), ("markets of venue 2", 0.0, 1.0)]
@@ -151,20 +174,30 @@ def _tags(v: View) -> DataFrame:
 QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "a05_catalog_upsert": _catalog_upsert,
     "a07_bars_upsert": _upsert,
-    "a08_safe_names": lambda v: v.prices.select("event_type").distinct().select("event_type", store.safe_name(F.concat("event_type", F.lit("/x y:1"))).alias("name")),
+    "a08_safe_names": lambda v: v.prices.select("event_type", "user_id").distinct().select("event_type", "user_id", store.safe_name(F.concat("event_type", F.lit("/x y:"), "user_id")).alias("name")),
+    "a09_done_set": lambda v: store.done_set(v.catalog().filter("venue = 0"), v.catalog().filter("closed")),
     "a10_select_markets": lambda v: store.select_markets(v.catalog(), True, 100.0, 50).select("key", "volume"),
     "a11_todo": lambda v: store.todo(store.select_markets(v.catalog(), True), v.catalog().filter("venue = 0")).select("key", "volume"),
+    "a12_final_markets": lambda v: store.final_markets(v.catalog(), 20).select("key", "volume"),
+    "a14_union_catalogs": lambda v: store.union_catalogs(v.catalog().filter("venue = 0").withColumn("volume", F.col("volume") + 5), v.catalog()).select("key", "volume"),
+    "a15_series": lambda v: store.with_series(store.market_rows(v.listing2()), v.series()).select("key", "series_ticker", "category", "frequency"),
+    "a16_volume_floor": lambda v: store.above_floor(_lines(v), 50.0).select("key", "volume"),
     "a13_long_lived": lambda v: store.long_lived(v.catalog().withColumn("start", F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss'Z'")).withColumn("end", F.date_format("end", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), 50.0, 27.5, 1000).select("key", "days"),
-    "a17_parse_markets": lambda v: store.parse_markets(_fixture(v, RAW_MARKETS, "question string, outcomes string, outcomePrices string, clobTokenIds string, closed boolean, volume string")),
-    "a19_numbers": lambda v: _fixture(v, RAW_NUMBERS, "name string, dollars string, fp string, legacy string, is_string boolean").select("name", store.number(F.col("dollars"), F.col("fp"), F.col("legacy"), F.col("is_string"), True).alias("value")),
-    "a20_candles": lambda v: store.candles(_fixture(v, RAW_CANDLES, "key string, end long, open double, high double, low double, close double, bid double, ask double")),
+    "a17_parse_markets": lambda v: store.parse_markets(v.listing1()),
+    "a18_market_rows": lambda v: store.market_rows(v.listing2()),
+    "a19_numbers": _numbers,
+    "a20_candles": _candles,
     "a21_resample": lambda v: store.resample(v.prices.select("key", F.floor(F.unix_micros("ts") / 1000000).alias("t"), F.col("close").alias("p"), F.col("event_id").alias("seq")), 14400),
     "a22_chunks": lambda v: store.chunks(v.catalog().select("key", F.date_trunc("day", "start").alias("t0"), F.date_trunc("day", "end").alias("t1")), 7),
+    "a24_scan_order": lambda v: store.scan_order(v.series(), 6).select("ticker", "rank"),
+    "a28_event_tags": lambda v: store.tagged(_tag_objects(v)),
+    "a30_alarms": lambda v: store.alarms(v.bars("day"), v.catalog()),
+    "a33_top_up": lambda v: store.top_up(store.market_rows(v.listing2()), v.listing2().filter("series_ticker = 'S1'").select(F.col("ticker").alias("key")), 1),
     "a31_vintage_diff": lambda v: store.vintage_diff(v.bars("day"), _upsert(v)),
     "a32_violations": lambda v: store.violations(v.bars("day"), v.catalog()),
     "a26_series_markets": lambda v: store.series_markets(_tickers(v), 100.0, 5.0).select("key", "series", "volume"),
     "a38_window_end": lambda v: _spans(v).select("key", "until"),
-    "a39_utc": lambda v: _fixture(v, [(x,) for x in RAW_TIMES], "raw string").select("raw", store.utc(F.col("raw")).alias("ts")),
+    "a39_utc": _times,
     "a40_tier": lambda v: _spans(v).select("key", store.tier(F.col("closed"), F.col("until"), F.lit(CUTOFF).cast("timestamp")).alias("tier")),
     "b01_grid": _grid,
     "b07_normal": _normal,
@@ -206,6 +239,8 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "h01_regime_ticks": lambda v: regimes.tick_histogram(regimes.tick_rows(v.raw(), _cells(v).filter("regime = 1 and pi % 2 = 0"), 0.01)),
     "h10_spend_profile": lambda v: regimes.spend_profile(v.markets(), v.raw()),
     "i02_cell_variances": lambda v: regimes.cell_variances(v.raw(), 0.01),
+    "j01_bar_backed": lambda v: matching.bar_backed(v.catalog(), v.bars("day").filter("close > 0.5")).select("key", "volume"),
+    "j02_pairs": lambda v: matching.pairs(*v.venues()),
     "j03_aligned": _aligned,
     "j03_aligned_hourly": lambda v: venues.aligned(v.pairs(), v.bars("hour"), "hour", "1 hour"),
     "j04_gap_stats": lambda v: venues.gap_stats(_aligned(v)),

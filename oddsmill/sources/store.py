@@ -107,18 +107,115 @@ def violations(bars: DataFrame, catalog: DataFrame) -> DataFrame:
     return row.join(F.broadcast(finals))  # one row each
 
 
+EVENTS = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("id", "slug")]))
+
+
 def parse_markets(raw: DataFrame) -> DataFrame:
-    """Venue-1 markets: outcomes, prices and token ids are JSON arrays within strings; malformed rows are dropped.
+    """Venue-1 markets of their JSON fields (strings; closed and negRisk boolean): outcomes, prices and token ids are JSON arrays within strings.
 
-    The tracked outcome is "yes" in any case, else the first. A price counts as final within 0.005 of 0 or 1.
+    The tracked outcome is "yes" in any case, else the first; its token is the key. A price counts as final within
+    0.005 of 0 or 1, of closed markets. volumeNum counts where it is there and not 0, else volume; of the events the
+    first. Rows with malformed or unequal lists or without a key are dropped; missing fields are null.
     """
+    fields = ("outcomes", "outcomePrices", "clobTokenIds", "question", "startDate", "endDate", "volumeNum", "volume", "conditionId", "slug", "events", "id")
+    raw = raw.select(*(F.col(c).cast("string").alias(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in fields), *(F.coalesce(F.col(c).cast("boolean"), F.lit(False)).alias(c) if c in raw.columns else F.lit(False).alias(c) for c in ("closed", "negRisk")))
     lists = {c: F.from_json(F.col(c), T.ArrayType(T.StringType())) for c in ("outcomes", "outcomePrices", "clobTokenIds")}
     rows = raw.withColumns({f"_{c}": v for c, v in lists.items()}).filter((F.size("_outcomes") > 0) & (F.size("_outcomes") == F.size("_clobTokenIds")))
     yes = F.array_position(F.transform("_outcomes", F.lower), "yes")
     at = F.when(yes > 0, yes).otherwise(1).cast("int")
     price = F.try_element_at("_outcomePrices", at).try_cast("double")
     final = F.when(F.col("closed") & (price <= 0.005), 0.0).when(F.col("closed") & (price >= 0.995), 1.0)
-    return rows.select(F.element_at("_clobTokenIds", at).alias("key"), F.element_at("_outcomes", at).alias("outcome"), "question", "closed", final.alias("final_price"), F.col("volume").try_cast("double").alias("volume"))
+    event = F.try_element_at(F.from_json("events", EVENTS), F.lit(1))
+    volume = F.coalesce(F.nullif(F.col("volumeNum").try_cast("double"), F.lit(0.0)), F.col("volume").try_cast("double"))
+    out = rows.select(
+        F.element_at("_clobTokenIds", at).alias("key"), F.element_at("_outcomes", at).alias("outcome"), "question", utc(F.col("startDate")).alias("start"), utc(F.col("endDate")).alias("end"),
+        "closed", final.alias("final_price"), volume.alias("volume"), F.col("conditionId").alias("condition_id"), "slug", event.id.alias("event_id"), event.slug.alias("event_slug"),
+        F.col("negRisk").alias("neg_risk"), F.col("id").alias("gamma_id"),
+    )
+    return out.filter("key <> ''")
+
+
+def market_rows(raw: DataFrame) -> DataFrame:
+    """Venue-2 markets: the result gives the final price, a final status or a result closes; the volume comes in three generations."""
+    result, status = F.lower(F.coalesce("result", F.lit(""))), F.lower(F.coalesce("status", F.lit("")))
+    final = F.when(result == "yes", 1.0).when(result == "no", 0.0)
+    numbers = {c: number(F.lit(None).cast("string"), F.col(f"{c}_fp"), F.col(c), F.lit(False), False) for c in ("volume", "open_interest")}
+    return raw.select(
+        F.col("ticker").alias("key"), F.col("title").alias("question"), utc(F.col("open_time")).alias("start"), utc(F.col("close_time")).alias("end"),
+        (status.isin("settled", "finalized", "closed") | final.isNotNull()).alias("closed"), final.alias("final_price"), numbers["volume"].alias("volume"),
+        "series_ticker", "event_ticker", status.alias("status"), F.nullif(result, F.lit("")).alias("result"), "floor_strike", "cap_strike", "strike_type",
+        numbers["open_interest"].alias("open_interest"), utc(F.col("settlement_ts")).alias("settlement_ts"),
+    )
+
+
+def with_series(markets: DataFrame, series: DataFrame) -> DataFrame:
+    """markets with category and frequency of their series (ticker, category, frequency); null where it is not listed. Of a series listed twice the last by category and frequency counts."""
+    known = series.groupBy(F.col("ticker").alias("series_ticker")).agg(F.max(F.struct("category", "frequency")).alias("s"))
+    return markets.join(known.select("series_ticker", "s.*"), "series_ticker", "left")
+
+
+# Frequencies in the order in which series are scanned.
+FREQUENCIES = ("annual", "quarterly", "monthly", "weekly", "one_off", "custom", "daily", "hourly", "fifteen_min")
+
+
+def scan_order(series: DataFrame, limit: int | None = None) -> DataFrame:
+    """Series (ticker, frequency, last_updated_ts) with long frequencies first (unknown ones as one_off), then the latest, then by ticker."""
+    rank = F.coalesce(*(F.when(F.col("frequency") == f, k) for k, f in enumerate(FREQUENCIES)), F.lit(FREQUENCIES.index("one_off")))
+    rows = series.withColumn("rank", rank).orderBy("rank", F.coalesce("last_updated_ts", F.lit("")).desc(), "ticker")
+    return rows.limit(limit) if limit else rows
+
+
+def union_catalogs(listed: DataFrame, swept: DataFrame) -> DataFrame:
+    """Per-series rows and those of the global sweep; of equal keys the per-series one stays."""
+    return latest(listed, swept, ["key"], keep="first")
+
+
+def above_floor(lines: DataFrame, least: float) -> DataFrame:
+    """Rows of JSON lines (value) of at least a volume, as (key, volume, json); blank and malformed lines and missing volumes go."""
+    one = F.from_json("value", "ticker string, volume double")
+    rows = lines.select(one.ticker.alias("key"), one.volume.alias("volume"), F.col("value").alias("json"))
+    return rows.filter((F.col("volume") >= least) & F.col("key").isNotNull())
+
+
+def tagged(events: DataFrame) -> DataFrame:
+    """(event_id, tags: JSON list of the labels, in order, without empty ones) of event objects' JSON (event_id, json); malformed ones have none."""
+    labels = F.transform(F.from_json("json", "tags array<struct<label: string>>").tags, lambda t: t.label)
+    return events.select("event_id", F.to_json(F.coalesce(F.filter(labels, lambda x: x != ""), F.array().cast("array<string>"))).alias("tags"))
+
+
+def done_set(done: DataFrame, new: DataFrame) -> DataFrame:
+    """Keys that are done, old and new, once each."""
+    return done.select("key").unionByName(new.select("key")).distinct()
+
+
+def top_up(markets: DataFrame, done: DataFrame, days: int) -> DataFrame:
+    """(key, from, to) of the hourly bars still wanted: from the start (rows without one are left out) to `days` after the later of end and settlement."""
+    until = F.greatest("end", "settlement_ts") + F.expr(f"INTERVAL {days} DAYS")
+    return todo(markets.filter("start is not null"), done).select("key", F.col("start").alias("from"), until.alias("to"))
+
+
+def final_markets(catalog: DataFrame, limit: int) -> DataFrame:
+    """Venue-1 selection: closed markets with a final price, the largest by volume."""
+    return select_markets(catalog.filter("final_price is not null"), True, None, limit)
+
+
+def legacy_bars(spark: SparkSession, path: str) -> DataFrame:
+    """Bars of files <venue>/<freq>/<key>.parquet, with venue, freq and key from their names; columns of different files are united by name."""
+    rows = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    part = lambda k: F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/([^/]+)/([^/]+)\.parquet$", k)
+    return coerced(rows.withColumns({"venue": part(1), "freq": part(2), "key": part(3)}), BARS)
+
+
+def alarms(bars: DataFrame, catalog: DataFrame, low: float = 0.2) -> DataFrame:
+    """violations() with scale_alarm: the median of the keys' largest closes is so low that prices must be out of scale."""
+    return violations(bars, catalog).withColumn("scale_alarm", F.coalesce(F.col("median_top") < low, F.lit(False)))
+
+
+def write_results(tables: dict[str, DataFrame], path: str, kind: str = "csv") -> None:
+    """Each table as a folder of CSV (with header), JSON lines or Parquet."""
+    for name, df in tables.items():
+        writer = df.write.mode("overwrite")
+        (writer.option("header", "true") if kind == "csv" else writer).format(kind).save(f"{path.rstrip('/')}/{name}")
 
 
 def number(dollars: Column, fp: Column, legacy: Column, legacy_is_string: Column, cents: bool) -> Column:
