@@ -27,6 +27,15 @@ def _cdf(x: str) -> str:
     return f"CASE WHEN {x} > 0 THEN 1 - {low} ELSE {low} END"
 
 
+def _any_cdf(x: str) -> str:
+    """Of any x."""
+    a = f"abs({x})"
+    far = f"exp(-{a} * {a} / 2) / ({a} + 1 / ({a} + 2 / ({a} + 3 / ({a} + 4 / ({a} + 0.65::DOUBLE))))) / sqrt(2 * pi())"
+    near = f"exp(-{a} * {a} / 2) * {_poly(HART[0][::-1], a)} / {_poly(HART[1][::-1], a)}"
+    low = f"CASE WHEN {a} > 37 THEN 0 WHEN {a} < 7.07106781186547 THEN {near} ELSE {far} END"
+    return f"(CASE WHEN {x} > 0 THEN 1 - ({low}) ELSE {low} END)"
+
+
 def _steps(x: str, edges) -> str:
     return "(" + " + ".join(f"CAST({x} >= {e!r}::DOUBLE AS INTEGER)" for e in edges) + ")"
 
@@ -231,6 +240,24 @@ l2 AS (SELECT 'S' || (i % 5) || '-' || i AS key, 'T' || i AS question, CAST(date
 sr AS (SELECT 'S' || i AS ticker, 'c' || (i % 3) AS category, (['annual', 'hourly', 'weekly', 'monthly', 'one_off', 'unknown'])[i % 7 + 1] AS frequency, CASE WHEN i % 4 <> 0 THEN strftime(t1, '%Y-%m-%dT%H:%M:%SZ') END AS upd, i % 7 AS f FROM x0 WHERE i < 12 AND i <> 4)"""
 MONTHS = "['JAN', 'FEB', 'MAR', 'APR', 'MAY', 'JUN', 'JUL', 'AUG', 'SEP', 'OCT', 'NOV', 'DEC']"
 
+TICKS = f"x0 AS (SELECT CAST({_steps('least(p, 1 - p)', DISTANCE_EDGES[1:-1])} AS BIGINT) AS di, CAST({BAND} AS BIGINT) AS ti, CAST(round_even(CASE WHEN p <= 0.5 THEN dp ELSE -dp END / 0.01::DOUBLE, 0) AS BIGINT) AS k, count(*) AS n FROM raw WHERE dt <= 1.5 GROUP BY ALL)"
+SCORES = CELLS + f""",
+sc0 AS (SELECT key, ts_days, lag(close) OVER w AS p, close - lag(close) OVER w AS dp, lag(greatest(t_res - ts_days, 1.0::DOUBLE)) OVER w AS tau FROM mk WINDOW w AS (PARTITION BY key ORDER BY ts_days)),
+sc1 AS (SELECT *, CAST(round_even(dp / 0.01::DOUBLE, 0) AS BIGINT) AS k, {BUCKET} AS pi, {BAND} AS ti FROM sc0 WHERE p IS NOT NULL),
+sc2 AS (SELECT {BUCKET} AS pi, {BAND} AS ti, CASE WHEN var_samp(dp) = 0 THEN 1e-4::DOUBLE ELSE var_samp(dp) END AS var FROM raw GROUP BY 1, 2),
+sc3 AS (SELECT sc1.*, coalesce(regime, 1) AS regime, (select var_samp(dp) FROM raw) AS fv, coalesce(var, (select var_samp(dp) FROM raw)) AS cv FROM sc1 LEFT JOIN sc2 USING (pi, ti) LEFT JOIN cells ON cells.pi = sc1.pi AND cells.ti = sc1.ti),
+sc4 AS (SELECT *, greatest(sqrt(cv), 1e-9) AS sb, greatest(sqrt(fv), 1e-9) AS sf FROM sc3),
+sc5 AS (SELECT *, (k + 0.5::DOUBLE) * 0.01::DOUBLE / sb AS b1, (k - 0.5::DOUBLE) * 0.01::DOUBLE / sb AS b0, (k + 0.5::DOUBLE) * 0.01::DOUBLE / sf AS f1, (k - 0.5::DOUBLE) * 0.01::DOUBLE / sf AS f0 FROM sc4),
+sc AS (SELECT key, ts_days, k, CAST(regime AS BIGINT) AS regime, ln(greatest({_any_cdf("b1")} - {_any_cdf("b0")}, 1e-12)) AS bucket, ln(greatest({_any_cdf("f1")} - {_any_cdf("f0")}, 1e-12)) AS flat FROM sc5)"""
+_sum = lambda rho, power: f"list_sum(list_transform(range(2, 2001), lambda j: (1 - {rho}) * pow({rho}::DOUBLE, j - 2) * pow(j, {power})))"
+
+
+def _normal2(w: float, mu, cov, a: str = "xstill", b: str = "lam") -> str:
+    det = cov[0][0] * cov[1][1] - cov[0][1] * cov[1][0]
+    x, y = f"({a} - {mu[0]}::DOUBLE)", f"({b} - {mu[1]}::DOUBLE)"
+    return f"(ln({w}::DOUBLE) - ln(2 * pi()) - ln({det}::DOUBLE) / 2 - ({cov[1][1]}::DOUBLE * {x} * {x} - 2 * {cov[0][1]}::DOUBLE * {x} * {y} + {cov[0][0]}::DOUBLE * {y} * {y}) / {det}::DOUBLE / 2)"
+
+
 SQL = {
     "a05_catalog_upsert": _query("SELECT key, venue, round(CASE WHEN venue = 1 THEN volume + 1 ELSE volume END, 6) AS volume, CASE WHEN venue = 1 THEN 'x' END AS slug FROM cat"),
     "a07_bars_upsert": _query("SELECT key, day AS ts, CASE WHEN close > 0.5 THEN close + 0.001::DOUBLE ELSE close END AS close FROM daily", "close"),
@@ -334,6 +361,29 @@ SELECT p_lo, p_hi, tau_lo, p_buckets, tau_bands FROM x2, x3"""),
 x0 AS (SELECT *, CAST({BUCKET} AS BIGINT) AS pi, CAST({BAND} AS BIGINT) AS ti FROM raw WHERE dt <= 1.5)
 SELECT CAST({_steps('least(p, 1 - p)', DISTANCE_EDGES[1:-1])} AS BIGINT) AS di, ti, CAST(round_even(CASE WHEN p <= 0.5 THEN dp ELSE -dp END / 0.01::DOUBLE, 0) AS BIGINT) AS k, count(*) AS n FROM x0 WHERE (pi, ti) IN (select (pi, ti) FROM cells WHERE regime = 1 AND pi % 2 = 0) GROUP BY ALL"""),
     "h02_tick_histogram": _query(f"SELECT CAST({_steps('least(p, 1 - p)', DISTANCE_EDGES[1:-1])} AS BIGINT) AS di, CAST({BAND} AS BIGINT) AS ti, CAST(round_even(CASE WHEN p <= 0.5 THEN dp ELSE -dp END / 0.01::DOUBLE, 0) AS BIGINT) AS k, count(*) AS n FROM raw WHERE dt <= 1.5 GROUP BY ALL"),
+    "h03_tick_masses": _query(TICKS + f""",
+x1 AS (SELECT *, (k + 0.5::DOUBLE) / 1.3::DOUBLE AS a, (k - 0.5::DOUBLE) / 1.3::DOUBLE AS b FROM x0)
+SELECT di, ti, k, 0.5::DOUBLE * ({_any_cdf("a")} - {_any_cdf("b")}) + CASE WHEN k = 0 THEN 0.4::DOUBLE ELSE 0 END + 0.1::DOUBLE * CASE WHEN k >= 2 THEN 0.7 * 0.4 * pow(0.6::DOUBLE, k - 2) WHEN k <= -2 THEN 0.3 * 0.5 * pow(0.5::DOUBLE, -k - 2) ELSE 0 END AS mass FROM x1""", "mass"),
+    "h05_hazard_summary": _query(TICKS + f""",
+x1 AS (SELECT di, ti, CAST(sum(n) AS BIGINT) AS n, sum(n * k * k) / sum(n) AS emp FROM x0 GROUP BY di, ti),
+x2 AS (SELECT *, 0.7::DOUBLE * {_sum("0.6", 1)} + 0.3::DOUBLE * {_sum("0.5", 1)} AS size, 0.1::DOUBLE * (0.7::DOUBLE * {_sum("0.6", 2)} + 0.3::DOUBLE * {_sum("0.5", 2)}) AS sq FROM x1)
+SELECT di, ti, n, 0.4::DOUBLE AS pi0, 0.1::DOUBLE AS h_day, 1.3::DOUBLE AS sigma_tk, size AS gap_mean_tk, 0.7::DOUBLE AS w_away, sq / (0.5::DOUBLE * 1.3 * 1.3 + sq) AS gap_var_share, (0.5::DOUBLE * 1.3 * 1.3 + sq) / nullif(emp, 0) AS var_model_emp, -1.0::DOUBLE AS ll_per_obs FROM x2""", "gap_mean_tk gap_var_share var_model_emp"),
+    "h08_arrival": _query(ENDGAME + f""",
+x3 AS (SELECT *, CAST(round(move_rate * n) AS BIGINT) AS movers, 2.0::DOUBLE + qi / 4.0::DOUBLE AS s FROM eg),
+x4 AS (SELECT *, 1.5::DOUBLE / s AS t FROM x3)
+SELECT qi, tj, movers, CASE WHEN movers >= 25 THEN pow(s * 0.01::DOUBLE, 2) END AS size, CASE WHEN movers >= 25 THEN least(move_rate / (2 * (1 - {_any_cdf("t")})), 1) END AS nu FROM x4""", "size nu"),
+    "i05_cell_scores": _query(SCORES + "\nSELECT * FROM sc", "bucket flat"),
+    "i07_summary": _query(SCORES + "\nSELECT * FROM (select 'bucket' AS model, avg(bucket) AS ll_per_obs, avg(bucket) - avg(flat) AS delta FROM sc UNION ALL select 'flat', avg(flat), 0.0 FROM sc) q", "ll_per_obs delta"),
+    "i07_by_regime": _query(SCORES + "\nSELECT regime, count(*) AS n, avg(bucket) AS bucket, avg(flat) AS flat FROM sc GROUP BY regime", "bucket flat"),
+    "i08_delta_intervals": _query(SCORES + "," + _boot("select 'bucket' AS bucket, CAST(key AS BIGINT) AS ord, sum(flat - bucket) AS num, CAST(count(*) AS DOUBLE) AS den FROM sc GROUP BY key") + "\nSELECT bucket AS model, ci_lo, ci_hi FROM boot", "ci_lo ci_hi"),
+    "i11_budget_integration": _query(STARTS + """,
+x4 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_days) - 1 AS i FROM raw0),
+x5 AS (SELECT x3.key, band, p0, sum(CASE WHEN abs(nx - close) < 0.02::DOUBLE THEN (nx - close) * (nx - close) ELSE 0 END) AS small, sum(CASE WHEN abs(nx - close) >= 0.02::DOUBLE THEN (nx - close) * (nx - close) ELSE 0 END) + pow(max(final) - arg_max(close, i), 2) AS jumps FROM x3 JOIN x4 ON x3.key = x4.key AND i >= idx GROUP BY ALL)
+SELECT band, count(*) AS n, sum(small + jumps) / sum(p0 * (1 - p0)) AS real_ratio, sum(jumps) / sum(small + jumps) AS real_jump_share FROM x5 GROUP BY band""", "real_ratio real_jump_share"),
+    "k05_selection": _query("""x0 AS (SELECT n_moves AS k, max(lam) AS heldout_ll FROM fp GROUP BY n_moves)
+SELECT k, heldout_ll, k = (select min(k) FROM x0 WHERE heldout_ll >= (select max(heldout_ll) FROM x0) - 0.5) AS chosen FROM x0""", "heldout_ll"),
+    "k06_labels": _query(f"""x0 AS (SELECT key, {_normal2(0.4, [0.0, 1.0], [[0.5, 0.1], [0.1, 2.0]])} AS a, {_normal2(0.6, [0.3, 4.0], [[0.2, -0.1], [-0.1, 3.0]])} AS b FROM fp)
+SELECT key, ln(exp(a) + exp(b)) AS ll, CASE WHEN a >= b THEN 0 ELSE 1 END::BIGINT AS cluster FROM x0""", "ll"),
     "h06_endgame_cells": _query(ENDGAME + "\nSELECT * FROM eg", "mpq mtau move_rate tot"),
     "h09_wls": _query(ENDGAME + ",\npwc AS (SELECT n, mpq, mtau, tot AS my FROM eg WHERE tot > 0)" + _fit(6), "c gamma alpha"),
     "h10_spend_profile": _query("""x0 AS (SELECT CASE WHEN tau > 0 AND tau <= 1 THEN '(0,1]' WHEN tau > 1 AND tau <= 3 THEN '(1,3]' WHEN tau > 3 AND tau <= 7 THEN '(3,7]' WHEN tau > 7 AND tau <= 30 THEN '(7,30]' WHEN tau > 30 THEN '>30' END AS band, dp2 AS s FROM raw

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsmill.functions import grid, normal
-from oddsmill.operators import markets, matching, panel, regimes, variance, venues
+from oddsmill.operators import fits, forecasts, markets, matching, mixtures, panel, regimes, states, variance, venues
 from oddsmill.plans.market import View
 from oddsmill.plans.oracles import SQL
 from oddsmill.sources import store
@@ -153,6 +153,56 @@ def _moments(v: View) -> DataFrame:
     return markets.strip_moments(markets.strip_bins(v.strips()), v.strip_ends())
 
 
+#: Given parameters, to test what follows from them in both engines.
+TICKS = dict(zip(fits.HAZARD, (0.4, 0.1, 1.3, 0.6, 0.5, 0.7), strict=True))
+STATE = {"c": 0.3, "alpha": 0.6, "eta": 0.1, "phi": 0.8, "s": 0.6}
+TWO = {"w": [0.4, 0.6], "mu": [[0.0, 1.0], [0.3, 4.0]], "cov": [[[0.5, 0.1], [0.1, 2.0]], [[0.2, -0.1], [-0.1, 3.0]]]}
+
+
+def _histogram(v: View) -> DataFrame:
+    return regimes.tick_histogram(regimes.tick_rows(v.raw(), None, 0.01))
+
+
+def _tick_masses(v: View) -> DataFrame:
+    return _histogram(v).select("di", "ti", "k", fits.tick_mass(F.col("k"), {c: F.lit(x) for c, x in TICKS.items()}).alias("mass"))
+
+
+def _tick_summary(v: View) -> DataFrame:
+    h = _histogram(v)
+    given = h.groupBy("di", "ti").agg(F.sum("n").alias("n")).select("*", *(F.lit(x).alias(c) for c, x in TICKS.items()), F.lit(-1.0).alias("ll_per_obs"))
+    return fits.hazard_summary(given, h)
+
+
+def _arrival(v: View) -> DataFrame:
+    cells = regimes.endgame_cells(v.raw(), 0.01, least=CELL).withColumn("movers", F.round(F.col("move_rate") * F.col("n")).cast("long"))
+    return fits.with_arrival(cells.withColumn("s", 2.0 + F.col("qi") / 4), 0.01, 25).select("qi", "tj", "movers", "size", "nu")
+
+
+def _endgame(v: View) -> DataFrame:
+    return fits.endgame_fits(v.raw(), 0.01, least=CELL, movers=10)
+
+
+def _sample(v: View) -> DataFrame:
+    return panel.subsample(panel.segments(v.markets(), 0.05, 0.95, 1.0, least=5, unit=0.01), 1500)
+
+
+def _cell_scores(v: View) -> DataFrame:
+    return forecasts.cell_scores(v.markets(), 0.01, _cells(v), regimes.cell_variances(v.raw(), 0.01))
+
+
+def _scores(v: View) -> DataFrame:
+    ticks = panel.with_cells(v.raw()).select(F.col("pi").alias("di"), "ti", grid.folded_ticks(F.col("p"), F.col("dp"), 0.01).alias("k"))
+    mixed = fits.hazard_fits(regimes.tick_histogram(ticks), 100).withColumnRenamed("di", "pi")
+    thetas = {"r1": STATE, "glob": STATE | {"c": 0.5}, "clam": STATE | {"phi": 0.0, "s": 1e-8}, "zi": STATE | {"pi0": 0.2}}
+    garch = forecasts.garch_fit(v.raw(), 2000)
+    return forecasts.scores(v.markets(), 0.01, _cells(v).withColumn("regime", F.when(F.col("pi") < 4, 1).otherwise(2)), regimes.cell_variances(v.raw(), 0.01), mixed, thetas, garch)
+
+
+def _mixture(v: View) -> DataFrame:
+    rows = panel.random_split(markets.standardised(_features(v), list(markets.CLUSTER_FEATURES)))
+    return mixtures.held_out(rows, ["xstill", "lam", "dlam"], F.col("is_test"), range(1, 4), 2)[1]
+
+
 def _clusters(v: View) -> DataFrame:
     return v.catalog().select("key", (F.col("key").cast("long") % 3).alias("cluster"))
 
@@ -234,9 +284,24 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "e05_regime_shares": lambda v: regimes.shares(_cells(v)),
     "e07_pivot": lambda v: regimes.pivoted(_cells(v), "n"),
     "h02_tick_histogram": lambda v: regimes.tick_histogram(regimes.tick_rows(v.raw(), None, 0.01)),
+    "h03_tick_masses": _tick_masses,
+    "h04_hazard_fits": lambda v: fits.hazard_fits(_histogram(v), 300),
+    "h05_hazard_summary": _tick_summary,
+    "h07_endgame_fits": _endgame,
+    "h08_arrival": _arrival,
+    "h14_endgame_laws": lambda v: fits.endgame_laws(_endgame(v)),
     "h06_endgame_cells": lambda v: regimes.endgame_cells(v.raw(), 0.01, least=CELL),
     "h09_wls": lambda v: variance.power_fit(regimes.endgame_cells(v.raw(), 0.01, least=CELL).filter("tot > 0").withColumnRenamed("tot", "my"), least=6),
     "h01_regime_ticks": lambda v: regimes.tick_histogram(regimes.tick_rows(v.raw(), _cells(v).filter("regime = 1 and pi % 2 = 0"), 0.01)),
+    "f06_state_fits": lambda v: states.nested(states.fits(_sample(v), list(states.VARIANTS), 60), "full"),
+    "f07_pit_deciles": lambda v: states.deciles(states.transforms(_sample(v), STATE).select(F.explode("pit").alias("pit"))),
+    "g05_inflated_fits": lambda v: states.nested(states.fits(_sample(v), list(states.INFLATED_VARIANTS), 40), "zi"),
+    "i05_cell_scores": _cell_scores,
+    "i06_scores": _scores,
+    "i07_summary": lambda v: forecasts.summary(_cell_scores(v), ("bucket", "flat"), "flat"),
+    "i07_by_regime": lambda v: forecasts.by_regime(_cell_scores(v), ("bucket", "flat")),
+    "i08_delta_intervals": lambda v: forecasts.delta_intervals(_cell_scores(v), ("bucket", "flat"), "flat", F.col("key").cast("long")),
+    "i11_budget_integration": lambda v: forecasts.budget_integration(panel.remaining_variance(v.markets(), panel.start_states(v.markets()))),
     "h10_spend_profile": lambda v: regimes.spend_profile(v.markets(), v.raw()),
     "i02_cell_variances": lambda v: regimes.cell_variances(v.raw(), 0.01),
     "j01_bar_backed": lambda v: matching.bar_backed(v.catalog(), v.bars("day").filter("close > 0.5")).select("key", "volume"),
@@ -254,6 +319,9 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "j09_predictive": lambda v: venues.predictive(_aligned(v), "dm", "dk"),
     "k01_fingerprints": _features,
     "k03_standardised": lambda v: markets.standardised(_features(v), list(markets.CLUSTER_FEATURES)),
+    "k04_mixtures": _mixture,
+    "k05_selection": lambda v: mixtures.select(_features(v).groupBy(F.col("n_moves").cast("int").alias("k")).agg(F.max("lam").alias("heldout_ll")), 0.5),
+    "k06_labels": lambda v: mixtures.scored(_features(v), TWO, ["xstill", "lam"]).select("key", "ll", "cluster"),
     "k07_adjusted_rand": lambda v: markets.adjusted_rand(_labels(v), "a", "b"),
     "k08_categories": lambda v: markets.categories(_tags(v)),
     "k09_cluster_cards": lambda v: markets.cluster_cards(_features(v), v.markets(), _clusters(v), _venues(v)),

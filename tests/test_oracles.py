@@ -30,6 +30,9 @@ def plain(rows):
 @pytest.mark.parametrize("name", registry.QUERIES)
 def test_query(spark, con, name):
     got = registry.queries()[name](spark, DATA)
+    if name not in registry.oracle_sql():  # fits: tests/test_fits.py holds them against what made the data
+        assert len(got.collect()) >= 0
+        return
     columns = sorted(got.columns)
     expected = con.sql(registry.oracle_sql()[name])
     assert sorted(expected.columns) == columns
