@@ -225,7 +225,8 @@ def confirmed(docs: DataFrame, reps: DataFrame, classes: DataFrame, words: int,
     of = reps.filter("n > 0").join(classes, "node").groupBy("component").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
     blocks = of.filter("texts > 1").select("component", F.greatest(F.ceil(F.col("n") / CLASS_SHINGLES), F.ceil(F.col("texts") / CLASS_TEXTS)).alias("blocks"))
     members = classes.join(blocks, "component").join(reps.select("node", "least"), "node").select("node", "component", "blocks", "least.*")
-    rows = with_hash(docs, text, doc_id).join(members, ["doc_id", "th"]).dropDuplicates(["node"])
+    # By shuffle at every size, as members grow with the documents; equal rows then meet without another.
+    rows = with_hash(docs, text, doc_id).join(members.hint("shuffle_merge"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
     rows = rows.select(F.col("node").alias("doc_id"), "text", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +314,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     table gives an empty one. All columns are kept.
     """
     keep = similar(docs).filter("doc_id = component_id and th = first_th").select(F.col("doc_id").alias("_simhash_id"), F.col("th").alias("_simhash_th")).distinct()
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    met = (F.col("doc_id").cast("long") == F.col("_simhash_id")) & (F.col("_simhash_own") == F.col("_simhash_th"))
-    rows = docs.withColumn("_simhash_own", th).join(keep, met, "left_semi").dropDuplicates(["doc_id", "_simhash_own"]).drop("_simhash_own")
+    own = ["_simhash_id", "_simhash_th"]
+    rows = docs.withColumns(dict(zip(own, (F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), strict=True)))
+    rows = rows.join(keep.hint("shuffle_merge"), own, "left_semi").dropDuplicates(own).select(*docs.columns)
     return rows.unionByName(docs.filter("doc_id is null"))
