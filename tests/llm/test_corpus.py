@@ -509,3 +509,27 @@ def test_pipeline(spark):
         seen.append(docs.count())
     assert 0 < seen[1] < seen[0] < 200 and seen[2] == seen[1] and seen[4] == seen[3] > 0
     assert docs.filter(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_token_files_with_equal_and_null_ids_and_damage(spark, tmp_path):
+    """Null ids first, equal ids in the order of their texts; a changed byte is an error, never other ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(2, "b words"), (None, "none"), (2, "a words"), (2, "a words"), (1, None)]
+    manifest = tokenfiles.write(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/tokens", path, 2)
+    got = tokenfiles.read(manifest, with_ids=True).orderBy("start").collect()
+    own = tokenfiles.Tokens(path)
+    wanted = [np.frombuffer(x, "<u4").tolist() for x in own.ids([b"none", b"", b"a words", b"a words", b"b words"], 2)]
+    assert [r.doc_id for r in got] == [None, 1, 2, 2, 2] and [list(r.ids) for r in got] == wanted
+    uri = f"file://{tmp_path}/one.bin"
+    tokenfiles.write_file(uri, [(1, own.ids([LONG.encode()], 2)[0])], own.size)
+    raw = (tmp_path / "one.bin").read_bytes()
+    whole = [(i, x.tolist()) for i, x in tokenfiles.read_file(uri)]
+    rng = np.random.default_rng(2)
+    for at in rng.integers(0, len(raw), 60).tolist():
+        (tmp_path / "bad.bin").write_bytes(raw[:at] + bytes([raw[at] ^ 1 << int(rng.integers(8))]) + raw[at + 1 :])
+        try:
+            assert [(i, x.tolist()) for i, x in tokenfiles.read_file(f"file://{tmp_path}/bad.bin")] == whole
+        except (ValueError, struct.error, zlib.error, MemoryError, StopIteration, OverflowError, IndexError):
+            pass
+    with pytest.raises(ValueError):
+        tokenfiles.write_file(uri, [], 1 << 17)
