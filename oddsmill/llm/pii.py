@@ -3,8 +3,11 @@
 Identifiers (e-mail and IP addresses, card and phone numbers) are found by pattern: the protected entities. Then the
 corpus tells which ordinary terms give an entity away: a term t found beside an entity e reveals log2 of
 n(t,e) N / (n(t) n(e)) bits of it (pointwise mutual information over documents), out of log2 of N / n(e) (its
-information content). A term that reveals at least DISCLOSE of the content, seen beside the entity in SUPPORT
-different contexts, is generalised wherever it stands; from REMOVE on it is removed.
+information content). As most identifiers are rare, the same is asked of their parts (an address' name and domain, a
+network, an exchange), which gather the evidence of many. A term that reveals at least DISCLOSE of the content is
+generalised wherever it stands; from REMOVE on it is removed. What it reveals is estimated with SUPPORT different
+contexts beside a whole identifier; with two, or for a part, the share of the term's documents that hold the entity is
+taken at its lower confidence bound (Wilson's, Z deviations), so that few sightings tell only of rare entities.
 """
 from __future__ import annotations
 
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from oddsmill.llm.common import materialise
 
 KINDS = ("email", "ip", "card", "phone")
-DISCLOSE, REMOVE, SUPPORT = 0.9, 0.98, 3
+DISCLOSE, REMOVE, SUPPORT, Z = 0.9, 0.98, 3, 1.645
 #: Characters to either side of an entity that count as beside it; letters of a term at least.
 BESIDE, TERM_LETTERS = 80, 3
 #: Texts with a risky term are sent to every task up to this many bytes, joined by shuffle beyond.
@@ -93,8 +96,14 @@ def identifiers(t: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def contexts(t: str, letter: str) -> list[tuple[str, str]]:
-    """(entity, the text beside it with identifiers and cut terms blanked) of each identifier."""
+def entities(kind: str, value: str) -> list[str]:
+    """An identifier and the parts by which it names more than itself; of cards only the whole, as they begin with their issuer."""
+    parts = {"email": lambda: zip(("name", "domain"), value.split("@"), strict=True), "ip": lambda: [("net", value.rpartition(".")[0])], "phone": lambda: [("line", value[:-4])]}
+    return [f"{k}:{x}" for k, x in [(kind, value), *(parts[kind]() if kind in parts else ())]]
+
+
+def contexts(t: str, letter: str) -> list[tuple[list[str], str]]:
+    """(entities, the text beside them with identifiers and cut terms blanked) of each identifier."""
     spans = identifiers(t)
     out = []
     for kind, start, end in spans:
@@ -109,7 +118,7 @@ def contexts(t: str, letter: str) -> list[tuple[str, str]]:
             text = re.sub(rf"\A{letter}+", " ", text)
         if high < len(t) and re.match(letter, t[high]):
             text = re.sub(rf"{letter}+\Z", " ", text)
-        out.append((f"{kind}:{value}", text))
+        out.append((entities(kind, value), text))
     return out
 
 
@@ -131,25 +140,31 @@ def disclosing_terms(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Da
             found = [(k, *x) for k, t in enumerate(b.column(0).to_pylist()) if t for x in contexts(t, letter)]
             if found:
                 ids = [hashlib.sha256(b.column(0)[k].as_py().encode("utf-8", "surrogatepass")).hexdigest() for k, _, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x[1] for x in found]), pa.array([x[2] for x in found])], names=["h", "entity", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x[1] for x in found]), pa.array([x[2] for x in found])], names=["h", "entities", "near"])
 
-    beside = materialise(rows.mapInArrow(run, "h string, entity string, near string"), "pii-contexts")
+    beside = materialise(rows.mapInArrow(run, "h string, entities array<string>, near string"), "pii-contexts")
     n_docs = rows.count()
-    n_entity = beside.groupBy("entity").agg(F.count_distinct("h").alias("n_e"))
-    near = materialise(beside.select("entity", "h", F.xxhash64("near").alias("c"), F.explode(terms(F.col("near"))).alias("term")), "pii-near")
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("h").alias("n_te"), F.count_distinct("c").alias("support"))
+    n_entity = beside.select("h", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count_distinct("h").alias("n_e"))
+    near = materialise(beside.select("entities", "h", F.xxhash64("near").alias("c"), F.explode(terms(F.col("near"))).alias("term")), "pii-near")
+    pairs = near.select(F.explode("entities").alias("entity"), "h", "c", "term").groupBy("entity", "term").agg(F.count_distinct("h").alias("n_te"), F.count_distinct("c").alias("support"))
     # A term stands in as many documents, at least, as it has beside any entity: that alone rules common words out.
     least = near.groupBy("term").agg(F.count_distinct("h").alias("n_near"))
-    pairs = pairs.filter(F.col("support") >= SUPPORT).join(n_entity, "entity").join(least, "term")
+    whole = F.substring_index("entity", ":", 1).isin(*KINDS) & (F.col("support") >= SUPPORT)
+    pairs = pairs.select("*", whole.alias("whole"), F.least("n_te", "support").alias("k")).filter("whole or k >= 2").join(n_entity, "entity")
+    content = F.log2(F.lit(float(n_docs)) / F.col("n_e"))
+    best = content - F.log2(1 + F.lit(Z * Z) / F.col("k"))  # the bound where every document of the term holds the entity
+    pairs = pairs.filter(F.col("whole") | (best >= DISCLOSE * content - 1e-9)).join(least, "term")
     enough = F.col("n_te") * F.pow(F.lit(float(n_docs)) / F.col("n_e"), F.lit(1 - DISCLOSE)) * (1 + 1e-9)
-    pairs = materialise(pairs.filter(F.col("n_near") <= enough).select("entity", "term", "n_te", "n_e"), "pii-pairs")
+    pairs = materialise(pairs.filter(F.col("n_near") <= enough).select("entity", "term", "n_te", "n_e", "whole", "k"), "pii-pairs")
     # Documents of each candidate term, over the whole corpus.
     known = pairs.select("term").distinct()
     seen = rows.select(F.sha2("t", 256).alias("h"), F.explode(terms(F.col("t"))).alias("term")).join(known, "term", "left_semi")
     seen = materialise(seen, "pii-terms")
     n_term = seen.groupBy("term").agg(F.count_distinct("h").alias("n_t"))
-    content = F.log2(F.lit(float(n_docs)) / F.col("n_e"))
-    told = F.log2(F.col("n_te") * F.lit(float(n_docs)) / (F.greatest("n_t", "n_te") * F.col("n_e").cast("double")))
+    share = F.col("n_te") / F.greatest("n_t", "n_te")
+    n, zz = F.col("k") / share, F.lit(Z * Z)
+    bound = (share + zz / (2 * n) - Z * F.sqrt(share * (1 - share) / n + zz / (4 * n * n))) / (1 + zz / n)
+    told = content + F.log2(F.when(F.col("whole"), share).otherwise(bound))
     risky = pairs.join(n_term, "term").filter((told > 0) & (told >= DISCLOSE * content))
     risky = risky.groupBy("term").agg(F.max(told / content).alias("ratio"))
     return risky, seen

@@ -1,10 +1,12 @@
 """The corpus operators against brute-force versions, on small tables with nulls, empty and repeated rows and clashing columns."""
 import base64
 import hashlib
+import math
+import random
 import re
 import struct
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -185,6 +187,59 @@ def test_disclosing_terms(spark):
     assert "ZORBLAX" not in clean[901] and clean[900] is None and clean[100] == rows[6][1]
 
 
+def test_terms_of_parts_and_of_few_contexts(spark):
+    """What a domain's many addresses share goes; so does what stands twice beside a rare identifier, but once is no evidence."""
+    rows = [(k, f"word{'abcdefgh'[k]} Corpname person{k}@corp.example.com wrote") for k in range(8)]
+    rows += [(20, "first twiceseen +1 (555) 010-9999 oncea"), (21, "second twiceseen +1 (555) 010-9999 onceb"), (22, "third lonely 10.1.2.3 oncec")]
+    rows += [(100 + k, f"other text {k} at mail{k % 7}@example.org with common words") for k in range(12000)]  # 12.35 bits need 10,450
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("Corpname" not in got[k] and "wrote" not in got[k] for k in range(8)) and "worda" in got[0]
+    assert "twiceseen" not in got[20] + got[21] and "first" in got[20] and "oncea" in got[20] and "lonely" in got[22]
+    assert got[100] == "other text 0 at [EMAIL] with common words"
+
+
+def test_disclosing_terms_brute_force(spark):
+    rng = random.Random(5)
+    people = [f"{a}.{b}@{c}.example.com" for a, b, c in zip("pqrst" * 8, "uvwxyzkl" * 5, ["one", "two", "two", "six"] * 10, strict=True)]
+    people += [f"10.0.{k % 3}.{k}" for k in range(10)] + [f"+1 (555) 010-{1000 + k % 4}" for k in range(9)]
+    word = lambda n: "".join(chr(97 + int(d)) for d in f"{n:04d}")
+    texts = []
+    for _ in range(3000):
+        w = [word(rng.randrange(4000)) for _ in range(rng.randrange(1, 12))]
+        if rng.random() < 0.2:
+            k = rng.randrange(len(people))
+            w[rng.randrange(len(w)) :] = [word(5000 + k), people[k], *[word(6000 + k % 4)] * (rng.random() < 0.9)]
+        texts.append(" ".join(w))
+    texts += texts[:100]
+    letter = pii.letters(spark)
+    terms = lambda t: {x for x in re.split("[^a-z]+", t.lower()) if len(x) >= pii.TERM_LETTERS}
+    holds, beside, contexts, docs_of = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    for t in set(texts):
+        for x in terms(t):
+            docs_of[x].add(t)
+        for names, near in pii.contexts(t, letter):
+            for e in names:
+                holds[e].add(t)
+                for x in terms(near):
+                    beside[e, x].add(t)
+                    contexts[e, x].add(near)
+    want = {}
+    for (e, x), d in beside.items():
+        content = math.log2(len(texts) / len(holds[e]))
+        p, k = len(d) / len(docs_of[x]), min(len(d), len(contexts[e, x]))
+        whole = e.split(":")[0] in pii.KINDS and len(contexts[e, x]) >= pii.SUPPORT
+        if not whole:
+            if k < 2:
+                continue
+            n = k / p
+            p = (p + pii.Z**2 / 2 / n - pii.Z * math.sqrt(p * (1 - p) / n + (pii.Z / 2 / n) ** 2)) / (1 + pii.Z**2 / n)
+        if (ratio := 1 + math.log2(p) / content) >= pii.DISCLOSE:
+            want[x] = max(want.get(x, 0), ratio)
+    rows = spark.createDataFrame(enumerate(texts), "doc_id long, text string").repartition(4)
+    got = {r.term: r.ratio for r in pii.disclosing_terms(rows)[0].collect()}
+    assert len(want) > 10 and got == pytest.approx(want)
+
+
 def test_letters_are_those_of_sql(spark):
     letter = re.compile(pii.letters(spark))
     rows = spark.createDataFrame([(c, f"x{chr(c)}y") for c in range(0x34000) if not 0xD800 <= c < 0xE000], "c long, t string")
