@@ -127,22 +127,35 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\P{L}+"), lambda x: F.length(x) >= TERM_LETTERS))
 
 
+def digest(text: Column) -> Column:
+    """A text's key: 16 bytes of its SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def told(n_t: str) -> Column:
+    """Bits of an entity that a term in n_t documents reveals: the less, the more documents."""
+    share = F.col("n_te") / F.greatest(n_t, "n_te")
+    n, zz = F.col("k") / share, F.lit(Z * Z)
+    bound = (share + zz / (2 * n) - Z * F.sqrt(share * (1 - share) / n + zz / (4 * n * n))) / (1 + zz / n)
+    return F.col("content") + F.log2(F.when(F.col("whole"), share).otherwise(bound))
+
+
 def prepared(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(term, ratio) of terms that give an entity away, and (h, term): their occurrences by the SHA-256 of the text."""
+    """(term, ratio) of terms that give an entity away, and (h, term): their occurrences by digest of the text."""
     rows, letter = prepared(docs, text), letters(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(k, *x) for k, t in enumerate(b.column(0).to_pylist()) if t for x in contexts(t, letter)]
             if found:
-                ids = [hashlib.sha256(b.column(0)[k].as_py().encode("utf-8", "surrogatepass")).hexdigest() for k, _, _ in found]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x[1] for x in found]), pa.array([x[2] for x in found])], names=["h", "entities", "near"])
+                ids = [hashlib.sha256(b.column(0)[k].as_py().encode("utf-8", "surrogatepass")).digest()[:16] for k, _, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([x[1] for x in found]), pa.array([x[2] for x in found])], names=["h", "entities", "near"])
 
-    beside = materialise(rows.mapInArrow(run, "h string, entities array<string>, near string"), "pii-contexts")
+    beside = materialise(rows.mapInArrow(run, "h binary, entities array<string>, near string"), "pii-contexts")
     n_docs = rows.count()
     n_entity = beside.select("h", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count_distinct("h").alias("n_e"))
     near = materialise(beside.select("entities", "h", F.xxhash64("near").alias("c"), F.explode(terms(F.col("near"))).alias("term")), "pii-near")
@@ -151,22 +164,16 @@ def disclosing_terms(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Da
     least = near.groupBy("term").agg(F.count_distinct("h").alias("n_near"))
     whole = F.substring_index("entity", ":", 1).isin(*KINDS) & (F.col("support") >= SUPPORT)
     pairs = pairs.select("*", whole.alias("whole"), F.least("n_te", "support").alias("k")).filter("whole or k >= 2").join(n_entity, "entity")
-    content = F.log2(F.lit(float(n_docs)) / F.col("n_e"))
-    best = content - F.log2(1 + F.lit(Z * Z) / F.col("k"))  # the bound where every document of the term holds the entity
-    pairs = pairs.filter(F.col("whole") | (best >= DISCLOSE * content - 1e-9)).join(least, "term")
-    enough = F.col("n_te") * F.pow(F.lit(float(n_docs)) / F.col("n_e"), F.lit(1 - DISCLOSE)) * (1 + 1e-9)
-    pairs = materialise(pairs.filter(F.col("n_near") <= enough).select("entity", "term", "n_te", "n_e", "whole", "k"), "pii-pairs")
+    pairs = pairs.withColumn("content", F.log2(F.lit(float(n_docs)) / F.col("n_e"))).filter(told("n_te") >= DISCLOSE * F.col("content") - 1e-9)
+    pairs = pairs.join(least, "term").filter(told("n_near") >= DISCLOSE * F.col("content") - 1e-9)
+    pairs = materialise(pairs.select("term", "n_te", "whole", "k", "content"), "pii-pairs")
     # Documents of each candidate term, over the whole corpus.
     known = pairs.select("term").distinct()
-    seen = rows.select(F.sha2("t", 256).alias("h"), F.explode(terms(F.col("t"))).alias("term")).join(known, "term", "left_semi")
+    seen = rows.select(digest(F.col("t")).alias("h"), F.explode(terms(F.col("t"))).alias("term")).join(known, "term", "left_semi")
     seen = materialise(seen, "pii-terms")
     n_term = seen.groupBy("term").agg(F.count_distinct("h").alias("n_t"))
-    share = F.col("n_te") / F.greatest("n_t", "n_te")
-    n, zz = F.col("k") / share, F.lit(Z * Z)
-    bound = (share + zz / (2 * n) - Z * F.sqrt(share * (1 - share) / n + zz / (4 * n * n))) / (1 + zz / n)
-    told = content + F.log2(F.when(F.col("whole"), share).otherwise(bound))
-    risky = pairs.join(n_term, "term").filter((told > 0) & (told >= DISCLOSE * content))
-    risky = risky.groupBy("term").agg(F.max(told / content).alias("ratio"))
+    risky = pairs.join(n_term, "term").withColumn("told", told("n_t")).filter("told > 0").filter(F.col("told") >= DISCLOSE * F.col("content"))
+    risky = risky.groupBy("term").agg(F.max(F.col("told") / F.col("content")).alias("ratio"))
     return risky, seen
 
 
@@ -179,7 +186,7 @@ def with_terms(docs: DataFrame, text: str, action_bytes: int = BROADCAST_BYTES)
     rows = docs.select("*", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_pii_text"))
     if not n:
         return rows.withColumn("_pii_terms", F.lit(None).cast("array<string>"))
-    rows, hits = rows.withColumn("_pii_key", F.sha2("_pii_text", 256)), hits.withColumnRenamed("h", "_pii_key")
+    rows, hits = rows.withColumn("_pii_key", digest(F.col("_pii_text"))), hits.withColumnRenamed("h", "_pii_key")
     return rows.join(F.broadcast(hits) if size <= action_bytes else hits, "_pii_key", "left").drop("_pii_key")
 
 
