@@ -16,13 +16,13 @@ WORD = re.compile(WORD_CHARS)
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset; executors can't read the driver's folders")
-        base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+        base = spark.sparkContext.getCheckpointDir()
+    base = re.sub(r"\Afile:(?!//)", "file://", base)
     return base if "://" in base else f"file://{base}"
 
 

@@ -2,9 +2,12 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -588,3 +591,12 @@ def test_token_files_with_equal_and_null_ids_and_damage(spark, tmp_path):
             pass
     with pytest.raises(ValueError):
         tokenfiles.write_file(uri, [], 1 << 17)
+
+
+def test_session_without_checkpoint_folder(tmp_path):
+    """One folder for all of a local session, and checkpoints work."""
+    code = "from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate(); " \
+        "from oddsmill.llm import common as c; e = s.createDataFrame([(1, 2), (2, 3)], 'src long, dst long'); " \
+        "print(c.shared_dir(s) == c.shared_dir(s), c.shared_dir(s)[:8], sorted(map(tuple, c.connected_components(e).collect())))"
+    out = subprocess.run([sys.executable, "-c", code], env={**os.environ, "SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True, timeout=120, check=True)
+    assert "True file:/// [(1, 1), (2, 1), (3, 1)]" in out.stdout
