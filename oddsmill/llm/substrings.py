@@ -39,6 +39,7 @@ STEP_BYTES, COMBINE = 1 << 19, 1 << 18
 #: Hot windows up to so many are sent to every task (24 bytes each), more are joined by shuffle.
 HOT_WINDOWS = 1 << 18
 BYTE_HASH, PLACE_HASH = (np.random.default_rng(k).integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for k, n in ((1, 256), (2, 1024)))
+BYTE_HASH[32] = 0  # the space behind a word: the last word of a part has none
 
 
 def split(text: str | None) -> list[bytes]:
@@ -60,7 +61,7 @@ def rolled(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def word_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each of the words [start, end) of a byte buffer: a sum over its bytes, weighted by their places."""
+    """Hash of each of the words [start, end) of a byte buffer: a sum over its bytes, weighted by their places; of the word alone, wherever it stands."""
     out = np.zeros(len(start), np.uint64)
     cuts = [*np.unique(np.searchsorted(start, np.arange(0, len(buffer), STEP_BYTES // 2))).tolist(), len(start)]
     for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -228,12 +229,12 @@ def table(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "passage" else pa.int64()) for n, c in columns.items()], names=list(columns))
 
 
-def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+def steps(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """(doc_id, th, t) of a bounded number of rows at a time."""
     for b in batches:
         ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
         text = b.column(2).cast(pa.binary())
-        bound = np.cumsum(pc.binary_length(text).to_numpy(), dtype=np.int64) // STEP_BYTES
+        bound = np.cumsum(pc.binary_length(text).to_numpy(), dtype=np.int64) // size
         cuts = [0, *(np.flatnonzero(np.diff(bound)) + 1).tolist(), len(text)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             yield ids[lo:hi], hashes[lo:hi], text.slice(lo, hi - lo).to_pylist()
@@ -243,12 +244,12 @@ def slots(seen: DataFrame, bits: int) -> np.ndarray:
     return bitmap(seen.select(F.col("anchor").bitwiseAND(F.lit(bits - 1)).alias("slot")), bits)
 
 
-def removals(docs: DataFrame, window: int = WINDOW, bits: int = BITS, hot: int = HOT, hot_windows: int = HOT_WINDOWS) -> DataFrame:
+def removals(docs: DataFrame, window: int = WINDOW, bits: int = BITS, hot: int = HOT, hot_windows: int = HOT_WINDOWS, step_bytes: int = STEP_BYTES) -> DataFrame:
     """(doc_id, th: hash of the text, spans: array of (s, e), [s, e) in words, apart and ascending) of the documents that lose words."""
     spark = docs.sparkSession
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, texts in steps(batches):
+        for _, _, texts in steps(batches, step_bytes):
             yield table(anchor=Words(texts, window).anchors().view(np.int64))
 
     rows = docs.filter("doc_id is not null and t is not null").select("doc_id", "th", "t")
@@ -267,7 +268,7 @@ def removals(docs: DataFrame, window: int = WINDOW, bits: int = BITS, hot: int =
         return on & ~full, full
 
     def passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, hashes, texts in steps(batches):
+        for ids, hashes, texts in steps(batches, step_bytes):
             own = Words(texts, window)
             first, last = own.runs(places(own)[0])
             doc = own.doc[first]
@@ -289,7 +290,7 @@ def removals(docs: DataFrame, window: int = WINDOW, bits: int = BITS, hot: int =
     sharded = found.repartition("anchor").sortWithinPartitions("anchor", "doc_id")
     spans = sharded.mapInArrow(shards, "doc_id long, th long, s long, e long")
     if crowds:
-        spans = spans.unionByName(hot_spans(rows, places, window, hot_windows))
+        spans = spans.unionByName(hot_spans(rows, places, window, hot_windows, step_bytes))
     return islands(spans)
 
 
@@ -302,7 +303,7 @@ def halves(found: Iterable[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def hot_spans(rows: DataFrame, places, window: int, most: int) -> DataFrame:
+def hot_spans(rows: DataFrame, places, window: int, most: int, step_bytes: int) -> DataFrame:
     """(doc_id, th, s, e) of the windows with a hot anchor whose digest a smaller doc_id has too."""
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +317,7 @@ def hot_spans(rows: DataFrame, places, window: int, most: int) -> DataFrame:
             high.clear()
             return out
 
-        for ids, _, texts in steps(batches):
+        for ids, _, texts in steps(batches, step_bytes):
             own = Words(texts, window)
             at = np.flatnonzero(places(own)[1])
             for d, i in zip(digests(own, at), ids[own.doc[at]].tolist(), strict=True):
@@ -336,7 +337,7 @@ def hot_spans(rows: DataFrame, places, window: int, most: int) -> DataFrame:
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The places whose window a smaller doc_id has."""
-        for ids, hashes, texts in steps(batches):
+        for ids, hashes, texts in steps(batches, step_bytes):
             own = Words(texts, window)
             at = np.flatnonzero(places(own)[1])
             doc = ids[own.doc[at]]
@@ -348,7 +349,7 @@ def hot_spans(rows: DataFrame, places, window: int, most: int) -> DataFrame:
             yield table(doc_id=ids[d], th=hashes[d], s=begin - own.start[d], e=end + window - own.start[d])
 
     def all_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, hashes, texts in steps(batches):
+        for ids, hashes, texts in steps(batches, step_bytes):
             own = Words(texts, window)
             at = np.flatnonzero(places(own)[1])
             h, d = halves(digests(own, at)), own.doc[at]
@@ -401,7 +402,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_i
 
     Null and empty texts have no words. A null doc_id loses nothing and takes nothing from others; rows with equal
     doc_id do not count as smaller to each other. Kept words are joined by one space. An empty table gives an empty
-    one; other columns are ignored. `route` (bits, hot, hot_windows of removals()) changes the way, not the result.
+    one; other columns are ignored. `route` (bits, hot, hot_windows, step_bytes of removals()) changes the way, not the result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -477,6 +477,40 @@ def test_substrings_of_few_words(spark, route):
     assert sorted((tuple(r) for r in got), key=str) == brute_windows(rows, 13)
 
 
+def test_word_hashes_see_the_word_alone(monkeypatch):
+    """Wherever a word stands, at the end of a part too."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.choice(list(b"abc"), rng.integers(1, 9)).astype(np.uint8)) for _ in range(300)]
+    for size in (2, 10, 64, 1 << 19):
+        monkeypatch.setattr(substrings, "STEP_BYTES", size)
+        found = {}
+        for joined in (words, words[::-1], *([w] for w in words)):
+            end = np.cumsum([len(w) + 1 for w in joined]) - 1
+            h = substrings.word_hashes(np.frombuffer(b" ".join(joined), np.uint8), end - [len(w) for w in joined], end)
+            for w, x in zip(joined, h.tolist(), strict=True):
+                assert found.setdefault(w, x) == x
+        assert len(set(found.values())) == len(found)
+
+
+@pytest.mark.parametrize(("parts", "records", "step_bytes"), [(1, 1, 1), (1, 10_000, 64), (3, 3, 1 << 19), (8, 1, 200), (8, 10_000, 1 << 19), (3, 10_000, 1)])
+def test_substrings_whatever_the_partitions(spark, parts, records, step_bytes):
+    rng = np.random.default_rng(parts)
+    pool = [[f"w{x}" for x in rng.integers(0, 500, 40)] for _ in range(8)]
+    rows = []
+    for i in range(200):
+        p, at = pool[rng.integers(8)], rng.integers(0, 20)
+        rows.append((i, " ".join([f"own{i}"] * int(rng.integers(0, 3)) + p[at : at + rng.integers(10, 20)] + [f"end{i}"] * int(rng.integers(0, 2)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        for hot in (substrings.HOT, 5):
+            got = substrings.deduplicate(docs, hot=hot, step_bytes=step_bytes).collect()
+            assert sorted((tuple(r) for r in got), key=str) == brute_windows(rows, 13)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_automaton():
     rng = np.random.default_rng(4)
     for _ in range(200):

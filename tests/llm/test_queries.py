@@ -53,6 +53,15 @@ def test_against_sql(spark, con, name):
     assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(wanted, key=str)
 
 
+def test_op6_on_more_documents(spark):
+    """On sf0.01 texts lie in several Arrow batches and steps."""
+    c = duckdb.connect()
+    c.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    wanted = c.sql(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({queries.SUBSTRING_SQL})").fetchall()
+    got = queries.queries()["op6_substring_dedup"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted)
+
+
 def brute_identifiers(t):
     """The four patterns as they are written in the contract."""
     digits = lambda s: re.sub("[^0-9]", "", s)
