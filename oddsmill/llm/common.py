@@ -4,7 +4,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -12,6 +16,35 @@ from pyspark.sql.types import DataType, StructField, StructType
 #: A word is a maximal run of characters other than space and U+0009 to U+000D.
 WORD_CHARS = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_CHARS)
+#: Bytes of words so defined (all bytes of characters outside ASCII among them), and bytes with A-Z in lower case.
+IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut by the bytes of a text column, some `size` at a time and a row at least."""
+    for b in batches:
+        bound = np.cumsum(pc.binary_length(b.column(column)).to_numpy(), dtype=np.int64) // size
+        cuts = [0, *(np.flatnonzero(np.diff(bound)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo < hi:
+                yield b.slice(lo, hi - lo)
+
+
+def lowered(text: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Maximal runs of the bytes that are `inside`, in lower case, of texts without nulls one after another, and the place of each one's text."""
+    offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    on = inside[raw]
+    starts = on.copy()
+    starts[1:] &= ~on[:-1]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    starts[first] = on[first]  # a run ends with its text
+    begin, kept = np.flatnonzero(starts), np.cumsum(on, dtype=np.int32)
+    places = np.concatenate((kept[begin] - 1, kept[-1:] if len(kept) else [0])).astype(np.int32)
+    out = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(LOWER[raw[on]].tobytes())])
+    return out, np.searchsorted(offsets, begin, "right") - 1
 
 
 def shared_dir(spark: SparkSession) -> str:

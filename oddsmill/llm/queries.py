@@ -1,7 +1,7 @@
 """The corpus operators' queries over the test tables, and DuckDB SQL for those that SQL can express."""
 from __future__ import annotations
 
-from oddsmill.llm import bpe, jpeg, licenses, mixing, pii, quality, simhash, substrings, tokenfiles, warc
+from oddsmill.llm import bpe, divergence, jpeg, katz, licenses, mixing, pii, quality, simhash, substrings, tokenfiles, warc, whitening
 
 
 def _pipeline(spark, sf_dir: str):
@@ -22,6 +22,9 @@ def queries() -> dict:
         "op8_mixing": mixing.query,
         "op9_token_files": tokenfiles.query,
         "op10_license_scan": licenses.query,
+        "op11_source_divergence": divergence.query,
+        "op12_katz_scores": katz.query,
+        "op13_whitening": whitening.query,
         "pipeline": _pipeline,
     }
 
@@ -74,5 +77,27 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+vs AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+own AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(t.total, 0) + 5 * v) AS p
+        FROM groups g JOIN kept k USING (lang) JOIN vs USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source),
+whole AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 5) // (any_value(l.total) + 5 * any_value(v)) AS q
+          FROM c JOIN vs USING (lang) JOIN (SELECT lang, sum(total) AS total FROM totals GROUP BY lang) l USING (lang) GROUP BY lang, term),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(f.value, 0) AS value FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+         LEFT JOIN far f ON f.lang = g.lang AND f.source = g.source AND f.item = h.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (FROM pair UNION ALL FROM term) QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": SUBSTRING_SQL, "op2_warc": WARC_SQL, "op8_mixing": MIXING_SQL}
+    return {"op11_source_divergence": DIVERGENCE_SQL, "op6_substring_dedup": SUBSTRING_SQL, "op2_warc": WARC_SQL, "op8_mixing": MIXING_SQL}
