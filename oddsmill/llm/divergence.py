@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,31 +45,47 @@ def runs_of(b: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([take(lang, rest // len(source.dictionary)), take(code, group[at] // (len(lang.dictionary) * len(source.dictionary))), take(source, rest % len(source.dictionary)), pa.array(docs, pa.int64()), pa.array(n, pa.int64())], names=["lang", "term", "source", "docs", "n"])
 
 
-def scanned(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by lang, term and source: one a run of lang and term in `least` documents, (lang, term, sources, counts)."""
-    now, docs, sources, counts = None, 0, [], []
-    for b in batches:
-        out = []
-        for lang, term, source, d, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if (lang, term) != now:
-                if docs >= least:
-                    out.append((*now, sources, counts))
-                now, docs, sources, counts = (lang, term), 0, [], []
-            docs += d
-            if sources and sources[-1] == source:
-                counts[-1] += n
-            else:
-                sources.append(source)
-                counts.append(n)
-        yield listed(out)
-    yield listed([(*now, sources, counts)] if docs >= least else [])
+RUNS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
-RUNS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+def changes(b: pa.RecordBatch, *columns: str) -> np.ndarray:
+    """Whether each row differs from the one before in some of the columns."""
+    new = np.zeros(b.num_rows, bool)
+    for c in columns:
+        new[1:] |= pc.not_equal(b.column(c)[1:], b.column(c)[:-1]).to_numpy(zero_copy_only=False)
+    new[:1] = True
+    return new
 
 
-def listed(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(RUNS)], schema=RUNS)
+def scanned(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by lang, term and source: one a run of lang and term in `least` documents, (lang, term, sources, counts)."""
+
+    def kept(b: pa.RecordBatch, run: np.ndarray) -> pa.RecordBatch:
+        """b holds whole runs, which start where `run` is."""
+        docs = np.add.reduceat(b.column("docs").to_numpy(), np.flatnonzero(run))
+        on = (docs >= least)[np.cumsum(run) - 1]
+        b, run = b.filter(pa.array(on)), run[on]
+        part = run | changes(b, "source")
+        at = np.flatnonzero(part)
+        n = np.add.reduceat(b.column("n").to_numpy(), at) if len(at) else np.zeros(0, np.int64)
+        first = np.flatnonzero(run)
+        bounds = pa.array(np.append(np.flatnonzero(run[at]), len(at)), pa.int32())
+        take = lambda c, k: b.column(c).take(pa.array(k))
+        return pa.RecordBatch.from_arrays([take("lang", first), take("term", first), pa.ListArray.from_arrays(bounds, take("source", at)), pa.ListArray.from_arrays(bounds, pa.array(n))], schema=RUNS)
+
+    open_ = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if open_ is not None:
+            b = pa.Table.from_batches([open_, b]).combine_chunks().to_batches()[0]
+        run = changes(b, "lang", "term")
+        last = int(np.flatnonzero(run)[-1])  # this run may go on
+        if last:
+            yield kept(b.slice(0, last), run[:last])
+        open_ = b.slice(last)
+    if open_ is not None:
+        yield kept(open_, changes(open_, "lang", "term"))
 
 
 def share(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -113,25 +130,30 @@ class Dense:
 
 
 def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, item, value): partial distances, added up over a language where HELD of them can be held, else over a matrix."""
+    """(lang, source, item, value): partial distances, added up by language as long as a task holds HELD of them at most."""
+    held: dict[str, tuple[list[str], np.ndarray]] = {}
 
-    def row(lang: str, every: list[str], a: int, total: np.ndarray) -> pa.RecordBatch:
+    def rows(lang: str, every: list[str], a: int, total: np.ndarray) -> pa.RecordBatch:
         others = np.delete(np.arange(len(every)), a)
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(others), pa.string()), pa.array([every[a]] * len(others), pa.string()), pa.array(every, pa.string()).take(pa.array(others)), pa.array(total[others])], names=["lang", "source", "item", "value"])
 
-    now, all_now, held = None, [], np.zeros((0, 0), np.int64)
+    def flush() -> Iterator[pa.RecordBatch]:
+        for lang, (every, total) in held.items():
+            yield from (rows(lang, every, a, x) for a, x in enumerate(total))
+        held.clear()
+
     for lang, every, _, _, p, _ in Dense(batches):
-        if lang != now:
-            yield from (row(now, all_now, a, x) for a, x in enumerate(held))
-            now, all_now = lang, every
-            held = np.zeros((len(every),) * 2 if len(every) ** 2 <= HELD else (0, 0), np.int64)
-        for a in range(len(every)):
-            own = np.abs(p - p[:, [a]]).sum(axis=0)
-            if len(held):
-                held[a] += own
-            else:
-                yield row(lang, every, a, own)
-    yield from (row(now, all_now, a, x) for a, x in enumerate(held))
+        far = (np.abs(p - p[:, [a]]).sum(axis=0) for a in range(len(every)))
+        if len(every) ** 2 > HELD:
+            yield from (rows(lang, every, a, x) for a, x in enumerate(far))
+            continue
+        if lang not in held:
+            if sum(x.size for _, x in held.values()) + len(every) ** 2 > HELD:
+                yield from flush()
+            held[lang] = every, np.zeros((len(every),) * 2, np.int64)
+        for a, x in enumerate(far):
+            held[lang][1][a] += x
+    yield from flush()
 
 
 def outstanding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
