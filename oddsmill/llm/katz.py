@@ -4,16 +4,18 @@ Good-Turing discounts (Katz 1987) come from the counts of counts up to DISCOUNTE
 discounted counts of each context and the unigram probabilities of the words seen after it, so that every context's
 probabilities, that of an unknown word included, add up to one.
 
-Texts travel once. Tasks code the words of a step of texts by a dictionary of the step and leave the codes in the shared
-folder; the dictionaries are dealt by word, where each word gets its number and its count, and return to their steps.
-The pairs of neighbouring words go, packed, to the bucket of their context, with the documents that hold them: there the
-counts of a pair, its context and all tokens to be scored meet. A bucket is a row of a table: the pairs and their
-counts, then the tokens. Buckets hold some BUCKET tokens. A context with over 1 / HOT of the training tokens is dealt out
-by pair, and what its backoff weight needs is added up beside; there are HOT such contexts at most, and the start.
+Texts are read once. Tasks code the words of a step of texts by a dictionary of the step and leave the codes in the
+shared folder; the dictionaries are dealt by word, packed, and get their words' numbers and counts, which return to the
+steps. The pairs of neighbouring words go, packed too, to the bucket of their context, with the documents that hold
+them: there the counts of a pair, its context and all tokens to be scored meet. A bucket is a row of a table: the pairs
+and their counts, then the tokens. Buckets hold some BUCKET tokens. A context with over 1 / HOT of the training tokens
+is dealt out by pair, and what its backoff weight needs is added up beside; there are HOT such contexts at most, and
+the start.
 """
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,11 +25,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from oddsmill.llm import files
 from oddsmill.llm.common import IN_WORD, lowered, materialise, scratch, slices
 
-DISCOUNTED, HOT, BUCKET, STEP_BYTES = 5, 1000, 2_000_000, 1 << 23
+DISCOUNTED, HOT, BUCKET, STEP_BYTES = 5, 1000, 2_000_000, 1 << 24
 #: The end of a text as a token (no word is empty), and the number of its start as a context.
 END, START = "", -1
 #: Added to counts in the base score.
@@ -103,11 +106,12 @@ def backoff(total: np.ndarray, left: np.ndarray, seen: np.ndarray) -> tuple[np.n
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers, each in the least type that holds it, compressed."""
+    """Arrays of whole numbers, each in the least type that holds it, byte by byte of the numbers, compressed."""
     out = []
     for a in arrays:
         kind = next(k for k in ("u1", "u2", "u4", "i8") if not len(a) or k == "i8" or (a.min() >= 0 and a.max() <= np.iinfo(k).max))
-        out.append(struct.pack("<2sq", kind.encode(), len(a)) + a.astype(f"<{kind}").tobytes())
+        own = a.astype(f"<{kind}")
+        out.append(struct.pack("<2sq", kind.encode(), len(a)) + own.view(np.uint8).reshape(len(a), own.itemsize).T.tobytes())
     raw = b"".join(out)
     return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -116,9 +120,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     raw, at, out = pa.decompress(blob[8:], struct.unpack_from("<q", blob)[0], codec="zstd", asbytes=True), 0, []
     while at < len(raw):
         kind, n = struct.unpack_from("<2sq", raw, at)
-        a = np.frombuffer(raw, f"<{kind.decode()}", n, at + 10)
-        out.append(a)
-        at += 10 + a.nbytes
+        width = int(kind[1:])
+        own = np.frombuffer(raw, np.uint8, n * width, at + 10).reshape(width, n)
+        out.append(np.ascontiguousarray(own.T).view(f"<{kind.decode()}").ravel())
+        at += 10 + n * width
     return out
 
 
@@ -144,88 +149,139 @@ def coded(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.concat_arrays([pa.array([END], pa.string()), code.dictionary]), codes, sizes
 
 
-def encoded(rows: DataFrame, step_bytes: int) -> DataFrame:
-    """(step, path, ids, held, sizes, words): steps of the rows (id, held, t), with the words and their training counts in the order of their codes; path leads to the codes."""
+def packed_words(words: pa.Array, counts: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """A dictionary by bucket of its words: codes, counts, lengths and bytes."""
+    bucket = np.fromiter((zlib.crc32(w.encode()) % parts for w in words.to_pylist()), np.int64, len(words))
+    order = np.argsort(bucket, kind="stable")
+    at = starts_of(bucket[order])
+    out = []
+    for code in np.split(order, at[1:]):
+        own = words.take(pa.array(code))
+        size = pc.binary_length(own).to_numpy().astype(np.int64)
+        out.append((int(bucket[code[0]]), pack(code, counts[code], size, np.frombuffer(own.buffers()[2] or b"", np.uint8)[: size.sum()])))
+    return out
+
+
+def unpacked_words(blob: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    code, n, size, raw = unpack(blob)
+    places = np.concatenate(([0], np.cumsum(size.astype(np.int64)))).astype(np.int32)
+    return code, n, pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+#: Columns of the two tables between texts and buckets. Rows are of several kinds, null in what is not theirs.
+STEPS = {"step": pa.int64(), "bucket": pa.int32(), "words": pa.binary(), "path": pa.string(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64())}
+WORDS = {
+    **{c: STEPS[c] for c in ("step", "path", "ids", "held", "sizes")}, "known": pa.binary(), "having": pa.list_(pa.int64()), "types": pa.int64(), "tokens": pa.int64(),
+    "vocabulary": pa.list_(pa.struct([("id", pa.int64()), ("word", pa.string()), ("n", pa.int64())])),
+}
+
+
+def rows_of(kinds: dict[str, pa.DataType], n: int, **columns) -> pa.RecordBatch:
+    made = {c: x if isinstance(x, pa.Array) else pa.array(x, kinds[c]) for c, x in columns.items()}
+    return pa.RecordBatch.from_arrays([made[c] if c in made else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
+
+
+def schema(kinds: dict[str, pa.DataType]):
+    return from_arrow_schema(pa.schema(list(kinds.items())))
+
+
+def one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def encoded(rows: DataFrame, step_bytes: int, parts: int) -> DataFrame:
+    """Steps of the rows (id, held, t): one row of what they hold, path leading to the codes, and one a bucket of their words with the training counts.
+
+    Steps are numbered by task and place, so that a task run again makes the same ones; the codes go to a new file each time.
+    """
     folder = scratch(rows.sparkSession, "katz-codes")
     files.make_dir(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, b in enumerate(slices(batches, "t", step_bytes)):
+            step = TaskContext.get().partitionId() << 32 | k
             words, codes, sizes = coded(b.column("t"))
             learned = ~b.column("held").to_numpy(zero_copy_only=False)
             counts = np.bincount(codes[np.repeat(learned, sizes)], minlength=len(words))
             path = files.new_name(folder, "step", ".bin")
             with files.write_stream(path) as f:
                 f.write(pack(codes))
-            both = pa.StructArray.from_arrays([words, pa.array(counts, pa.int64())], names=["word", "n"])
-            own = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | k], pa.int64()), pa.array([path]), own(b.column("id").cast(pa.int64())), own(b.column("held")), own(pa.array(sizes, pa.int64())), own(both)], names=["step", "path", "ids", "held", "sizes", "words"])
+            yield rows_of(STEPS, 1, step=[step], bucket=[step % parts], path=[path], ids=one_list(b.column("id").cast(pa.int64())), held=one_list(b.column("held")), sizes=one_list(pa.array(sizes, pa.int64())))
+            packed = packed_words(words, counts, parts)
+            yield rows_of(STEPS, len(packed), step=[step] * len(packed), bucket=[x for x, _ in packed], words=[x for _, x in packed])
 
-    schema = "step long, path string, ids array<long>, held array<boolean>, sizes array<long>, words array<struct<word: string, n: long>>"
-    return materialise(rows.mapInArrow(run, schema), "katz-steps")
+    return rows.mapInArrow(run, schema(STEPS))
 
 
 def numbered(steps: DataFrame, parts: int) -> DataFrame:
-    """(step, code, id, n, word): the number and the training count of each word of each step; word is null but in one row each."""
+    """Rows of steps as they were; the numbers and training counts of the words of each step, packed (known); and the vocabulary, with the number of its types by count, types and training tokens."""
+
+    def bucket_rows(bucket: int, own: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        found = [unpacked_words(blob) for _, blob in own]
+        code = pa.chunked_array([w for _, _, w in found]).combine_chunks().dictionary_encode()
+        at, words = code.indices.to_numpy(), code.dictionary
+        n = np.bincount(at, np.concatenate([x for _, x, _ in found]), len(words)).astype(np.int64)
+        number = np.arange(len(words)) * parts + bucket
+        for (step, _), (codes, _, _), places in zip(own, found, np.split(at, np.cumsum([len(w) for _, _, w in found])[:-1]), strict=True):
+            order = np.argsort(places)
+            places = places[order]
+            yield rows_of(WORDS, 1, step=[step], known=[pack(codes[order], np.diff(number[places], prepend=0), n[places])])
+        having = np.bincount(np.minimum(n, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
+        vocabulary = pa.StructArray.from_arrays([pa.array(number), words, pa.array(n)], names=["id", "word", "n"])
+        yield rows_of(WORDS, 1, having=one_list(pa.array(having, pa.int64())), types=[int((n > 0).sum())], tokens=[int(n.sum())], vocabulary=one_list(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done, open_ = TaskContext.get().partitionId(), 0, None
-
-        def out(b: pa.RecordBatch) -> pa.RecordBatch:
-            nonlocal done
-            word, at = b.column("word"), starts_of(b.column("word"))
-            size = np.diff(at, append=b.num_rows)
-            n = np.add.reduceat(b.column("n").to_numpy(), at)
-            number = (np.arange(len(at)) + done) * parts + part
-            done += len(at)
-            first = np.zeros(b.num_rows, bool)
-            first[at] = True
-            named = pa.array(np.where(first, np.arange(b.num_rows), 0), mask=~first)
-            return pa.RecordBatch.from_arrays([b.column("step"), b.column("code"), pa.array(np.repeat(number, size)), pa.array(np.repeat(n, size)), word.take(named)], names=["step", "code", "id", "n", "word"])
-
+        now, own = None, []
         for b in batches:
-            if not b.num_rows:
-                continue
-            if open_ is not None:
-                b = pa.Table.from_batches([open_, b]).combine_chunks().to_batches()[0]
-            last = int(starts_of(b.column("word"))[-1])  # its word may go on
-            if last:
-                yield out(b.slice(0, last))
-            open_ = b.slice(last)
-        if open_ is not None:
-            yield out(open_)
-
-    words = steps.select("step", F.posexplode("words").alias("code", "w")).select("step", "code", "w.word", "w.n")
-    dealt = words.repartition(parts, "word").sortWithinPartitions("word", "step")
-    return materialise(dealt.mapInArrow(run, "step long, code int, id long, n long, word string"), "katz-words")
+            whole = b.filter(pc.is_valid(b.column("path")))
+            yield rows_of(WORDS, whole.num_rows, **{c: whole.column(c) for c in ("step", "path", "ids", "held", "sizes")})
+            for bucket, step, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "step", "words")), strict=True):
+                if blob is not None:
+                    if bucket != now and own:
+                        yield from bucket_rows(now, own)
+                        own = []
+                    now = bucket
+                    own.append((step, blob))
+        if own:
+            yield from bucket_rows(now, own)
+
+    dealt = steps.repartition(parts, "bucket").sortWithinPartitions("bucket", "step")
+    return materialise(dealt.mapInArrow(run, schema(WORDS)), "katz-words")
 
 
 def pairs(codes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray, documents: int, hot_from: float, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed pairs) of a step: contexts, words, documents and how often, sorted."""
+    """(bucket, packed pairs) of a step: contexts with their counts and runs, words with their counts, falling, and by pair and document the word, the document and how often."""
     ends = np.cumsum(sizes) - 1
     before = np.empty(len(codes), np.int64)
-    before[1:] = codes[:-1] + 1
+    before[1:] = codes[:-1]
+    before[1:] += 1
     before[ends + 1 - sizes] = 0  # the start
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     key = before * len(ids) + codes
     order = np.argsort(key, kind="stable")  # documents ascend already
     key, doc = key[order], doc[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
-    times, key, doc = np.diff(at, append=len(key)), key[at], doc[at]
-    h, w = key // len(ids), key % len(ids)
+    times, key, doc = np.diff(at, append=len(key)).astype(np.int32), key[at], doc[at]
+    h, w = (key // len(ids)).astype(np.int32), (key % len(ids)).astype(np.int32)
     h_ids, h_counts = np.concatenate(([START], ids)), np.concatenate(([documents], counts))
-    mixed = (h_ids[h].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + ids[w].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    bucket = (np.where(h_counts[h] >= hot_from, mixed, h_ids[h].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    bucket = h_ids[h].astype(np.uint64)
+    hot = h_counts[h] >= hot_from
+    mixed = (bucket[hot] * np.uint64(0x9E3779B97F4A7C15) + ids[w[hot]].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    bucket[hot] = mixed ^ (mixed >> np.uint64(32))
+    bucket = (bucket % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket, h, w, doc, times = bucket[order], h[order], w[order], doc[order], times[order]
     at = starts_of(bucket)
     for lo, hi in zip(at, [*at[1:], len(bucket)], strict=True):
-        hs, hi_ = np.unique(h[lo:hi], return_inverse=True)
-        ws, wi = np.unique(w[lo:hi], return_inverse=True)
-        yield int(bucket[lo]), pack(h_ids[hs], h_counts[hs], hi_, ids[ws], counts[ws], wi, doc[lo:hi], times[lo:hi])
+        hs, runs = np.unique(h[lo:hi], return_counts=True)
+        ws, place = np.unique(w[lo:hi], return_inverse=True)
+        falling = np.argsort(-counts[ws], kind="stable")
+        rank = np.empty(len(ws), np.int64)
+        rank[falling] = np.arange(len(ws))
+        ws = ws[falling]
+        yield int(bucket[lo]), pack(h_ids[hs] - START, h_counts[hs], runs, ids[ws], np.diff(counts[ws][::-1], prepend=0), rank[place], doc[lo:hi], times[lo:hi])
 
 
 def dealt(steps: DataFrame, words: DataFrame, documents: int, hot_from: float, buckets: int) -> DataFrame:
@@ -234,17 +290,18 @@ def dealt(steps: DataFrame, words: DataFrame, documents: int, hot_from: float, b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                row = lambda c, k=k, b=b: b.column(c).slice(k, 1).flatten()
                 with files.read_stream(b.column("path")[k].as_py()) as f:
                     (codes,) = unpack(f.read())
-                code, number, n = (x.to_numpy() for x in row("known").flatten())
+                known = [unpack(x) for x in b.column("known")[k].as_py()]
+                code = np.concatenate([x for x, _, _ in known])
                 ids, counts = np.empty(len(code), np.int64), np.empty(len(code), np.int64)
-                ids[code], counts[code] = number, n
-                held = pack(row("held").to_numpy(zero_copy_only=False).astype(np.uint8))
-                out = list(pairs(codes, row("sizes").to_numpy(), ids, counts, documents, hot_from, buckets))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([b.column("step")[k].as_py()] * len(out), pa.int64()), pa.array([held] * len(out), pa.binary()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "step", "held", "pairs"])
+                ids[code], counts[code] = np.concatenate([np.cumsum(x.astype(np.int64)) for _, x, _ in known]), np.concatenate([x for _, _, x in known])
+                held = pack(b.column("held").slice(k, 1).flatten().to_numpy(zero_copy_only=False).astype(np.uint8))
+                sizes = b.column("sizes").slice(k, 1).flatten().to_numpy()
+                for bucket, own in pairs(codes, sizes, ids, counts, documents, hot_from, buckets):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), b.column("step").slice(k, 1), pa.array([held], pa.binary()), pa.array([own], pa.binary())], names=["bucket", "step", "held", "pairs"])
 
-    known = words.groupBy("step").agg(F.collect_list(F.struct("code", "id", "n")).alias("known"))
+    known = words.filter("known is not null").groupBy("step").agg(F.collect_list("known").alias("known"))  # a row a bucket of words
     both = steps.select("step", "path", "held", "sizes").join(known, "step").select("step", "path", "held", "sizes", "known")
     return both.mapInArrow(run, "bucket int, step long, held binary, pairs binary").repartition(buckets, "bucket").sortWithinPartitions("bucket", "step")
 
@@ -255,21 +312,21 @@ def dealt(steps: DataFrame, words: DataFrame, documents: int, hot_from: float, b
 def table_row(bucket: int, rows: list[tuple], hot_from: float, one: Unigrams) -> pa.RecordBatch:
     """A bucket's row: types by count, hot contexts, and the packed types and tokens."""
     parts = [(step, unpack(held)[0].astype(bool), *unpack(blob)) for step, held, blob in rows]
-    joined = lambda k: np.concatenate([p[k].astype(np.int64) for p in parts])
-    h, h_place, h_back = np.unique(joined(2), return_index=True, return_inverse=True)
+    joined = lambda k, kind=np.int64: np.concatenate([p[k].astype(kind) for p in parts])
+    h, h_place, h_back = np.unique(joined(2) + START, return_index=True, return_inverse=True)
     w, w_place, w_back = np.unique(joined(5), return_index=True, return_inverse=True)
-    h_n, w_n = joined(3)[h_place], joined(6)[w_place]
+    h_n, w_n = joined(3)[h_place], np.concatenate([np.cumsum(p[6].astype(np.int64))[::-1] for p in parts])[w_place]
     cut = lambda back, k: np.split(back, np.cumsum([len(p[k]) for p in parts])[:-1])
-    key = np.concatenate([hb[p[4]] * len(w) + wb[p[7]] for p, hb, wb in zip(parts, cut(h_back, 2), cut(w_back, 5), strict=True)])
-    times = joined(9)
+    key = np.concatenate([np.repeat(hb, p[4]) * len(w) + wb[p[7]] for p, hb, wb in zip(parts, cut(h_back, 2), cut(w_back, 5), strict=True)])
+    times = joined(9, np.int32)
     learned = np.concatenate([np.where(p[1][p[8]], 0, p[9]) for p in parts])
     docs = [np.unique(p[8], return_inverse=True) for p in parts]
     sizes = np.array([len(d) for d, _ in docs])
-    doc = np.concatenate([back + at for (_, back), at in zip(docs, np.cumsum(sizes) - sizes, strict=True)])
+    doc = np.concatenate([(back + at).astype(np.int32) for (_, back), at in zip(docs, np.cumsum(sizes) - sizes, strict=True)])
     order = np.argsort(key, kind="stable")
     key = key[order]
     at = starts_of(key)
-    count = np.add.reduceat(learned[order], at)
+    count = np.add.reduceat(learned[order], at, dtype=np.int64)
     context, word = key[at] // len(w), key[at] % len(w)
     having = np.bincount(np.minimum(count, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
     # What hot contexts have here: types of each discounted count, and unigram probability seen.
@@ -279,7 +336,7 @@ def table_row(bucket: int, rows: list[tuple], hot_from: float, one: Unigrams) ->
         lo, hi = np.searchsorted(context, [c, c + 1])
         own = count[lo:hi]
         hot.append({"h": int(h[c]), "total": int(h_n[c]), "having": [int((own == r).sum()) for r in range(1, DISCOUNTED + 1)], "seen": float(one.probability(w_n[word[lo:hi]])[own > 0].sum())})
-    types = pack(h, h_n, context, w, w_n, word, count)
+    types = pack(h - START, np.bincount(context, minlength=len(h)), np.diff(w, prepend=0), w_n, word, count)
     tokens = pack(np.diff(at, append=len(key)), doc[order], times[order], np.array([p[0] for p in parts], np.int64), sizes, np.concatenate([d for d, _ in docs]))
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([having.tolist()], pa.list_(pa.int64())), pa.array([hot], HOT_TYPE), pa.array([types], pa.binary()), pa.array([tokens], pa.binary())], names=["bucket", "having", "hot", "types", "tokens"])
 
@@ -307,14 +364,30 @@ def tabled(rows: DataFrame, hot_from: float, one: Unigrams) -> DataFrame:
     return materialise(rows.mapInArrow(run, schema), "katz-pairs")
 
 
-def logarithms(types: list[np.ndarray], one: Unigrams, d: np.ndarray, hot: dict[int, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Types:
+    """The pairs of a bucket: contexts, each one's number of pairs, words and their counts, and by pair the word's place and the training count."""
+
+    h: np.ndarray
+    context: np.ndarray
+    w: np.ndarray
+    w_n: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, blob: bytes) -> Types:
+        h, runs, w, w_n, word, count = (x.astype(np.int64) for x in unpack(blob))
+        return cls(h + START, np.repeat(np.arange(len(h)), runs), np.cumsum(w), w_n, word, count)
+
+
+def logarithms(types: Types, one: Unigrams, d: np.ndarray, hot: dict[int, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log10 probability of each type of a bucket, and the denominators and backoff weights of its contexts.
 
     A pair that training has is its discounted share of the context; another is the context's backoff weight times the
     word's unigram probability.
     """
-    h, _, context, _, w_n, word, count = types
-    p, n = one.probability(w_n.astype(np.int64))[word], count.astype(np.int64)
+    p, n, h, context = one.probability(types.w_n)[types.word], types.count, types.h, types.context
     sums = lambda x: np.bincount(context, x, len(h))
     bottom, weight = backoff(sums(n), sums((1 - factor(d, n)) * n), sums(np.where(n > 0, p, 0.0)))
     for k in np.flatnonzero(np.isin(h, list(hot))).tolist():
@@ -324,7 +397,7 @@ def logarithms(types: list[np.ndarray], one: Unigrams, d: np.ndarray, hot: dict[
 
 @dataclass
 class Model:
-    """Tables and constants: words (id, n, word) among `words`, pairs by bucket, discounts, hot contexts."""
+    """Tables (steps of texts, words, pairs by bucket) and constants (of the unigrams, discounts of pairs, denominators and weights of hot contexts)."""
 
     one: Unigrams
     d: np.ndarray
@@ -335,7 +408,7 @@ class Model:
 
     def vocabulary(self) -> DataFrame:
         """(id, word, n) of all words, those that training lacks with n = 0."""
-        return self.words.filter("word is not null").select("id", "word", "n")
+        return self.words.select(F.inline("vocabulary"))
 
     def bigrams(self) -> DataFrame:
         """(h, w, n, log10_p, log10_weight): numbers of both words, training count, probability, and the context's backoff weight."""
@@ -344,11 +417,11 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for blob in b.column(0).to_pylist():
-                    types = unpack(blob)
-                    p, _, weight = logarithms(types, one, d, hot)
-                    h, _, context, w, _, word, count = types
-                    on = count > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[context[on]].astype(np.int64), w[word[on]].astype(np.int64), count[on].astype(np.int64), p[on], np.log10(weight[context[on]]))], names=["h", "w", "n", "log10_p", "log10_weight"])
+                    t = Types.of(blob)
+                    p, _, weight = logarithms(t, one, d, hot)
+                    on = t.count > 0
+                    context = t.context[on]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t.h[context], t.w[t.word[on]], t.count[on], p[on], np.log10(weight[context]))], names=["h", "w", "n", "log10_p", "log10_weight"])
 
         return self.table.select("types").mapInArrow(run, "h long, w long, n long, log10_p double, log10_weight double")
 
@@ -359,12 +432,11 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for k in range(b.num_rows):
-                    types, (runs, doc, times, step, sizes, place) = unpack(b.column(0)[k].as_py()), unpack(b.column(1)[k].as_py())
-                    p, _, _ = logarithms(types, one, d, hot)
-                    w_n = types[4].astype(np.int64)
-                    word = np.repeat(types[5], runs)
+                    t, (runs, doc, times, step, sizes, place) = Types.of(b.column(0)[k].as_py()), unpack(b.column(1)[k].as_py())
+                    p, _, _ = logarithms(t, one, d, hot)
+                    word = np.repeat(t.word, runs)
                     add = lambda x, doc=doc, times=times, place=place: np.bincount(doc, x * times, len(place))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(step.astype(np.int64), sizes)), pa.array(place.astype(np.int32)), pa.array(add((w_n > 0)[word]).astype(np.int64)), pa.array(add(one.base(w_n)[word])), pa.array(add(np.repeat(p, runs)))], names=["step", "place", "known", "base", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(step.astype(np.int64), sizes)), pa.array(place.astype(np.int32)), pa.array(add((t.w_n > 0)[word]).astype(np.int64)), pa.array(add(one.base(t.w_n)[word])), pa.array(add(np.repeat(p, runs)))], names=["step", "place", "known", "base", "score"])
 
         parts = self.table.select("types", "tokens").mapInArrow(run, "step long, place int, known long, base double, score double")
         sums = parts.groupBy("step", "place").agg(*(F.sum(c).alias(c) for c in ("known", "base", "score")))
@@ -380,13 +452,13 @@ def train(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
     bucket and hot change the way, not the result.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(held, F.lit(True)).alias("held"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    steps = encoded(rows, step_bytes)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = numbered(steps, parts)
-    got = words.filter("word is not null and n > 0").agg(F.count("*"), F.sum("n"), *(F.count(F.when(F.col("n") == r, 1)) for r in range(1, DISCOUNTED + 2))).first()
-    learned = F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + F.when(x, 0).otherwise(1))
-    documents, tokens = (x or 0 for x in steps.agg(F.sum(learned), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x))).first())
-    one = Unigrams.of(got[1] or 0, got[0], list(got[2:]))
+    words = numbered(encoded(rows, step_bytes, parts), parts)
+    steps = words.filter("path is not null")
+    got = words.agg(F.sum("types"), F.sum("tokens"), *(F.sum(F.get("having", F.lit(k))) for k in range(DISCOUNTED + 1))).first()
+    count = lambda x, c: F.aggregate(x, F.lit(0).cast("long"), lambda s, y: s + c(y))
+    documents, tokens = (x or 0 for x in steps.agg(F.sum(count("held", lambda x: F.when(x, 0).otherwise(1))), F.sum(count("sizes", lambda x: x))).first())
+    one = Unigrams.of(got[1] or 0, got[0] or 0, [x or 0 for x in got[2:]])
     hot_from = max(one.tokens / hot, 1)
     table = tabled(dealt(steps, words, documents, hot_from, max(parts, -(-tokens // bucket))), hot_from, one)
     having = table.agg(*(F.sum(F.get("having", F.lit(k))) for k in range(DISCOUNTED + 1))).first()
