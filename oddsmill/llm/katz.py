@@ -30,11 +30,11 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from oddsmill.llm import files
 from oddsmill.llm.common import IN_WORD, lowered, materialise, scratch, slices
 
-DISCOUNTED, HOT, BUCKET, STEP_BYTES = 5, 1000, 2_000_000, 1 << 24
+DISCOUNTED, HOT, BUCKET, STEP_BYTES = 5, 1000, 4_000_000, 1 << 24
 #: The end of a text as a token (no word is empty), and the number of its start as a context.
 END, START = "", -1
-#: Added to counts in the base score.
-BASE = 0.1
+#: Added to counts in the base score; units of a logarithm in which tokens are added up, exactly and in any order.
+BASE, UNITS = 0.1, float(1 << 36)
 
 
 # -- the model
@@ -284,8 +284,8 @@ def pairs(codes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndar
         yield int(bucket[lo]), pack(h_ids[hs] - START, h_counts[hs], runs, ids[ws], np.diff(counts[ws][::-1], prepend=0), rank[place], doc[lo:hi], times[lo:hi])
 
 
-def dealt(steps: DataFrame, words: DataFrame, documents: int, hot_from: float, buckets: int) -> DataFrame:
-    """(bucket, step, held, pairs), every row of a bucket in one task."""
+def dealt(steps: DataFrame, words: DataFrame, documents: int, hot_from: float, buckets: int, one: Unigrams) -> DataFrame:
+    """(bucket, step, held, pairs), every row of a bucket in one task; and a row a step with held null, whose pairs are the known tokens and base score of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -298,6 +298,10 @@ def dealt(steps: DataFrame, words: DataFrame, documents: int, hot_from: float, b
                 ids[code], counts[code] = np.concatenate([np.cumsum(x.astype(np.int64)) for _, x, _ in known]), np.concatenate([x for _, _, x in known])
                 held = pack(b.column("held").slice(k, 1).flatten().to_numpy(zero_copy_only=False).astype(np.uint8))
                 sizes = b.column("sizes").slice(k, 1).flatten().to_numpy()
+                starts = np.cumsum(sizes) - sizes
+                base = np.add.reduceat(one.base(counts)[codes], starts)
+                own = pack(np.add.reduceat((counts > 0)[codes], starts, dtype=np.int64), base.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("step")[k].as_py() % buckets], pa.int32()), b.column("step").slice(k, 1), pa.nulls(1, pa.binary()), pa.array([own], pa.binary())], names=["bucket", "step", "held", "pairs"])
                 for bucket, own in pairs(codes, sizes, ids, counts, documents, hot_from, buckets):
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), b.column("step").slice(k, 1), pa.array([held], pa.binary()), pa.array([own], pa.binary())], names=["bucket", "step", "held", "pairs"])
 
@@ -338,30 +342,34 @@ def table_row(bucket: int, rows: list[tuple], hot_from: float, one: Unigrams) ->
         hot.append({"h": int(h[c]), "total": int(h_n[c]), "having": [int((own == r).sum()) for r in range(1, DISCOUNTED + 1)], "seen": float(one.probability(w_n[word[lo:hi]])[own > 0].sum())})
     types = pack(h - START, np.bincount(context, minlength=len(h)), np.diff(w, prepend=0), w_n, word, count)
     tokens = pack(np.diff(at, append=len(key)), doc[order], times[order], np.array([p[0] for p in parts], np.int64), sizes, np.concatenate([d for d, _ in docs]))
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([having.tolist()], pa.list_(pa.int64())), pa.array([hot], HOT_TYPE), pa.array([types], pa.binary()), pa.array([tokens], pa.binary())], names=["bucket", "having", "hot", "types", "tokens"])
+    return rows_of(TABLE, 1, bucket=[bucket], having=[having.tolist()], hot=[hot], types=[types], tokens=[tokens])
 
 
-HOT_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("total", pa.int64()), ("having", pa.list_(pa.int64())), ("seen", pa.float64())]))
+TABLE = {
+    "bucket": pa.int32(), "having": pa.list_(pa.int64()), "hot": pa.list_(pa.struct([("h", pa.int64()), ("total", pa.int64()), ("having", pa.list_(pa.int64())), ("seen", pa.float64())])), "types": pa.binary(), "tokens": pa.binary(), "step": pa.int64(), "base": pa.binary(),
+}
 
 
 def tabled(rows: DataFrame, hot_from: float, one: Unigrams) -> DataFrame:
-    """(bucket, having, hot, types, tokens): the table of pairs, a row a bucket."""
+    """The table of pairs (bucket, having, hot, types, tokens), a row a bucket, and what texts have by step (step, base)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, []
         for b in batches:
             for k in range(b.num_rows):
-                bucket, *rest = (b.column(c)[k].as_py() for c in range(4))
+                bucket, step, held, blob = (b.column(c)[k].as_py() for c in range(4))
+                if held is None:
+                    yield rows_of(TABLE, 1, step=[step], base=[blob])
+                    continue
                 if bucket != now and own:
                     yield table_row(now, own, hot_from, one)
                     own = []
                 now = bucket
-                own.append(tuple(rest))
+                own.append((step, held, blob))
         if own:
             yield table_row(now, own, hot_from, one)
 
-    schema = "bucket int, having array<long>, hot array<struct<h: long, total: long, having: array<long>, seen: double>>, types binary, tokens binary"
-    return materialise(rows.mapInArrow(run, schema), "katz-pairs")
+    return materialise(rows.mapInArrow(run, schema(TABLE)), "katz-pairs")
 
 
 @dataclass
@@ -423,25 +431,37 @@ class Model:
                     context = t.context[on]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t.h[context], t.w[t.word[on]], t.count[on], p[on], np.log10(weight[context]))], names=["h", "w", "n", "log10_p", "log10_weight"])
 
-        return self.table.select("types").mapInArrow(run, "h long, w long, n long, log10_p double, log10_weight double")
+        return self.table.filter("types is not null").select("types").mapInArrow(run, "h long, w long, n long, log10_p double, log10_weight double")
 
     def scores(self) -> DataFrame:
         """(id, held, n_tokens, n_known, base_score, score) of every text."""
         one, d, hot = self.one, self.d, self.hot
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """What each bucket adds to the texts of a step, in whole UNITS."""
             for b in batches:
                 for k in range(b.num_rows):
                     t, (runs, doc, times, step, sizes, place) = Types.of(b.column(0)[k].as_py()), unpack(b.column(1)[k].as_py())
-                    p, _, _ = logarithms(t, one, d, hot)
-                    word = np.repeat(t.word, runs)
-                    add = lambda x, doc=doc, times=times, place=place: np.bincount(doc, x * times, len(place))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(step.astype(np.int64), sizes)), pa.array(place.astype(np.int32)), pa.array(add((t.w_n > 0)[word]).astype(np.int64)), pa.array(add(one.base(t.w_n)[word])), pa.array(add(np.repeat(p, runs)))], names=["step", "place", "known", "base", "score"])
+                    p = np.repeat(-logarithms(t, one, d, hot)[0], runs)
+                    own = np.bincount(doc, np.rint(p * times * UNITS), len(place)).astype(np.int64)
+                    ends = np.cumsum(sizes.astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(step.astype(np.int64)), pa.array([pack(place[e - n : e], own[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())], names=["step", "part"])
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(b.num_rows):
+                    ids, held, sizes = (b.column(c).slice(k, 1).flatten() for c in range(3))
+                    known, base = unpack(b.column(3)[k].as_py())
+                    score = np.zeros(len(sizes), np.int64)
+                    for x in b.column(4)[k].as_py():
+                        place, own = unpack(x)
+                        score[place] += own.astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([ids, held, sizes, pa.array(known.astype(np.int64)), pa.array(base.astype(np.int64).view(float)), pa.array(0.0 - score / UNITS)], names=["id", "held", "n_tokens", "n_known", "base_score", "score"])
 
-        parts = self.table.select("types", "tokens").mapInArrow(run, "step long, place int, known long, base double, score double")
-        sums = parts.groupBy("step", "place").agg(*(F.sum(c).alias(c) for c in ("known", "base", "score")))
-        texts = self.steps.select("step", F.posexplode(F.arrays_zip("ids", "held", "sizes")).alias("place", "x"))
-        return texts.join(sums, ["step", "place"]).select(F.col("x.ids").alias("id"), F.col("x.held").alias("held"), F.col("x.sizes").alias("n_tokens"), F.col("known").alias("n_known"), F.col("base").alias("base_score"), "score")
+        sums = self.table.filter("types is not null").select("types", "tokens").mapInArrow(parts, "step long, part binary").groupBy("step").agg(F.collect_list("part").alias("parts"))  # a row a bucket
+        base = self.table.filter("base is not null").select("step", "base")
+        rows = self.steps.select("step", "ids", "held", "sizes").join(base, "step").join(sums, "step").select("ids", "held", "sizes", "base", "parts")
+        return rows.mapInArrow(whole, "id long, held boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def train(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_id", step_bytes: int = STEP_BYTES, bucket: int = BUCKET, hot: int = HOT) -> Model:
@@ -460,7 +480,8 @@ def train(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
     documents, tokens = (x or 0 for x in steps.agg(F.sum(count("held", lambda x: F.when(x, 0).otherwise(1))), F.sum(count("sizes", lambda x: x))).first())
     one = Unigrams.of(got[1] or 0, got[0] or 0, [x or 0 for x in got[2:]])
     hot_from = max(one.tokens / hot, 1)
-    table = tabled(dealt(steps, words, documents, hot_from, max(parts, -(-tokens // bucket))), hot_from, one)
+    buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-tokens // bucket))
+    table = tabled(dealt(steps, words, documents, hot_from, buckets, one), hot_from, one)
     having = table.agg(*(F.sum(F.get("having", F.lit(k))) for k in range(DISCOUNTED + 1))).first()
     d = discounts([x or 0 for x in having])
     x = table.select(F.explode("hot").alias("x")).select("x.*")
