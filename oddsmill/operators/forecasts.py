@@ -1,7 +1,9 @@
 """Scoring of one-step forecasts of tick moves, market by market, and what the scores add up to."""
 from __future__ import annotations
 
+import functools
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,49 +13,74 @@ from pyspark.sql import functions as F
 from oddsmill.functions import grid
 from oddsmill.functions.normal import cdf, probit
 from oddsmill.operators import states
-from oddsmill.operators.fits import HAZARD, normal_cdf, simplex, tick_mass
-from oddsmill.operators.panel import EDGE_CLIP, in_time, with_cells
+from oddsmill.operators.fits import HAZARD, hazard_fits, normal_cdf, tick_mass
+from oddsmill.operators.panel import EDGE_CLIP, move_panel, raw_panel, segments, standardised, with_cells
+from oddsmill.operators.regimes import bulk_fit, cell_variances, map_cells, rectangle, tick_histogram
+from oddsmill.operators.search import Descent, run_all
 from oddsmill.operators.variance import bootstrap, ratio
 
 # Models, and the least probability of a move.
 MODELS, LEAST = ("composite_zi", "composite", "global_slv", "const_lam", "bucket", "garch"), 1e-12
 
 
-def garch_fit(moves: DataFrame, most: int = 20_000, seed: int = 7) -> dict[str, float]:
-    """w, a, b of a pooled GARCH(1, 1) of the moves (key, ts_days, dp) of keys in the order of a hash of seed and key, through the first that brings them to `most`.
+# -- pooled GARCH(1, 1)
 
-    The sample is a parameter; its moves, `most` and one key's at most, are all that reaches the driver.
+
+def garch_series(moves: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., key, x): the squared moves (key, ts_days, dp) of each key in time; a market's life bounds a row."""
+    x = F.transform(F.sort_array(F.collect_list(F.struct("ts_days", "dp"))), lambda r: r["dp"] * r["dp"])
+    return moves.filter("dp is not null").groupBy(*by, "key").agg(x.alias("x"))
+
+
+def garch_terms(x: Column, points: list[tuple[float, float, float]]) -> Column:
+    """Sum over squared moves of log variance and move over variance, one for each (w, a, b), starting at the long-run variance.
+
+    One pass over the array carries the variances of all points.
     """
-    u = F.md5(F.concat(F.lit(f"{seed}:"), F.col("key")))
-    keys = moves.groupBy("key").agg(F.count("*").alias("n")).withColumn("u", u).orderBy("u", "key").limit(most)
-    keys = keys.withColumn("before", F.sum("n").over(Window.orderBy("u", "key")) - F.col("n")).filter(F.col("before") < most)  # `most` rows at most
-    rows = moves.join(F.broadcast(keys.select("key")), "key", "left_semi").select("key", "ts_days", "dp").toPandas().sort_values(["key", "ts_days"])
-    series = sorted((g["dp"].to_numpy() for _, g in rows.groupby("key")), key=len, reverse=True)
-    if not series:
-        return {"w": math.nan, "a": math.nan, "b": math.nan}
-    size = np.array([len(x) for x in series])
-    square = np.zeros((len(series), size[0]))
-    for k, x in enumerate(series):
-        square[k, : len(x)] = x * x
-    active = [int(np.searchsorted(-size, -t, "left")) for t in range(size[0])]
-
-    def parameters(u: np.ndarray) -> tuple[float, float, float]:
-        logistic = lambda v: 1 / (1 + math.exp(-min(max(v, -500.0), 500.0)))
-        a = 0.999 * logistic(u[1])
-        return math.exp(min(u[0], 300.0)), a, (1 - a) * 0.999 * logistic(u[2])
-
-    def cost(u: np.ndarray) -> float:
-        w, a, b = parameters(u)
-        var, total = np.full(len(series), w / max(1 - a - b, 1e-6)), 0.0
-        for t, n in enumerate(active):
-            var = var[:n]
-            total += float((np.log(var) + square[:n, t] / var).sum())
-            var = w + a * square[:n, t] + b * var
-        return 0.5 * (total / size.sum() + math.log(2 * math.pi))
-
-    with np.errstate(all="ignore"):
-        u, _, _ = simplex(cost, np.array([math.log(1e-4), 0.0, 1.0]), 250, 1e-4, 1e-4)
-    return dict(zip("wab", parameters(u), strict=True))
+    given = F.array(*(F.struct(*(F.lit(float(v)).alias(c) for v, c in zip(p, "wab", strict=True))) for p in points))
+    first = F.array(*(F.struct(F.lit(w / max(1 - a - b, 1e-6)).alias("var"), F.lit(0.0).alias("s")) for w, a, b in points))
+
+    def step(state: Column, y: Column) -> Column:
+        return F.zip_with(state, given, lambda t, p: F.struct((p["w"] + p["a"] * y + p["b"] * t["var"]).alias("var"), (t["s"] + F.log(t["var"]) + y / t["var"]).alias("s")))
+
+    return F.aggregate(x, first, step, lambda state: F.transform(state, lambda t: t["s"]))
+
+
+def garch_likelihoods(series: DataFrame, points: list[tuple[float, float, float]], by: list[str]) -> DataFrame:
+    """(by..., k, ll, n): Gaussian log-likelihood of all series under each of the points."""
+    rows = series.select(*by, F.size("x").alias("n"), F.posexplode(garch_terms(F.col("x"), points)).alias("k", "s"))
+    sums = rows.groupBy(*by, "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return sums.select(*by, F.col("k").cast("long").alias("k"), (-0.5 * (F.col("s") + F.col("n") * math.log(2 * math.pi))).alias("ll"), F.col("n").cast("long").alias("n"))
+
+
+def garch_parameters(u: np.ndarray) -> tuple[float, float, float]:
+    logistic = lambda v: 1 / (1 + math.exp(-min(max(v, -500.0), 500.0)))
+    a = 0.999 * logistic(u[1])
+    return math.exp(min(u[0], 300.0)), a, (1 - a) * 0.999 * logistic(u[2])
+
+
+def garch_fit(moves: DataFrame, by: list[str] | None = None, most: int = 250) -> DataFrame:
+    """(by..., w, a, b, n, ll_per_obs, converged): pooled GARCH(1, 1) of all moves of each group; a round of the searches is one job over all series."""
+    by, spark = by or [], moves.sparkSession
+    series = garch_series(moves, by).persist()
+    groups = [tuple(r) for r in series.select(*by).distinct().collect()] if by else [()] * bool(series.take(1))  # a row a group
+    searches = {g: Descent(np.array([math.log(1e-4), 0.0, 1.0])) for g in groups}
+    counts: dict[tuple, int] = {}
+
+    def values_of(asked: dict) -> dict:
+        # Every group is carried along every point of the round; a group's own are picked.
+        names = [(g, k) for g, points in asked.items() for k in range(len(points))]
+        got = garch_likelihoods(series, [garch_parameters(u) for points in asked.values() for u in points], by).collect()
+        found = {(tuple(r[: len(by)]), r.k): (r.ll, r.n) for r in got}
+        counts.update({g: n for (g, _), (_, n) in found.items()})
+        at = {name: i for i, name in enumerate(names)}
+        return {g: [-found[g, at[g, k]][0] / found[g, at[g, k]][1] for k in range(len(points))] for g, points in asked.items()}
+
+    run_all(searches, values_of, most)
+    series.unpersist()
+    out = [(*g, *garch_parameters(s.x), counts[g], -s.value, s.converged) for g, s in searches.items()]
+    kinds = [*(f"{c} {dict(moves.dtypes)[c]}" for c in by), "w double, a double, b double, n long, ll_per_obs double, converged boolean"]
+    return spark.createDataFrame(out, ", ".join(kinds))
 
 
 def gauss_mass(var: Column, k: Column, unit: float) -> Column:
@@ -63,42 +90,51 @@ def gauss_mass(var: Column, k: Column, unit: float) -> Column:
 
 
 def steps(markets: DataFrame, unit: float) -> DataFrame:
-    """A row a move, with what forecasts need: key, ts_days, p, tau, pi, ti, k (ticks), kf (folded), and the segment columns z to isz of both its ends."""
+    """A row a move, with what forecasts need (and the fold, if the markets have one): key, ts_days, p, tau, pi, ti, k (ticks), kf (folded), and the segment columns z to isz of both its ends."""
+    by = [c for c in ("fold",) if c in markets.columns]
+    w = Window.partitionBy(*by, "key").orderBy("ts_days")
     low, high = grid.PRICE_CLIP
     clipped = F.least(F.greatest("close", F.lit(low)), F.lit(high))
     edge = lambda c: probit(F.least(F.greatest(c, F.lit(EDGE_CLIP[0])), F.lit(EDGE_CLIP[1])))
-    rows = markets.withColumns({"pos": F.row_number().over(in_time()) - 1, "left": F.greatest(F.col("t_res") - F.col("ts_days"), F.lit(1.0)), "pc": clipped, "p": F.lag("close").over(in_time())})
-    rows = rows.withColumns({"tau": F.lag("left").over(in_time()), "dt": F.col("ts_days") - F.lag("ts_days").over(in_time()), "dp": F.col("close") - F.col("p")})
+    rows = markets.withColumns({"pos": F.row_number().over(w) - 1, "left": F.greatest(F.col("t_res") - F.col("ts_days"), F.lit(1.0)), "pc": clipped, "p": F.lag("close").over(w)})
+    rows = rows.withColumns({"tau": F.lag("left").over(w), "dt": F.col("ts_days") - F.lag("ts_days").over(w), "dp": F.col("close") - F.col("p")})
     k = F.bround(F.col("dp") / unit).cast("long")
     rows = with_cells(rows.withColumns({"k": k, "kf": F.when(F.col("p") <= 0.5, k).otherwise(-k)}))
     return rows.select(
-        "key", "ts_days", "pos", "p", "tau", "pi", "ti", "dp", "k", "kf", "dt", F.col("tau").alias("taup"), probit(F.col("pc")).alias("z"), edge(F.col("pc") - unit / 2).alias("zlo"), edge(F.col("pc") + unit / 2).alias("zhi"),
+        *by, "key", "ts_days", "pos", "p", "tau", "pi", "ti", "dp", "k", "kf", "dt", F.col("tau").alias("taup"), probit(F.col("pc")).alias("z"), edge(F.col("pc") - unit / 2).alias("zlo"), edge(F.col("pc") + unit / 2).alias("zhi"),
         F.coalesce(F.col("k") == 0, F.lit(False)).alias("isz"), edge(F.col("p") + (F.col("k") - 0.5) * unit).alias("blo"), edge(F.col("p") + (F.col("k") + 0.5) * unit).alias("bhi"),
     )
 
 
-def with_cell_fits(rows: DataFrame, cells: DataFrame, variances: DataFrame, mixtures: DataFrame) -> DataFrame:
-    """rows with regime (1 where the cell is not mapped), var (of the cell, else over all) and the cell's mixture, null without one."""
-    everywhere = variances.filter("pi = -1").select(F.col("var").alias("_var"))
-    rows = rows.join(F.broadcast(cells.select("pi", "ti", "regime")), ["pi", "ti"], "left").join(F.broadcast(variances.select("pi", "ti", F.col("var").alias("_own"))), ["pi", "ti"], "left")
-    rows = rows.join(F.broadcast(mixtures.select("pi", "ti", *HAZARD)), ["pi", "ti"], "left").join(F.broadcast(everywhere))  # 54 cells at most
+def with_cell_fits(rows: DataFrame, cells: DataFrame, variances: DataFrame, mixtures: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """rows with regime (1 where the cell is not mapped), var (of the cell, else over all) and the cell's mixture, null without one; all tables by the columns `by` too."""
+    by = by or []
+    on = [*by, "pi", "ti"]
+    everywhere = F.broadcast(variances.filter("pi = -1").select(*by, F.col("var").alias("_var")))
+    rows = rows.join(F.broadcast(cells.select(*on, "regime")), on, "left").join(F.broadcast(variances.select(*on, F.col("var").alias("_own"))), on, "left")
+    rows = rows.join(F.broadcast(mixtures.select(*on, *HAZARD)), on, "left")  # 54 cells at most for each group
+    rows = rows.join(everywhere, by, "left") if by else rows.join(everywhere)
     return rows.withColumns({"regime": F.coalesce("regime", F.lit(1)), "var": F.coalesce("_own", "_var")}).drop("_own", "_var")
 
 
-def scores(markets: DataFrame, unit: float, cells: DataFrame, variances: DataFrame, mixtures: DataFrame, thetas: dict[str, dict[str, float]], garch: dict[str, float], seed: int = 7) -> DataFrame:
-    """(key, ts_days, p, tau, regime, MODELS..., pit): logarithmic score of each move under each model.
+#: The models whose parameters are fitted to segments: of regime 1's rectangle or of all prices, and in which variant.
+FITTED = {"r1": "full", "glob": "full", "clam": "no-sv", "zi": "zi"}
+
+
+def scores(markets: DataFrame, unit: float, cells: DataFrame, variances: DataFrame, mixtures: DataFrame, thetas: DataFrame, garch: DataFrame, seed: int = 7) -> DataFrame:
+    """(fold, key, ts_days, p, tau, regime, MODELS..., pit): logarithmic score of each move of the markets (fold, key, ...) under each model as fitted in its fold.
 
-    thetas: parameters r1, glob, clam (plain) and zi (zero-inflated). The composites use state forecasts in regime 1,
-    the cell's mixture elsewhere and the cell's normal without one. pit is that of composite_zi, randomised within the
-    tick by a hash of seed, key and time. A market's path is filtered in one task; markets are independent.
+    All parameters are tables by fold: cells, variances, mixtures, thetas (fold, model of FITTED, c to pi0) and garch
+    (w, a, b). The composites use state forecasts in regime 1, the cell's mixture elsewhere and the cell's normal
+    without one. pit is that of composite_zi, randomised within the tick by a hash of seed, key and time. A market's
+    path is filtered in one task; markets are independent.
     """
-    names = ["r1", "glob", "clam", "zi"]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos").reset_index(drop=True)
         own = part.assign(run=0)
         out = {}
-        for name in names:
+        for name in FITTED:
             mass, below = np.zeros(len(part)), np.zeros(len(part))
 
             def told(k, prior, at, var, mass=mass, below=below):
@@ -106,20 +142,27 @@ def scores(markets: DataFrame, unit: float, cells: DataFrame, variances: DataFra
                 f = lambda x: float((prior[0] * normal_cdf((x - at[0]) / sd)).sum())
                 mass[k], below[k] = f(part["bhi"][k]) - f(part["blo"][k]), f(part["zlo"][k])
 
+            theta = {c: float(part[f"{name}_{c}"][0]) for c in (states.INFLATED if name == "zi" else states.PLAIN)}
             with np.errstate(all="ignore"):
-                states.filtered(thetas[name], states.batches(own, name == "zi"), seen_by=told)
+                states.filtered(theta, states.batches(own, name == "zi"), seen_by=told)
             out[f"m_{name}"], out[f"f_{name}"] = mass, below
-        var, now = np.zeros(len(part)), garch["w"] / max(1 - garch["a"] - garch["b"], 1e-6)
+        w, a, b = (float(part[f"garch_{c}"][0]) for c in "wab")
+        var, now = np.zeros(len(part)), w / max(1 - a - b, 1e-6)
         for j, x in enumerate(part["dp"].to_numpy()):
             if j:
-                var[j], now = now, garch["w"] + garch["a"] * x * x + garch["b"] * now
-        return pd.DataFrame({"key": part["key"], "pos": part["pos"], "z_prev": part["z"].shift(1), "s2": var, **{c: out[c] for c in kept}})
+                var[j], now = now, w + a * x * x + b * now
+        return pd.DataFrame({"fold": part["fold"], "key": part["key"], "pos": part["pos"], "z_prev": part["z"].shift(1), "s2": var, "zi_pi0": part["zi_pi0"], **{c: out[c] for c in kept}})
 
-    kept = [*(f"m_{n}" for n in names), "f_zi"]
+    kept = [*(f"m_{n}" for n in FITTED), "f_zi"]
     rows = steps(markets, unit)
-    filtered = rows.groupBy("key").applyInPandas(run, "key string, pos int, z_prev double, s2 double, " + ", ".join(f"{c} double" for c in kept))
-    rows = with_cell_fits(rows.filter("pos > 0"), cells, variances, mixtures).join(filtered, ["key", "pos"])
-    pi0, theta = thetas["zi"]["pi0"], {c: F.col(c) for c in HAZARD}
+    wide = garch.select("fold", *(F.col(c).alias(f"garch_{c}") for c in "wab"))
+    for name in FITTED:
+        own = thetas.filter(F.col("model") == name).select("fold", *(F.col(c).alias(f"{name}_{c}") for c in states.INFLATED))
+        wide = wide.join(own, "fold")
+    known = rows.join(F.broadcast(wide), "fold")  # a row a fold
+    filtered = known.groupBy("fold", "key").applyInPandas(run, "fold int, key string, pos int, z_prev double, s2 double, zi_pi0 double, " + ", ".join(f"{c} double" for c in kept))
+    rows = with_cell_fits(rows.filter("pos > 0"), cells, variances, mixtures, ["fold"]).join(filtered, ["fold", "key", "pos"])
+    pi0, theta = F.col("zi_pi0"), {c: F.col(c) for c in HAZARD}
     bucket, mix = gauss_mass(F.col("var"), F.col("k"), unit), F.greatest(tick_mass(F.col("kf"), theta), F.lit(LEAST))
     outside = F.when(F.col("pi0").isNotNull() & (F.col("regime") != 1), mix).otherwise(bucket)
     held = lambda c: F.greatest(F.col(c), F.lit(LEAST))
@@ -134,7 +177,64 @@ def scores(markets: DataFrame, unit: float, cells: DataFrame, variances: DataFra
     low = F.coalesce(low, cdf((F.col("k") - 0.5) * unit / F.greatest(F.sqrt("var"), F.lit(1e-9))))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"), F.lit(":"), F.col("pos"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
     pit = F.least(F.greatest(low + u * F.exp("composite_zi"), F.lit(0.0)), F.lit(1.0))
-    return rows.select("key", "ts_days", "p", "tau", "regime", *MODELS, pit.alias("pit"))
+    return rows.select("fold", "key", "ts_days", "p", "tau", "regime", *MODELS, pit.alias("pit"))
+
+
+@dataclass
+class FoldFits:
+    """Everything fitted to the training markets of each fold, as tables by fold; the arguments of scores()."""
+
+    cells: DataFrame
+    variances: DataFrame
+    mixtures: DataFrame
+    thetas: DataFrame
+    garch: DataFrame
+
+
+def cell_fits(markets: DataFrame, unit: float, least: int = 200, fit_least: int = 50, mixture_least: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Regime map, variances by cell, and mixtures of the cells outside regime 1, of all markets: what forecasts need without any state fit."""
+    raw, moves = raw_panel(markets), standardised(move_panel(markets))
+    cells = map_cells(moves, bulk_fit(moves, fit_least), least=least)
+    ticks = with_cells(raw).select(F.col("pi").alias("di"), "ti", grid.folded_ticks(F.col("p"), F.col("dp"), unit).alias("k"))
+    other = cells.filter("regime <> 1").select(F.col("pi").alias("di"), "ti")
+    mixed = hazard_fits(tick_histogram(ticks.join(F.broadcast(other), ["di", "ti"], "left_semi")), mixture_least)  # 54 cells at most
+    return cells, cell_variances(raw, unit), mixed.withColumnRenamed("di", "pi")
+
+
+def fold_fits(markets: DataFrame, parts: DataFrame, unit: float, folds: tuple[int, ...] = (0, 1), most: int = 400, segment: int = 8, **cell: int) -> FoldFits:
+    """All models fitted to the markets that are `train` in each fold (parts: fold, key, part).
+
+    The map's rectangle, one row a fold, comes to the driver, as segments depend on it; without a rectangle regime 1's
+    models take all prices. The state fits of all folds share their rounds, and so do the GARCH fits.
+    """
+    train = parts.filter("part = 'train'").select("fold", "key").persist()
+    markets = markets.persist()
+    tables, segs = [], []
+    for fold in folds:
+        own = markets.join(train.filter(F.col("fold") == fold).select("key"), "key", "left_semi")
+        cells, variances, mixed = (t.withColumn("fold", F.lit(fold)) for t in cell_fits(own, unit, **cell))
+        cells = cells.persist()
+        tables.append((cells, variances, mixed))
+        r = rectangle(cells).first()
+        inner = (r.p_lo, r.p_hi, r.tau_lo) if r and r.p_lo is not None and r.tau_lo is not None else (0.0, 1.0, 0.0)
+        for names, box in ((("r1", "zi"), inner), (("glob", "clam"), (0.0, 1.0, 0.0))):
+            s = segments(own, *box, least=segment, unit=unit)
+            segs += [s.withColumns({"fold": F.lit(fold), "model": F.lit(m)}) for m in names]
+    every = functools.reduce(DataFrame.unionByName, segs)
+    thetas = states.fits(every, ["full"], most, ["fold", "model"], {(fold, m): [v] for fold in folds for m, v in FITTED.items()})
+    moves = raw_panel(markets.join(train, "key"), ["fold", "key"])
+    cells, variances, mixed = (functools.reduce(DataFrame.unionByName, t) for t in zip(*tables, strict=True))
+    garch = garch_fit(moves, ["fold"], most)
+    train.unpersist()
+    markets.unpersist()
+    return FoldFits(cells, variances, mixed, thetas, garch)
+
+
+def race(markets: DataFrame, parts: DataFrame, unit: float, **how) -> DataFrame:
+    """scores() of the markets that are `test` in each fold, under what was fitted to those that are `train`."""
+    f = fold_fits(markets, parts, unit, **how)
+    test = markets.join(parts.filter("part = 'test'").select("fold", "key"), "key")
+    return scores(test, unit, f.cells, f.variances, f.mixtures, f.thetas, f.garch)
 
 
 def cell_scores(markets: DataFrame, unit: float, cells: DataFrame, variances: DataFrame) -> DataFrame:

@@ -1,43 +1,163 @@
-"""Mixtures of normals with full covariances over market features: fits by Spark ML, densities as Column expressions."""
+"""Mixtures of normals with full covariances over market features.
+
+All mixtures, every number of components and every start, are fitted together: seeds by k-means||, then steps of EM of
+which each is one aggregation of sufficient statistics over the rows. Densities of a given mixture are Column expressions.
+"""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rounds of k-means||, and candidates drawn a round for each component.
+ROUNDS, OVERSAMPLE = 4, 2
+#: Share of a row that each of the other components gets in the first step.
+SMOOTH = 1e-3
+
+
+def log_densities(x: np.ndarray, model: dict) -> np.ndarray:
+    """Logarithm of weight and density of each component (columns) at each row of x; covariances are made positive by growing multiples of the unit matrix."""
+    out = np.empty((len(x), len(model["w"])))
+    for j, (w, mu, cov) in enumerate(zip(model["w"], model["mu"], model["cov"], strict=True)):
+        cov, d = np.array(cov), x.shape[1]
+        more = 1e-8 * max(np.trace(cov) / d, 1e-12)
+        for _ in range(8):
+            try:
+                low = np.linalg.cholesky(cov + more * np.eye(d))
+                break
+            except np.linalg.LinAlgError:
+                more *= 100
+        else:
+            raise np.linalg.LinAlgError("no positive covariance")
+        far = np.linalg.solve(low, (x - np.array(mu)).T)
+        out[:, j] = math.log(w) - 0.5 * (d * math.log(2 * math.pi) + (far * far).sum(axis=0)) - np.log(np.diag(low)).sum()
+    return out
+
+
+def rows_summed(features: DataFrame, columns: list[str], work) -> dict[int, np.ndarray]:
+    """Sums over all rows of what `work` gives for a matrix of them, arrays by number; summed in the tasks, then by number and place."""
 
-def fit(features: DataFrame, columns: list[str], k: int, starts: int = 4, seed: int = 7, most: int = 300, tol: float = 1e-7) -> dict:
-    """The likeliest of `starts` fits with k components: weights, means, covariances, ll (summed), n, bic.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            if len(pdf):
+                for k, v in work(pdf[columns].to_numpy(float)).items():
+                    sums[k] = sums[k] + v if k in sums else v
+        yield pd.DataFrame({"k": list(sums), "v": [v.tolist() for v in sums.values()]})
+
+    parts = features.select(*columns).mapInPandas(run, "k int, v array<double>")
+    got = parts.select("k", F.posexplode("v").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x")).toArrow()  # as many rows as parameters
+    k, i, x = (got.column(c).to_numpy() for c in ("k", "i", "x"))
+    out = {}
+    for one in np.unique(k).tolist():
+        out[one] = np.empty(int((k == one).sum()))
+        out[one][i[k == one]] = x[k == one]
+    return out
 
-    Each step of Spark ML's EM is an aggregation over the rows; the parameters, k times the square of the columns, are
-    all that the driver holds.
+
+def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+
+
+def seeds(features: DataFrame, columns: list[str], most: int, starts: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Candidate centres of each start and their weights, by k-means|| (Bahmani et al. 2012): draws by hash, in proportion to squared distance.
+
+    The candidates, some ROUNDS * OVERSAMPLE * most for a start, are what the driver holds.
     """
-    if k == 1:
-        return single(features, columns)
-    rows = VectorAssembler(inputCols=columns, outputCol="_features").transform(features).select("_features").cache()
-    best = None
-    for s in range(starts):
-        model = GaussianMixture(featuresCol="_features", k=k, maxIter=most, tol=max(tol, 1e-6), seed=seed + s).fit(rows)
-        if best is None or model.summary.logLikelihood > best.summary.logLikelihood:
-            best = model
-    n, d = rows.count(), len(columns)
-    rows.unpersist()
-    parts = [(np.array(g.mean.toArray()), np.array(g.cov.toArray())) for g in best.gaussians]
-    ll, free = best.summary.logLikelihood, (k - 1) + k * d + k * d * (d + 1) // 2
-    return {"k": k, "w": [float(x) for x in best.weights], "mu": [m.tolist() for m, _ in parts], "cov": [c.tolist() for _, c in parts], "ll": ll, "n": n, "bic": -2 * ll + free * math.log(max(n, 1))}
+    x = F.array(*columns)
+    u = lambda s, r: (F.pmod(F.xxhash64(*columns, F.lit(f"{seed}:{s}:{r}")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    first = features.select(*(F.min_by(x, F.struct(u(s, "first"), x)).alias(f"x{s}") for s in range(starts))).first()
+    found = [np.array([first[f"x{s}"]], float) for s in range(starts)]
+    for r in range(ROUNDS):
+        near = lambda s: F.array_min(F.array(*(sum((F.pow(F.col(c) - float(v), 2) for c, v in zip(columns, p, strict=True)), F.lit(0.0)) for p in found[s])))  # noqa: B023, E731
+        rows = features.select(x.alias("x"), *(near(s).alias(f"d{s}") for s in range(starts)), *(u(s, r).alias(f"u{s}") for s in range(starts)))
+        total = rows.agg(*(F.sum(f"d{s}") for s in range(starts))).first()
+        drawn = F.array_compact(F.array(*(F.when(F.col(f"u{s}") * (total[s] or 0.0) < OVERSAMPLE * most * F.col(f"d{s}"), F.lit(s)) for s in range(starts))))
+        for row in rows.select("x", F.explode(drawn).alias("s")).distinct().orderBy("s", "x").collect():
+            found[row.s] = np.vstack([found[row.s], row.x])
+    counts = rows_summed(features, columns, lambda x: {s: np.bincount(distances(x, c).argmin(axis=1), minlength=len(c)).astype(float) for s, c in enumerate(found)})
+    return [(c, counts[s]) for s, c in enumerate(found)]
+
+
+def chosen_centres(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k of the weighted candidates, by k-means++."""
+    out = [candidates[rng.choice(len(candidates), p=weights / weights.sum())]]
+    while len(out) < k:
+        d = weights * distances(candidates, np.array(out)).min(axis=1)
+        out.append(candidates[rng.choice(len(candidates), p=d / d.sum())] if d.sum() > 0 else out[0])
+    return np.array(out)
 
 
-def single(features: DataFrame, columns: list[str]) -> dict:
-    """The one component that fits best: the rows' means and covariances."""
-    d = len(columns)
-    r = features.agg(F.count("*"), *(F.avg(c) for c in columns), *(F.covar_pop(a, b) for a in columns for b in columns)).first()
-    n, mu, cov = r[0], list(r[1 : d + 1]), np.array(r[d + 1 :], float).reshape(d, d)
-    ll = -0.5 * n * (d * math.log(2 * math.pi) + float(np.linalg.slogdet(cov)[1]) + d)
-    return {"k": 1, "w": [1.0], "mu": [mu], "cov": [cov.tolist()], "ll": ll, "n": n, "bic": -2 * ll + (d + d * (d + 1) // 2) * math.log(max(n, 1))}
+def sufficient(x: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Weights, sums and products of rows by their shares in each component, one after another."""
+    products = np.einsum("nj,nd,ne->jde", share, x, x)
+    return np.concatenate([share.sum(axis=0), (share.T @ x).ravel(), products.ravel()])
+
+
+def maximised(sums: np.ndarray, k: int, d: int, n: int) -> dict:
+    own = sums[:k] + 1e-10
+    mu = sums[k : k + k * d].reshape(k, d) / own[:, None]
+    cov = sums[k + k * d :].reshape(k, d, d) / own[:, None, None] - mu[:, :, None] * mu[:, None, :]
+    return {"k": k, "w": (own / n).tolist(), "mu": mu.tolist(), "cov": cov.tolist()}
+
+
+def fit_all(features: DataFrame, columns: list[str], ks=range(1, 9), starts: int = 4, seed: int = 7, most: int = 300, tol: float = 1e-7) -> dict[int, dict]:
+    """The likeliest of `starts` mixtures for each number of components: weights, means, covariances, ll (summed), n, bic.
+
+    A step is one aggregation for all mixtures that have not settled (a gain under tol a row after ten steps); the driver
+    holds their parameters. Rows with equal values count as often as they occur. None without rows.
+    """
+    rows, d = features.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna().persist(), len(columns)
+    n = rows.count()
+    if not n:
+        rows.unpersist()
+        return {}
+    found, ks = seeds(rows, columns, max(ks), starts, seed), list(ks)
+    names = [(k, s) for k in ks for s in range(starts if k > 1 else 1)]
+    centres = {i: chosen_centres(*found[s], k, np.random.default_rng([seed, k, s])) for i, (k, s) in enumerate(names)}
+
+    def first(x: np.ndarray) -> dict[int, np.ndarray]:
+        out = {}
+        for i, c in centres.items():
+            share = np.full((len(x), len(c)), SMOOTH)
+            share[np.arange(len(x)), distances(x, c).argmin(axis=1)] = 1.0
+            out[i] = sufficient(x, share / share.sum(axis=1, keepdims=True))
+        return out
+
+    models = {i: maximised(v, names[i][0], d, n) for i, v in rows_summed(rows, columns, first).items()}
+    last, live = dict.fromkeys(models, -math.inf), set(models)
+    for step in range(most):
+        now = {i: models[i] for i in sorted(live)}
+
+        def expected(x: np.ndarray, now=now) -> dict[int, np.ndarray]:
+            out = {}
+            for i, m in now.items():
+                logs = log_densities(x, m)
+                top = logs.max(axis=1, keepdims=True)
+                own = top + np.log(np.exp(logs - top).sum(axis=1, keepdims=True))
+                out[i] = np.concatenate([[own.sum()], sufficient(x, np.exp(logs - own))])
+            return out
+
+        for i, v in rows_summed(rows, columns, expected).items():
+            models[i]["ll"] = float(v[0])
+            if step > 10 and v[0] - last[i] < tol * n or step == most - 1:
+                live.discard(i)
+            else:
+                last[i] = v[0]
+                models[i] = maximised(v[1:], names[i][0], d, n) | {"ll": float(v[0])}
+        if not live:
+            break
+    rows.unpersist()
+    out: dict[int, dict] = {}
+    for i, (k, _) in enumerate(names):
+        if k not in out or models[i]["ll"] > out[k]["ll"]:
+            free = (k - 1) + k * d + k * d * (d + 1) // 2
+            out[k] = models[i] | {"n": n, "bic": -2 * models[i]["ll"] + free * math.log(max(n, 1))}
+    return out
 
 
 def densities(model: dict, columns: list[str]) -> list[Column]:
@@ -68,12 +188,15 @@ def select(table: DataFrame, tolerance: float = 0.01) -> DataFrame:
 
 
 def held_out(features: DataFrame, columns: list[str], is_test: Column, ks=range(1, 9), starts: int = 4, seed: int = 7) -> tuple[dict, DataFrame]:
-    """The chosen mixture, and (k, train_ll, heldout_ll, bic, chosen): fits on the rows that are no test, scores a row on those that are."""
-    spark, models, rows = features.sparkSession, {}, []
-    train, test = features.filter(~is_test), features.filter(is_test)
-    for k in ks:
-        models[k] = fit(train, columns, k, starts, seed)
-        held = scored(test, models[k], columns).agg(F.avg("ll")).first()[0]
-        rows.append((k, models[k]["ll"] / max(models[k]["n"], 1), held, models[k]["bic"]))
+    """The chosen mixture, and (k, train_ll, heldout_ll, bic, chosen): fits on the rows that are no test, scores a row on those that are, all mixtures in one job."""
+    spark, models = features.sparkSession, fit_all(features.filter(~is_test), columns, ks, starts, seed)
+    test = features.filter(is_test)
+
+    def scored_rows(x: np.ndarray) -> dict[int, np.ndarray]:
+        return {k: np.array([len(x), np.logaddexp.reduce(log_densities(x, m), axis=1).sum()]) for k, m in models.items()}
+
+    sums = rows_summed(test.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna(), columns, scored_rows)
+    rows = [(k, m["ll"] / m["n"], float(sums[k][1] / sums[k][0]) if k in sums else None, m["bic"]) for k, m in models.items()]
     table = select(spark.createDataFrame(rows, "k int, train_ll double, heldout_ll double, bic double"))
-    return models[table.filter("chosen").first().k], table
+    best = table.filter("chosen").first()
+    return models[best.k] if best else {}, table

@@ -28,11 +28,13 @@ def load_markets(bars: DataFrame, catalog: DataFrame, least: int = 5) -> DataFra
     return rows.select("key", "ts_days", F.least(F.greatest("close", F.lit(0.0)), F.lit(1.0)).alias("close"), "final", F.max("ts_days").over(by_key()).alias("t_res"))
 
 
-def raw_panel(markets: DataFrame) -> DataFrame:
-    """A row for each pair of consecutive closes: (key, ts_days, p, dp, dp2, dt, tau)."""
-    rows = markets.withColumn("next", F.lead("close").over(in_time())).withColumn("after", F.lead("ts_days").over(in_time())).filter("after is not null")
+def raw_panel(markets: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A row for each pair of consecutive closes: (key, ts_days, p, dp, dp2, dt, tau); by: what tells series apart (key)."""
+    by = by or ["key"]
+    w = Window.partitionBy(*by).orderBy("ts_days")
+    rows = markets.withColumn("next", F.lead("close").over(w)).withColumn("after", F.lead("ts_days").over(w)).filter("after is not null")
     dp = F.col("next") - F.col("close")
-    return rows.select("key", "ts_days", F.col("close").alias("p"), dp.alias("dp"), (dp * dp).alias("dp2"), (F.col("after") - F.col("ts_days")).alias("dt"), (F.col("t_res") - F.col("ts_days")).alias("tau"))
+    return rows.select(*by, "ts_days", F.col("close").alias("p"), dp.alias("dp"), (dp * dp).alias("dp2"), (F.col("after") - F.col("ts_days")).alias("dt"), (F.col("t_res") - F.col("ts_days")).alias("tau"))
 
 
 def move_panel(markets: DataFrame) -> DataFrame:
@@ -75,18 +77,19 @@ def segments(markets: DataFrame, p_low: float, p_high: float, tau_low: float, ga
     return rows.select("key", "run", *out)
 
 
-def subsample(segs: DataFrame, most: int, seed: int = 7) -> DataFrame:
-    """Whole segments in the order of a hash of seed, key and run, through the first that brings their steps to `most`.
+def subsample(segs: DataFrame, most: int, seed: int = 7, by: list[str] | None = None) -> DataFrame:
+    """Whole segments of each group in the order of a hash of seed, key and run, through the first that brings the group's steps to `most`.
 
-    The order is cut into chunks by the hash, so that no task numbers all segments.
+    The order is cut into chunks by the hash, so that no task numbers all segments of a group.
     """
+    by = by or []
     u = F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"), F.lit(":"), F.col("run")))
-    sizes = segs.groupBy("key", "run").agg((F.count("*") - 1).alias("steps")).withColumn("u", u).withColumn("chunk", F.substring("u", 1, 3))
-    chunks = sizes.groupBy("chunk").agg(F.sum("steps").alias("own"))
-    chunks = chunks.withColumn("chunks_before", F.sum("own").over(Window.orderBy("chunk")) - F.col("own")).drop("own")  # 4096 rows at most
-    within = Window.partitionBy("chunk").orderBy("u", "key", "run").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sizes.join(F.broadcast(chunks), "chunk").withColumn("before", F.col("chunks_before") + F.sum("steps").over(within) - F.col("steps"))
-    return segs.join(sizes.filter(F.col("before") < most).select("key", "run"), ["key", "run"], "left_semi")
+    sizes = segs.groupBy(*by, "key", "run").agg((F.count("*") - 1).alias("steps")).withColumn("u", u).withColumn("chunk", F.substring("u", 1, 3))
+    chunks = sizes.groupBy(*by, "chunk").agg(F.sum("steps").alias("own"))
+    chunks = chunks.withColumn("chunks_before", F.sum("own").over(Window.partitionBy(*by).orderBy("chunk")) - F.col("own")).drop("own")  # 4096 rows a group at most
+    within = Window.partitionBy(*by, "chunk").orderBy("u", "key", "run").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.join(F.broadcast(chunks) if not by else chunks, [*by, "chunk"]).withColumn("before", F.col("chunks_before") + F.sum("steps").over(within) - F.col("steps"))
+    return segs.join(sizes.filter(F.col("before") < most).select(*by, "key", "run"), [*by, "key", "run"], "left_semi")
 
 
 def hourly_pairs(bars: DataFrame) -> DataFrame:

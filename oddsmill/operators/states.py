@@ -1,11 +1,14 @@
 """State-space fits of price segments: a hidden level of volatility (a Markov chain on a grid) over a Kalman filter.
 
 The plain form observes the probit of the price with noise; the zero-inflated form observes the tick that it fell into,
-and stale prices besides. Segments come from panel.segments, samples from panel.subsample; a fit takes one such sample.
+and stale prices besides. Segments come from panel.segments. A fit is a search whose every round is one job: all
+segments are filtered under all points of all searches, and the likelihoods are summed by search and point in the tasks.
 """
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsmill.functions.normal import cdf
-from oddsmill.operators.fits import normal_cdf, simplex
+from oddsmill.operators.fits import normal_cdf
+from oddsmill.operators.panel import subsample
+from oddsmill.operators.search import Descent, run_all
 
 # Nodes of the volatility grid, bounds of s (plain, zero-inflated), eta and pi0, segments filtered at a time.
 NODES, S_MOST, ETA_LEAST, PI0_MOST, BATCH = 13, (2.0, 3.0), 1e-3, 0.95, 1024
@@ -21,8 +26,8 @@ PLAIN, INFLATED = ("c", "alpha", "eta", "phi", "s"), ("c", "alpha", "eta", "phi"
 #: Variants: what is held fixed.
 VARIANTS = {"full": {}, "no-sv": {"phi": 0.0, "s": 1e-8}, "no-noise": {"eta": 1e-6}}
 INFLATED_VARIANTS = {"zi": {}, "zi-off": {"pi0": 0.0}}
-START = {"alpha": 0.5, "eta": 0.02, "phi": 0.9, "s": 0.7, "pi0": 0.3}
-COLUMNS = ("z", "dt", "taup")
+START = {"alpha": 0.5, "eta": 0.02, "phi": 0.9, "s": 0.7}
+COLUMNS, TICKS = ("z", "dt", "taup"), ("zlo", "zhi", "isz")
 
 
 def chain(phi: float, s: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,77 +41,89 @@ def chain(phi: float, s: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return level, weight / weight.sum(), move / move.sum(axis=1, keepdims=True)
 
 
-def batches(rows: pd.DataFrame, inflated: bool) -> list[dict[str, np.ndarray]]:
-    """Segments as padded matrices, long ones first."""
-    names = [*COLUMNS, *(("zlo", "zhi", "isz") if inflated else ())]
-    rows = rows.sort_values(["key", "run", "pos"])
-    cuts = np.flatnonzero(rows["pos"].to_numpy() == 0)
-    sizes = np.diff([*cuts, len(rows)])
+def padded(columns: dict[str, list[np.ndarray]]) -> list[dict[str, np.ndarray]]:
+    """Segments, each an array in every column, as padded matrices, long ones first."""
+    sizes = np.array([len(x) for x in columns["z"]])
     order = np.argsort(-sizes, kind="stable")
     out = []
     for at in range(0, len(order), BATCH):
         some = order[at : at + BATCH]
         b = {"size": sizes[some]}
-        for name in names:
-            values, fill = rows[name].to_numpy(), False if name == "isz" else np.nan
-            b[name] = np.full((len(some), int(sizes[some[0]])), fill, bool if name == "isz" else float)
+        for name, values in columns.items():
+            fill, kind = (False, bool) if name == "isz" else (np.nan, float)
+            b[name] = np.full((len(some), int(sizes[some[0]])), fill, kind)
             for i, k in enumerate(some):
-                b[name][i, : sizes[k]] = values[cuts[k] : cuts[k] + sizes[k]]
+                b[name][i, : sizes[k]] = values[k]
         out.append(b)
     return out
 
 
+def batches(rows: pd.DataFrame, inflated: bool) -> list[dict[str, np.ndarray]]:
+    """Rows of segments as padded matrices."""
+    rows = rows.sort_values(["key", "run", "pos"])
+    cuts = np.flatnonzero(rows["pos"].to_numpy() == 0)[1:]
+    return padded({c: np.split(rows[c].to_numpy(), cuts) for c in (*COLUMNS, *(TICKS if inflated else ()))})
+
+
 def filtered(theta: dict[str, float], parts: list[dict[str, np.ndarray]], pits: bool = False, seed: int = 7, seen_by=None):
-    """Log-likelihood of all steps after the first of each segment, their number, and their probability integral transforms.
+    """Log-likelihood of all steps after the first of each segment, their number, and their probability integral transforms, under one set of parameters."""
+    total, n, found = filtered_many([theta], parts, pits, seed, seen_by)
+    return float(total[0]), n, found
+
+
+def filtered_many(thetas: list[dict[str, float]], parts: list[dict[str, np.ndarray]], pits: bool = False, seed: int = 7, seen_by=None):
+    """Log-likelihoods of the steps after the first of each segment under each set of parameters of one form, the number of steps, and transforms under the first.
 
     Each node holds a normal belief of the level; a day mixes them by the chain and collapses each mixture to its
     moments. seen_by(k, prior, at, variance) is told the predictive mixture of each step. In the zero-inflated form a node's likelihood is the mass of the tick, or staleness where none moved, and
-    the transforms are randomised within the tick.
+    the transforms are randomised within the tick. Arrays go by parameters, segment and node.
     """
-    inflated = "pi0" in theta
-    level, first, move = chain(theta["phi"], theta["s"])
-    noise, rate, rng = theta["eta"] ** 2, theta["c"] * np.exp(level), np.random.default_rng(seed)
-    total, n, found = 0.0, 0, []
+    inflated = "pi0" in thetas[0]
+    level, first, move = (np.stack(x) for x in zip(*(chain(t["phi"], t["s"]) for t in thetas), strict=True))
+    of = lambda c: np.array([t[c] for t in thetas])[:, None, None]
+    noise, rate, alpha, rng = of("eta") ** 2, of("c") * np.exp(level)[:, None, :], of("alpha")[..., 0], np.random.default_rng(seed)
+    pi0 = of("pi0") if inflated else None
+    total, n, found = np.zeros(len(thetas)), 0, []
     for b in parts:
-        z, size = b["z"], b["size"]
-        mean, var, w = np.repeat(z[:, :1], len(level), axis=1), np.full((len(z), len(level)), noise), np.tile(first, (len(z), 1))
+        z, size, shape = b["z"], b["size"], (len(thetas), len(b["z"]), level.shape[1])
+        mean, var, w = (np.broadcast_to(x, shape) for x in (z[None, :, :1], noise, first[:, None, :]))
         for k in range(1, z.shape[1]):
             m = int(np.searchsorted(-size, -k, "left"))  # segments longer than k: the first ones
             if not m:
                 break
-            mean, var, w = mean[:m], var[:m], w[:m]
+            mean, var, w = mean[:, :m], var[:, :m], w[:, :m]
             prior = w @ move
             scale = 1 / (prior + 1e-300)
             at = ((w * mean) @ move) * scale
-            spread = np.maximum(((w * (var + mean * mean)) @ move) * scale - at * at, 0.0) + rate * (b["dt"][:m, k] / b["taup"][:m, k] ** theta["alpha"])[:, None]
+            spread = np.maximum(((w * (var + mean * mean)) @ move) * scale - at * at, 0.0) + rate * (b["dt"][:m, k] / b["taup"][:m, k] ** alpha)[..., None]
             total_var = spread + noise
             sd, gap = np.sqrt(total_var), z[:m, k, None] - at
             if seen_by:
-                seen_by(k, prior, at, total_var)
+                seen_by(k, prior[0], at[0], total_var[0])
             if inflated:
                 below = normal_cdf((b["zlo"][:m, k, None] - at) / sd)
                 mass = np.maximum(normal_cdf((b["zhi"][:m, k, None] - at) / sd) - below, 1e-300)
-                like = (1 - theta["pi0"]) * mass + theta["pi0"] * b["isz"][:m, k, None]
+                like = (1 - pi0) * mass + pi0 * b["isz"][:m, k, None]
                 logs = np.log(prior + 1e-300) + np.log(like + 1e-300)
             else:
                 logs = np.log(prior + 1e-300) - 0.5 * (np.log(2 * np.pi * total_var) + gap * gap / total_var)
-            top = logs.max(axis=1, keepdims=True)
-            own = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
-            total, n = total + float(own.sum()), n + m
+            top = logs.max(axis=2, keepdims=True)
+            own = top[..., 0] + np.log(np.exp(logs - top).sum(axis=2))
+            total, n = total + own.sum(axis=1), n + m
             if pits and inflated:
-                low = (1 - theta["pi0"]) * (prior * below).sum(axis=1) + theta["pi0"] * (z[:m, k - 1] < b["zlo"][:m, k])
-                found.append(np.clip(low + rng.random(m) * np.exp(own), 0.0, 1.0))
+                low = (1 - pi0[0, 0, 0]) * (prior[0] * below[0]).sum(axis=1) + pi0[0, 0, 0] * (z[:m, k - 1] < b["zlo"][:m, k])
+                found.append(np.clip(low + rng.random(m) * np.exp(own[0]), 0.0, 1.0))
             elif pits:
-                found.append((prior * normal_cdf(gap / sd)).sum(axis=1))
+                found.append((prior[0] * normal_cdf(gap[0] / sd[0])).sum(axis=1))
             gain = spread / total_var
             seen, left = at + gain * gap, spread * (1 - gain)
             if inflated:  # seen anew, or stale: the two moments of the mixture
-                q = (1 - theta["pi0"]) * mass / (like + 1e-300)
+                q = (1 - pi0) * mass / (like + 1e-300)
                 mean = q * seen + (1 - q) * at
                 var = q * (left + (seen - mean) ** 2) + (1 - q) * (spread + (at - mean) ** 2)
             else:
                 mean, var = seen, left
-            w = np.exp(logs - own[:, None])
+            w = np.exp(logs - own[..., None])
     return total, n, np.concatenate(found) if found else np.zeros(0)
 
 
@@ -127,44 +144,92 @@ def bound(u: np.ndarray, names: list[str], fixed: dict[str, float], most_s: floa
     return fixed | {k: float(one[k](v)) for k, v in zip(names, u, strict=True)}
 
 
-def fit(rows: pd.DataFrame, variant: str, most: int) -> dict:
-    """Parameters of a variant by the simplex method, from a start by moments."""
-    inflated = variant in INFLATED_VARIANTS
-    names, fixed = (INFLATED, INFLATED_VARIANTS[variant]) if inflated else (PLAIN, VARIANTS[variant])
-    parts, most_s = batches(rows, inflated), S_MOST[inflated]
-    with np.errstate(all="ignore"):
-        b = parts[0]
-        moment = np.nanmean(np.diff(b["z"], axis=1) ** 2 * np.sqrt(b["taup"][:, 1:]) / b["dt"][:, 1:])
-        own = [k for k in names if k not in fixed]
+NUMBERS = (*INFLATED, "ll", "ll_per_obs")
 
-        def cost(u: np.ndarray) -> float:
-            ll, n, _ = filtered(bound(u, own, fixed, most_s), parts)
-            return -ll / n if n and math.isfinite(ll) else math.inf
 
-        u, _, ok = simplex(cost, free({**START, "c": max(float(moment), 1e-4)}, own, most_s), most, 1e-3, 1e-5)
-        theta = bound(u, own, fixed, most_s)
-        ll, n, _ = filtered(theta, parts)
-    return {"pi0": 0.0, **theta, "ll": ll, "n": n, "ll_per_obs": ll / n, "n_free": len(own), "converged": ok}
+def packed(segs: DataFrame, by: list[str], inflated: bool) -> DataFrame:
+    """(part, arrays of COLUMNS and TICKS): a row a segment, which a market's life bounds; part tells the groups of `by` apart."""
+    names = [*COLUMNS, *(TICKS if inflated else ())]
+    part = F.to_json(F.struct(*by)) if by else F.lit("")
+    rows = segs.select(part.alias("part"), "key", "run", "pos", *names)
+    rows = rows.groupBy("part", "key", "run").agg(F.sort_array(F.collect_list(F.struct("pos", *names))).alias("x"))
+    return rows.select("part", *(F.col(f"x.{c}").alias(c) for c in names))
 
 
-NUMBERS = (*INFLATED, "ll", "ll_per_obs")
+def by_part(pdf: pd.DataFrame) -> list[tuple[str, list[dict[str, np.ndarray]]]]:
+    names = [c for c in pdf.columns if c != "part"]
+    return [(part, padded({c: list(rows[c]) for c in names})) for part, rows in pdf.groupby("part", sort=False)]
 
 
-def fits(segs: DataFrame, variants: list[str], most: int = 400, by: list[str] | None = None) -> DataFrame:
-    """(by..., variant, c, alpha, eta, phi, s, pi0, ll, ll_per_obs, n, n_free, converged): each variant fitted to the segments of each group.
+def moments(rows: DataFrame) -> dict[str, dict[str, float]]:
+    """Starts of each part: c from the mean squared move of all steps, scaled to a day at tau 1 and alpha 1/2; pi0 from the share of still ones."""
+    step = F.expr("transform(sequence(1, size(z) - 1), i -> pow(z[i] - z[i - 1], 2) * sqrt(taup[i]) / dt[i])")
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    still = F.aggregate(F.slice("isz", F.lit(2), F.size("isz") - 1), F.lit(0.0), lambda s, v: s + v.cast("double")) if "isz" in rows.columns else F.lit(0.0)
+    got = rows.filter("size(z) > 1").groupBy("part").agg(F.sum(add(step)).alias("y"), F.sum(F.size("z") - 1).alias("n"), F.sum(still).alias("still")).collect()  # a row a part
+    return {r.part: {**START, "c": max(r.y / r.n, 1e-4), "pi0": min(max(0.5 * r.still / r.n, 0.02), 0.6)} for r in got}
 
-    A group and variant is one task and holds its segments: take a sample first (panel.subsample).
-    """
-    by = by or []
-    names = [*by, "variant", *NUMBERS, "n", "n_free", "converged"]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        variant = part["variant"].iloc[0]
-        return pd.DataFrame([{**{c: part[c].iloc[0] for c in by}, "variant": variant, **fit(part, variant, most)}])[names]
+def same_nodes(points: list[dict[str, float]]) -> list[list[int]]:
+    """Places of the points with a chain, and of those without."""
+    flat = [p["s"] <= 1e-6 for p in points]
+    return [x for x in ([k for k, f in enumerate(flat) if not f], [k for k, f in enumerate(flat) if f]) if x]
+
+
+def likelihoods(rows: DataFrame, thetas: dict[tuple[str, str], list[dict[str, float]]]) -> dict[tuple[str, str], list[tuple[float, int]]]:
+    """Log-likelihood and steps of each part's segments under each of its parameters, by (part, variant): one job, summed by point in the tasks."""
 
-    rows = segs.withColumn("variant", F.explode(F.array(*map(F.lit, variants))))
-    schema = ", ".join([*(f"{c} {dict(segs.dtypes)[c]}" for c in by), "variant string", *(f"{c} double" for c in NUMBERS), "n long, n_free long, converged boolean"])
-    return rows.groupBy(*by, "variant").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[str, str, int], list[float]] = {}
+        with np.errstate(all="ignore"):
+            for pdf in batches:
+                for part, own in by_part(pdf):
+                    for (p, variant), points in thetas.items():
+                        if p == part:
+                            for some in same_nodes(points):
+                                lls, n, _ = filtered_many([points[k] for k in some], own)
+                                for k, ll in zip(some, lls.tolist(), strict=True):
+                                    now = sums.setdefault((part, variant, k), [0.0, 0])
+                                    now[0], now[1] = now[0] + ll, now[1] + n
+        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["part", "variant", "k", "ll", "n"])
+
+    got = rows.mapInPandas(run, "part string, variant string, k int, ll double, n long").groupBy("part", "variant", "k").agg(F.sum("ll").alias("ll"), F.sum("n").alias("n")).collect()  # a row a point
+    found = {(r.part, r.variant, r.k): (r.ll, r.n) for r in got}
+    return {name: [found.get((*name, k), (0.0, 0)) for k in range(len(points))] for name, points in thetas.items()}
+
+
+def fits(segs: DataFrame, variants: list[str], most: int = 400, by: list[str] | None = None, only: dict[tuple, list[str]] | None = None) -> DataFrame:
+    """(by..., variant, c, alpha, eta, phi, s, pi0, ll, ll_per_obs, n, n_free, converged): each variant fitted to all segments of each group.
+
+    `only` names the variants of some groups (by their values of `by`). All searches advance together, a job a round,
+    `most` rounds at most.
+    """
+    by, spark = by or [], segs.sparkSession
+    rows = packed(segs, by, any(v in INFLATED_VARIANTS for v in [*variants, *(v for x in (only or {}).values() for v in x)])).persist()
+    starts, searches, shapes = moments(rows), {}, {}
+    for part, start in starts.items():
+        values = tuple(json.loads(part).get(c) for c in by) if by else ()
+        for variant in (only or {}).get(values, variants):
+            inflated = variant in INFLATED_VARIANTS
+            fixed = (INFLATED_VARIANTS if inflated else VARIANTS)[variant]
+            own = [k for k in (INFLATED if inflated else PLAIN) if k not in fixed]
+            searches[part, variant], shapes[part, variant] = Descent(free(start, own, S_MOST[inflated])), (own, fixed, S_MOST[inflated], values)
+    theta = lambda name, u: bound(u, *shapes[name][:3])
+
+    def values_of(asked: dict) -> dict:
+        got = likelihoods(rows, {name: [theta(name, u) for u in points] for name, points in asked.items()})
+        return {name: [-ll / n if n else math.inf for ll, n in x] for name, x in got.items()}
+
+    run_all(searches, values_of, most)
+    ends = {name: theta(name, s.x) for name, s in searches.items()}
+    last = likelihoods(rows, {name: [t] for name, t in ends.items()})
+    rows.unpersist()
+    out = []
+    for name, t in ends.items():
+        (ll, n), t = last[name][0], {"pi0": 0.0, **t}
+        out.append((*shapes[name][3], name[1], *(t[c] for c in INFLATED), float(ll), float(ll / n), int(n), len(shapes[name][0]), searches[name].converged))
+    kinds = [*(f"{c} {dict(segs.dtypes)[c]}" for c in by), "variant string", *(f"{c} double" for c in NUMBERS), "n long", "n_free long", "converged boolean"]
+    return spark.createDataFrame(out, ", ".join(kinds))
 
 
 def nested(found: DataFrame, full: str) -> DataFrame:
@@ -214,3 +279,38 @@ def heldout(segs: DataFrame, thetas: DataFrame, fallback: str, part: str, least:
 
     scored = rows.groupBy(part, "key").applyInPandas(run, f"{part} {dict(segs.dtypes)[part]}, ll double, n long")
     return scored.groupBy(part).agg((F.sum("ll") / F.sum("n")).alias("ll_per_obs"), F.sum("n").alias("n"))
+
+
+#: The partition that has one part, which is also what others fall back on.
+WHOLE = "global"
+
+
+def gate(segs: DataFrame, parts: DataFrame, is_test: DataFrame, most: int = 400, most_steps: int | None = 20_000, least: int = 2000, seed: int = 7) -> DataFrame:
+    """(partition, part, ll_per_obs, n, own): the same held-out segments under one model for all markets, and under one for each part of each partition.
+
+    parts: (key, partition, part); is_test: (key, is_test). Every part is fitted to the segments of its training
+    markets, sampled in one pass to `most_steps` each (None: all); a part with under `least` steps takes the whole's
+    parameters (own false). A last row of each partition, part null, is over all its segments.
+    """
+    whole = is_test.select("key", F.lit(WHOLE).alias("partition"), F.lit("all").alias("part"))
+    sided = whole.unionByName(parts.select("key", "partition", F.col("part").cast("string").alias("part"))).join(is_test, "key")
+    rows = segs.join(sided, "key")
+    train = rows.filter("not is_test")
+    if most_steps is not None:
+        train = subsample(train, most_steps, seed, ["partition", "part"])
+    thetas = fits(train.select("partition", "part", "key", "run", "pos", *COLUMNS), ["full"], most, ["partition", "part"])
+    names = [f"_{c}" for c in PLAIN]
+    usual = thetas.filter(F.col("partition") == WHOLE).select(*(F.col(c).alias(f"w_{c}") for c in PLAIN))
+    known = thetas.filter(F.col("n") >= least).select("partition", "part", *(F.col(c).alias(f"_{c}") for c in PLAIN))
+    held = rows.filter("is_test").join(F.broadcast(known), ["partition", "part"], "left").join(F.broadcast(usual))  # a row a part, and one row
+    held = held.select("partition", "part", F.col("_c").isNotNull().alias("own"), "key", "run", "pos", *COLUMNS, *(F.coalesce(f"_{c}", f"w_{c}").alias(f"_{c}") for c in PLAIN))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        with np.errstate(all="ignore"):
+            ll, n, _ = filtered({c: float(p[f"_{c}"].iloc[0]) for c in PLAIN}, batches(p, False))
+        return p[["partition", "part", "own"]].iloc[:1].assign(ll=ll, n=n)
+
+    scored = held.select("partition", "part", "own", "key", "run", "pos", *COLUMNS, *names).groupBy("partition", "part", "key").applyInPandas(run, "partition string, part string, own boolean, ll double, n long")
+    sums = scored.groupBy("partition", "part").agg(F.sum("ll").alias("ll"), F.sum("n").alias("n"), F.first("own").alias("own"))
+    total = sums.groupBy("partition").agg(F.sum("ll").alias("ll"), F.sum("n").alias("n"), F.min("own").alias("own")).withColumn("part", F.lit(None).cast("string"))
+    return sums.unionByName(total).select("partition", "part", (F.col("ll") / F.col("n")).alias("ll_per_obs"), "n", "own")

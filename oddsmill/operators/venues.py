@@ -15,8 +15,13 @@ def in_time() -> WindowSpec:
     return by_pair().orderBy("ts")
 
 
-def aligned(pairs: DataFrame, bars: DataFrame, unit: str = "day", shift: str = "0 days", least: int = 3) -> DataFrame:
-    """(pair_id, ts, p_k, p_pm): last closes of both venues by floored time, those of k shifted; pairs with `least` rows."""
+def aligned(pairs: DataFrame, bars: DataFrame, unit: str = "day", shift: str | None = None, least: int = 3) -> DataFrame:
+    """(pair_id, ts, p_k, p_pm): last closes of both venues by floored time; pairs with `least` rows.
+
+    Bars of k are stamped where they begin, those of pm are points at their label, so that k's are shifted by their
+    length: a unit, unless `shift` says otherwise.
+    """
+    shift = shift or f"1 {unit}"
 
     def side(key: str, out: str, by: str) -> DataFrame:
         rows = pairs.select("pair_id", F.col(key).alias("key")).join(bars, "key")

@@ -72,7 +72,7 @@ hp1 AS (SELECT *, close - lag(close) OVER w AS dp, mid - lag(mid) OVER w AS dm,
         coalesce(epoch(ts) - epoch(lag(ts) OVER w) = 3600, false) AS ok FROM hp0 WINDOW w AS (PARTITION BY key ORDER BY ts)),
 hp2 AS (SELECT *, lead(dp) OVER w AS dp_next, lead(dm) OVER w AS dm_next, lead(ok) OVER w AS ok_next FROM hp1 WINDOW w AS (PARTITION BY key ORDER BY ts)),
 hp AS (SELECT key, ts, dp, dm, p_prev, dp_next, dm_next, coalesce(ok_next, false) AS ok_next FROM hp2 WHERE ok),
-al0 AS (SELECT a.user_id // 2 AS pair_id, a.day AS ts, a.close AS p_k, b.close AS p_pm FROM daily a JOIN daily b ON a.user_id % 2 = 0 AND b.user_id = a.user_id + 1 AND a.day = b.day),
+al0 AS (SELECT a.user_id // 2 AS pair_id, a.day + INTERVAL 1 DAY AS ts, a.close AS p_k, b.close AS p_pm FROM daily a JOIN daily b ON a.user_id % 2 = 0 AND b.user_id = a.user_id + 1 AND a.day + INTERVAL 1 DAY = b.day),
 al AS (SELECT * FROM al0 QUALIFY count(*) OVER (PARTITION BY pair_id) >= 3),
 alm AS (SELECT pair_id, ts, p_k - lag(p_k) OVER w AS dk, p_pm - lag(p_pm) OVER w AS dm FROM al WINDOW w AS (PARTITION BY pair_id ORDER BY ts)),
 st AS (SELECT event_type AS event, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, k.k AS k, avg(CASE WHEN close > k.k THEN 1.0::DOUBLE ELSE 0 END) AS p
@@ -156,7 +156,7 @@ cells1 AS (SELECT *, dt BETWEEN 0.9 AND 1.1 AND coalesce(dtn BETWEEN 0.9 AND 1.1
 cells2 AS (SELECT pi, ti, count(*) AS n, count(DISTINCT key) AS n_mkts, avg(CASE WHEN abs(dp) < 0.005 THEN 1.0::DOUBLE ELSE 0 END) AS still_frac, avg(sx) AS sx,
            kurtosis_pop(z) AS kurt_z, sum(dp2) AS s, avg(dp2 / dt) AS my, avg(p * (1 - p)) AS mpq, avg(tau) AS mtau, count(*) FILTER (pr) AS np, sum(abs(dp * dpn)) FILTER (pr) AS bp, sum(dp2) FILTER (pr) AS p2
            FROM cells1 GROUP BY pi, ti HAVING count(*) >= 20),
-cells3 AS (SELECT cells2.*, still_frac - sx AS excess_still, CASE WHEN np >= 10 THEN greatest(0, 1 - pi() / 2 * bp / nullif(p2, 0)) END AS jump_share,
+cells3 AS (SELECT cells2.*, still_frac - sx AS excess_still, CASE WHEN np >= 10 AND p2 > 0 THEN greatest(0, 1 - pi() / 2 * bp / p2) END AS jump_share,
            my / nullif(c * pow(mpq, gamma) / pow(mtau, alpha), 0) AS ratio_fit, s / nullif(sum(s) OVER (), 0) AS budget_share FROM cells2, f),
 cells AS (SELECT pi, ti, n, n_mkts, still_frac, excess_still, kurt_z, jump_share, ratio_fit, budget_share,
           CASE WHEN excess_still >= 0.3 THEN 2 WHEN kurt_z >= 30 THEN 3 ELSE 1 END AS regime FROM cells3)"""
@@ -390,6 +390,12 @@ SELECT key, ln(exp(a) + exp(b)) AS ll, CASE WHEN a >= b THEN 0 ELSE 1 END::BIGIN
  UNION ALL (select 'terminal', jump FROM bud0) UNION ALL (select b, 0 FROM (VALUES ('(0,1]'), ('(1,3]'), ('(3,7]'), ('(7,30]'), ('>30')) v(b))),
 x1 AS (SELECT band, sum(s) AS s FROM x0 WHERE band IS NOT NULL GROUP BY band)
 SELECT band, s / nullif(sum(s) OVER (), 0) AS share FROM x1""", "share"),
+    "i03_garch_likelihood": "WITH RECURSIVE " + BASE.strip() + """,
+x0 AS (SELECT key, dp * dp AS y, row_number() OVER (PARTITION BY key ORDER BY ts_days) AS i FROM raw),
+given(k, w, a, b) AS (VALUES (0, 0.0004::DOUBLE, 0.1::DOUBLE, 0.6::DOUBLE), (1, 0.002::DOUBLE, 0.3::DOUBLE, 0.3::DOUBLE)),
+path AS (SELECT k, key, i, y, w, a, b, w / greatest(1 - a - b, 1e-6) AS var FROM x0 CROSS JOIN given WHERE i = 1
+         UNION ALL (select p.k, p.key, x0.i, x0.y, p.w, p.a, p.b, p.w + p.a * p.y + p.b * p.var FROM path p JOIN x0 ON x0.key = p.key AND x0.i = p.i + 1))
+SELECT k::BIGINT AS k, round(-0.5 * sum(ln(var) + y / var + ln(2 * pi())), 6) + 0.0 AS ll, count(*) AS n FROM path GROUP BY k""",
     "i02_cell_variances": _query(f"SELECT CAST({BUCKET} AS BIGINT) AS pi, CAST({BAND} AS BIGINT) AS ti, count(*) AS n, CASE WHEN var_samp(dp) = 0 THEN 0.01::DOUBLE * 0.01::DOUBLE ELSE var_samp(dp) END AS var FROM raw GROUP BY 1, 2 UNION ALL (select -1, -1, count(*), var_samp(dp) FROM raw)", "var"),
     "j03_aligned_hourly": _query("""x0 AS (SELECT a.user_id // 2 AS pair_id, a.hour + INTERVAL 1 HOUR AS ts, a.close AS p_k, b.close AS p_pm FROM hourly a JOIN hourly b ON a.user_id % 2 = 0 AND b.user_id = a.user_id + 1 AND a.hour + INTERVAL 1 HOUR = b.hour)
 SELECT * FROM x0 QUALIFY count(*) OVER (PARTITION BY pair_id) >= 3"""),

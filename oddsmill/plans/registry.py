@@ -182,25 +182,31 @@ def _endgame(v: View) -> DataFrame:
     return fits.endgame_fits(v.raw(), 0.01, least=CELL, movers=10)
 
 
-def _sample(v: View) -> DataFrame:
-    return panel.subsample(panel.segments(v.markets(), 0.05, 0.95, 1.0, least=5, unit=0.01), 1500)
+def _tick_segments(v: View) -> DataFrame:
+    return panel.segments(v.markets(), 0.05, 0.95, 1.0, least=5, unit=0.01)
 
 
 def _cell_scores(v: View) -> DataFrame:
     return forecasts.cell_scores(v.markets(), 0.01, _cells(v), regimes.cell_variances(v.raw(), 0.01))
 
 
-def _scores(v: View) -> DataFrame:
-    ticks = panel.with_cells(v.raw()).select(F.col("pi").alias("di"), "ti", grid.folded_ticks(F.col("p"), F.col("dp"), 0.01).alias("k"))
-    mixed = fits.hazard_fits(regimes.tick_histogram(ticks), 100).withColumnRenamed("di", "pi")
-    thetas = {"r1": STATE, "glob": STATE | {"c": 0.5}, "clam": STATE | {"phi": 0.0, "s": 1e-8}, "zi": STATE | {"pi0": 0.2}}
-    garch = forecasts.garch_fit(v.raw(), 2000)
-    return forecasts.scores(v.markets(), 0.01, _cells(v).withColumn("regime", F.when(F.col("pi") < 4, 1).otherwise(2)), regimes.cell_variances(v.raw(), 0.01), mixed, thetas, garch)
+#: Two sets of GARCH parameters, to test the recurrence in both engines.
+GARCH = [(0.0004, 0.1, 0.6), (0.002, 0.3, 0.3)]
+
+
+def _race(v: View) -> DataFrame:
+    return forecasts.race(v.markets(), panel.folds(v.catalog()).withColumn("fold", F.col("fold").cast("int")), 0.01, segment=5, least=CELL, fit_least=FIT, mixture_least=100)
 
 
 def _mixture(v: View) -> DataFrame:
     rows = panel.random_split(markets.standardised(_features(v), list(markets.CLUSTER_FEATURES)))
-    return mixtures.held_out(rows, ["xstill", "lam", "dlam"], F.col("is_test"), range(1, 4), 2)[1]
+    return mixtures.held_out(rows, list(markets.CLUSTER_FEATURES), F.col("is_test"))[1]
+
+
+def _gate(v: View) -> DataFrame:
+    sides = _venues(v).select("key", F.lit("category").alias("partition"), F.col("category").alias("part")).unionByName(_clusters(v).select("key", F.lit("cluster").alias("partition"), F.col("cluster").cast("string").alias("part")))
+    segs = panel.segments(v.markets(), 0.05, 0.95, 1.0, least=5)
+    return states.gate(segs, sides, panel.random_split(v.catalog().select("key")), least=100)
 
 
 def _clusters(v: View) -> DataFrame:
@@ -293,11 +299,13 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "h06_endgame_cells": lambda v: regimes.endgame_cells(v.raw(), 0.01, least=CELL),
     "h09_wls": lambda v: variance.power_fit(regimes.endgame_cells(v.raw(), 0.01, least=CELL).filter("tot > 0").withColumnRenamed("tot", "my"), least=6),
     "h01_regime_ticks": lambda v: regimes.tick_histogram(regimes.tick_rows(v.raw(), _cells(v).filter("regime = 1 and pi % 2 = 0"), 0.01)),
-    "f06_state_fits": lambda v: states.nested(states.fits(_sample(v), list(states.VARIANTS), 60), "full"),
-    "f07_pit_deciles": lambda v: states.deciles(states.transforms(_sample(v), STATE).select(F.explode("pit").alias("pit"))),
-    "g05_inflated_fits": lambda v: states.nested(states.fits(_sample(v), list(states.INFLATED_VARIANTS), 40), "zi"),
+    "f06_state_fits": lambda v: states.nested(states.fits(panel.segments(v.markets(), 0.05, 0.95, 1.0, least=5), list(states.VARIANTS)), "full"),
+    "f07_pit_deciles": lambda v: states.deciles(states.transforms(panel.segments(v.markets(), 0.05, 0.95, 1.0, least=5), STATE).select(F.explode("pit").alias("pit"))),
+    "g05_inflated_fits": lambda v: states.nested(states.fits(_tick_segments(v), list(states.INFLATED_VARIANTS)), "zi"),
     "i05_cell_scores": _cell_scores,
-    "i06_scores": _scores,
+    "i03_garch_likelihood": lambda v: forecasts.garch_likelihoods(forecasts.garch_series(v.raw(), []), GARCH, []),
+    "i03_garch_fit": lambda v: forecasts.garch_fit(v.raw()),
+    "i06_scores": _race,
     "i07_summary": lambda v: forecasts.summary(_cell_scores(v), ("bucket", "flat"), "flat"),
     "i07_by_regime": lambda v: forecasts.by_regime(_cell_scores(v), ("bucket", "flat")),
     "i08_delta_intervals": lambda v: forecasts.delta_intervals(_cell_scores(v), ("bucket", "flat"), "flat", F.col("key").cast("long")),
@@ -326,6 +334,7 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "k08_categories": lambda v: markets.categories(_tags(v)),
     "k09_cluster_cards": lambda v: markets.cluster_cards(_features(v), v.markets(), _clusters(v), _venues(v)),
     "k10_power_by_cluster": lambda v: variance.power_fit(variance.power_cells(v.moves().join(_clusters(v), "key"), ["cluster"], least=5), ["cluster"]),
+    "k11_gate": _gate,
     "k12_intraday": lambda v: markets.intraday(panel.hourly_pairs(v.bars("hour"))),
     "k13_signature": lambda v: markets.signature(v.bars("hour"), v.bars("day")),
     "k15_signature_quartiles": lambda v: markets.quartiles(markets.signature(markets.long_enough(v.bars("hour"), 8), v.bars("day")), "signature"),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddsmill.functions.normal import probit
-from oddsmill.operators import fits, forecasts, markets, mixtures, panel, regimes, states, variance, venues
+from oddsmill.operators import fits, forecasts, markets, mixtures, panel, regimes, search, states, variance, venues
 from oddsmill.sources import store
 
 
@@ -118,7 +118,10 @@ def test_scores_are_probabilities(spark):
     mixtures_ = spark.createDataFrame([(3, 4, 0.5, 0.1, 1.2, 0.6, 0.6, 0.5)], "pi int, ti int, pi0 double, h double, sigma double, rho_a double, rho_t double, w_a double")
     plain = {"c": 0.2, "alpha": 1.0, "eta": 0.02, "phi": 0.9, "s": 0.5}
     thetas = {"r1": plain, "glob": plain, "clam": {**plain, "phi": 0.0, "s": 1e-8}, "zi": {**plain, "pi0": 0.2}}
-    got = forecasts.scores(table, 0.01, cells, regimes.cell_variances(raw, 0.01), mixtures_, thetas, {"w": 1e-5, "a": 0.1, "b": 0.8})
+    known = spark.createDataFrame([(0, m, *(t.get(c, 0.0) for c in states.INFLATED)) for m, t in thetas.items()], "fold int, model string, " + ", ".join(f"{c} double" for c in states.INFLATED))
+    fold = lambda df: df.withColumn("fold", F.lit(0))
+    garch = spark.createDataFrame([(0, 1e-5, 0.1, 0.8)], "fold int, w double, a double, b double")
+    got = forecasts.scores(fold(table), 0.01, fold(cells), fold(regimes.cell_variances(raw, 0.01)), fold(mixtures_), known, garch)
     found = got.collect()
     assert len(found) == 12 * 24 and all(0 <= r.pit <= 1 for r in found) and all(math.log(1e-12) - 1e-9 <= r[m] <= 1e-9 for r in found for m in forecasts.MODELS)
     assert len({r.model for r in forecasts.summary(got, forecasts.MODELS, "composite").collect()}) == 6
@@ -135,8 +138,151 @@ def test_garch_recovers(spark):
             x = rng.normal(0, math.sqrt(var))
             rows.append((f"k{i}", float(j), float(x)))
             var = 1e-4 + 0.15 * x * x + 0.75 * var
-    got = forecasts.garch_fit(spark.createDataFrame(rows, "key string, ts_days double, dp double"))
-    assert abs(got["a"] - 0.15) < 0.06 and abs(got["a"] + got["b"] - 0.9) < 0.08
+    moves = spark.createDataFrame(rows, "key string, ts_days double, dp double")
+    got = forecasts.garch_fit(moves).first()
+    assert abs(got.a - 0.15) < 0.06 and abs(got.a + got.b - 0.9) < 0.08 and got.converged and got.n == 9000
+    # The recurrence, move by move.
+    w, a, b = got.w, got.a, got.b
+    ll = 0.0
+    for i in range(60):
+        var = w / (1 - a - b)
+        for _, _, x in rows[i * 150 : i * 150 + 150]:
+            ll -= 0.5 * (math.log(2 * math.pi * var) + x * x / var)
+            var = w + a * x * x + b * var
+    close(got.ll_per_obs * 9000, ll, 1e-6)
+    folds = moves.withColumn("fold", F.lit(1)).unionByName(moves.filter("key < 'k3'").withColumn("fold", F.lit(2)))
+    two = {r.fold: r for r in forecasts.garch_fit(folds, ["fold"]).collect()}
+    close(two[1].ll_per_obs, got.ll_per_obs, 1e-5)
+    assert two[2].n < 9000 and two[2].a != got.a
+
+
+def em(x, k, centres, steps=300):
+    """Plain EM of one mixture from hard assignment to given centres."""
+    n, d = x.shape
+    share = np.full((n, k), 1e-3)
+    share[np.arange(n), ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)] = 1
+    share /= share.sum(1, keepdims=True)
+    for _ in range(steps):
+        own = share.sum(0)
+        mu = share.T @ x / own[:, None]
+        logs = np.empty((n, k))
+        for j in range(k):
+            off = x - mu[j]
+            cov = (share[:, j, None] * off).T @ off / own[j]
+            logs[:, j] = math.log(own[j] / n) - 0.5 * (np.einsum("nd,de,ne->n", off, np.linalg.inv(cov), off) + np.linalg.slogdet(cov)[1] + d * math.log(2 * math.pi))
+        row = np.logaddexp.reduce(logs, axis=1)
+        share = np.exp(logs - row[:, None])
+    return row.sum()
+
+
+def test_all_mixtures_in_one_em(spark):
+    """Against plain EM from the true centres, with repeated rows; one component in closed form."""
+    rng = np.random.default_rng(8)
+    centres = np.array([[-4.0, 0, 1], [4, 1, 0], [0, 6, -3]])
+    x = np.concatenate([rng.normal(c, 0.7 + k / 3, (200, 3)) for k, c in enumerate(centres)])
+    x = np.concatenate([x, x[:20]])
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(5)
+    found = mixtures.fit_all(rows, ["a", "b", "c"], range(1, 4), 3)
+    close(found[3]["ll"], em(x, 3, centres), 1e-2)
+    off = x - x.mean(0)
+    close(found[1]["ll"], -0.5 * len(x) * (3 * math.log(2 * math.pi) + np.linalg.slogdet(off.T @ off / len(x))[1] + 3), 1e-3)
+    assert found[1]["ll"] < found[2]["ll"] < found[3]["ll"] and found[3]["n"] == len(x) and found[3]["bic"] < found[2]["bic"]
+    assert mixtures.fit_all(rows.limit(0), ["a", "b", "c"]) == {}
+    means = np.array(sorted(found[3]["mu"]))
+    assert np.abs(means - centres[np.argsort(centres[:, 0])]).max() < 0.3
+
+
+def test_descent():
+    """All searches of a round in one call; Rosenbrock's valley, a flat direction, and a start at the least point."""
+    f = {"valley": lambda u: (1 - u[0]) ** 2 + 100 * (u[1] - u[0] ** 2) ** 2, "flat": lambda u: (u[0] - 3) ** 2 + 1e-12 * u[1], "there": lambda u: float(u @ u)}
+    searches = {"valley": search.Descent(np.array([-1.2, 1.0]), 1e-6, 1e-12), "flat": search.Descent(np.array([40.0, 5.0])), "there": search.Descent(np.zeros(3))}
+    calls = []
+
+    def values(asked):
+        calls.append(set(asked))
+        return {k: [f[k](u) for u in points] for k, points in asked.items()}
+
+    rounds = search.run_all(searches, values, 200)
+    assert rounds == len(calls) < 120 and all(s.converged for s in searches.values()) and calls[0] == set(f) and calls[-1] != set(f)
+    assert np.abs(searches["valley"].x - 1).max() < 1e-3 and abs(searches["flat"].x[0] - 3) < 1e-3 and not searches["there"].x.any()
+
+
+def test_many_parameters_are_filtered_as_one_by_one(spark):
+    rows = paths(7, 20)
+    parts = states.batches(rows, False)
+    thetas = [{"c": c, "alpha": a, "eta": 0.05, "phi": 0.8, "s": s} for c, a, s in ((0.004, 0.5, 0.3), (0.02, 0.1, 1.0), (0.1, 1.0, 0.6))]
+    many, n, _ = states.filtered_many(thetas, parts)
+    for t, ll in zip(thetas, many, strict=True):
+        one, m, _ = states.filtered(t, parts)
+        close(one, ll, 1e-9)
+        assert m == n
+    segs = spark.createDataFrame(rows, "key string, run long, pos int, z double, dt double, taup double").repartition(3)
+    got = states.likelihoods(states.packed(segs, [], False), {("", "full"): [*thetas, {**thetas[0], "s": 1e-9}]})["", "full"]
+    for (ll, m), one in zip(got, [*many, states.filtered({**thetas[0], "s": 1e-9}, parts)[0]], strict=True):
+        close(ll, one, 1e-8)
+        assert m == n
+
+
+def test_fold_fits_see_training_markets_only(spark):
+    """Test markets with other prices change no parameter; scores are of test markets."""
+    rng = np.random.default_rng(3)
+    rows, keys = [], [f"k{i}" for i in range(30)]
+    for i, key in enumerate(keys):
+        p = 0.5
+        for j in range(20):
+            rows.append((key, float(j), round(p, 2), float(i % 2), 25.0))
+            p = min(max(p + rng.normal(0, 0.03), 0.06), 0.94)
+    schema = "key string, ts_days double, close double, final double, t_res double"
+    parts = spark.createDataFrame([(f, k, "train" if i < 15 + 5 * f else "test") for f in (0, 1) for i, k in enumerate(keys)], "fold int, key string, part string")
+    how = {"segment": 5, "least": 20, "fit_least": 5, "mixture_least": 50, "most": 6}
+    one = forecasts.fold_fits(spark.createDataFrame(rows, schema), parts, 0.01, **how)
+    changed = [(k, t, 0.9 if int(k[1:]) >= 20 and j % 2 else c, f, r) for j, (k, t, c, f, r) in enumerate(rows)]
+    two = forecasts.fold_fits(spark.createDataFrame(changed, schema), parts, 0.01, **how)
+    flat = lambda df, *by: sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert flat(one.thetas) == flat(two.thetas) and flat(one.garch) == flat(two.garch) and flat(one.variances) == flat(two.variances)
+    assert {(r.fold, r.model) for r in one.thetas.collect()} == {(f, m) for f in (0, 1) for m in forecasts.FITTED}
+    table = spark.createDataFrame(rows, schema)
+    scored = forecasts.scores(table.join(parts.filter("part = 'test'").select("fold", "key"), "key"), 0.01, one.cells, one.variances, one.mixtures, one.thetas, one.garch)
+    assert {(r.fold, r.key) for r in scored.select("fold", "key").distinct().collect()} == {(f, k) for f in (0, 1) for i, k in enumerate(keys) if i >= 15 + 5 * f}
+
+
+def test_gate(spark):
+    """Two parts of unlike noise do better with a model each; a small part falls back on the whole."""
+    calm, wild = paths(40, 40, eta=0.02, seed=1), paths(40, 40, c=0.6, eta=0.3, seed=2)
+    wild["key"] = "w" + wild["key"]
+    segs = spark.createDataFrame(pd.concat([calm, wild]), "key string, run long, pos int, z double, dt double, taup double")
+    keys = [(f"{w}k{i}", i) for w in ("", "w") for i in range(40)]
+    parts = spark.createDataFrame([(k, "kind", "wild" if k[0] == "w" else "few" if i < 3 else "calm") for k, i in keys], "key string, partition string, part string")
+    test = spark.createDataFrame([(k, i % 3 == 0) for k, i in keys], "key string, is_test boolean")
+    got = {(r.partition, r.part): r for r in states.gate(segs, parts, test, most=60, least=300).collect()}
+    assert got["global", None].n == got["kind", None].n == got["global", "all"].n and got["kind", None].ll_per_obs > got["global", None].ll_per_obs + 0.1
+    assert got["kind", "wild"].own and got["kind", "calm"].own and not got["kind", "few"].own
+    # The whole's parameters on the small part's segments.
+    whole = states.fits(segs.join(test.filter("not is_test"), "key").drop("is_test"), ["full"], 60).first()
+    few = segs.join(test.filter("is_test"), "key").filter("key = 'k0'").toPandas()
+    ll, n, _ = states.filtered({c: whole[c] for c in states.PLAIN}, states.batches(few, False))
+    close(got["kind", "few"].ll_per_obs, ll / n, 1e-3)
+
+
+def test_aligned_by_hand(spark):
+    """Venue k's bars are stamped where they begin, pm's are points at their label."""
+    from datetime import datetime
+
+    at = lambda d, h=0: datetime(2024, 3, d, h)
+    bars = spark.createDataFrame([("k", at(1, 5), 0.1), ("k", at(2, 5), 0.2), ("k", at(3, 5), 0.3), ("k", at(3, 6), 0.35), ("p", at(2), 0.5), ("p", at(3), 0.6), ("p", at(4), 0.7), ("p", at(5), 0.8)], "key string, ts timestamp, close double")
+    pairs = spark.createDataFrame([(0, "k", "p")], "pair_id int, k_key string, pm_key string")
+    got = [(r.ts, r.p_k, r.p_pm) for r in venues.aligned(pairs, bars).orderBy("ts").collect()]
+    assert got == [(at(2), 0.1, 0.5), (at(3), 0.2, 0.6), (at(4), 0.35, 0.7)]
+    hours = spark.createDataFrame([("k", at(1, h), h / 10) for h in range(4)] + [("p", at(1, h), 0.5 + h / 100) for h in range(5)], "key string, ts timestamp, close double")
+    assert [(r.ts.hour, r.p_k) for r in venues.aligned(pairs, hours, "hour").orderBy("ts").collect()] == [(1, 0.0), (2, 0.1), (3, 0.2), (4, 0.3)]
+
+
+def test_jump_share_of_cells_that_do_not_move(spark):
+    rows = [(f"k{i}", float(j), 0.5, 0.0, 0.0, 1.0, 20.0) for i in range(4) for j in range(20)]
+    moves = panel.standardised(spark.createDataFrame(rows, "key string, ts_days double, p double, dp double, dp2 double, dt double, tau double").withColumn("v_gauss", F.lit(0.01)))
+    fit = spark.createDataFrame([(1.0, 1.0, 1.0)], "c double, gamma double, alpha double")
+    (cell,) = regimes.map_cells(moves, fit, least=20, pairs=50).collect()
+    assert cell.n == 80 and cell.jump_share is None and cell.regime == 2
 
 
 def test_mixture_selection(spark):
