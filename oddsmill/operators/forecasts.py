@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import math
 from dataclasses import dataclass
 
@@ -37,8 +38,8 @@ def garch_terms(x: Column, points: list[tuple[float, float, float]]) -> Column:
 
     One pass over the array carries the variances of all points.
     """
-    given = F.array(*(F.struct(*(F.lit(float(v)).alias(c) for v, c in zip(p, "wab", strict=True))) for p in points))
-    first = F.array(*(F.struct(F.lit(w / max(1 - a - b, 1e-6)).alias("var"), F.lit(0.0).alias("s")) for w, a, b in points))
+    given = F.from_json(F.lit(json.dumps([dict(zip("wab", map(float, p), strict=True)) for p in points])), "array<struct<w: double, a: double, b: double>>")  # one literal
+    first = F.transform(given, lambda p: F.struct((p["w"] / F.greatest(1 - p["a"] - p["b"], F.lit(1e-6))).alias("var"), F.lit(0.0).alias("s")))
 
     def step(state: Column, y: Column) -> Column:
         return F.zip_with(state, given, lambda t, p: F.struct((p["w"] + p["a"] * y + p["b"] * t["var"]).alias("var"), (t["s"] + F.log(t["var"]) + y / t["var"]).alias("s")))

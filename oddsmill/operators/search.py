@@ -15,10 +15,10 @@ class Descent:
 
     ask() gives a round's points, tell() takes their values: points along a direction, with the neighbours of the one
     at length 1; and the neighbours of a point where another length was best. It has converged when no gradient is over
-    g_tol, when two steps in a row gained under f_tol, or when no length along the steepest descent gains.
+    g_tol, when three steps in a row gained under f_tol, or when no length along the steepest descent gains.
     """
 
-    def __init__(self, start: np.ndarray, g_tol: float = 1e-5, f_tol: float = 1e-6) -> None:
+    def __init__(self, start: np.ndarray, g_tol: float = 1e-5, f_tol: float = 1e-7) -> None:
         self.x, self.value, self.g_tol, self.f_tol = np.array(start, float), math.inf, g_tol, f_tol
         self.converged, self.stage, self.slow, self.step = not len(self.x), "start", 0, None
         self.gradient, self.inverse = np.zeros(len(self.x)), np.eye(len(self.x))
@@ -62,7 +62,7 @@ class Descent:
         if self.step is not None:
             self.learn(self.step, g - self.gradient)
         self.gradient = g
-        if np.abs(g).max() <= self.g_tol or self.slow >= 2:
+        if np.abs(g).max() <= self.g_tol or self.slow >= 3:
             self.converged = True
         self.aim()
 
