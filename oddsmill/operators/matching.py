@@ -98,6 +98,9 @@ def strikes(k: DataFrame, p: DataFrame) -> DataFrame:
 def by_hand(k: DataFrame, p: DataFrame, pairs=BY_HAND) -> DataFrame:
     """Listed pairs; of several venue-1 markets with the question the one of the largest volume."""
     listed = k.sparkSession.createDataFrame(list(pairs), "unit string, k_key string, question string, quality string")
+    # Both catalogs shrink to the listed markets before they are grouped.
+    k = k.join(F.broadcast(listed.select(F.col("k_key").alias("key"))), "key", "left_semi")
+    p = p.join(F.broadcast(listed.select("question")), "question", "left_semi")
     best = p.groupBy("question").agg(F.min_by(F.struct("key", "volume"), F.struct(-F.coalesce("volume", F.lit(-1.0)), "key")).alias("p"))
     own = k.groupBy(F.col("key").alias("k_key")).agg(F.first("volume").alias("k_vol"))
     met = own.join(F.broadcast(listed), "k_key").join(best, "question")  # a handful of pairs
