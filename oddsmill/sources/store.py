@@ -226,10 +226,10 @@ def number(dollars: Column, fp: Column, legacy: Column, legacy_is_string: Column
 
 
 def candles(raw: DataFrame) -> DataFrame:
-    """Bars of venue-2 candles (end, open, high, low, close, bid, ask): the midpoint stands in for a candle without trades."""
+    """Bars of venue-2 candles (end, open, high, low, close, bid, ask; volume and open_interest if there): the midpoint stands in for a candle without trades."""
     mid = (F.col("bid") + F.col("ask")) / 2
     rows = raw.withColumns({c: F.when(F.col("close").isNull(), mid).otherwise(F.col(c)) for c in ("open", "high", "low")} | {"close": F.coalesce("close", mid)})
-    return rows.filter("close is not null").select("key", F.timestamp_seconds("end").alias("ts"), "open", "high", "low", "close", "bid", "ask")
+    return rows.filter("close is not null").select("key", F.timestamp_seconds("end").alias("ts"), "open", "high", "low", "close", "bid", "ask", *(c for c in ("volume", "open_interest") if c in raw.columns))
 
 
 def resample(points: DataFrame, seconds: int) -> DataFrame:
