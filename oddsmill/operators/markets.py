@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from oddsmill.functions import grid
 from oddsmill.functions.normal import cdf, density, probit
+from oddsmill.operators.quantiles import exact
 from oddsmill.operators.variance import ratio, slope_columns
 
 
@@ -200,8 +201,8 @@ def long_enough(bars: DataFrame, least: int = 48) -> DataFrame:
 
 
 def quartiles(rows: DataFrame, value: str) -> DataFrame:
-    got = rows.agg(F.count(value).alias("n"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return got.select("n", F.col("q")[0].alias("q25"), F.col("q")[1].alias("med"), F.col("q")[2].alias("q75"))
+    got = exact(rows, {value: [0.25, 0.5, 0.75]})[value]
+    return rows.agg(F.count(value).alias("n"), *(F.lit(x).cast("double").alias(c) for x, c in zip(got, ("q25", "med", "q75"), strict=True)))
 
 
 def cluster_cards(features: DataFrame, markets: DataFrame, labels: DataFrame, categories: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from oddsmill.functions import grid
 from oddsmill.functions.normal import density, probit
+from oddsmill.operators.quantiles import exact
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -144,10 +145,9 @@ def kurtosis_by_bucket(moves: DataFrame, least: int = 30) -> DataFrame:
 
 def winsorised(moves: DataFrame) -> DataFrame:
     """z clipped at its 0.005 and 0.995 quantiles and lam at its 0.99 quantile, over all moves."""
-    ends = moves.agg(F.percentile("z", F.array(F.lit(0.005), F.lit(0.995))).alias("_z"), F.percentile("lam", F.lit(0.99)).alias("_lam"))
-    rows = moves.join(F.broadcast(ends))  # one row
-    z = F.least(F.greatest("z", F.col("_z")[0]), F.col("_z")[1])
-    return rows.withColumns({"z": z, "lam": F.least("lam", "_lam")}).drop("_z", "_lam")
+    ends = exact(moves, {"z": [0.005, 0.995], "lam": [0.99]})
+    low, high, most = (F.lit(x).cast("double") for x in (*ends["z"], *ends["lam"]))
+    return moves.withColumns({"z": F.least(F.greatest("z", low), high), "lam": F.least("lam", most)})
 
 
 def acf(moves: DataFrame, columns: list[str], lags: int = 5) -> DataFrame:
