@@ -87,6 +87,21 @@ class View:
             F.when(i % 3 == 0, text("t1")).alias("settlement_ts"),
         )
 
+    def payloads(self) -> DataFrame:
+        """Raw replies of both venues, a page for each key and day: candles of some keys (cents or dollars, without trades in every third hour), price points of others; broken and unknown pages among them, none of some keys."""
+        i, cents, hour = F.col("user_id"), F.round(F.col("close") * 100).cast("long"), F.floor(F.unix_micros("ts") / 3600000000)
+        old = lambda x: F.when((i % 8 == 0) & (hour % 3 != 0), x)
+        new = lambda x: F.when((i % 8 != 0) & (hour % 3 != 0), (x / 100).cast("string"))
+        price = F.struct(*(f(x).alias(n + end) for f, end in ((old, ""), (new, "_dollars")) for n, x in (("open", cents), ("high", cents + 1), ("low", cents - 1), ("close", cents))))
+        candle = F.struct((hour * 3600).alias("end_period_ts"), price.alias("price"), F.struct((cents - 1).alias("close")).alias("yes_bid"), F.struct((cents + 1).alias("close")).alias("yes_ask"))
+        day = F.date_trunc("day", "ts").alias("day")
+        page = lambda rows, name, item: rows.groupBy("user_id", day).agg(F.to_json(F.struct(F.collect_list(item).alias(name))).alias("body"))
+        candles = page(self.bars("hour").filter("user_id % 4 = 0"), "candlesticks", candle).withColumn("kind", F.lit("candles"))
+        points = page(self.prices.filter("user_id % 4 <> 0"), "history", F.struct(F.floor(F.unix_micros("ts") / 1000000).alias("t"), F.col("close").alias("p"))).withColumn("kind", F.lit("points"))
+        rows = candles.unionByName(points).filter("user_id % 10 <> 7")
+        body = F.when((i % 10 == 3) & (F.dayofmonth("day") % 7 == 0), '{"history": [').otherwise(F.col("body"))
+        return rows.select(i.cast("string").alias("key"), F.when(i % 10 == 5, "ticks").otherwise(F.col("kind")).alias("kind"), body.alias("body"))
+
     def series(self) -> DataFrame:
         """Four of five series, by name."""
         i = F.col("i")

@@ -258,9 +258,22 @@ def _normal2(w: float, mu, cov, a: str = "xstill", b: str = "lam") -> str:
     return f"(ln({w}::DOUBLE) - ln(2 * pi()) - ln({det}::DOUBLE) / 2 - ({cov[1][1]}::DOUBLE * {x} * {x} - 2 * {cov[0][1]}::DOUBLE * {x} * {y} + {cov[0][0]}::DOUBLE * {y} * {y}) / {det}::DOUBLE / 2)"
 
 
+#: Hourly bars of the raw replies, by key; their markets are those that no list of finished ones holds.
+REPLIES = """x0 AS (SELECT key, hour AS ts, CAST(epoch(hour) AS BIGINT) // 3600 % 3 <> 0 AS traded, CAST(round(close * 100) AS BIGINT) AS c FROM hourly WHERE user_id % 4 = 0 AND user_id % 6 <> 0),
+x1 AS (SELECT key, ts, (c - 1) / 100.0::DOUBLE AS bid, (c + 1) / 100.0::DOUBLE AS ask, traded, c / 100.0::DOUBLE AS p FROM x0),
+x2 AS (SELECT key, epoch_us(ts) // 1000000 AS t, min(close) AS p FROM ev WHERE user_id % 4 <> 0 AND user_id % 6 <> 0 AND user_id % 10 NOT IN (5, 7) AND NOT (user_id % 10 = 3 AND day(ts) % 7 = 0) GROUP BY ALL),
+x3 AS (SELECT key, ts, CASE WHEN traded THEN p ELSE (bid + ask) / 2 END AS open, CASE WHEN traded THEN ask ELSE (bid + ask) / 2 END AS high, CASE WHEN traded THEN bid ELSE (bid + ask) / 2 END AS low, CASE WHEN traded THEN p ELSE (bid + ask) / 2 END AS close, bid, ask FROM x1
+       UNION ALL SELECT key, make_timestamp((t + 3599) // 3600 * 3600 * 1000000) AS ts, arg_min(p, t), max(p), min(p), arg_max(p, t), NULL, NULL FROM x2 GROUP BY ALL)"""
 SQL = {
     "a05_catalog_upsert": _query("SELECT key, venue, round(CASE WHEN venue = 1 THEN volume + 1 ELSE volume END, 6) AS volume, CASE WHEN venue = 1 THEN 'x' END AS slug FROM cat"),
     "a07_bars_upsert": _query("SELECT key, day AS ts, CASE WHEN close > 0.5 THEN close + 0.001::DOUBLE ELSE close END AS close FROM daily", "close"),
+    "a35_backfill_bars": _query(REPLIES + "\nSELECT * FROM x3", "open high low close bid ask"),
+    "a35_backfill_outcomes": _query(REPLIES + """,
+x4 AS (SELECT key, user_id AS i, count(*) FILTER (user_id % 10 = 3 AND day(ts) % 7 = 0) AS broken FROM ev WHERE user_id % 6 <> 0 GROUP BY ALL),
+x5 AS (SELECT key, i, CASE WHEN i % 10 = 7 THEN 'no payload' WHEN i % 10 = 5 THEN 'unknown kind' WHEN broken > 0 THEN 'malformed' END AS error, (SELECT count(*) FROM x3 WHERE x3.key = x4.key) AS n_bars FROM x4)
+SELECT key, n_bars, CASE WHEN error IS NOT NULL THEN 'failed' WHEN i % 5 <> 4 AND n_bars > 0 THEN 'done' ELSE 'open' END AS status, error, CASE WHEN error IS NULL THEN 0 WHEN i % 20 = 3 THEN 3 ELSE 1 END::BIGINT AS attempts FROM x5"""),
+    "a36_universe": _query(LISTING2 + """\nSELECT key, question, start, "end", closed, final_price, volume FROM l2 WHERE closed AND volume >= 50 AND epoch_us("end") - epoch_us(start) >= 20 * 86400000000""", "volume"),
+    "a37_appended_store": _query("SELECT key, day AS ts, CASE WHEN close > 0.5 THEN close + 0.001::DOUBLE ELSE close END AS close FROM daily", "close"),
     "a08_safe_names": _query("SELECT DISTINCT event_type, user_id, event_type || '_x_y_' || user_id AS name FROM ev"),
     "a09_done_set": _query("SELECT DISTINCT key FROM cat WHERE venue = 0 OR closed"),
     "a12_final_markets": _query("SELECT key, volume FROM cat WHERE closed ORDER BY volume DESC, key LIMIT 20", "volume"),
@@ -482,3 +495,4 @@ SELECT 'E' || e AS event, 'S' || (user_id % 3) AS series, 'S' || (user_id % 3) |
     "k17_ladder_bins": _query("SELECT * FROM lad", "lo hi prob"),
     "k18_strip_moments": _query("SELECT * FROM sm", "total mean std tau_days iv_prop iv_norm"),
 }
+SQL["a36_universe_by_outcomes"] = f"""SELECT key, question, start, "end", closed, final_price, volume FROM ({SQL['a17_parse_markets']}) q WHERE NOT closed"""

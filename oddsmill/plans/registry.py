@@ -1,6 +1,7 @@
 """Named queries over the test tables, and DuckDB SQL with the same results."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from oddsmill.functions import grid, normal
 from oddsmill.operators import fits, forecasts, markets, matching, mixtures, panel, regimes, states, variance, venues
 from oddsmill.plans.market import View
 from oddsmill.plans.oracles import SQL
-from oddsmill.sources import store
+from oddsmill.sources import appended, backfill, store
 
 #: Floors for the small test tables, in both dialects.
 CELL, FIT = 20, 10
@@ -98,6 +99,26 @@ def _upsert(v: View) -> DataFrame:
     return store.latest(bars, new, ["key", "ts"]).select("key", "ts", "close")
 
 
+def _attempts(v: View) -> DataFrame:
+    return backfill.attempts(v.catalog(), v.payloads(), v.catalog().filter("key % 6 = 0"))
+
+
+def _outcomes(v: View) -> DataFrame:
+    letters = v.catalog().filter("key % 20 = 3").select("key", F.lit(2).alias("attempts"))
+    return backfill.outcomes(_attempts(v), backfill.parsed_bars(_attempts(v), 60), letters)
+
+
+def _stored(v: View) -> DataFrame:
+    """Daily bars, then those of them that changed, committed by phases to a store of its own, compacted for one of the venues' frequencies and read back."""
+    bars = v.bars("day").select(F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("venue"), F.lit("1d").alias("freq"), "key", "ts", "close")
+    changed = bars.filter(F.col("close") > 0.5).withColumn("close", F.col("close") + 0.001)
+    kept = appended.Store(v.spark, f"{appended.shared_dir(v.spark)}/bars-{uuid.uuid4().hex}", buckets=8)
+    appended.run_phases(kept, {"first": lambda s: {"bars": bars}, "even": lambda s: {"bars": changed.filter("venue = 'even'")}})
+    kept.compact("bars")
+    appended.run_phases(kept, {"first": lambda s: {"bars": bars}, "odd": lambda s: {"bars": changed.filter("venue = 'odd'")}})
+    return kept.read("bars").select("key", "ts", "close")
+
+
 def _catalog_upsert(v: View) -> DataFrame:
     old = v.catalog().select("key", "venue", "volume")
     new = old.filter("venue = 1").select("key", "venue", (F.col("volume") + 1).alias("volume"), F.lit("x").alias("slug"))
@@ -249,6 +270,11 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "a28_event_tags": lambda v: store.tagged(_tag_objects(v)),
     "a30_alarms": lambda v: store.alarms(v.bars("day"), v.catalog()),
     "a33_top_up": lambda v: store.top_up(store.market_rows(v.listing2()), v.listing2().filter("series_ticker = 'S1'").select(F.col("ticker").alias("key")), 1),
+    "a35_backfill_bars": lambda v: backfill.parsed_bars(_attempts(v), 60).select("key", "ts", *store.DOUBLES[:6]),
+    "a35_backfill_outcomes": _outcomes,
+    "a36_universe": lambda v: backfill.universe(v.listing2(), "tickers", closed=True, volume=50.0, days=20.0),
+    "a36_universe_by_outcomes": lambda v: backfill.universe(v.listing1(), "outcomes", closed=False),
+    "a37_appended_store": _stored,
     "a31_vintage_diff": lambda v: store.vintage_diff(v.bars("day"), _upsert(v)),
     "a32_violations": lambda v: store.violations(v.bars("day"), v.catalog()),
     "a26_series_markets": lambda v: store.series_markets(_tickers(v), 100.0, 5.0).select("key", "series", "volume"),
