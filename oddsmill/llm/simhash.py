@@ -171,12 +171,16 @@ def links(fps: DataFrame, radius: int, first: int | None = None, parts: int = 1,
     tiles = reps.join(F.broadcast(cells), "cell").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
     tiles = tiles.groupBy("cell", "tile", "blocks").agg(F.collect_list(F.struct("fp", "node")).alias("x"))
     tiles = materialise(tiles.select("cell", "tile", "blocks", F.flatten("x.fp").alias("fps"), F.col("x.node").alias("ids")), "simhash-tiles")
-    # A cell pair is met in blocks x blocks tasks, each of a bounded number of tiles from either side.
-    near = tiles.select("cell", "tile", (F.col("tile") % F.col("blocks")).alias("i"), F.explode(F.array(*(F.lit(x).cast("long") for x in offsets))).alias("off"), "fps", "ids")
+    # A cell pair is met in blocks x blocks groups of tiles: block i of the one, with those of other cells near the target, and
+    # block j of the target. The target's tiles are copied for each i of the largest cell near it.
+    off = F.explode(F.array(*(F.lit(x).cast("long") for x in offsets))).alias("off")
+    most = cells.select("cell", "blocks", off).groupBy((F.col("cell") + F.col("off")).alias("target")).agg(F.max("blocks").alias("most"))
+    near = tiles.select("cell", "tile", (F.col("tile") % F.col("blocks")).alias("i"), off, "fps", "ids")
     near = near.withColumn("target", F.col("cell") + F.col("off")).join(F.broadcast(cells.select(F.col("cell").alias("target"), F.col("blocks").alias("other"))), "target")
-    near = near.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other") - 1))).select("target", "j", "off", F.col("tile").alias("from"), "fps", "ids")
-    there = tiles.select(F.col("cell").alias("target"), (F.col("tile") % F.col("blocks")).alias("j"), "tile", F.col("fps").alias("fps2"), F.col("ids").alias("ids2"))
-    met = near.join(there, ["target", "j"]).filter("off <> 0 or from <= tile")
+    near = near.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other") - 1))).select("target", "j", "i", "off", F.col("tile").alias("from"), "fps", "ids")
+    there = tiles.withColumn("target", F.col("cell")).join(F.broadcast(most), "target").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1)))
+    there = there.select("target", (F.col("tile") % F.col("blocks")).alias("j"), "i", "tile", F.col("fps").alias("fps2"), F.col("ids").alias("ids2"))
+    met = near.join(there, ["target", "j", "i"]).filter("off <> 0 or from <= tile")
     run = lambda batches: tile_links(batches, parts, radius, radius if first is None else first, 0 if similarity else 1)
     edges = met.select("target", "tile", "fps", "ids", "fps2", "ids2").mapInArrow(run, "src long, dst long")
     return reps.select("fp", *own, "least", "node", "n"), edges

@@ -76,6 +76,36 @@ def test_simhash(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_links_of_cells_in_many_blocks(spark, monkeypatch):
+    """Cells cut into several blocks of several tiles link what one block does."""
+    rng = np.random.default_rng(11)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 6)]
+    fps = sorted({b ^ sum(1 << int(k) for k in rng.choice(62, rng.integers(0, 7), replace=False)) for b in base for _ in range(30)})
+    table = spark.createDataFrame([(k, [x], 1) for k, x in enumerate(fps)], "doc_id long, fp array<long>, n long")
+
+    def roots(pairs):
+        root = list(range(len(fps)))
+
+        def top(a):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        for a, b in pairs:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+        return [top(a) for a in range(len(fps))]
+
+    expected = roots((a, b) for a in range(len(fps)) for b in range(a) if distance(fps[a], fps[b]) <= 3)
+    assert 1 < len(set(expected)) < len(fps)
+    for tile, block in ((256, 1 << 15), (2, 4), (1, 1), (3, 7)):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        reps, edges = simhash.links(table, 3)
+        ids = {r.node: r.least for r in reps.collect()}
+        assert roots((ids[r.src], ids[r.dst]) for r in edges.collect()) == expected
+
+
 def test_compare_is_exact():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, (300, 1), dtype=np.uint64)
