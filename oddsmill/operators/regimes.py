@@ -38,6 +38,11 @@ def map_cells(moves: DataFrame, fit: DataFrame, least: int = 200, excess: float
         F.sum("dp2").alias("s"), F.avg(F.col("dp2") / F.col("dt")).alias("my"), F.avg(F.col("p") * (1 - F.col("p"))).alias("mpq"), F.avg("tau").alias("mtau"),
         F.sum(F.when(paired, 1).otherwise(0)).alias("pairs"), F.sum(F.when(paired, F.abs(F.col("dp") * F.col("dp_next")))).alias("bipower"), F.sum(F.when(paired, F.col("dp2"))).alias("paired2"),
     ).filter(F.col("n") >= least)
+    return judged(cells, fit, excess, kurt, pairs)
+
+
+def judged(cells: DataFrame, fit: DataFrame, excess: float = 0.3, kurt: float = 30.0, pairs: int = 50) -> DataFrame:
+    """Metrics and regime of cells that are summed up."""
     # greatest() would take 0 for null, where no pair moves.
     jump = F.when((F.col("pairs") >= pairs) & (F.col("paired2") > 0), F.greatest(F.lit(0.0), 1 - (math.pi / 2) * ratio(F.col("bipower"), F.col("paired2"))))
     out = cells.withColumn("excess_still", F.col("still_frac") - F.col("still_exp")).withColumn("jump_share", jump)

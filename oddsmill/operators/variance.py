@@ -177,20 +177,6 @@ def ratios_with_floor(units: DataFrame, least: int, b: int) -> DataFrame:
     return out.select("bucket", "n", *(F.when(enough, F.col(c)).alias(c) for c in ("ratio", "ci_lo", "ci_hi")))
 
 
-def scalars(budgets: DataFrame, moves: DataFrame, least: int = 50) -> DataFrame:
-    """One row: sizes, budget slope, local slopes, power fits over all and over the bulk, lag-1 autocorrelations (winsorised)."""
-    named = lambda df, prefix: df.select(*(F.col(c).alias(f"{prefix}_{c}") for c in df.columns))
-    bulk = moves.filter("p >= 0.15 and p < 0.85")
-    parts = [
-        named(budget_slope(budgets), "budget"), named(local_slopes(moves), "local"), named(power_fit(power_cells(moves, least=least)), "power"),
-        named(power_fit(power_cells(bulk, least=least)), "bulk"), named(acf(winsorised(moves), ["z", "lam"], 1).drop("lag"), "lag1"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(F.broadcast(p))  # one row each
-    return out
-
-
 def level_match(cells: DataFrame, gamma: float) -> DataFrame:
     """(curve, level): factor by which each candidate curve of p meets the cells (p, rate) in geometric mean."""
     pq, z = F.col("p") * (1 - F.col("p")), probit(F.col("p"))

@@ -35,6 +35,12 @@ class View:
     def moves(self) -> DataFrame:
         return panel.standardised(panel.move_panel(self.markets()))
 
+    def restless(self) -> DataFrame:
+        """Moves of which low prices often skip one and high prices leap now and then, so that every regime occurs."""
+        day = F.col("ts_days").cast("long")
+        f = F.when((F.col("p") < 0.3) & (day % 3 != 0), 0.0).when(F.col("p") >= 0.7, F.when(day % 13 == 1, 10.0).otherwise(0.1)).otherwise(1.0)
+        return self.moves().withColumn("f", f).withColumns({"dp": F.col("dp") * F.col("f"), "z": F.col("z") * F.col("f")}).withColumns({"dp2": F.col("dp") * F.col("dp"), "lam": F.col("z") * F.col("z")}).drop("f")
+
     def pairs(self) -> DataFrame:
         """User 2i against user 2i + 1."""
         ids = self.prices.select(F.floor(F.col("user_id") / 2).alias("pair_id")).distinct()

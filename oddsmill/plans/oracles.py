@@ -161,7 +161,6 @@ cells3 AS (SELECT cells2.*, still_frac - sx AS excess_still, CASE WHEN np >= 10
 cells AS (SELECT pi, ti, n, n_mkts, still_frac, excess_still, kurt_z, jump_share, ratio_fit, budget_share,
           CASE WHEN excess_still >= 0.3 THEN 2 WHEN kurt_z >= 30 THEN 3 ELSE 1 END AS regime FROM cells3)"""
 
-
 def _slope(x: str, y: str = "dp2") -> str:
     b = f"(sum({x} * {y}) / nullif(sum({x} * {x}), 0))"
     return b, f"sqrt(greatest(sum({x}*{x}*{y}*{y}) - 2 * {b} * sum({x}*{x}*{x}*{y}) + {b} * {b} * sum({x}*{x}*{x}*{x}), 0)) / nullif(sum({x} * {x}), 0)"
@@ -222,6 +221,18 @@ def _edge(values) -> str:
     return "[" + ", ".join(f"{e!r}::DOUBLE" for e in values) + "]"
 
 
+BOX = f""",
+x0 AS (SELECT pi FROM cells WHERE ti >= 2 GROUP BY pi HAVING avg(CASE WHEN regime = 1 THEN 1.0::DOUBLE ELSE 0 END) > 0.5),
+x1 AS (SELECT ti FROM cells JOIN x0 USING (pi) GROUP BY ti HAVING avg(CASE WHEN regime = 1 THEN 1.0::DOUBLE ELSE 0 END) > 0.5),
+x2 AS (SELECT {_edge(PRICE_EDGES)}[min(pi) + 1] AS p_lo, {_edge(PRICE_EDGES)}[max(pi) + 2] AS p_hi, coalesce(string_agg(pi, ',' ORDER BY pi), '') AS p_buckets FROM x0),
+x3 AS (SELECT {_edge(TAU_EDGES)}[min(ti) + 1] AS tau_lo, coalesce(string_agg(ti, ',' ORDER BY ti), '') AS tau_bands FROM x1)"""
+RESTLESS = """x0r AS (SELECT *, CASE WHEN p < 0.3::DOUBLE AND CAST(ts_days AS BIGINT) % 3 <> 0 THEN 0.0::DOUBLE WHEN p >= 0.7::DOUBLE THEN CASE WHEN CAST(ts_days AS BIGINT) % 13 = 1 THEN 10.0::DOUBLE ELSE 0.1::DOUBLE END ELSE 1.0::DOUBLE END AS f FROM mv),
+mr AS (SELECT * EXCLUDE f REPLACE (dp * f AS dp, dp * f * (dp * f) AS dp2, z * f AS z, z * f * (z * f) AS lam) FROM x0r),"""
+MAP_ROWS = """
+SELECT CAST(cells.pi AS BIGINT) AS pi, CAST(cells.ti AS BIGINT) AS ti, n, CAST(regime AS BIGINT) AS regime, count(*) OVER (PARTITION BY regime) AS cells, sum(budget_share) OVER (PARTITION BY regime) AS share,
+       list_contains(string_split(p_buckets, ','), CAST(cells.pi AS VARCHAR)) AND list_contains(string_split(tau_bands, ','), CAST(cells.ti AS VARCHAR)) AS inside, p_lo, p_hi, tau_lo FROM cells, x2, x3"""
+
+
 RATES = f"SELECT CAST({_steps('p', RATE_EDGES)} AS BIGINT) AS bin, count(*) AS n, avg(p) AS p, avg(dp2 / dt * sqrt(tau)) AS rate, 1.96 * stddev_samp(dp2 / dt * sqrt(tau)) / sqrt(count(*)) AS half FROM mv GROUP BY 1 HAVING count(*) >= 20"
 ENDGAME = f"""x0 AS (SELECT *, p * (1 - p) AS pq, CASE WHEN abs(round_even(dp / 0.01::DOUBLE, 0)) >= 2 THEN 1.0::DOUBLE ELSE 0 END AS m FROM raw WHERE tau <= 30 AND dt <= 1.5 AND dt > 0),
 x1 AS (SELECT list_distinct(quantile_cont(pq, [{", ".join(f"{k}/10.0" for k in range(11))}])) AS e FROM x0),
@@ -362,13 +373,10 @@ x2 AS (SELECT exp(avg(ln(rate) - ln(pq))) AS a, exp(avg(ln(rate) - ln(pq * pq)))
 SELECT * FROM (select 'arcsin' AS curve, a AS level FROM x2 UNION ALL select 'logit', b FROM x2 UNION ALL select 'probit', c FROM x2 UNION ALL select 'power', d FROM x2) q""", "level"),
     "d14_rate_by_price": _query(RATES, "p rate half"),
     "e01_map_cells": _query(CELLS + "\nSELECT * REPLACE (CAST(pi AS BIGINT) AS pi, CAST(ti AS BIGINT) AS ti, CAST(regime AS BIGINT) AS regime) FROM cells", "still_frac excess_still kurt_z jump_share ratio_fit budget_share"),
-    "e04_rectangle": _query(CELLS + f""",
-x0 AS (SELECT pi FROM cells WHERE ti >= 2 GROUP BY pi HAVING avg(CASE WHEN regime = 1 THEN 1.0::DOUBLE ELSE 0 END) > 0.5),
-x1 AS (SELECT ti FROM cells JOIN x0 USING (pi) GROUP BY ti HAVING avg(CASE WHEN regime = 1 THEN 1.0::DOUBLE ELSE 0 END) > 0.5),
-x2 AS (SELECT {_edge(PRICE_EDGES)}[min(pi) + 1] AS p_lo, {_edge(PRICE_EDGES)}[max(pi) + 2] AS p_hi, coalesce(string_agg(pi, ',' ORDER BY pi), '') AS p_buckets FROM x0),
-x3 AS (SELECT {_edge(TAU_EDGES)}[min(ti) + 1] AS tau_lo, coalesce(string_agg(ti, ',' ORDER BY ti), '') AS tau_bands FROM x1)
-SELECT p_lo, p_hi, tau_lo, p_buckets, tau_bands FROM x2, x3"""),
+    "e04_rectangle": _query(CELLS + BOX + "\nSELECT p_lo, p_hi, tau_lo, p_buckets, tau_bands FROM x2, x3"),
     "e05_regime_shares": _query(CELLS + "\nSELECT CAST(regime AS BIGINT) AS regime, count(*) AS cells, sum(budget_share) AS share FROM cells GROUP BY regime", "share"),
+    "e08_map_driver": _query(CELLS + BOX + MAP_ROWS, "share"),
+    "e03_regimes": _query(RESTLESS + (CELLS + BOX).replace("FROM mv ", "FROM mr ") + MAP_ROWS, "share"),
     "e07_pivot": _query(CELLS + "\nSELECT CAST(ti AS BIGINT) AS ti, " + ", ".join(f"max(CASE WHEN pi = {k} THEN n END) AS p{k}" for k in range(9)) + " FROM cells GROUP BY ti"),
     "h01_regime_ticks": _query(CELLS + f""",
 x0 AS (SELECT *, CAST({BUCKET} AS BIGINT) AS pi, CAST({BAND} AS BIGINT) AS ti FROM raw WHERE dt <= 1.5)

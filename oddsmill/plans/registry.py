@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsmill.functions import grid, normal
-from oddsmill.operators import fits, forecasts, markets, matching, mixtures, panel, regimes, states, variance, venues
+from oddsmill.operators import cube, fits, forecasts, markets, matching, mixtures, panel, regimes, states, variance, venues
 from oddsmill.plans.market import View
 from oddsmill.plans.oracles import SQL
 from oddsmill.sources import appended, backfill, store
@@ -150,7 +150,12 @@ def _clustered(v: View) -> DataFrame:
 
 
 def _cells(v: View) -> DataFrame:
-    return regimes.map_cells(v.moves(), regimes.bulk_fit(v.moves(), FIT), least=CELL, pairs=10)
+    return cube.map_cells(cube.moments(v.moves()), CELL, FIT, pairs=10)
+
+
+def _driver(v: View, moves: DataFrame) -> DataFrame:
+    cells = cube.written(cube.map_cells(cube.moments(moves), CELL, FIT, pairs=10), "map")
+    return cube.map_rows(cells, regimes.rectangle(cells))
 
 
 def _segments(v: View) -> DataFrame:
@@ -298,22 +303,24 @@ QUERIES: dict[str, Callable[[View], DataFrame]] = {
     "d03_budget_by_bucket": lambda v: variance.budget_by_bucket(_budgets(v)),
     "d04_budget_bootstrap": lambda v: variance.bootstrap(_units(v), ["bucket"]),
     "d05_local_slopes": lambda v: variance.local_slopes(v.moves()),
-    "d06_local_ratios": lambda v: variance.local_ratios(v.moves()),
+    "d06_local_ratios": lambda v: cube.local_ratios(cube.moments(v.moves())),
     "d07_clustered_bootstrap": lambda v: variance.bootstrap(_clustered(v), ["bucket"]),
     "d08_power_cells": lambda v: variance.power_cells(v.moves(), least=FIT),
-    "d08_power_fit": lambda v: variance.power_fit(variance.power_cells(v.moves(), least=FIT)),
-    "d09_power_fit_bulk": lambda v: variance.power_fit(variance.power_cells(v.moves().filter("p >= 0.15 and p < 0.85"), least=FIT)),
+    "d08_power_fit": lambda v: variance.power_fit(cube.power_cells(cube.moments(v.moves()), least=FIT)),
+    "d09_power_fit_bulk": lambda v: variance.power_fit(cube.power_cells(cube.within(cube.moments(v.moves()), *regimes.BULK), least=FIT)),
     "d10_kurtosis": lambda v: variance.kurtosis_by_bucket(v.moves()),
     "b13_winsorised": lambda v: variance.winsorised(v.moves()).select("key", "ts_days", "z", "lam"),
     "d11_acf": lambda v: variance.acf(v.moves(), ["z", "lam"]),
     "d12_acf_winsorised": lambda v: variance.acf(variance.winsorised(v.moves()), ["z", "lam"]),
     "d15_ratios_with_floor": lambda v: variance.ratios_with_floor(_units(v), 10, 2000),
-    "d17_scalars": lambda v: variance.scalars(_budgets(v), v.moves(), FIT),
+    "d17_scalars": lambda v: cube.scalars(_budgets(v), v.moves(), FIT),
     "d18_level_match": lambda v: variance.level_match(variance.rate_by_price(v.moves(), 0.5, CELL), 1.3),
     "d14_rate_by_price": lambda v: variance.rate_by_price(v.moves(), 0.5, CELL),
     "e01_map_cells": _cells,
     "e04_rectangle": lambda v: _listed(regimes.rectangle(_cells(v)), "p_buckets", "tau_bands"),
     "e05_regime_shares": lambda v: regimes.shares(_cells(v)),
+    "e08_map_driver": lambda v: _driver(v, v.moves()),
+    "e03_regimes": lambda v: _driver(v, v.restless()),
     "e07_pivot": lambda v: regimes.pivoted(_cells(v), "n"),
     "h02_tick_histogram": lambda v: regimes.tick_histogram(regimes.tick_rows(v.raw(), None, 0.01)),
     "h03_tick_masses": _tick_masses,
