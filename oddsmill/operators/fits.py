@@ -23,13 +23,27 @@ HAZARD = ("pi0", "h", "sigma", "rho_a", "rho_t", "w_a")
 
 def normal_cdf(x: np.ndarray) -> np.ndarray:
     """normal.cdf over an array."""
-    a = np.abs(np.asarray(x, float))
+    x = np.asarray(x, float)
+    a = np.abs(x)
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-        body = np.exp(-a * a / 2)
-        near = body * np.polyval(HART[0], a) / np.polyval(HART[1], a)
-        far = body / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / math.sqrt(2 * math.pi)
-    low = np.where(a > 37, 0.0, np.where(a < 7.07106781186547, near, far))
-    return np.where(np.asarray(x) > 0, 1 - low, low)
+        low = np.exp(a * a / -2)
+        parts = []
+        for first, second, *rest in HART:
+            y = a * first
+            y += second
+            for c in rest:
+                y *= a
+                y += c
+            parts.append(y)
+        parts[0] /= parts[1]
+        low = low * parts[0]
+        big = a >= 7.07106781186547
+        if big.any():
+            a = a[big]
+            far = np.exp(a * a / -2) / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / math.sqrt(2 * math.pi)
+            low = np.array(low)
+            low[big] = np.where(a > 37, 0.0, far)
+    return np.where(x > 0, 1 - low, low)
 
 
 def simplex(f: Callable, start: np.ndarray, most: int, x_tol: float, f_tol: float) -> tuple[np.ndarray, float, bool]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 import functools
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,12 +61,57 @@ def garch_parameters(u: np.ndarray) -> tuple[float, float, float]:
     return math.exp(min(u[0], 300.0)), a, (1 - a) * 0.999 * logistic(u[2])
 
 
+#: Where a search begins, and how far from there a first one may end: beyond, a likelihood is too flat to be searched from.
+GARCH_START, GARCH_NEAR = np.array([math.log(1e-4), 0.0, 1.0]), np.array([12.0, 6.0, 6.0])
+
+
+def garch_first(series: DataFrame, by: list[str], most: int) -> dict[tuple, tuple[np.ndarray, np.ndarray | None]]:
+    """Where the search of each group ends that sees only some of its series by hash (states.FIRST moves or so), and its inverse curvature; a task each."""
+    n = series.groupBy(*by).agg(F.sum(F.size("x")).alias("_n"))
+    u = F.pmod(F.xxhash64("key", F.lit("first")), F.lit(1 << 30)) / float(1 << 30)
+    few = series.join(F.broadcast(n), by) if by else series.join(F.broadcast(n))  # a row a group
+    few = few.withColumn("_u", u).filter(F.col("_u") * F.col("_n") < states.FIRST)
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_u", "key"])
+        size = pdf["x"].map(len).to_numpy()
+        x = np.full((len(pdf), int(size.max())), np.nan)
+        for i, v in enumerate(pdf["x"]):
+            x[i, : len(v)] = v
+        s = Descent(GARCH_START, 1e-4)
+
+        def values(asked: dict) -> dict:
+            w, a, b = (np.array(c)[:, None] for c in zip(*map(garch_parameters, asked[0]), strict=True))
+            var, total = np.repeat(w / np.maximum(1 - a - b, 1e-6), len(x), axis=1), np.zeros(len(w))
+            for y in x.T:
+                total += np.nansum(np.log(var) + y / var, axis=1)
+                var = w + a * y + b * var
+            return {0: (0.5 * total / size.sum()).tolist()}
+
+        with np.errstate(all="ignore"):
+            run_all({0: s}, values, most)
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), s.x.tolist(), s.inverse.ravel().tolist(), s.fresh]], columns=[*by, "x", "inverse", "fresh"])
+
+    kinds = dict(series.dtypes)
+    got = few.groupBy(*by).applyInPandas(search, ", ".join([*(f"{c} {kinds[c]}" for c in by), "x array<double>, inverse array<double>, fresh boolean"])).collect()  # a row a group
+    out = {}
+    for r in got:
+        x = np.where(np.isfinite(r.x), r.x, GARCH_START)
+        held = np.clip(x, GARCH_START - GARCH_NEAR, GARCH_START + GARCH_NEAR)
+        out[tuple(r[: len(by)])] = (held, None if r.fresh or (held != r.x).any() else np.array(r.inverse).reshape(len(x), -1))
+    return out
+
+
 def garch_fit(moves: DataFrame, by: list[str] | None = None, most: int = 250) -> DataFrame:
     """(by..., w, a, b, n, ll_per_obs, converged): pooled GARCH(1, 1) of all moves of each group; a round of the searches is one job over all series."""
     by, spark = by or [], moves.sparkSession
-    series = garch_series(moves, by).persist()
+    series = garch_series(moves, by).repartition(2 * spark.sparkContext.defaultParallelism, *by, "key").persist()  # a round has these tasks
     groups = [tuple(r) for r in series.select(*by).distinct().collect()] if by else [()] * bool(series.take(1))  # a row a group
-    searches = {g: Descent(np.array([math.log(1e-4), 0.0, 1.0])) for g in groups}
+    nearer = garch_first(series, by, min(most, states.FIRST_ROUNDS))
+    searches = {}
+    for g in groups:
+        at, inverse = nearer.get(g, (GARCH_START, None))
+        searches[g] = Descent(at, inverse=inverse)
     counts: dict[tuple, int] = {}
 
     def values_of(asked: dict) -> dict:
@@ -131,37 +177,48 @@ def scores(markets: DataFrame, unit: float, cells: DataFrame, variances: DataFra
     path is filtered in one task; markets are independent.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos").reset_index(drop=True)
-        own = part.assign(run=0)
+    def filtered_markets(b: dict[str, np.ndarray], given: pd.Series) -> dict[str, np.ndarray]:
+        """What the state models and GARCH of a fold say of each move of padded markets."""
         out = {}
         for name in FITTED:
-            mass, below = np.zeros(len(part)), np.zeros(len(part))
+            mass, below = np.zeros(b["z"].shape), np.zeros(b["z"].shape)
 
             def told(k, prior, at, var, mass=mass, below=below):
-                sd = np.sqrt(var[0])
-                f = lambda x: float((prior[0] * normal_cdf((x - at[0]) / sd)).sum())
-                mass[k], below[k] = f(part["bhi"][k]) - f(part["blo"][k]), f(part["zlo"][k])
+                m, sd = len(prior), np.sqrt(var)
+                f = lambda x: (prior * normal_cdf((x[:m, k, None] - at) / sd)).sum(axis=1)
+                mass[:m, k], below[:m, k] = f(b["bhi"]) - f(b["blo"]), f(b["zlo"])
 
-            theta = {c: float(part[f"{name}_{c}"][0]) for c in (states.INFLATED if name == "zi" else states.PLAIN)}
-            with np.errstate(all="ignore"):
-                states.filtered(theta, states.batches(own, name == "zi"), seen_by=told)
+            theta = {c: float(given[f"{name}_{c}"]) for c in (states.INFLATED if name == "zi" else states.PLAIN)}
+            states.filtered(theta, [b], seen_by=told)
             out[f"m_{name}"], out[f"f_{name}"] = mass, below
-        w, a, b = (float(part[f"garch_{c}"][0]) for c in "wab")
-        var, now = np.zeros(len(part)), w / max(1 - a - b, 1e-6)
-        for j, x in enumerate(part["dp"].to_numpy()):
-            if j:
-                var[j], now = now, w + a * x * x + b * now
-        return pd.DataFrame({"fold": part["fold"], "key": part["key"], "pos": part["pos"], "z_prev": part["z"].shift(1), "s2": var, "zi_pi0": part["zi_pi0"], **{c: out[c] for c in kept}})
-
-    kept = [*(f"m_{n}" for n in FITTED), "f_zi"]
+        w, a, bb = (float(given[f"garch_{c}"]) for c in "wab")
+        var, now = np.zeros(b["z"].shape), w / max(1 - a - bb, 1e-6)
+        for j in range(1, var.shape[1]):
+            x = b["dp"][:, j]
+            var[:, j], now = now, w + a * x * x + bb * now
+        return {"z_prev": np.concatenate([np.full((len(var), 1), np.nan), b["z"][:, :-1]], axis=1), "s2": var, **out}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, own in pdf.groupby("fold", sort=False):
+                columns = {c: list(own[c]) for c in paths} | {"row": [[float(i)] for i in range(len(own))]}
+                for b in states.padded(columns):
+                    rows = own.iloc[b.pop("row")[:, 0].astype(int)]
+                    with np.errstate(all="ignore"):
+                        out = filtered_markets(b, rows.iloc[0])
+                    yield pd.DataFrame({"fold": rows["fold"].to_numpy(), "key": rows["key"].to_numpy(), "zi_pi0": rows["zi_pi0"].to_numpy(), "pos": [list(range(n)) for n in b["size"]], **{c: [x[:n] for x, n in zip(out[c], b["size"], strict=True)] for c in kept}})
+
+    paths = ["z", "dt", "taup", "zlo", "zhi", "isz", "blo", "bhi", "dp"]
+    kept = ["z_prev", "s2", *(f"m_{n}" for n in FITTED), "f_zi"]
     rows = steps(markets, unit)
     wide = garch.select("fold", *(F.col(c).alias(f"garch_{c}") for c in "wab"))
     for name in FITTED:
         own = thetas.filter(F.col("model") == name).select("fold", *(F.col(c).alias(f"{name}_{c}") for c in states.INFLATED))
         wide = wide.join(own, "fold")
-    known = rows.join(F.broadcast(wide), "fold")  # a row a fold
-    filtered = known.groupBy("fold", "key").applyInPandas(run, "fold int, key string, pos int, z_prev double, s2 double, zi_pi0 double, " + ", ".join(f"{c} double" for c in kept))
+    whole = rows.groupBy("fold", "key").agg(F.sort_array(F.collect_list(F.struct("pos", *paths))).alias("x")).select("fold", "key", *(F.col(f"x.{c}").alias(c) for c in paths))  # a row a market
+    known = whole.repartition(2 * markets.sparkSession.sparkContext.defaultParallelism, "fold", "key").join(F.broadcast(wide), "fold")  # a row a fold
+    filtered = known.mapInPandas(run, "fold int, key string, zi_pi0 double, pos array<int>, " + ", ".join(f"{c} array<double>" for c in kept))
+    filtered = filtered.select("fold", "key", "zi_pi0", F.inline(F.arrays_zip("pos", *kept)))
     rows = with_cell_fits(rows.filter("pos > 0"), cells, variances, mixtures, ["fold"]).join(filtered, ["fold", "key", "pos"])
     pi0, theta = F.col("zi_pi0"), {c: F.col(c) for c in HAZARD}
     bucket, mix = gauss_mass(F.col("var"), F.col("k"), unit), F.greatest(tick_mass(F.col("kf"), theta), F.lit(LEAST))

@@ -16,13 +16,14 @@ class Descent:
     ask() gives a round's points, tell() takes their values: points along a direction, with the neighbours of the one
     at length 1; and the neighbours of a point where another length was best. It has converged when no gradient is over
     g_tol, when three steps in a row gained under f_tol, or when no length along the steepest descent gains.
+    `inverse` is the inverse curvature about the start, where it is known.
     """
 
-    def __init__(self, start: np.ndarray, g_tol: float = 1e-5, f_tol: float = 1e-7) -> None:
+    def __init__(self, start: np.ndarray, g_tol: float = 1e-5, f_tol: float = 1e-7, inverse: np.ndarray | None = None) -> None:
         self.x, self.value, self.g_tol, self.f_tol = np.array(start, float), math.inf, g_tol, f_tol
         self.converged, self.stage, self.slow, self.step = not len(self.x), "start", 0, None
-        self.gradient, self.inverse = np.zeros(len(self.x)), np.eye(len(self.x))
-        self.fresh = True
+        self.gradient, self.inverse = np.zeros(len(self.x)), np.eye(len(self.x)) if inverse is None else inverse
+        self.fresh = inverse is None
 
     @staticmethod
     def around(x: np.ndarray) -> list[np.ndarray]:
