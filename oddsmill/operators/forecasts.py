@@ -98,7 +98,7 @@ def garch_first(series: DataFrame, by: list[str], most: int) -> dict[tuple, tupl
     for r in got:
         x = np.where(np.isfinite(r.x), r.x, GARCH_START)
         held = np.clip(x, GARCH_START - GARCH_NEAR, GARCH_START + GARCH_NEAR)
-        out[tuple(r[: len(by)])] = (held, None if r.fresh or (held != r.x).any() else np.array(r.inverse).reshape(len(x), -1))
+        out[tuple(r[: len(by)])] = (held, None if r.fresh or (held != r.x).any() else states.tamed(np.array(r.inverse).reshape(len(x), -1)))
     return out
 
 

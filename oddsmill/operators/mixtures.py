@@ -1,7 +1,8 @@
 """Mixtures of normals with full covariances over market features.
 
 All mixtures, every number of components and every start, are fitted together: seeds by k-means||, then steps of EM of
-which each is one aggregation of sufficient statistics over the rows. Densities of a given mixture are Column expressions.
+which each is one aggregation of sufficient statistics over the rows. Each mixture's first steps see some of the rows, in
+a task of its own, so that few are left over all rows. Densities of a given mixture are Column expressions.
 """
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 ROUNDS, OVERSAMPLE = 4, 2
 #: Share of a row that each of the other components gets in the first step.
 SMOOTH = 1e-3
+#: Rows that a mixture's first steps see.
+FIRST = 4096
 
 
 def log_densities(x: np.ndarray, model: dict) -> np.ndarray:
@@ -47,16 +51,13 @@ def rows_summed(features: DataFrame, columns: list[str], work) -> dict[int, np.n
             if len(pdf):
                 for k, v in work(pdf[columns].to_numpy(float)).items():
                     sums[k] = sums[k] + v if k in sums else v
-        yield pd.DataFrame({"k": list(sums), "v": [v.tolist() for v in sums.values()]})
+        yield pd.DataFrame([(k, TaskContext.get().partitionId(), v.tobytes()) for k, v in sums.items()], columns=["k", "t", "v"])
 
-    parts = features.select(*columns).mapInPandas(run, "k int, v array<double>")
-    got = parts.select("k", F.posexplode("v").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x")).toArrow()  # as many rows as parameters
-    k, i, x = (got.column(c).to_numpy() for c in ("k", "i", "x"))
-    out = {}
-    for one in np.unique(k).tolist():
-        out[one] = np.empty(int((k == one).sum()))
-        out[one][i[k == one]] = x[k == one]
-    return out
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf["k"].iloc[0], sum(np.frombuffer(v) for v in pdf.sort_values("t")["v"]).tobytes())], columns=["k", "v"])
+
+    parts = features.select(*columns).mapInPandas(run, "k int, t int, v binary").repartition(features.sparkSession.sparkContext.defaultParallelism, "k")
+    return {r.k: np.frombuffer(r.v).copy() for r in parts.groupBy("k").applyInPandas(add, "k int, v binary").collect()}  # a row an array
 
 
 def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -73,11 +74,20 @@ def seeds(features: DataFrame, columns: list[str], most: int, starts: int, seed:
     first = features.select(*(F.min_by(x, F.struct(u(s, "first"), x)).alias(f"x{s}") for s in range(starts))).first()
     found = [np.array([first[f"x{s}"]], float) for s in range(starts)]
     for r in range(ROUNDS):
-        near = lambda s: F.array_min(F.array(*(sum((F.pow(F.col(c) - float(v), 2) for c, v in zip(columns, p, strict=True)), F.lit(0.0)) for p in found[s])))  # noqa: B023, E731
-        rows = features.select(x.alias("x"), *(near(s).alias(f"d{s}") for s in range(starts)), *(u(s, r).alias(f"u{s}") for s in range(starts)))
-        total = rows.agg(*(F.sum(f"d{s}") for s in range(starts))).first()
-        drawn = F.array_compact(F.array(*(F.when(F.col(f"u{s}") * (total[s] or 0.0) < OVERSAMPLE * most * F.col(f"d{s}"), F.lit(s)) for s in range(starts))))
-        for row in rows.select("x", F.explode(drawn).alias("s")).distinct().orderBy("s", "x").collect():
+        near = lambda x, s, found=tuple(found): distances(x, found[s]).min(axis=1)
+        sums = rows_summed(features, columns, lambda x, near=near: {s: np.array([near(x, s).sum()]) for s in range(starts)})
+        total = [float(sums[s][0]) for s in range(starts)]
+
+        def draw(batches: Iterator[pd.DataFrame], near=near, total=total) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                x = pdf[columns].to_numpy(float)
+                for s in range(starts):
+                    own = np.flatnonzero(pdf[f"u{s}"].to_numpy() * total[s] < OVERSAMPLE * most * near(x, s)) if len(x) else ()
+                    if len(own):
+                        yield pd.DataFrame({"s": [s] * len(own), "x": [x[k].tolist() for k in own]})
+
+        rows = features.select(*columns, *(u(s, r).alias(f"u{s}") for s in range(starts)))
+        for row in rows.mapInPandas(draw, "s int, x array<double>").distinct().orderBy("s", "x").collect():
             found[row.s] = np.vstack([found[row.s], row.x])
     counts = rows_summed(features, columns, lambda x: {s: np.bincount(distances(x, c).argmin(axis=1), minlength=len(c)).astype(float) for s, c in enumerate(found)})
     return [(c, counts[s]) for s, c in enumerate(found)]
@@ -94,10 +104,21 @@ def chosen_centres(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.
 
 def sufficient(x: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Weights, sums and products of rows by their shares in each component, one after another."""
-    products = np.einsum("nj,nd,ne->jde", share, x, x)
+    products = np.stack([(x * own[:, None]).T @ x for own in share.T])
     return np.concatenate([share.sum(axis=0), (share.T @ x).ravel(), products.ravel()])
 
 
+def expected_under(x: np.ndarray, models: dict[int, dict]) -> dict[int, np.ndarray]:
+    """Log-likelihood of the rows under each mixture, and what its next one is made from."""
+    out = {}
+    for i, m in models.items():
+        logs = log_densities(x, m)
+        top = logs.max(axis=1, keepdims=True)
+        own = top + np.log(np.exp(logs - top).sum(axis=1, keepdims=True))
+        out[i] = np.concatenate([[own.sum()], sufficient(x, np.exp(logs - own))])
+    return out
+
+
 def maximised(sums: np.ndarray, k: int, d: int, n: int) -> dict:
     own = sums[:k] + 1e-10
     mu = sums[k : k + k * d].reshape(k, d) / own[:, None]
@@ -111,7 +132,8 @@ def fit_all(features: DataFrame, columns: list[str], ks=range(1, 9), starts: int
     A step is one aggregation for all mixtures that have not settled (a gain under tol a row after ten steps); the driver
     holds their parameters. Rows with equal values count as often as they occur. None without rows.
     """
-    rows, d = features.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna().persist(), len(columns)
+    rows, d = features.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna(), len(columns)
+    rows = rows.repartition(2 * features.sparkSession.sparkContext.defaultParallelism, *columns).sortWithinPartitions(*columns).withColumn("_i", F.monotonically_increasing_id()).persist()  # a step has these tasks
     n = rows.count()
     if not n:
         rows.unpersist()
@@ -120,29 +142,42 @@ def fit_all(features: DataFrame, columns: list[str], ks=range(1, 9), starts: int
     names = [(k, s) for k in ks for s in range(starts if k > 1 else 1)]
     centres = {i: chosen_centres(*found[s], k, np.random.default_rng([seed, k, s])) for i, (k, s) in enumerate(names)}
 
-    def first(x: np.ndarray) -> dict[int, np.ndarray]:
+    def first(x: np.ndarray, some=None) -> dict[int, np.ndarray]:
         out = {}
-        for i, c in centres.items():
-            share = np.full((len(x), len(c)), SMOOTH)
-            share[np.arange(len(x)), distances(x, c).argmin(axis=1)] = 1.0
+        for i in centres if some is None else some:
+            share = np.full((len(x), len(centres[i])), SMOOTH)
+            share[np.arange(len(x)), distances(x, centres[i]).argmin(axis=1)] = 1.0
             out[i] = sufficient(x, share / share.sum(axis=1, keepdims=True))
         return out
 
-    models = {i: maximised(v, names[i][0], d, n) for i, v in rows_summed(rows, columns, first).items()}
+    def own_steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A mixture's steps over some rows; none where they are too few for it."""
+        i, x = int(pdf["i"].iloc[0]), pdf.sort_values("_i")[columns].to_numpy(float)
+        k, last = names[i][0], -math.inf
+        try:
+            model = maximised(first(x, [i])[i], k, d, len(x))
+            for step in range(most):
+                v = expected_under(x, {i: model})[i]
+                if not np.isfinite(v).all():
+                    raise FloatingPointError
+                if step > 10 and v[0] - last < tol * len(x):
+                    break
+                last, model = v[0], maximised(v[1:], k, d, len(x))
+        except (ArithmeticError, ValueError, np.linalg.LinAlgError):
+            return pd.DataFrame(columns=["i", "v", "n"])
+        return pd.DataFrame([(i, v[1:].tobytes(), len(x))], columns=["i", "v", "n"])
+
+    u = F.pmod(F.xxhash64("_i", F.lit(f"{seed}:few")), F.lit(1 << 30)) / float(1 << 30)
+    few = rows.filter(u * n < FIRST).withColumn("i", F.explode(F.lit(list(range(len(names))))))  # FIRST rows or so a mixture
+    nearer = few.repartition(len(names), "i").groupBy("i").applyInPandas(own_steps, "i int, v binary, n long").collect()  # a row a mixture
+    models = {r.i: maximised(np.frombuffer(r.v), names[r.i][0], d, r.n) for r in nearer}
+    if missing := [i for i in centres if i not in models]:
+        models |= {i: maximised(v, names[i][0], d, n) for i, v in rows_summed(rows, columns, lambda x: first(x, missing)).items()}
     last, live = dict.fromkeys(models, -math.inf), set(models)
     for step in range(most):
         now = {i: models[i] for i in sorted(live)}
 
-        def expected(x: np.ndarray, now=now) -> dict[int, np.ndarray]:
-            out = {}
-            for i, m in now.items():
-                logs = log_densities(x, m)
-                top = logs.max(axis=1, keepdims=True)
-                own = top + np.log(np.exp(logs - top).sum(axis=1, keepdims=True))
-                out[i] = np.concatenate([[own.sum()], sufficient(x, np.exp(logs - own))])
-            return out
-
-        for i, v in rows_summed(rows, columns, expected).items():
+        for i, v in rows_summed(rows, columns, lambda x, now=now: expected_under(x, now)).items():
             models[i]["ll"] = float(v[0])
             if step > 10 and v[0] - last[i] < tol * n or step == most - 1:
                 live.discard(i)
