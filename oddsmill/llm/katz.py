@@ -8,7 +8,7 @@ Texts are read once. Tasks code the words of a step of texts by a dictionary of
 shared folder; the dictionaries are dealt by word, packed, and get their words' numbers and counts, which return to the
 steps. The pairs of neighbouring words go, packed too, to the bucket of their context, with the documents that hold
 them: there the counts of a pair, its context and all tokens to be scored meet. A bucket is a row of a table: the pairs
-and their counts, then the tokens. Buckets hold some BUCKET tokens. A context with over 1 / HOT of the training tokens
+and their counts, then the tokens, in pieces that are sorted and scored one at a time. Buckets hold some BUCKET tokens. A context with over 1 / HOT of the training tokens
 is dealt out by pair, and what its backoff weight needs is added up beside; there are HOT such contexts at most, and
 the start.
 """
@@ -31,6 +31,8 @@ from oddsmill.llm import files
 from oddsmill.llm.common import IN_WORD, lowered, materialise, scratch, slices
 
 DISCOUNTED, HOT, BUCKET, STEP_BYTES = 5, 1000, 4_000_000, 1 << 24
+#: Unpacked bytes of pairs that a task sorts at a time.
+PIECE_BYTES = 1 << 21
 #: The end of a text as a token (no word is empty), and the number of its start as a context.
 END, START = "", -1
 #: Added to counts in the base score; units of a logarithm in which tokens are added up, exactly and in any order.
@@ -313,25 +315,61 @@ def dealt(steps: DataFrame, words: DataFrame, documents: int, hot_from: float, b
 # -- buckets
 
 
-def table_row(bucket: int, rows: list[tuple], hot_from: float, one: Unigrams) -> pa.RecordBatch:
-    """A bucket's row: types by count, hot contexts, and the packed types and tokens."""
-    parts = [(step, unpack(held)[0].astype(bool), *unpack(blob)) for step, held, blob in rows]
-    joined = lambda k, kind=np.int64: np.concatenate([p[k].astype(kind) for p in parts])
-    h, h_place, h_back = np.unique(joined(2) + START, return_index=True, return_inverse=True)
-    w, w_place, w_back = np.unique(joined(5), return_index=True, return_inverse=True)
-    h_n, w_n = joined(3)[h_place], np.concatenate([np.cumsum(p[6].astype(np.int64))[::-1] for p in parts])[w_place]
-    cut = lambda back, k: np.split(back, np.cumsum([len(p[k]) for p in parts])[:-1])
-    key = np.concatenate([np.repeat(hb, p[4]) * len(w) + wb[p[7]] for p, hb, wb in zip(parts, cut(h_back, 2), cut(w_back, 5), strict=True)])
-    times = joined(9, np.int32)
-    learned = np.concatenate([np.where(p[1][p[8]], 0, p[9]) for p in parts])
-    docs = [np.unique(p[8], return_inverse=True) for p in parts]
-    sizes = np.array([len(d) for d, _ in docs])
-    doc = np.concatenate([(back + at).astype(np.int32) for (_, back), at in zip(docs, np.cumsum(sizes) - sizes, strict=True)])
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    at = starts_of(key)
-    count = np.add.reduceat(learned[order], at, dtype=np.int64)
-    context, word = key[at] // len(w), key[at] % len(w)
+@dataclass
+class Piece:
+    """Pairs of some steps of a bucket: contexts and words with their counts, by pair the places of both and the training count, and the packed tokens."""
+
+    h: np.ndarray
+    h_n: np.ndarray
+    w: np.ndarray
+    w_n: np.ndarray
+    context: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+    tokens: bytes
+
+    @classmethod
+    def of(cls, rows: list[tuple]) -> Piece:
+        parts = [(step, unpack(held)[0].astype(bool), *unpack(blob)) for step, held, blob in rows]
+        joined = lambda k, kind=np.int64: np.concatenate([p[k].astype(kind) for p in parts])
+        h, h_place, h_back = np.unique(joined(2) + START, return_index=True, return_inverse=True)
+        w, w_place, w_back = np.unique(joined(5), return_index=True, return_inverse=True)
+        h_n, w_n = joined(3)[h_place], np.concatenate([np.cumsum(p[6].astype(np.int64))[::-1] for p in parts])[w_place]
+        cut = lambda back, k: np.split(back, np.cumsum([len(p[k]) for p in parts])[:-1])
+        key = np.concatenate([np.repeat(hb, p[4]) * len(w) + wb[p[7]] for p, hb, wb in zip(parts, cut(h_back, 2), cut(w_back, 5), strict=True)])
+        times = joined(9, np.int32)
+        learned = np.concatenate([np.where(p[1][p[8]], 0, p[9]) for p in parts])
+        docs = [np.unique(p[8], return_inverse=True) for p in parts]
+        sizes = np.array([len(d) for d, _ in docs])
+        doc = np.concatenate([(back + at).astype(np.int32) for (_, back), at in zip(docs, np.cumsum(sizes) - sizes, strict=True)])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        at = starts_of(key)
+        count = np.add.reduceat(learned[order], at, dtype=np.int64)
+        tokens = pack(np.diff(at, append=len(key)), doc[order], times[order], np.array([p[0] for p in parts], np.int64), sizes, np.concatenate([d for d, _ in docs]))
+        return cls(h, h_n, w, w_n, (key[at] // len(w)).astype(np.int32), (key[at] % len(w)).astype(np.int32), count, tokens)
+
+
+def table_row(bucket: int, rows: list[tuple], hot_from: float, one: Unigrams, piece: int = PIECE_BYTES) -> pa.RecordBatch:
+    """A bucket's row: types by count, hot contexts, the packed types, and the tokens by piece, with the places of the piece's types.
+
+    Steps are unpacked some `piece` bytes at a time, so that a task holds the types of its bucket and the tokens of one piece.
+    """
+    bound = np.cumsum([struct.unpack_from("<q", blob)[0] for _, _, blob in rows]) // piece
+    cuts = [0, *(np.flatnonzero(np.diff(bound)) + 1).tolist(), len(rows)]
+    found = [Piece.of(rows[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    h, h_place, h_back = np.unique(np.concatenate([p.h for p in found]), return_index=True, return_inverse=True)
+    w, w_place, w_back = np.unique(np.concatenate([p.w for p in found]), return_index=True, return_inverse=True)
+    h_n, w_n = np.concatenate([p.h_n for p in found])[h_place], np.concatenate([p.w_n for p in found])[w_place]
+    cut = lambda back, sizes: np.split(back, np.cumsum(sizes)[:-1])
+    keys = [hb[p.context] * len(w) + wb[p.word] for p, hb, wb in zip(found, cut(h_back, [len(p.h) for p in found]), cut(w_back, [len(p.w) for p in found]), strict=True)]
+    key = np.unique(np.concatenate(keys)) if len(keys) > 1 else keys[0]
+    count, tokens = np.zeros(len(key), np.int64), []
+    for p, own in zip(found, keys, strict=True):
+        place = np.searchsorted(key, own)
+        count[place] += p.count
+        tokens.append({"types": pack(np.diff(place, prepend=0)), "rows": p.tokens})
+    context, word = (key // len(w)).astype(np.int32), (key % len(w)).astype(np.int32)
     having = np.bincount(np.minimum(count, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
     # What hot contexts have here: types of each discounted count, and unigram probability seen.
     crowded = np.flatnonzero(h_n >= hot_from)
@@ -341,16 +379,15 @@ def table_row(bucket: int, rows: list[tuple], hot_from: float, one: Unigrams) ->
         own = count[lo:hi]
         hot.append({"h": int(h[c]), "total": int(h_n[c]), "having": [int((own == r).sum()) for r in range(1, DISCOUNTED + 1)], "seen": float(one.probability(w_n[word[lo:hi]])[own > 0].sum())})
     types = pack(h - START, np.bincount(context, minlength=len(h)), np.diff(w, prepend=0), w_n, word, count)
-    tokens = pack(np.diff(at, append=len(key)), doc[order], times[order], np.array([p[0] for p in parts], np.int64), sizes, np.concatenate([d for d, _ in docs]))
     return rows_of(TABLE, 1, bucket=[bucket], having=[having.tolist()], hot=[hot], types=[types], tokens=[tokens])
 
 
 TABLE = {
-    "bucket": pa.int32(), "having": pa.list_(pa.int64()), "hot": pa.list_(pa.struct([("h", pa.int64()), ("total", pa.int64()), ("having", pa.list_(pa.int64())), ("seen", pa.float64())])), "types": pa.binary(), "tokens": pa.binary(), "step": pa.int64(), "base": pa.binary(),
+    "bucket": pa.int32(), "having": pa.list_(pa.int64()), "hot": pa.list_(pa.struct([("h", pa.int64()), ("total", pa.int64()), ("having", pa.list_(pa.int64())), ("seen", pa.float64())])), "types": pa.binary(), "tokens": pa.list_(pa.struct([("types", pa.binary()), ("rows", pa.binary())])), "step": pa.int64(), "base": pa.binary(),
 }
 
 
-def tabled(rows: DataFrame, hot_from: float, one: Unigrams) -> DataFrame:
+def tabled(rows: DataFrame, hot_from: float, one: Unigrams, piece: int = PIECE_BYTES) -> DataFrame:
     """The table of pairs (bucket, having, hot, types, tokens), a row a bucket, and what texts have by step (step, base)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,12 +399,12 @@ def tabled(rows: DataFrame, hot_from: float, one: Unigrams) -> DataFrame:
                     yield rows_of(TABLE, 1, step=[step], base=[blob])
                     continue
                 if bucket != now and own:
-                    yield table_row(now, own, hot_from, one)
+                    yield table_row(now, own, hot_from, one, piece)
                     own = []
                 now = bucket
                 own.append((step, held, blob))
         if own:
-            yield table_row(now, own, hot_from, one)
+            yield table_row(now, own, hot_from, one, piece)
 
     return materialise(rows.mapInArrow(run, schema(TABLE)), "katz-pairs")
 
@@ -385,8 +422,9 @@ class Types:
 
     @classmethod
     def of(cls, blob: bytes) -> Types:
-        h, runs, w, w_n, word, count = (x.astype(np.int64) for x in unpack(blob))
-        return cls(h + START, np.repeat(np.arange(len(h)), runs), np.cumsum(w), w_n, word, count)
+        h, runs, w, w_n, word, count = unpack(blob)
+        whole = [x.astype(np.int64) for x in (h, w, w_n, count)]
+        return cls(whole[0] + START, np.repeat(np.arange(len(h), dtype=np.int32), runs), np.cumsum(whole[1]), whole[2], word, whole[3])
 
 
 def logarithms(types: Types, one: Unigrams, d: np.ndarray, hot: dict[int, tuple[float, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -441,11 +479,13 @@ class Model:
             """What each bucket adds to the texts of a step, in whole UNITS."""
             for b in batches:
                 for k in range(b.num_rows):
-                    t, (runs, doc, times, step, sizes, place) = Types.of(b.column(0)[k].as_py()), unpack(b.column(1)[k].as_py())
-                    p = np.repeat(-logarithms(t, one, d, hot)[0], runs)
-                    own = np.bincount(doc, np.rint(p * times * UNITS), len(place)).astype(np.int64)
-                    ends = np.cumsum(sizes.astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(step.astype(np.int64)), pa.array([pack(place[e - n : e], own[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())], names=["step", "part"])
+                    p = -logarithms(Types.of(b.column(0)[k].as_py()), one, d, hot)[0]
+                    for piece in b.column(1)[k]:
+                        (at,), (runs, doc, times, step, sizes, place) = unpack(piece["types"].as_py()), unpack(piece["rows"].as_py())
+                        own = np.repeat(p[np.cumsum(at, dtype=np.int64)], runs)
+                        own = np.bincount(doc, np.rint(own * times * UNITS), len(place)).astype(np.int64)
+                        ends = np.cumsum(sizes.astype(np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(step.astype(np.int64)), pa.array([pack(place[e - n : e], own[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())], names=["step", "part"])
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -464,12 +504,12 @@ class Model:
         return rows.mapInArrow(whole, "id long, held boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def train(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_id", step_bytes: int = STEP_BYTES, bucket: int = BUCKET, hot: int = HOT) -> Model:
+def train(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_id", step_bytes: int = STEP_BYTES, bucket: int = BUCKET, hot: int = HOT, piece: int = PIECE_BYTES) -> Model:
     """A model of the texts that are not held, with all texts coded by it.
 
     Null and empty texts are the end alone. Every row is a text, repeated rows too; `held` null counts as held, ids may be
     null. Without training texts every word is unknown and has probability 1. Other columns are ignored; step_bytes,
-    bucket and hot change the way, not the result.
+    bucket, hot and piece change the way, not the result.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(held, F.lit(True)).alias("held"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -481,7 +521,7 @@ def train(docs: DataFrame, held: Column, text: str = "text", doc_id: str = "doc_
     one = Unigrams.of(got[1] or 0, got[0] or 0, [x or 0 for x in got[2:]])
     hot_from = max(one.tokens / hot, 1)
     buckets = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-tokens // bucket))
-    table = tabled(dealt(steps, words, documents, hot_from, buckets, one), hot_from, one)
+    table = tabled(dealt(steps, words, documents, hot_from, buckets, one), hot_from, one, piece)
     having = table.agg(*(F.sum(F.get("having", F.lit(k))) for k in range(DISCOUNTED + 1))).first()
     d = discounts([x or 0 for x in having])
     x = table.select(F.explode("hot").alias("x")).select("x.*")

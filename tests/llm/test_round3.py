@@ -175,6 +175,32 @@ def test_katz(spark, parts, options):
     assert len({(r.h, r.w) for r in pairs}) == len(pairs) and all(close(10**r.log10_p, p(word[r.h], word[r.w])) for r in pairs)
 
 
+def test_katz_in_pieces(spark):
+    """Buckets of many pieces give the same texts the same scores, and a bucket's memory is that of its types and one piece."""
+    import tracemalloc
+
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(written(), "doc_id long, text string, out boolean").repartition(5)
+    scores = [sorted(map(str, katz.train(docs, F.col("out"), step_bytes=40, bucket=500, **more).scores().collect())) for more in ({}, {"piece": 1}, {"piece": 200})]
+    assert scores[0] == scores[1] == scores[2]
+
+    rng, rows, n = np.random.default_rng(3), [], 0
+    ids, counts = np.arange(3000) * 7, np.arange(3000, 0, -1)
+    for step in range(40):
+        codes = rng.integers(0, 60, 50_000)
+        sizes = np.full(500, 100)
+        ((_, blob),) = katz.pairs(codes, sizes, ids, counts, 1000, 1e9, 1)
+        rows.append((step, katz.pack(rng.integers(0, 2, 500)), blob))
+        n += len(codes)
+    one = katz.Unigrams.of(n, 3000, [5, 4, 3, 2, 1, 1])
+    tracemalloc.start()
+    katz.table_row(0, rows, 1e9, one)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 * n  # 55 bytes a token where all steps are sorted at once
+
+
 def test_katz_without_training_texts(spark):
     from pyspark.sql import functions as F
 
