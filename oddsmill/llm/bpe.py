@@ -7,9 +7,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -17,11 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddsmill.llm.common import schema_of
+from oddsmill.llm.common import IN_WORD, flat, schema_of, slices, spread
 
 M64 = (1 << 64) - 1
-#: Pre-tokens remembered by a task, and the longest of them in characters.
-MEMO, MEMO_CHARS = 1 << 18, 64
+#: A pattern none of whose matches goes on over white space after other characters, so that a text can be cut before each run of it.
+WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of texts whose chunks are looked up together, each different one once.
+SLICE_BYTES = 4 << 20
+#: Last bytes of white space outside ASCII, and those that come before them; control characters that are white space.
+LAST, PENULTIMATE = (np.isin(np.arange(256), x) for x in ([*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF], [0xC2, 0x9A, 0x80, 0x81]))
+CONTROL = np.isin(np.arange(256), range(0x1C, 0x20))
+#: Pre-tokens remembered by a task, and by a worker that only digests, and the longest of them in characters.
+MEMO, WORKER_MEMO, MEMO_CHARS = 1 << 18, 600_000, 64
 
 
 class Vocabulary:
@@ -109,25 +117,65 @@ def load(path: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())})
 
 
+def chunked(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Texts without nulls, cut before runs of ASCII white space that other characters precede, and the chunks of each text."""
+    raw, offsets = flat(text)
+    on = IN_WORD[raw]
+    cut = np.flatnonzero(on[:-1] & ~on[1:]) + 1
+    before = raw[cut - 1]
+    suspect = LAST[before] & PENULTIMATE[raw[np.maximum(cut - 2, 0)]] | CONTROL[before]  # may be white space too: no cut
+    new = np.zeros(len(raw), bool)
+    new[cut[~suspect]] = True
+    new[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    starts = np.flatnonzero(new)
+    places = np.append(starts, len(raw)).astype(np.int32)
+    chunks = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(raw.tobytes())])
+    return chunks, np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=len(text))
+
+
 class Encoder:
     """Texts to ids within a task."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
-        self.vocabulary, self.split, self.memo = vocabulary, regex.compile(pattern).findall, {}
+    def __init__(self, vocabulary: Vocabulary, pattern: str, most: int = MEMO) -> None:
+        self.vocabulary, self.split, self.wordwise, self.memo, self.most = vocabulary, regex.compile(pattern).findall, pattern == WORDWISE, {}, most
 
-    def ids(self, text: str | None) -> list[int]:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        found = []
-        for t in self.split(text or ""):
+    def packed(self, text: str) -> bytes:
+        """Ids as unsigned 32-bit integers."""
+        memo, found = self.memo, []
+        for t in self.split(text):
             x = memo.get(t)
             if x is None:
-                x = self.vocabulary.encode(t)
+                own = self.vocabulary.encode(t)
+                x = struct.pack(f"<{len(own)}I", *own)
                 if len(t) <= MEMO_CHARS:
                     memo[t] = x
             found.append(x)
-        return list(chain.from_iterable(found))
+        return b"".join(found)
+
+    def ids(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text or ""), "<u4").tolist()
+
+    def batch(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without nulls, one text after another, and how many each has. A different chunk is looked up once."""
+        chunks, by_text = chunked(text) if self.wordwise else (text, np.ones(len(text), np.int64))
+        code = chunks.dictionary_encode()
+        found = list(map(self.packed, code.dictionary.to_pylist()))
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        ids, n = spread(found, code.indices.to_numpy())
+        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(by_text)]
+        return ids.astype(np.int32), np.diff(ends, prepend=0)
+
+
+WORKER: dict[str, Encoder] = {}
+
+
+def worker_encoder(vocabulary: Vocabulary, pattern: str) -> Encoder:
+    """The worker's own, so that tasks after the first find their pre-tokens encoded."""
+    if pattern not in WORKER or WORKER[pattern].vocabulary.bytes != vocabulary.bytes:
+        WORKER.clear()
+        WORKER[pattern] = Encoder(vocabulary, pattern, WORKER_MEMO)
+    return WORKER[pattern]
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -140,33 +188,41 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, pattern)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                own = pa.array([encoder.ids(t) for t in part.column(len(rest)).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], own], names=[*rest, ids])
+        for part in slices(batches, "_bpe_text", SLICE_BYTES):
+            own, n = encoder.batch(part.column(len(rest)))
+            offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(own))], names=[*rest, ids])
 
-    kept = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(text).cast("string").alias("_bpe_text"))
+    kept = docs.select(*(F.col(f"`{c}`") for c in rest), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_bpe_text"))
     return kept.mapInArrow(run, schema_of(docs, rest, **{ids: T.ArrayType(T.IntegerType())}))
 
 
+def joined(values: pa.Array, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, list[int]]:
+    """The ids' values one after another, and the places at which `ends` of the ids lie."""
+    taken = values.take(pa.array(ids))
+    _, offsets, raw = taken.buffers()
+    return memoryview(raw or b""), np.frombuffer(offsets, np.int32)[ends].tolist() if len(ids) else [0] * len(ends)
+
+
 def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row the number of ids, the SHA-256 of the ids (decimal, comma-joined) and of the bytes that they decode to."""
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, pattern)
-        decimal = {i: str(i) for i in encoder.vocabulary.bytes}
-        for b in batches:
-            n, own, back = [], [], []
-            for t in b.column(1).to_pylist():
-                ids = encoder.ids(t)
-                n.append(len(ids))
-                own.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join(map(encoder.vocabulary.bytes.__getitem__, ids))).hexdigest())
+        encoder = worker_encoder(shared.value, pattern)
+        known = encoder.vocabulary.bytes
+        all_ids = range(max(known, default=-1) + 1)
+        decimal, token = pa.array([f"{i},".encode() for i in all_ids], pa.binary()), pa.array([known.get(i) for i in all_ids], pa.binary())
+        for b in slices(batches, "text", 2 * SLICE_BYTES):
+            ids, n = encoder.batch(b.column(1))
+            ends = np.concatenate(([0], np.cumsum(n)))
+            raw, at = joined(decimal, ids, ends)
+            own = [hashlib.sha256(raw[lo : max(lo, hi - 1)]).hexdigest() for lo, hi in zip(at, at[1:], strict=False)]  # without the last comma
+            raw, at = joined(token, ids, ends)
+            back = [hashlib.sha256(raw[lo:hi]).hexdigest() for lo, hi in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", out: str = "bytes") -> DataFrame:

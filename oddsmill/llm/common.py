@@ -31,11 +31,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterato
                 yield b.slice(lo, hi - lo)
 
 
-def lowered(text: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Maximal runs of the bytes that are `inside`, in lower case, of texts without nulls one after another, and the place of each one's text."""
-    offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
-    raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets -= offsets[0]
+def lowered(text: pa.Array, inside: np.ndarray, table: np.ndarray | None = LOWER) -> tuple[pa.Array, np.ndarray]:
+    """Maximal runs of the bytes that are `inside`, in lower case (or by another table, None: as they are), of texts without nulls one after another, and the place of each one's text."""
+    raw, offsets = flat(text)
     on = inside[raw]
     starts = on.copy()
     starts[1:] &= ~on[:-1]
@@ -43,10 +41,28 @@ def lowered(text: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     starts[first] = on[first]  # a run ends with its text
     begin, kept = np.flatnonzero(starts), np.cumsum(on, dtype=np.int32)
     places = np.concatenate((kept[begin] - 1, kept[-1:] if len(kept) else [0])).astype(np.int32)
-    out = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(LOWER[raw[on]].tobytes())])
+    own = raw[on]
+    out = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(places.tobytes()), pa.py_buffer((own if table is None else table[own]).tobytes())])
     return out, np.searchsorted(offsets, begin, "right") - 1
 
 
+def flat(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of texts (or binary values) without nulls, and the place at which each starts, with the end of all."""
+    offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    return np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def spread(packed: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each code stands for, one after another, and how many each has: packed[k] holds the unsigned 32-bit numbers of code k."""
+    values = np.frombuffer(b"".join(packed), "<u4")
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    n = sizes[code]
+    ends = np.cumsum(n)
+    places = np.repeat((np.cumsum(sizes) - sizes)[code] - (ends - n), n)
+    places += np.arange(len(places))
+    return values[places], n
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

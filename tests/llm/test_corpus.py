@@ -178,6 +178,36 @@ def test_bpe(spark, docs, none):
         assert encoder.ids(t) == known.encode_ordinary(t)
 
 
+ODD = ["", " ", "  a", "a  b", "a \u00a0 b", "é x", "\u00a0 x", "x\u3000 y", "x\x1c y \x1f  z", "x\x85 y", "\u2028 a\u1680 b\u205f c", "don't  'll\n\n\tgo ", "a\x0b\x0cb", "à \u0089 à  à ", "…\u200a …", "日本 語 ", "!? ?!  ##"]
+
+
+def test_bpe_batches():
+    """Chunks are cut where the pattern cuts too, and each is encoded once."""
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for pattern in (public_tokenizers.PATTERN, public_tokenizers.PATTERN + "|x"):
+        encoder, asked = bpe.Encoder(bpe.load(path), pattern), []
+        assert encoder.wordwise == (pattern == public_tokenizers.PATTERN)
+        encoder.split = lambda t, f=encoder.split, asked=asked: asked.append(t) or f(t)
+        texts = [*ODD, " ".join(ODD), "again and again" * 3, "again and again" * 3, *("".join(rnd) for k in range(300) for rnd in [random.Random(k).choices("ab 'é\u00a0\u3000\x1c\x85\n\t#1\u0089", k=k % 23)])]
+        ids, n = encoder.batch(pa.array(["", *texts])[1:])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [known.encode_ordinary(t) for t in texts]
+        assert len(asked) == len(set(asked))
+
+
+def test_bpe_digests(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoder = bpe.Encoder(bpe.load(path), public_tokenizers.PATTERN)
+    rows = [*enumerate([*ODD, None]), (3, "same id")]
+    got = bpe.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), path, public_tokenizers.PATTERN).collect()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    wanted = [(i, len(x := encoder.ids(t)), sha(",".join(map(str, x)).encode()), sha((t or "").encode())) for i, t in rows]
+    assert sorted(map(tuple, got)) == sorted(wanted)
+
+
 def test_minimal_perfect_hash():
     words = {f"token{k}".encode(): k for k in range(3000)}
     v = bpe.Vocabulary(words)
