@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.llm import files, rangecoder
-from oddsmill.llm.common import materialise, scratch
+from oddsmill.llm.common import IN_WORD, lowered, materialise, scratch, slices, spread
 
 MAGIC = b"OMTOK002"
-#: Ids after which a file is closed, text bytes that a task encodes, chunks and pieces whose ids a worker remembers, blocks coded at a time.
+#: Ids after which a file is closed, text bytes that a task encodes, pieces whose ids a worker remembers, blocks coded at a time.
 FILE_IDS, TASK_BYTES, MEMO, LANES = 6_000_000, 24 << 20, 600_000, 8192
+#: Bytes of texts whose chunks are looked up together, each different one once.
+SLICE_BYTES = 8 << 20
 #: Pieces of letters that reach the tokenizer in one string.
 TOGETHER = 64
 NO_ID = -(1 << 63)  # stands for a null doc_id in a file's table
@@ -39,9 +41,9 @@ PIECE = re.compile(
 
 
 class Tokens:
-    """Ids of texts by a tokenizers file whose pre-tokeniser never crosses ASCII white space: chunk by chunk, each chunk once.
+    """Ids of texts by a tokenizers file whose pre-tokeniser never crosses ASCII white space: chunk by chunk, each chunk once in a slice.
 
-    A new chunk is cut into pieces that the pre-tokeniser separates as well, and only new pieces reach the tokenizer. A
+    A chunk is cut into pieces that the pre-tokeniser separates as well, and only new pieces reach the tokenizer. A
     text that may hold an added token, such as <|endoftext|>, is encoded whole: the ids are the library's own.
     """
 
@@ -56,7 +58,7 @@ class Tokens:
         self.size = self.tokenizer.get_vocab_size()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.final = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.size)])  # ids that end a pre-token
-        self.memo: dict[bytes, bytes] = {}  # chunks and their pieces
+        self.memo: dict[bytes, bytes] = {}  # pieces; chunks are many more, and each is looked up once in a slice
 
     def learn(self, new: list[str]) -> None:
         """Encode new pieces: those of letters many at a time, as each holds a pre-token or more, so that equal numbers mean one each."""
@@ -91,24 +93,22 @@ class Tokens:
 
     def _ids(self, texts: list[bytes], end: int) -> list[bytes]:
         whole = {k for k, t in enumerate(texts) if self.added and self.added.search(t)}
-        parts = [[] if k in whole else t.split() for k, t in enumerate(texts)]
-        chunks = list(chain.from_iterable(parts))
+        words, doc = lowered(pa.array([b"" if k in whole else t for k, t in enumerate(texts)], pa.binary()), IN_WORD, None)
+        code = words.dictionary_encode()
+        chunks = code.dictionary.cast(pa.binary()).to_pylist()
         found = list(map(self.memo.get, chunks))
         missing = [k for k, x in enumerate(found) if x is None]
-        cut = [(w, PIECE.findall(w)) for w in {chunks[k] for k in missing}]
-        unknown = list({x for _, c in cut for x in c}.difference(self.memo))
+        cut = [PIECE.findall(chunks[k]) for k in missing]
+        unknown = list(set(chain.from_iterable(cut)).difference(self.memo))
         for at in range(0, len(unknown), 20_000):
             self.learn([x.decode("utf-8", "replace") for x in unknown[at : at + 20_000]])
         known = self.memo.__getitem__
-        for w, c in cut:
-            if len(c) > 1:
-                self.memo[w] = b"".join(map(known, c))
-        for k in missing:
-            found[k] = known(chunks[k])
-        last, out, at = struct.pack("<I", end), [], 0
-        for p in parts:
-            out.append(b"".join(found[at : at + len(p)]) + last)
-            at += len(p)
+        for k, c in zip(missing, cut, strict=True):
+            found[k] = b"".join(map(known, c))
+        ids, n = spread(found, code.indices.to_numpy())
+        ends = np.cumsum(np.bincount(doc, n, len(texts)).astype(np.int64)) * 4
+        last, raw = struct.pack("<I", end), ids.tobytes()
+        out = [raw[lo:hi] + last for lo, hi in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
         for k in whole:
             ids = self.tokenizer.encode(texts[k].decode("utf-8", "replace"), add_special_tokens=False).ids
             out[k] = struct.pack(f"<{len(ids)}I", *ids) + last
@@ -209,15 +209,13 @@ def write(docs: DataFrame, uri: str, tokenizer: str, end: int, text: str = "text
             count = write_file(path, held, own.size)
             return pa.RecordBatch.from_arrays([pa.array([part * 1_000_000 + place], pa.int64()), pa.array([path]), pa.array([len(held)], pa.int64()), pa.array([count], pa.int64())], names=["place", "path", "n_docs", "n_ids"])
 
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                some = b.slice(at, 200)
-                for i, x in zip(some.column(0).to_pylist(), own.ids(some.column(1).cast(pa.binary()).to_pylist(), end), strict=True):
-                    held.append((i, x))
-                    size += len(x) // 4
-                    if size >= FILE_IDS:
-                        yield close()
-                        held, size, place = [], 0, place + 1
+        for some in slices(batches, "t", SLICE_BYTES):
+            for i, x in zip(some.column(0).to_pylist(), own.ids(some.column(1).cast(pa.binary()).to_pylist(), end), strict=True):
+                held.append((i, x))
+                size += len(x) // 4
+                if size >= FILE_IDS:
+                    yield close()
+                    held, size, place = [], 0, place + 1
         if held:
             yield close()
 

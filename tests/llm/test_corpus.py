@@ -208,6 +208,18 @@ def test_bpe_digests(spark):
     assert sorted(map(tuple, got)) == sorted(wanted)
 
 
+def test_token_file_pieces():
+    """A worker remembers pieces, not the chunks made of them, and texts of any white space keep their ids."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known, own = Tokenizer.from_file(path), tokenfiles.Tokens(path)
+    texts = [*ODD, "one, two; three.", "one; two, three!", "<|endoftext|> one,"]
+    for t, got in zip(texts, own.ids([t.encode() for t in texts], 2), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == [*known.encode(t, add_special_tokens=False).ids, 2], t
+    assert not {b"one,", b"one;", b"two,", b"two;", b"three.", b"three!"} & set(own.memo)
+
+
 def test_minimal_perfect_hash():
     words = {f"token{k}".encode(): k for k in range(3000)}
     v = bpe.Vocabulary(words)
