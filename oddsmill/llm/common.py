@@ -87,6 +87,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys are marked in 1 << MARKS bits, 64 a row: a table of fixed size whatever the input, so that it may be broadcast.
+MARKS = 24
+
+
+def marks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(_mark, _bits): the keys' bits."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << MARKS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    return df.select(F.floor(place / 64).alias("_mark"), bit.alias("bit")).groupBy("_mark").agg(F.bit_or("bit").alias("_bits"))
+
+
+def with_mark(df: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
+    """df with `_marked`: false where the row's key is none of the marked ones for certain, true for those and some others."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << MARKS))
+    out = df.withColumn("_mark", F.floor(place / 64)).join(F.broadcast(marked), "_mark", "left")
+    return out.withColumn("_marked", F.coalesce(F.getbit("_bits", place % 64), F.lit(0)) == 1).drop("_mark", "_bits")
+
+
 def schema_of(df: DataFrame, columns: list[str], **more: DataType) -> StructType:
     """Schema of some columns, and further ones of the given types."""
     return StructType([*(df.schema[c] for c in columns), *(StructField(c, t) for c, t in more.items())])

@@ -130,5 +130,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     most = copies(materialise(mix(docs), "mix-taken")).groupBy("doc_id").agg(F.max("copies").alias("_mix_copies"))
     most = most.filter("_mix_copies > 0").withColumnRenamed("doc_id", "_mix_doc_id")
     some = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD_CHARS)) > 0
-    rows = docs.filter(some).join(most, F.col("doc_id").eqNullSafe(F.col("_mix_doc_id")))
+    # By shuffle at every size, as both sides grow with the documents: else small inputs alone are joined by broadcast.
+    rows = docs.filter(some).join(most.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_mix_doc_id")))
     return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)

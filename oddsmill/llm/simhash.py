@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmill.llm.common import connected_components, materialise
+from oddsmill.llm.common import connected_components, marks, materialise, with_mark
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -229,8 +229,11 @@ def confirmed(docs: DataFrame, reps: DataFrame, classes: DataFrame, words: int,
     of = reps.filter("n > 0").join(classes, "node").groupBy("component").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
     blocks = of.filter("texts > 1").select("component", F.greatest(F.ceil(F.col("n") / CLASS_SHINGLES), F.ceil(F.col("texts") / CLASS_TEXTS)).alias("blocks"))
     members = classes.join(blocks, "component").join(reps.select("node", "least"), "node").select("node", "component", "blocks", "least.*")
-    # By shuffle at every size, as members grow with the documents; equal rows then meet without another.
-    rows = with_hash(docs, text, doc_id).join(members.hint("shuffle_merge"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    members, key = materialise(members, "simhash-members"), ["doc_id", "th"]
+    # Most texts have no class of candidates and are passed over where they are read. The others are joined by shuffle at
+    # every size, as members grow with the documents; equal rows then meet without another.
+    rows = with_mark(with_hash(docs, text, doc_id), marks(members, key), key).filter("_marked").drop("_marked")
+    rows = rows.join(members.hint("shuffle_merge"), key).dropDuplicates(key)
     rows = rows.select(F.col("node").alias("doc_id"), "text", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +320,12 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     smallest text hash, of equal rows one. Rows with a null doc_id all stay. Null and empty texts are equal; an empty
     table gives an empty one. All columns are kept.
     """
-    keep = similar(docs).filter("doc_id = component_id and th = first_th").select(F.col("doc_id").alias("_simhash_id"), F.col("th").alias("_simhash_th")).distinct()
     own = ["_simhash_id", "_simhash_th"]
+    first = ((F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("first_th"))).alias("first")
+    judged = similar(docs).select(F.col("doc_id").alias(own[0]), F.col("th").alias(own[1]), first)
+    judged = materialise(judged.groupBy(*own).agg(F.bool_or("first").alias("first"), F.count("*").alias("n")), "simhash-judged")
     rows = docs.withColumns(dict(zip(own, (F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), strict=True)))
-    rows = rows.join(keep.hint("shuffle_merge"), own, "left_semi").dropDuplicates(own).select(*docs.columns)
-    return rows.unionByName(docs.filter("doc_id is null"))
+    # A row that is neither dropped nor repeated stays where it is; only the others, and what shares their marks, are shuffled.
+    rows = with_mark(rows.filter(F.col(own[0]).isNotNull()), marks(judged.filter("not first or n > 1"), own), own)
+    again = rows.filter("_marked").join(judged.filter("first").hint("shuffle_merge"), own, "left_semi").dropDuplicates(own)
+    return rows.filter("not _marked").unionByName(again).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
