@@ -24,7 +24,7 @@ M64 = (1 << 64) - 1
 #: A pattern none of whose matches goes on over white space after other characters, so that a text can be cut before each run of it.
 WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of texts whose chunks are looked up together, each different one once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Last bytes of white space outside ASCII, and those that come before them; control characters that are white space.
 LAST, PENULTIMATE = (np.isin(np.arange(256), x) for x in ([*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF], [0xC2, 0x9A, 0x80, 0x81]))
 CONTROL = np.isin(np.arange(256), range(0x1C, 0x20))
@@ -213,7 +213,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text",
         known = encoder.vocabulary.bytes
         all_ids = range(max(known, default=-1) + 1)
         decimal, token = pa.array([f"{i},".encode() for i in all_ids], pa.binary()), pa.array([known.get(i) for i in all_ids], pa.binary())
-        for b in slices(batches, "text", 2 * SLICE_BYTES):
+        for b in slices(batches, "text", 8 * SLICE_BYTES):
             ids, n = encoder.batch(b.column(1))
             ends = np.concatenate(([0], np.cumsum(n)))
             raw, at = joined(decimal, ids, ends)

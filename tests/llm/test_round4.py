@@ -1,12 +1,14 @@
-"""What near-dedup shuffles, and that marks lose no row."""
+"""What near-dedup shuffles, that marks lose no row, and how much text a worker encodes at a time."""
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from oddsmill.llm import common, mixing, simhash  # noqa: E402
+from oddsmill.llm import bpe, common, mixing, simhash  # noqa: E402
 
 
 def shuffled(spark) -> int:
@@ -57,3 +59,11 @@ def test_mixing_joins_texts_alike_at_every_size(spark):
     plan = mixing.stage(spark, rows, "")._jdf.queryExecution().executedPlan().toString()
     (join,) = (x for x in plan.splitlines() if "Join" in x and "_mix_doc_id" in x)
     assert "SortMergeJoin" in join
+
+
+def test_bpe_encodes_little_text_at_a_time():
+    """A slice's different chunks and their ids are held as Python objects."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 10_000] * 600)], names=["t"])
+    parts = list(common.slices(iter([batch]), "t", bpe.SLICE_BYTES))
+    assert sum(p.num_rows for p in parts) == 600
+    assert max(pc.sum(pc.binary_length(p.column(0))).as_py() for p in parts) < (1 << 20) + 10_001
