@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddsmill.llm.common import IN_WORD, flat, schema_of, slices, spread
+from oddsmill.llm.common import IN_WORD, flat, lean, schema_of, slices, spread
 
 M64 = (1 << 64) - 1
 #: A pattern none of whose matches goes on over white space after other characters, so that a text can be cut before each run of it.
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
             yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(own))], names=[*rest, ids])
 
     kept = docs.select(*(F.col(f"`{c}`") for c in rest), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_bpe_text"))
-    return kept.mapInArrow(run, schema_of(docs, rest, **{ids: T.ArrayType(T.IntegerType())}))
+    return kept.mapInArrow(lean(run), schema_of(docs, rest, **{ids: T.ArrayType(T.IntegerType())}))
 
 
 def joined(values: pa.Array, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, list[int]]:

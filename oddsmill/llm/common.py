@@ -1,10 +1,12 @@
 """Pieces shared by the corpus operators: scratch storage, words, connected components."""
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +23,33 @@ IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut by the bytes of a text column, some `size` at a time and a row at least."""
+#: Bytes of texts that a task holds as Python objects at a time.
+TEXT_BYTES = 1 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut by the bytes of a text column (null: none), some `size` at a time and a row at least."""
     for b in batches:
-        bound = np.cumsum(pc.binary_length(b.column(column)).to_numpy(), dtype=np.int64) // size
+        bound = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(), dtype=np.int64) // size
         cuts = [0, *(np.flatnonzero(np.diff(bound)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if lo < hi:
                 yield b.slice(lo, hi - lo)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that leaves its worker no free memory: workers outlive their stage, and what they keep adds to the next one's."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+            trim(0)
+
+    return task
+
+
 def lowered(text: pa.Array, inside: np.ndarray, table: np.ndarray | None = LOWER) -> tuple[pa.Array, np.ndarray]:
     """Maximal runs of the bytes that are `inside`, in lower case (or by another table, None: as they are), of texts without nulls one after another, and the place of each one's text."""
     raw, offsets = flat(text)

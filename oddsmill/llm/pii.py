@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsmill.llm.common import materialise
+from oddsmill.llm.common import lean, materialise, slices
 
 KINDS = ("email", "ip", "card", "phone")
 DISCLOSE, REMOVE, SUPPORT, Z = 0.9, 0.98, 3, 1.645
@@ -149,13 +149,13 @@ def disclosing_terms(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Da
     rows, letter = prepared(docs, text), letters(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "t"):
             found = [(k, *x) for k, t in enumerate(b.column(0).to_pylist()) if t for x in contexts(t, letter)]
             if found:
                 ids = [hashlib.sha256(b.column(0)[k].as_py().encode("utf-8", "surrogatepass")).digest()[:16] for k, _, _ in found]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([x[1] for x in found]), pa.array([x[2] for x in found])], names=["h", "entities", "near"])
 
-    beside = materialise(rows.mapInArrow(run, "h binary, entities array<string>, near string"), "pii-contexts")
+    beside = materialise(rows.mapInArrow(lean(run), "h binary, entities array<string>, near string"), "pii-contexts")
     n_docs = rows.count()
     n_entity = beside.select("h", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count_distinct("h").alias("n_e"))
     near = materialise(beside.select("entities", "h", F.xxhash64("near").alias("c"), F.explode(terms(F.col("near"))).alias("term")), "pii-near")
@@ -220,7 +220,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         return ",".join(f"{k}:{s}:{e}" for k, s, e, *_ in found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_pii_text"):
             out = []
             for t, risky in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 own = identifiers(t)
@@ -229,7 +229,7 @@ def spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     rows = with_terms(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "_pii_text", "_pii_terms")
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[doc_id]}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return rows.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)[doc_id]}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -242,7 +242,7 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_pii_text"):
             out = []
             for whole, t, risky in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
                 own = identifiers(t)
@@ -255,7 +255,7 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
                 out.append(None if whole is None else "".join([*parts, t[done:]]) if cuts else t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at else b.column(k) for k in range(len(names))], names=names)
 
-    return with_terms(docs, text).select(*(F.col(f"`{c}`") for c in names), "_pii_text", "_pii_terms").mapInArrow(run, docs.schema)
+    return with_terms(docs, text).select(*(F.col(f"`{c}`") for c in names), "_pii_text", "_pii_terms").mapInArrow(lean(run), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddsmill.llm.common import schema_of
+from oddsmill.llm.common import lean, schema_of, slices
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -74,12 +74,12 @@ def statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     """doc_id and COUNTS (long) of every row; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             rows = np.array([counted(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, k]) for k in range(len(COUNTS)))], names=["doc_id", *COUNTS])
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def ratios(stats: DataFrame) -> DataFrame:
@@ -212,14 +212,14 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "_quality_text"):
             rows = np.array([counted(t) for t in b.column(b.num_columns - 1).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(rows[:, k]) for k in range(len(COUNTS)))], names=[*names, *own])
 
     # The rows travel with their statistics, so that no join by doc_id is needed.
     names, own = docs.columns, [f"_quality_{c}" for c in COUNTS]
     with_text = docs.select("*", F.col("text").cast("string").alias("_quality_text"))
-    stats = with_text.mapInArrow(run, schema_of(docs, names, **{c: T.LongType() for c in own}))
+    stats = with_text.mapInArrow(lean(run), schema_of(docs, names, **{c: T.LongType() for c in own}))
     value = {c: F.col(f"_quality_{c}") for c in COUNTS}
     shares = {f"_quality_{k}": F.when(value[b] > 0, value[a] / value[b]).otherwise(F.lit(0.0)) for k, (a, b) in RATIOS.items()}
     stats = stats.withColumns(shares)

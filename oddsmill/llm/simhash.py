@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsmill.llm.common import connected_components, marks, materialise, with_mark
+from oddsmill.llm.common import connected_components, lean, marks, materialise, slices, with_mark
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, distinct: bool
     """(doc_id, th: hash of the text, fp array<long> of `parts` words of 64 bits, n distinct shingles or 0 if repeats count, key: their digest or 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             rows, n, keys = [], [], []
             for t in b.column(2).to_pylist():
                 h = shingle_hashes(t, words)
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, words: int = 3, parts: int = 1, distinct: bool
             fp = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, parts), pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array(n, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "th", "fp", "n", "key"])
 
-    return with_hash(docs, text, doc_id).mapInArrow(run, "doc_id long, th long, fp array<long>, n long, key long")
+    return with_hash(docs, text, doc_id).mapInArrow(lean(run), "doc_id long, th long, fp array<long>, n long, key long")
 
 
 def popcount_cells(radius: int):
@@ -182,7 +182,7 @@ def links(fps: DataFrame, radius: int, first: int | None = None, parts: int = 1,
     there = there.select("target", (F.col("tile") % F.col("blocks")).alias("j"), "i", "tile", F.col("fps").alias("fps2"), F.col("ids").alias("ids2"))
     met = near.join(there, ["target", "j", "i"]).filter("off <> 0 or from <= tile")
     run = lambda batches: tile_links(batches, parts, radius, radius if first is None else first, 0 if similarity else 1)
-    edges = met.select("target", "tile", "fps", "ids", "fps2", "ids2").mapInArrow(run, "src long, dst long")
+    edges = met.select("target", "tile", "fps", "ids", "fps2", "ids2").mapInArrow(lean(run), "src long, dst long")
     return reps.select("fp", *own, "least", "node", "n"), edges
 
 
@@ -237,13 +237,12 @@ def confirmed(docs: DataFrame, reps: DataFrame, classes: DataFrame, words: int,
     rows = rows.select(F.col("node").alias("doc_id"), "text", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in (b.slice(k, 500) for k in range(0, b.num_rows, 500)):
-                sets = [np.unique(shingle_hashes(t, words)) for t in part.column(1).to_pylist()]
-                fp = [np.array([majority(mixed(h, k)) for k in range(parts)], np.uint64).tobytes() for h in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(fp, pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["doc_id", "component", "blocks", "own", "fp", "h"])
+        for part in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, words)) for t in part.column(1).to_pylist()]
+            fp = [np.array([majority(mixed(h, k)) for k in range(parts)], np.uint64).tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(fp, pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["doc_id", "component", "blocks", "own", "fp", "h"])
 
-    sets = rows.mapInArrow(shingled, "doc_id long, component long, blocks long, own long, fp binary, h binary").filter("octet_length(h) > 0")
+    sets = rows.mapInArrow(lean(shingled), "doc_id long, component long, blocks long, own long, fp binary, h binary").filter("octet_length(h) > 0")
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = sets.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "fp", "h")
 
@@ -269,7 +268,7 @@ def confirmed(docs: DataFrame, reps: DataFrame, classes: DataFrame, words: int,
         if len(held) > 1:
             yield done()
 
-    return met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "src long, dst long")
+    return met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(lean(run), "src long, dst long")
 
 
 def with_hash(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
