@@ -12,7 +12,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +20,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.llm import files, rangecoder
-from oddsmill.llm.common import IN_WORD, lowered, materialise, scratch, slices, spread
+from oddsmill.llm.common import IN_WORD, flat, materialise, scratch, slices, spread
 
 MAGIC = b"OMTOK002"
 #: Ids after which a file is closed, text bytes that a task encodes, pieces whose ids a worker remembers, blocks coded at a time.
-FILE_IDS, TASK_BYTES, MEMO, LANES = 6_000_000, 24 << 20, 600_000, 8192
-#: Bytes of texts whose chunks are looked up together, each different one once.
+FILE_IDS, TASK_BYTES, MEMO, LANES = 9_000_000, 20 << 20, 600_000, 8192
+#: Bytes of texts whose pieces are looked up together, each different one once.
 SLICE_BYTES = 8 << 20
 #: Pieces of letters that reach the tokenizer in one string.
 TOGETHER = 64
 NO_ID = -(1 << 63)  # stands for a null doc_id in a file's table
-#: Pieces of a chunk. Cuts lie between two ASCII characters only, at a change between letters, digits and other marks,
-#: and around each digit, where the pre-tokeniser cuts too; never after an apostrophe, which may start a contraction.
-PIECE = re.compile(
-    rb"[A-Za-z\x80-\xff]*[A-Za-z](?=[!-@\[-`{-~])|[A-Za-z\x80-\xff]+\Z|[0-9](?=[!-~]|\Z)|[!-&(-/:-@\[-`{-~]+(?=[0-9A-Za-z]|\Z)"
-    rb"|.+?(?:(?<=[A-Za-z])(?=[!-@\[-`{-~])|(?<=[0-9])(?=[!-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[0-9A-Za-z])|(?<=')(?=[0-9])|\Z)",
-    re.DOTALL,
-)
+#: Kinds of bytes: of ASCII, letters 1, digits 2, marks 3, apostrophes 4; white space 5; what else may be in a word 0.
+KIND = np.array([5 if not w else 4 if b == 39 else 3 if 33 <= b <= 126 else 0 for b, w in enumerate(IN_WORD.tolist())], np.uint8)
+KIND[[*range(65, 91), *range(97, 123)]], KIND[48:58] = 1, 2
+#: Whether a piece starts at the second of two bytes of these kinds (first << 3 | second): after white space, or between two
+#: ASCII characters at a change between letters, digits and marks, and around each digit, where the pre-tokeniser cuts
+#: too; never between an apostrophe and a letter, which may be a contraction.
+STARTS = np.zeros(64, bool)
+STARTS[[5 << 3 | k for k in range(5)]] = True
+STARTS[[i << 3 | j for i, j in [(1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3), (2, 4), (3, 1), (3, 2), (4, 2)]]] = True
+
+
+def pieces(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of texts without nulls, one text after another, and the place of each one's text."""
+    raw, offsets = flat(text)
+    kind = KIND[raw]
+    on = kind != 5
+    starts = on.copy()
+    starts[1:] = STARTS[kind[:-1] << 3 | kind[1:]]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    starts[first] = on[first]  # a piece ends with its text
+    begin, kept = np.flatnonzero(starts), np.cumsum(on, dtype=np.int32)
+    places = np.concatenate((kept[begin] - 1, kept[-1:] if len(kept) else [0])).astype(np.int32)
+    out = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(raw[on].tobytes())])
+    return out, np.searchsorted(offsets, begin, "right") - 1
 
 
 class Tokens:
-    """Ids of texts by a tokenizers file whose pre-tokeniser never crosses ASCII white space: chunk by chunk, each chunk once in a slice.
+    """Ids of texts by a tokenizers file whose pre-tokeniser never crosses ASCII white space: piece by piece, each different one once in a slice.
 
-    A chunk is cut into pieces that the pre-tokeniser separates as well, and only new pieces reach the tokenizer. A
+    Texts are cut into pieces that the pre-tokeniser separates as well, and only new ones reach the tokenizer. A
     text that may hold an added token, such as <|endoftext|>, is encoded whole: the ids are the library's own.
     """
 
@@ -58,31 +74,32 @@ class Tokens:
         self.size = self.tokenizer.get_vocab_size()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.final = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.size)])  # ids that end a pre-token
-        self.memo: dict[bytes, bytes] = {}  # pieces; chunks are many more, and each is looked up once in a slice
+        self.memo: dict[bytes, bytes] = {}  # ids of pieces met of late
+        self.older: dict[bytes, bytes] = {}  # and of those before
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[bytes]) -> None:
         """Encode new pieces: those of letters many at a time, as each holds a pre-token or more, so that equal numbers mean one each."""
-        words = [w for w in new if w.isalpha()]
-        alone = [w for w in new if not w.isalpha()]
+        texts = [x.decode("utf-8", "replace") for x in new]
+        words, alone = [], []
+        for k, w in enumerate(texts):
+            (words if w.isalpha() else alone).append(k)
         groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            ends = (np.flatnonzero(self.final[ids]) + 1) * 4
+            ends = ((np.flatnonzero(self.final[ids]) + 1) * 4).tolist()
             if len(ends) != len(g):
                 alone += g
                 continue
-            packed, at = ids.tobytes(), 0
-            for w, to in zip(g, ends.tolist(), strict=True):
-                self.memo[w.encode()] = packed[at:to]
-                at = to
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            packed = ids.tobytes()
+            self.memo.update(zip([new[k] for k in g], [packed[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)], strict=True))
+        for k, e in zip(alone, self.tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False), strict=True):
             i = e.ids
-            self.memo[w.encode()] = struct.pack(f"<{len(i)}I", *i)
+            self.memo[new[k]] = struct.pack(f"<{len(i)}I", *i)
 
     def ids(self, texts: list[bytes], end: int) -> list[bytes]:
         """Ids of each text (UTF-8) and the end id, as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        if len(self.memo) > MEMO // 2:  # pieces that recur stay
+            self.older, self.memo = self.memo, {}
         collecting = gc.isenabled()
         gc.disable()  # nothing below is cyclic, and each collection would go through the memo
         try:
@@ -93,18 +110,18 @@ class Tokens:
 
     def _ids(self, texts: list[bytes], end: int) -> list[bytes]:
         whole = {k for k, t in enumerate(texts) if self.added and self.added.search(t)}
-        words, doc = lowered(pa.array([b"" if k in whole else t for k, t in enumerate(texts)], pa.binary()), IN_WORD, None)
-        code = words.dictionary_encode()
-        chunks = code.dictionary.cast(pa.binary()).to_pylist()
-        found = list(map(self.memo.get, chunks))
+        cut, doc = pieces(pa.array([b"" if k in whole else t for k, t in enumerate(texts)], pa.binary()))
+        code = cut.dictionary_encode()
+        different = code.dictionary.to_pylist()
+        found = list(map(self.memo.get, different))
+        for k in [k for k, x in enumerate(found) if x is None]:
+            if (x := self.older.get(different[k])) is not None:
+                found[k] = self.memo[different[k]] = x
         missing = [k for k, x in enumerate(found) if x is None]
-        cut = [PIECE.findall(chunks[k]) for k in missing]
-        unknown = list(set(chain.from_iterable(cut)).difference(self.memo))
-        for at in range(0, len(unknown), 20_000):
-            self.learn([x.decode("utf-8", "replace") for x in unknown[at : at + 20_000]])
-        known = self.memo.__getitem__
-        for k, c in zip(missing, cut, strict=True):
-            found[k] = b"".join(map(known, c))
+        for at in range(0, len(missing), 20_000):
+            self.learn([different[k] for k in missing[at : at + 20_000]])
+        for k in missing:
+            found[k] = self.memo[different[k]]
         ids, n = spread(found, code.indices.to_numpy())
         ends = np.cumsum(np.bincount(doc, n, len(texts)).astype(np.int64)) * 4
         last, raw = struct.pack("<I", end), ids.tobytes()
@@ -119,7 +136,7 @@ WORKER: dict[str, Tokens] = {}
 
 
 def tokens(path: str) -> Tokens:
-    """The worker's own, so that tasks after the first find their chunks encoded."""
+    """The worker's own, so that tasks after the first find their pieces encoded."""
     if path not in WORKER:
         WORKER.clear()
         WORKER[path] = Tokens(path)
@@ -130,7 +147,7 @@ def write_file(uri: str, docs: list[tuple[int | None, bytes]], vocabulary: int)
     """Write documents' ids; returns their number. A vocabulary that the coder cannot hold is refused."""
     if vocabulary > rangecoder.LIMIT:
         raise ValueError(f"{vocabulary} ids; the coder takes {rangecoder.LIMIT} at most")
-    ids = np.frombuffer(b"".join(x for _, x in docs), "<u4").astype(np.int32)
+    ids = np.frombuffer(b"".join(x for _, x in docs), "<i4")
     freq = rangecoder.frequencies(np.bincount(ids, minlength=vocabulary))
     with files.write_stream(uri) as out:
         packed = zlib.compress(freq.astype("<u4").tobytes(), 6)

@@ -8,7 +8,7 @@ import pytest
 
 pytest.importorskip("xxhash")
 
-from oddsmill.llm import common, pii, quality, simhash  # noqa: E402
+from oddsmill.llm import common, pii, quality, simhash, tokenfiles  # noqa: E402
 
 
 def anonymous_mb() -> float:
@@ -45,3 +45,48 @@ def test_stages_take_little_text_at_a_time(spark):
     got = {r.doc_id: r.fp[0] for r in simhash.fingerprints(docs).collect()}
     assert len(got) == 6 and got[1] == got[2] == got[6] == 0
     assert {r.doc_id: r.n_email for r in pii.spans(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 1, 5: 0, 6: 0}
+
+
+def cut_by_pattern(word: bytes) -> list[bytes]:
+    """Pieces of a word, a character class at a time: the rule in words."""
+    out = [word[:1]]
+    for a, b in zip(word, word[1:], strict=False):
+        kind = ["letter" if chr(c).isalpha() else "digit" if chr(c).isdigit() else "mark" if 33 <= c <= 126 else "" for c in (a, b) if c < 128]
+        apart = len(kind) == 2 and all(kind) and (kind[0] != kind[1] or kind[0] == "digit") and not (a == ord("'") and kind[1] == "letter")
+        if apart:
+            out.append(b"")
+        out[-1] += bytes([b])
+    return out
+
+
+def test_pieces_of_texts():
+    rng = np.random.default_rng(5)
+    alphabet = ["a", "Z", "7", "0", "'", "!", "-", "~", "é", "ß", "ſ", "中", "\x01", "\x7f", " ", "\n", "\t"]
+    own = ["".join(rng.choice(alphabet, int(n))) for n in rng.integers(0, 40, 400)] + ["", "  ", "don't 3'4 'tis", "x"]
+    got, doc = tokenfiles.pieces(pa.array([t.encode() for t in own], pa.binary()))
+    expected = [(k, p) for k, t in enumerate(own) for w in t.encode().split() for p in cut_by_pattern(w)]
+    assert list(zip(doc.tolist(), got.to_pylist(), strict=True)) == expected
+
+
+def test_ids_are_the_librarys_whatever_is_forgotten(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = tokenfiles.Tokens(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(tokenfiles, "MEMO", 40)
+    rng = np.random.default_rng(6)
+    alphabet = ["a", "b", "Th", "e", "7", "'", "'s", "!", "é", "É", "H̱", "ſ", "中", " ", " ", "\n", "\x1c", "\xa0", "<|endoftext|>"]
+    for _ in range(12):
+        some = ["".join(rng.choice(alphabet, int(n))) for n in rng.integers(0, 60, 40)]
+        got = own.ids([t.encode() for t in some], 2)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in some]
+        assert len(own.memo) + len(own.older) < 2500
+
+
+def test_bytes_that_are_no_utf8_have_ids():
+    """Before, a piece was remembered by its decoded text, and not found by its bytes."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    own = tokenfiles.Tokens(public_tokenizers.path("word_bpe_49k.json"))
+    (got,) = own.ids([b"one \xff\xfe two"], 2)
+    assert np.frombuffer(got, "<u4").tolist() == [*own.tokenizer.encode("one �� two", add_special_tokens=False).ids, 2]
