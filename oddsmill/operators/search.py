@@ -8,6 +8,8 @@ import numpy as np
 
 #: Lengths tried along a direction, half the width of a difference, and the longest step in any parameter.
 LENGTHS, WIDTH, LONGEST = (1.0, 3.0, 1.7, 0.5, 0.2, 0.05, 0.005, 1e-4), 1e-4, 1.5
+#: Times that a step is cut before a direction is given up.
+CUTS = 8
 
 
 class Descent:
@@ -89,8 +91,74 @@ class Descent:
         self.direction, self.stage = d * min(1.0, LONGEST / max(float(np.abs(d).max()), 1e-300)), "line"
 
 
-def run_all(searches: dict[Hashable, Descent], values: Callable[[dict[Hashable, list[np.ndarray]]], dict[Hashable, list[float]]], most: int) -> int:
-    """Runs searches to their ends, `most` rounds at most; `values` gives the values of all points of a round. Returns the rounds."""
+class Sloped:
+    """Least point of a smooth function by quasi-Newton steps (BFGS), where a point's value comes with its gradient.
+
+    ask() gives one point, tell() takes (value, gradient): a step of the trial's length, cut by a parabola until it gains
+    enough. It has converged as Descent has: no gradient over g_tol, three steps in a row under f_tol, or no gain along
+    the steepest descent.
+    """
+
+    def __init__(self, start: np.ndarray, g_tol: float = 1e-5, f_tol: float = 1e-7, inverse: np.ndarray | None = None) -> None:
+        self.x, self.value, self.g_tol, self.f_tol = np.array(start, float), math.inf, g_tol, f_tol
+        self.converged, self.began, self.slow, self.cuts, self.length = not len(self.x), False, 0, 0, 1.0
+        self.gradient, self.inverse = np.zeros(len(self.x)), np.eye(len(self.x)) if inverse is None else inverse
+        self.fresh, self.direction = inverse is None, np.zeros(len(self.x))
+
+    def ask(self) -> list[np.ndarray]:
+        return [self.x + self.length * self.direction if self.began else self.x]
+
+    def tell(self, found: list[tuple[float, np.ndarray]]) -> None:
+        value, gradient = found[0]
+        known = math.isfinite(value) and bool(np.isfinite(gradient).all())
+        if not self.began:
+            self.began = True
+            if known:
+                self.value, self.gradient = value, np.array(gradient, float)
+            self.turn()
+            return
+        slope = float(self.gradient @ self.direction)
+        if known and value < self.value and value <= self.value + 1e-4 * self.length * slope:
+            step, gain, before = self.length * self.direction, self.value - value, self.gradient
+            self.x, self.value, self.gradient = self.x + step, value, np.array(gradient, float)
+            self.slow = self.slow + 1 if gain < self.f_tol else 0
+            self.learn(step, self.gradient - before)
+            self.turn()
+            return
+        parabola = 2 * (value - self.value - self.length * slope) if known else math.inf
+        self.length *= min(max(-slope * self.length / parabola, 0.1), 0.5) if parabola > 0 and known else 0.2
+        self.cuts += 1
+        if self.cuts >= CUTS:
+            if self.fresh:
+                self.converged = True
+            else:
+                self.inverse, self.fresh = np.eye(len(self.x)), True
+                self.turn()
+
+    def learn(self, s: np.ndarray, y: np.ndarray) -> None:
+        sy = float(s @ y)
+        if sy <= 1e-14:  # bent the other way: the next step is longer
+            self.inverse = self.inverse * 3
+            return
+        if self.fresh:
+            self.inverse = np.eye(len(s)) * (sy / float(y @ y))
+        left = np.eye(len(s)) - np.outer(s, y) / sy
+        self.inverse = left @ self.inverse @ left.T + np.outer(s, s) / sy
+        self.fresh = False
+
+    def turn(self) -> None:
+        """A new direction, and whether one is needed."""
+        if np.abs(self.gradient).max() <= self.g_tol or self.slow >= 3:
+            self.converged = True
+        d = -self.inverse @ self.gradient
+        if d @ self.gradient >= 0 and not self.fresh:
+            self.inverse, self.fresh = np.eye(len(self.x)), True
+            d = -self.gradient
+        self.direction, self.length, self.cuts = d * min(1.0, LONGEST / max(float(np.abs(d).max()), 1e-300)), 1.0, 0
+
+
+def run_all(searches: dict[Hashable, Descent | Sloped], values: Callable[[dict[Hashable, list[np.ndarray]]], dict[Hashable, list]], most: int) -> int:
+    """Runs searches to their ends, `most` rounds at most; `values` gives the values (and gradients) of all points of a round. Returns the rounds."""
     for k in range(most):
         asked = {name: s.ask() for name, s in searches.items() if not s.converged}
         if not asked:
