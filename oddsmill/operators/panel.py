@@ -126,11 +126,11 @@ def remaining_variance(markets: DataFrame, starts: DataFrame, jump: float = 0.02
     )
 
 
-def folds(catalog: DataFrame, bounds=((0.0, 0.5, 0.75), (0.0, 0.75, 1.0)), most_test: int = 1500, seed: int = 7) -> DataFrame:
+def folds(catalog: DataFrame, bounds=((0.0, 0.5, 0.75), (0.0, 0.75, 1.0)), most_test: int | None = None, seed: int = 7) -> DataFrame:
     """Walk-forward folds of the keys in the order in which they end (null first): train up to a share, test to the next.
 
-    Of the test keys at most `most_test` stay, the first by a hash of seed and key. Keys are numbered by day of their
-    end: the days' counts are summed up first, so that no task sorts the whole catalog.
+    With `most_test` at most as many of the test keys stay, the first by a hash of seed and key. Keys are numbered by day
+    of their end: the days' counts are summed up first, so that no task sorts the whole catalog.
     """
     rows = catalog.select("key", "end", F.coalesce(F.unix_date(F.col("end").cast("date")), F.lit(-(1 << 31))).alias("day"))
     days = rows.groupBy("day").agg(F.count("*").alias("own"))
@@ -138,6 +138,8 @@ def folds(catalog: DataFrame, bounds=((0.0, 0.5, 0.75), (0.0, 0.75, 1.0)), most_
     rows = rows.join(F.broadcast(days), "day").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy(F.col("end").asc_nulls_first(), "key")) - 1)
     parts = [F.struct(F.lit(k).alias("fold"), F.when(F.col("i") < F.floor(F.lit(lo) * F.col("n")), "train").when(F.col("i") < F.floor(F.lit(hi) * F.col("n")), "test").alias("part")) for k, (_, lo, hi) in enumerate(bounds)]
     out = rows.select("key", F.explode(F.array(*parts)).alias("f")).select("key", "f.fold", "f.part").filter("part is not null")
+    if most_test is None:
+        return out
     drawn = F.row_number().over(Window.partitionBy("fold").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"))), "key"))
     test = out.filter("part = 'test'").withColumn("r", drawn).filter(F.col("r") <= most_test).drop("r")
     return out.filter("part = 'train'").unionByName(test)
