@@ -109,11 +109,17 @@ def tick_mass(k: Column, t: dict[str, Column]) -> Column:
     return rest * (cdf((k + 0.5) / t["sigma"]) - cdf((k - 0.5) / t["sigma"])) + F.when(k == 0, t["pi0"]).otherwise(0.0) + t["h"] * gap
 
 
-def masses(k: np.ndarray, pi0: float, h: float, sigma: float, rho_a: float, rho_t: float, w_a: float) -> np.ndarray:
-    """tick_mass over an array."""
+def masses(k: np.ndarray, pi0, h, sigma, rho_a, rho_t, w_a) -> np.ndarray:
+    """tick_mass over an array; parameters are numbers or arrays."""
     a = np.maximum(np.abs(k) - 2, 0)
     gap = np.where(k >= 2, w_a * (1 - rho_a) * rho_a**a, np.where(k <= -2, (1 - w_a) * (1 - rho_t) * rho_t**a, 0.0))
-    return max(1 - pi0 - h, 0.0) * (normal_cdf((k + 0.5) / sigma) - normal_cdf((k - 0.5) / sigma)) + pi0 * (k == 0) + h * gap
+    return np.maximum(1 - pi0 - h, 0.0) * (normal_cdf((k + 0.5) / sigma) - normal_cdf((k - 0.5) / sigma)) + pi0 * (k == 0) + h * gap
+
+
+def masses_below(k: np.ndarray, pi0, h, sigma, rho_a, rho_t, w_a) -> np.ndarray:
+    """Sum of masses() over all moves of less than k ticks: the normal and the geometric tails in closed form."""
+    gap = np.where(k <= -1, (1 - w_a) * rho_t ** np.maximum(-k - 1, 0), np.where(k >= 3, 1 - w_a * rho_a ** np.maximum(k - 2, 0), 1 - w_a))
+    return np.maximum(1 - pi0 - h, 0.0) * normal_cdf((k - 0.5) / sigma) + pi0 * (k > 0) + h * gap
 
 
 def hazard_of(k: np.ndarray, n: np.ndarray) -> tuple[list[float], float, bool]:

@@ -5,20 +5,23 @@ import functools
 import json
 import math
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsmill.functions import grid
 from oddsmill.functions.normal import cdf, probit
 from oddsmill.operators import states
-from oddsmill.operators.fits import HAZARD, hazard_fits, normal_cdf, tick_mass
+from oddsmill.operators.cube import map_cells, moments, written
+from oddsmill.operators.fits import HAZARD, hazard_fits, masses, masses_below, normal_cdf
 from oddsmill.operators.panel import EDGE_CLIP, move_panel, raw_panel, segments, standardised, with_cells
-from oddsmill.operators.regimes import bulk_fit, cell_variances, map_cells, rectangle, tick_histogram
-from oddsmill.operators.search import Descent, run_all
+from oddsmill.operators.regimes import cell_variances, rectangle, tick_histogram
+from oddsmill.operators.search import Descent, Sloped, run_all
 from oddsmill.operators.variance import bootstrap, ratio
 
 # Models, and the least probability of a move.
@@ -102,30 +105,80 @@ def garch_first(series: DataFrame, by: list[str], most: int) -> dict[tuple, tupl
     return out
 
 
+def garch_slopes(u: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log-likelihood of padded series of squared moves, and its derivatives by u."""
+    w, a, b = garch_parameters(u)
+    rest = 1 - a - b
+    var, d = np.full(len(x), w / max(rest, 1e-6)), np.zeros((3, len(x)))
+    d[0], d[1:] = 1 / max(rest, 1e-6), w / rest**2 if rest > 1e-6 else 0.0
+    total, slope = 0.0, np.zeros(3)
+    for y in x.T:
+        y = y[~np.isnan(y)]  # long ones are first
+        var, d = var[: len(y)], d[:, : len(y)]
+        total += float((np.log(var) + y / var).sum()) + len(y) * math.log(2 * math.pi)
+        slope += d @ ((1 - y / var) / var)
+        d = b * d
+        d[0], d[1], d[2] = d[0] + 1, d[1] + y, d[2] + var
+        var = w + a * y + b * var
+    by_a, by_b = a * (1 - a / 0.999), b * (1 - b / ((1 - a) * 0.999))
+    return -0.5 * total, -0.5 * np.array([slope[0] * w, slope[1] * by_a - slope[2] * b / (1 - a) * by_a, slope[2] * by_b])
+
+
+def garch_sums(blocks: DataFrame, points: dict[str, np.ndarray]) -> dict[str, tuple[float, np.ndarray, int]]:
+    """garch_slopes() of each part's series and the number of moves: one job, summed in the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, list] = {}
+        with np.errstate(all="ignore"):
+            for pdf in batches:
+                for part, n, rows, data in zip(pdf["part"], pdf["n"], pdf["rows"], pdf["data"], strict=True):
+                    if part in points:
+                        ll, slope = garch_slopes(points[part], np.frombuffer(data).reshape(rows, -1))
+                        now = sums.setdefault(part, [0.0, np.zeros(3), 0])
+                        now[:] = now[0] + ll, now[1] + slope, now[2] + n
+        yield pd.DataFrame([(part, ll, slope.tolist(), n) for part, (ll, slope, n) in sums.items()], columns=["part", "ll", "slope", "n"])
+
+    out = {part: (0.0, np.zeros(3), 0) for part in points}
+    for r in blocks.mapInPandas(run, "part string, ll double, slope array<double>, n long").collect():  # a row a task and group
+        ll, slope, n = out[r.part]
+        out[r.part] = ll + r.ll, slope + np.array(r.slope), n + r.n
+    return out
+
+
+def garch_blocks(series: DataFrame, by: list[str]) -> DataFrame:
+    """(part, n, rows, data): padded series, states.BATCH a row at most; part tells the groups apart."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part, own in pdf.groupby("part", sort=False):
+                for b in states.padded({"z": list(own["x"])}):
+                    yield pd.DataFrame([(part, int(b["size"].sum()), len(b["z"]), b["z"].tobytes())], columns=["part", "n", "rows", "data"])
+
+    part = F.to_json(F.struct(*by)) if by else F.lit("")
+    return series.select(part.alias("part"), "x").mapInPandas(run, "part string, n long, rows int, data binary")
+
+
 def garch_fit(moves: DataFrame, by: list[str] | None = None, most: int = 250) -> DataFrame:
     """(by..., w, a, b, n, ll_per_obs, converged): pooled GARCH(1, 1) of all moves of each group; a round of the searches is one job over all series."""
     by, spark = by or [], moves.sparkSession
     series = garch_series(moves, by).repartition(2 * spark.sparkContext.defaultParallelism, *by, "key").persist()  # a round has these tasks
-    groups = [tuple(r) for r in series.select(*by).distinct().collect()] if by else [()] * bool(series.take(1))  # a row a group
+    blocks = garch_blocks(series, by).persist()
+    counts = {r.part: r.n for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row a group
+    groups = {part: tuple(json.loads(part).get(c) for c in by) if by else () for part in counts}
     nearer = garch_first(series, by, min(most, states.FIRST_ROUNDS))
+    series.unpersist()
     searches = {}
-    for g in groups:
+    for part, g in groups.items():
         at, inverse = nearer.get(g, (GARCH_START, None))
-        searches[g] = Descent(at, inverse=inverse)
-    counts: dict[tuple, int] = {}
+        searches[part] = Sloped(at, inverse=inverse)
 
     def values_of(asked: dict) -> dict:
-        # Every group is carried along every point of the round; a group's own are picked.
-        names = [(g, k) for g, points in asked.items() for k in range(len(points))]
-        got = garch_likelihoods(series, [garch_parameters(u) for points in asked.values() for u in points], by).collect()
-        found = {(tuple(r[: len(by)]), r.k): (r.ll, r.n) for r in got}
-        counts.update({g: n for (g, _), (_, n) in found.items()})
-        at = {name: i for i, name in enumerate(names)}
-        return {g: [-found[g, at[g, k]][0] / found[g, at[g, k]][1] for k in range(len(points))] for g, points in asked.items()}
+        got = garch_sums(blocks, {part: u for part, (u,) in asked.items()})
+        return {part: [(-ll / n, -slope / n)] for part, (ll, slope, n) in got.items()}
 
     run_all(searches, values_of, most)
-    series.unpersist()
-    out = [(*g, *garch_parameters(s.x), counts[g], -s.value, s.converged) for g, s in searches.items()]
+    blocks.unpersist()
+    out = [(*groups[part], *garch_parameters(s.x), counts[part], -s.value, s.converged) for part, s in searches.items()]
     kinds = [*(f"{c} {dict(moves.dtypes)[c]}" for c in by), "w double, a double, b double, n long, ll_per_obs double, converged boolean"]
     return spark.createDataFrame(out, ", ".join(kinds))
 
@@ -136,6 +189,12 @@ def gauss_mass(var: Column, k: Column, unit: float) -> Column:
     return F.greatest(cdf((k + 0.5) * unit / sd) - cdf((k - 0.5) * unit / sd), F.lit(LEAST))
 
 
+def gauss_masses(var: np.ndarray, k: np.ndarray, unit: float) -> np.ndarray:
+    """gauss_mass over arrays."""
+    sd = np.fmax(np.sqrt(var), 1e-9)
+    return np.maximum(normal_cdf((k + 0.5) * unit / sd) - normal_cdf((k - 0.5) * unit / sd), LEAST)
+
+
 def steps(markets: DataFrame, unit: float) -> DataFrame:
     """A row a move, with what forecasts need (and the fold, if the markets have one): key, ts_days, p, tau, pi, ti, k (ticks), kf (folded), and the segment columns z to isz of both its ends."""
     by = [c for c in ("fold",) if c in markets.columns]
@@ -164,15 +223,15 @@ def with_cell_fits(rows: DataFrame, cells: DataFrame, variances: DataFrame, mixt
     return rows.withColumns({"regime": F.coalesce("regime", F.lit(1)), "var": F.coalesce("_own", "_var")}).drop("_own", "_var")
 
 
-#: The models whose parameters are fitted to segments: of regime 1's rectangle or of all prices, and in which variant.
-FITTED = {"r1": "full", "glob": "full", "clam": "no-sv", "zi": "zi"}
+#: The models whose parameters are fitted to segments: of regime 1's rectangle (inner) or of all prices, and in which variant.
+FITTED = {"r1": ("inner", "full"), "glob": ("all", "full"), "clam": ("all", "no-sv"), "zi": ("inner", "zi")}
 
 
 def scores(markets: DataFrame, unit: float, cells: DataFrame, variances: DataFrame, mixtures: DataFrame, thetas: DataFrame, garch: DataFrame, seed: int = 7) -> DataFrame:
     """(fold, key, ts_days, p, tau, regime, MODELS..., pit): logarithmic score of each move of the markets (fold, key, ...) under each model as fitted in its fold.
 
     All parameters are tables by fold: cells, variances, mixtures, thetas (fold, model of FITTED, c to pi0) and garch
-    (w, a, b). The composites use state forecasts in regime 1, the cell's mixture elsewhere and the cell's normal
+    (w, a, b), joined to the moves; masses are worked out with the filters, array by array. The composites use state forecasts in regime 1, the cell's mixture elsewhere and the cell's normal
     without one. pit is that of composite_zi, randomised within the tick by a hash of seed, key and time. A market's
     path is filtered in one task; markets are independent.
     """
@@ -196,7 +255,20 @@ def scores(markets: DataFrame, unit: float, cells: DataFrame, variances: DataFra
         for j in range(1, var.shape[1]):
             x = b["dp"][:, j]
             var[:, j], now = now, w + a * x * x + bb * now
-        return {"z_prev": np.concatenate([np.full((len(var), 1), np.nan), b["z"][:, :-1]], axis=1), "s2": var, **out}
+        return {"garch": gauss_masses(var, b["k"], unit), **out}
+
+    def scored(b: dict[str, np.ndarray], given: pd.Series) -> dict[str, np.ndarray]:
+        """Scores of each move of padded markets, and the mass under its tick by composite_zi."""
+        out, pi0, one, still = filtered_markets(b, given), float(given["zi_pi0"]), b["regime"] == 1, b["k"] == 0
+        theta, bucket = [b[c] for c in HAZARD], gauss_masses(b["var"], b["k"], unit)
+        mixed = ~np.isnan(b["pi0"])
+        outside = np.where(mixed & ~one, np.maximum(masses(b["kf"], *theta), LEAST), bucket)
+        zi = np.maximum((1 - pi0) * np.maximum(out["m_zi"], LEAST) + pi0 * still, LEAST)
+        held = {"composite_zi": np.where(one, zi, outside), "composite": np.where(one, np.maximum(out["m_r1"], LEAST), outside), "global_slv": np.maximum(out["m_glob"], LEAST), "const_lam": np.maximum(out["m_clam"], LEAST), "bucket": bucket, "garch": out["garch"]}
+        stale = np.concatenate([np.zeros((len(still), 1), bool), b["z"][:, :-1] < b["zlo"][:, 1:]], axis=1)
+        normal = normal_cdf((b["k"] - 0.5) * unit / np.fmax(np.sqrt(b["var"]), 1e-9))
+        low = np.where(one, (1 - pi0) * out["f_zi"] + pi0 * stale, np.where(mixed, masses_below(b["kf"], *theta), normal))
+        return {**{c: np.log(x) for c, x in held.items()}, "low": low, **{c: b[c] for c in same}}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -205,37 +277,25 @@ def scores(markets: DataFrame, unit: float, cells: DataFrame, variances: DataFra
                 for b in states.padded(columns):
                     rows = own.iloc[b.pop("row")[:, 0].astype(int)]
                     with np.errstate(all="ignore"):
-                        out = filtered_markets(b, rows.iloc[0])
-                    yield pd.DataFrame({"fold": rows["fold"].to_numpy(), "key": rows["key"].to_numpy(), "zi_pi0": rows["zi_pi0"].to_numpy(), "pos": [list(range(n)) for n in b["size"]], **{c: [x[:n] for x, n in zip(out[c], b["size"], strict=True)] for c in kept}})
+                        out = scored(b, rows.iloc[0])
+                    yield pd.DataFrame({"fold": rows["fold"].to_numpy(), "key": rows["key"].to_numpy(), "pos": [list(range(1, n)) for n in b["size"]], **{c: [x[1:n] for x, n in zip(out[c], b["size"], strict=True)] for c in kept}})
 
-    paths = ["z", "dt", "taup", "zlo", "zhi", "isz", "blo", "bhi", "dp"]
-    kept = ["z_prev", "s2", *(f"m_{n}" for n in FITTED), "f_zi"]
-    rows = steps(markets, unit)
+    same = ["ts_days", "p", "tau", "regime"]
+    paths = ["z", "dt", "taup", "zlo", "zhi", "isz", "blo", "bhi", "dp", "k", "kf", "var", *same, *HAZARD]
+    kept = [*same, *MODELS, "low"]
     wide = garch.select("fold", *(F.col(c).alias(f"garch_{c}") for c in "wab"))
     for name in FITTED:
         own = thetas.filter(F.col("model") == name).select("fold", *(F.col(c).alias(f"{name}_{c}") for c in states.INFLATED))
         wide = wide.join(own, "fold")
+    rows = with_cell_fits(steps(markets, unit), cells, variances, mixtures, ["fold"])
+    rows = rows.select("fold", "key", "pos", *(F.col(c) if c == "isz" else F.col(c).cast("double").alias(c) for c in paths))
     whole = rows.groupBy("fold", "key").agg(F.sort_array(F.collect_list(F.struct("pos", *paths))).alias("x")).select("fold", "key", *(F.col(f"x.{c}").alias(c) for c in paths))  # a row a market
     known = whole.repartition(2 * markets.sparkSession.sparkContext.defaultParallelism, "fold", "key").join(F.broadcast(wide), "fold")  # a row a fold
-    filtered = known.mapInPandas(run, "fold int, key string, zi_pi0 double, pos array<int>, " + ", ".join(f"{c} array<double>" for c in kept))
-    filtered = filtered.select("fold", "key", "zi_pi0", F.inline(F.arrays_zip("pos", *kept)))
-    rows = with_cell_fits(rows.filter("pos > 0"), cells, variances, mixtures, ["fold"]).join(filtered, ["fold", "key", "pos"])
-    pi0, theta = F.col("zi_pi0"), {c: F.col(c) for c in HAZARD}
-    bucket, mix = gauss_mass(F.col("var"), F.col("k"), unit), F.greatest(tick_mass(F.col("kf"), theta), F.lit(LEAST))
-    outside = F.when(F.col("pi0").isNotNull() & (F.col("regime") != 1), mix).otherwise(bucket)
-    held = lambda c: F.greatest(F.col(c), F.lit(LEAST))
-    zi = F.greatest((1 - pi0) * held("m_zi") + F.when(F.col("k") == 0, pi0).otherwise(0.0), F.lit(LEAST))
-    one = F.col("regime") == 1
-    rows = rows.withColumns({
-        "composite_zi": F.log(F.when(one, zi).otherwise(outside)), "composite": F.log(F.when(one, held("m_r1")).otherwise(outside)), "global_slv": F.log(held("m_glob")), "const_lam": F.log(held("m_clam")),
-        "bucket": F.log(bucket), "garch": F.log(gauss_mass(F.col("s2"), F.col("k"), unit)),
-    })
-    under = F.aggregate(F.sequence(-F.greatest(F.abs("kf"), F.lit(2)) - 60, F.col("kf") - 1), F.lit(0.0), lambda s, k: s + tick_mass(k, theta))
-    low = F.when(one, (1 - pi0) * F.col("f_zi") + F.when(F.col("z_prev") < F.col("zlo"), pi0).otherwise(0.0)).when(F.col("pi0").isNotNull(), under)
-    low = F.coalesce(low, cdf((F.col("k") - 0.5) * unit / F.greatest(F.sqrt("var"), F.lit(1e-9))))
+    got = known.mapInPandas(run, "fold int, key string, pos array<int>, " + ", ".join(f"{c} array<double>" for c in kept))
+    got = got.select("fold", "key", F.inline(F.arrays_zip("pos", *kept)))
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"), F.lit(":"), F.col("pos"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    pit = F.least(F.greatest(low + u * F.exp("composite_zi"), F.lit(0.0)), F.lit(1.0))
-    return rows.select("fold", "key", "ts_days", "p", "tau", "regime", *MODELS, pit.alias("pit"))
+    pit = F.least(F.greatest(F.col("low") + u * F.exp("composite_zi"), F.lit(0.0)), F.lit(1.0))
+    return got.select("fold", "key", "ts_days", "p", "tau", F.col("regime").cast("int").alias("regime"), *MODELS, pit.alias("pit"))
 
 
 @dataclass
@@ -251,8 +311,7 @@ class FoldFits:
 
 def cell_fits(markets: DataFrame, unit: float, least: int = 200, fit_least: int = 50, mixture_least: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Regime map, variances by cell, and mixtures of the cells outside regime 1, of all markets: what forecasts need without any state fit."""
-    raw, moves = raw_panel(markets), standardised(move_panel(markets))
-    cells = map_cells(moves, bulk_fit(moves, fit_least), least=least)
+    raw, cells = raw_panel(markets), map_cells(moments(standardised(move_panel(markets))), least, fit_least)
     ticks = with_cells(raw).select(F.col("pi").alias("di"), "ti", grid.folded_ticks(F.col("p"), F.col("dp"), unit).alias("k"))
     other = cells.filter("regime <> 1").select(F.col("pi").alias("di"), "ti")
     mixed = hazard_fits(tick_histogram(ticks.join(F.broadcast(other), ["di", "ti"], "left_semi")), mixture_least)  # 54 cells at most
@@ -263,33 +322,34 @@ def fold_fits(markets: DataFrame, parts: DataFrame, unit: float, folds: tuple[in
     """All models fitted to the markets that are `train` in each fold (parts: fold, key, part).
 
     The map's rectangle, one row a fold, comes to the driver, as segments depend on it; without a rectangle regime 1's
-    models take all prices. The state fits of all folds share their rounds, and so do the GARCH fits.
+    models take all prices. The state fits of all folds share their rounds, and so do the GARCH fits. Markets, cells and
+    segments are written, so that each is made once and no later plan repeats theirs.
     """
-    train = parts.filter("part = 'train'").select("fold", "key").persist()
-    markets = markets.persist()
-    tables, segs = [], []
-    for fold in folds:
+    markets, train = written(markets, "markets"), written(parts.filter("part = 'train'").select("fold", "key"), "train")
+
+    def prepared(fold: int) -> tuple[list[DataFrame], DataFrame]:
         own = markets.join(train.filter(F.col("fold") == fold).select("key"), "key", "left_semi")
-        cells, variances, mixed = (t.withColumn("fold", F.lit(fold)) for t in cell_fits(own, unit, **cell))
-        cells = cells.persist()
-        tables.append((cells, variances, mixed))
-        r = rectangle(cells).first()
+        tables = [written(t.withColumn("fold", F.lit(fold)), "fit") for t in cell_fits(own, unit, **cell)]
+        r = rectangle(tables[0]).first()
         inner = (r.p_lo, r.p_hi, r.tau_lo) if r and r.p_lo is not None and r.tau_lo is not None else (0.0, 1.0, 0.0)
-        for names, box in ((("r1", "zi"), inner), (("glob", "clam"), (0.0, 1.0, 0.0))):
-            s = segments(own, *box, least=segment, unit=unit)
-            segs += [s.withColumns({"fold": F.lit(fold), "model": F.lit(m)}) for m in names]
-    every = functools.reduce(DataFrame.unionByName, segs)
-    thetas = states.fits(every, ["full"], most, ["fold", "model"], {(fold, m): [v] for fold in folds for m, v in FITTED.items()})
-    moves = raw_panel(markets.join(train, "key"), ["fold", "key"])
+        segs = [segments(own, *box, least=segment, unit=unit).withColumns({"fold": F.lit(fold), "box": F.lit(name)}) for name, box in (("inner", inner), ("all", (0.0, 1.0, 0.0)))]
+        return tables, written(segs[0].unionByName(segs[1]), "segments")
+
+    with ThreadPoolExecutor(len(folds) + 1) as pool:  # jobs of the folds, and GARCH's, side by side
+        garch = pool.submit(inheritable_thread_target(garch_fit), raw_panel(markets.join(train, "key"), ["fold", "key"]), ["fold"], most)
+        tables, segs = zip(*pool.map(inheritable_thread_target(prepared), folds), strict=True)
+        every = functools.reduce(DataFrame.unionByName, segs)
+        only = {(fold, box): [v for b, v in FITTED.values() if b == box] for fold in folds for box in ("inner", "all")}
+        found = states.fits(every, [], most, ["fold", "box"], only)
+    model = F.coalesce(*(F.when((F.col("box") == box) & (F.col("variant") == v), m) for m, (box, v) in FITTED.items()))
+    thetas = found.withColumn("model", model).drop("box")
     cells, variances, mixed = (functools.reduce(DataFrame.unionByName, t) for t in zip(*tables, strict=True))
-    garch = garch_fit(moves, ["fold"], most)
-    train.unpersist()
-    markets.unpersist()
-    return FoldFits(cells, variances, mixed, thetas, garch)
+    return FoldFits(cells, variances, mixed, thetas, garch.result())
 
 
 def race(markets: DataFrame, parts: DataFrame, unit: float, **how) -> DataFrame:
     """scores() of the markets that are `test` in each fold, under what was fitted to those that are `train`."""
+    markets, parts = written(markets, "markets"), written(parts, "parts")
     f = fold_fits(markets, parts, unit, **how)
     test = markets.join(parts.filter("part = 'test'").select("fold", "key"), "key")
     return scores(test, unit, f.cells, f.variances, f.mixtures, f.thetas, f.garch)

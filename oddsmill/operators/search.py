@@ -8,8 +8,8 @@ import numpy as np
 
 #: Lengths tried along a direction, half the width of a difference, and the longest step in any parameter.
 LENGTHS, WIDTH, LONGEST = (1.0, 3.0, 1.7, 0.5, 0.2, 0.05, 0.005, 1e-4), 1e-4, 1.5
-#: Times that a step is cut before a direction is given up.
-CUTS = 8
+#: Times that a step is cut before a direction is given up, and longest steps in a row before they grow.
+CUTS, RUNS = 8, 4
 
 
 class Descent:
@@ -96,14 +96,16 @@ class Sloped:
 
     ask() gives one point, tell() takes (value, gradient): a step of the trial's length, cut by a parabola until it gains
     enough. It has converged as Descent has: no gradient over g_tol, three steps in a row under f_tol, or no gain along
-    the steepest descent.
+    the steepest descent. After RUNS longest steps in a row steps may be twice as long each time, so that a parameter
+    without a least point runs off in few steps.
     """
 
     def __init__(self, start: np.ndarray, g_tol: float = 1e-5, f_tol: float = 1e-7, inverse: np.ndarray | None = None) -> None:
         self.x, self.value, self.g_tol, self.f_tol = np.array(start, float), math.inf, g_tol, f_tol
         self.converged, self.began, self.slow, self.cuts, self.length = not len(self.x), False, 0, 0, 1.0
         self.gradient, self.inverse = np.zeros(len(self.x)), np.eye(len(self.x)) if inverse is None else inverse
-        self.fresh, self.direction = inverse is None, np.zeros(len(self.x))
+        self.fresh, self.direction, self.longest = inverse is None, np.zeros(len(self.x)), LONGEST
+        self.runs = 0
 
     def ask(self) -> list[np.ndarray]:
         return [self.x + self.length * self.direction if self.began else self.x]
@@ -122,6 +124,8 @@ class Sloped:
             step, gain, before = self.length * self.direction, self.value - value, self.gradient
             self.x, self.value, self.gradient = self.x + step, value, np.array(gradient, float)
             self.slow = self.slow + 1 if gain < self.f_tol else 0
+            self.runs = self.runs + 1 if np.abs(step).max() > 0.99 * self.longest else 0
+            self.longest = LONGEST * 2.0 ** max(self.runs - RUNS, 0)
             self.learn(step, self.gradient - before)
             self.turn()
             return
@@ -154,7 +158,7 @@ class Sloped:
         if d @ self.gradient >= 0 and not self.fresh:
             self.inverse, self.fresh = np.eye(len(self.x)), True
             d = -self.gradient
-        self.direction, self.length, self.cuts = d * min(1.0, LONGEST / max(float(np.abs(d).max()), 1e-300)), 1.0, 0
+        self.direction, self.length, self.cuts = d * min(1.0, self.longest / max(float(np.abs(d).max()), 1e-300)), 1.0, 0
 
 
 def run_all(searches: dict[Hashable, Descent | Sloped], values: Callable[[dict[Hashable, list[np.ndarray]]], dict[Hashable, list]], most: int) -> int:
