@@ -335,9 +335,10 @@ def fold_fits(markets: DataFrame, parts: DataFrame, unit: float, folds: tuple[in
         segs = [segments(own, *box, least=segment, unit=unit).withColumns({"fold": F.lit(fold), "box": F.lit(name)}) for name, box in (("inner", inner), ("all", (0.0, 1.0, 0.0)))]
         return tables, written(segs[0].unionByName(segs[1]), "segments")
 
+    inherited = inheritable_thread_target(markets.sparkSession)
     with ThreadPoolExecutor(len(folds) + 1) as pool:  # jobs of the folds, and GARCH's, side by side
-        garch = pool.submit(inheritable_thread_target(garch_fit), raw_panel(markets.join(train, "key"), ["fold", "key"]), ["fold"], most)
-        tables, segs = zip(*pool.map(inheritable_thread_target(prepared), folds), strict=True)
+        garch = pool.submit(inherited(garch_fit), raw_panel(markets.join(train, "key"), ["fold", "key"]), ["fold"], most)
+        tables, segs = zip(*pool.map(inherited(prepared), folds), strict=True)
         every = functools.reduce(DataFrame.unionByName, segs)
         only = {(fold, box): [v for b, v in FITTED.values() if b == box] for fold in folds for box in ("inner", "all")}
         found = states.fits(every, [], most, ["fold", "box"], only)
